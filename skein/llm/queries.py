@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import quality_rules
+from skein.llm import decontaminate, jaccard_join, license_scan, packing, pii, quality_rules, style_tree, token_orc
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,7 +15,14 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_weak_supervision_pii": lambda spark, d: pii.digest(_docs(spark, d)),
+    "op2_site_style_tree": lambda spark, d: style_tree.extract(spark.read.parquet(f"{d}/pages.parquet")),
+    "op3_license_scan": lambda spark, d: license_scan.licenses(_docs(spark, d)),
+    "op4_genetic_packing": lambda spark, d: packing.packed(_docs(spark, d), VOCABULARY),
+    "op5_ngram_jaccard_join": lambda spark, d: jaccard_join.classes(_docs(spark, d)),
     "op6_quality_rules": lambda spark, d: quality_rules.digest(_docs(spark, d)),
+    "op7_token_orc": lambda spark, d: token_orc.digest(_docs(spark, d), VOCABULARY),
+    "op8_benchmark_decontamination": lambda spark, d: decontaminate.digest(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
 }
 ORACLES = {
     "op6_quality_rules": quality_rules.ORACLE,
