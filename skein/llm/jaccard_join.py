@@ -60,7 +60,7 @@ def set_sizes(texts: DataFrame, width: int) -> DataFrame:
             frag = fragment_of(grams, count)
             order = np.argsort(frag * len(sets) + who, kind="stable")
             lens = np.bincount(frag * len(sets) + who, minlength=count * len(sets)).astype("<u4").reshape(count, -1)
-            ends = np.concatenate([[0], np.cumsum(lens.sum(1))])
+            ends = np.concatenate([[0], np.cumsum(lens.sum(1, dtype=np.int64))])
             low = (grams[order] & np.uint64(0xFFFFFFFF)).astype("<u4")
             known = [_identity(s) for s in sets]
             sids = np.array([k[0] for k in known], "<i8").tobytes()
@@ -80,7 +80,7 @@ def set_sizes(texts: DataFrame, width: int) -> DataFrame:
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
         lens = [np.frombuffer(x, "<u4") for x in pdf["lens"]]
         grams = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["grams"]]).astype(np.uint64)
-        docs = np.repeat(np.arange(sum(map(len, lens))), np.concatenate(lens))
+        docs = np.repeat(np.arange(sum(map(len, lens))), np.concatenate(lens).astype(np.int64))
         sid = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["sids"]])
         key = np.sort(grams << np.uint64(32) | docs.astype(np.uint64))
         gram, who = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -164,7 +164,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     final = _struct(gram=_L, doc_id=_L, n=_I, pos=_I)
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        docs = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(x, "<u4")) for d, x in zip(pdf["docs"], pdf["lens"], strict=True)])
+        docs = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(x, "<u4").astype(np.int64)) for d, x in zip(pdf["docs"], pdf["lens"], strict=True)])
         grams = np.concatenate([np.frombuffer(x, "<u8") for x in pdf["grams"]])
         freq = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["freq"]])
         by = np.lexsort((grams, freq, docs))

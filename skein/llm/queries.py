@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontaminate, jaccard_join, license_scan, packing, pii, quality_rules, style_tree, token_orc
+from skein.llm import bilinear_lm, decontaminate, jaccard_join, license_scan, packing, pii, quality_rules, style_tree, token_orc, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -23,6 +24,9 @@ QUERIES = {
     "op6_quality_rules": lambda spark, d: quality_rules.digest(_docs(spark, d)),
     "op7_token_orc": lambda spark, d: token_orc.digest(_docs(spark, d), VOCABULARY),
     "op8_benchmark_decontamination": lambda spark, d: decontaminate.digest(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
+    "op9_log_bilinear_lm": lambda spark, d: bilinear_lm.scores(_docs(spark, d)),
+    "op10_noisy_channel_toxicity": lambda spark, d: toxicity.digest(_docs(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op6_quality_rules": quality_rules.ORACLE,

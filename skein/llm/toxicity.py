@@ -37,7 +37,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzàâäçéèêëíîïñóôöúùûüßá
 SIZE = len(ALPHABET) + 2  # 0: outside words, last: letters not listed
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
 SIGN_INSIDE = re.compile(r"(?<!\S)[^\s]{0,20}[^\W\d_][0-9@$!|+(€£]{1,3}[^\W\d_][^\s]{0,20}(?!\S)|(?<!\S)[0-9@$!|+(€£]{1,2}[^\W\d_]{2}[^\s]{0,20}(?!\S)")
-APART = re.compile(r"(?<!\w)(?:[\w@$!|][ .\-_*]){3,40}[\w@$!|](?!\w)")
+APART = re.compile(r"(?<!\w)(?:[\w@$!|][ .\-_*]){3,40}[\w@$!|](?!\w)|(?<!\w)\w{1,3}(?:[.\-_*]\w{1,2}){2,40}(?!\w)")
 REPEATED = re.compile(r"(?<![^\W_])(?:[^\W_]{0,24}?)([^\W\d_])\1\1[^\W_]{0,24}(?![^\W_])")
 MOST = 48  # characters of a lattice: words are shorter
 STRIP = ".,;:!?*#$%&|\"'()[]{}<>«»„“”-_=+/"
