@@ -1 +1 @@
-
+"""Scalar expressions: Column -> Column, all built-in functions."""
