@@ -129,10 +129,10 @@ def _stored(spark, d):
 
 @query("""WITH d AS (SELECT sha256(text) AS chunk_id, source, doc_id AS ordinal FROM documents),
 n AS (SELECT chunk_id, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ordinal) AS r FROM d WHERE ordinal % 3 = 0) WHERE r = 1)
-SELECT chunk_id, ordinal AS new_ordinal FROM n UNION ALL SELECT DISTINCT chunk_id, CAST(NULL AS BIGINT) FROM d WHERE ordinal % 2 = 0 AND chunk_id NOT IN (SELECT chunk_id FROM n)""")
+SELECT chunk_id, ordinal AS new_ordinal FROM n UNION ALL SELECT DISTINCT chunk_id, CAST(-1 AS BIGINT) FROM d WHERE ordinal % 2 = 0 AND chunk_id NOT IN (SELECT chunk_id FROM n)""")
 def upsert_keep_first(spark, d):
     old, new = _stored(spark, d)
-    old = old.select("chunk_id", "source", F.lit(None).cast("long").alias("ordinal"))
+    old = old.select("chunk_id", "source", F.lit(-1).cast("long").alias("ordinal"))
     return store.upserted(old, new).select("chunk_id", F.col("ordinal").alias("new_ordinal"))
 
 
@@ -317,10 +317,10 @@ _SUMMARY = "count(*) AS total, count(*) FILTER (has_files OR has_symbols) AS sco
 )
 
 
-@query(f"WITH {_GOLD} SELECT * FROM pm")
+@query(f"WITH {_GOLD} SELECT * REPLACE (coalesce(first_hit_rank, 0) AS first_hit_rank) FROM pm")
 def golden_per_query(spark, d):
     golden, hits, _ = _golden(spark, d)
-    return evaluation.per_query(golden, hits)
+    return evaluation.per_query(golden, hits).withColumn("first_hit_rank", F.coalesce("first_hit_rank", F.lit(0)))  # 0: no hit
 
 
 @query(f"WITH {_GOLD} SELECT {_SUMMARY} FROM pm")
@@ -346,7 +346,12 @@ def passages(spark: SparkSession, d: str) -> DataFrame:
     seeds = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), F.substring("text", 1, 24).alias("seed"))
     lengths = sorted({r[0] for r in seeds.select(F.length("seed")).distinct().collect()})  # at most 24 values
     docs = table(spark, d, "documents").select("doc_id", "text")
-    starts = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda i, n=n: F.col("text").substr(i, F.lit(n))) for n in lengths])))
+
+
+    def windows(n: int):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda i: F.col("text").substr(i, F.lit(n)))
+
+    starts = F.array_distinct(F.flatten(F.array(*[windows(n) for n in lengths]))) if lengths else F.array().cast("array<string>")
     want = spark.sparkContext.defaultParallelism
     docs = docs.repartition(want) if docs.rdd.getNumPartitions() < want else docs
     met = docs.select("doc_id", "text", F.explode(starts).alias("seed")).join(F.broadcast(seeds) if seeds.count() <= 10_000 else seeds, "seed")
@@ -446,9 +451,9 @@ def references(spark, d):
 
 
 @query("""WITH p AS (SELECT DISTINCT source FROM documents), m AS (SELECT source, count(*) AS total_chunks, count(DISTINCT lang) AS languages, max(n_chars) AS largest FROM documents WHERE doc_id % 2 = 0 AND source <> 'src3' GROUP BY source)
-SELECT p.source AS collection, CASE WHEN m.source IS NULL THEN 'missing' ELSE 'indexed' END AS status, coalesce(total_chunks, 0) AS total_chunks, coalesce(languages, 0) AS languages, largest FROM p LEFT JOIN m ON m.source = p.source""")
+SELECT p.source AS collection, CASE WHEN m.source IS NULL THEN 'missing' ELSE 'indexed' END AS status, coalesce(total_chunks, 0) AS total_chunks, coalesce(languages, 0) AS languages, coalesce(largest, 0) AS largest FROM p LEFT JOIN m ON m.source = p.source""")
 def manifest_status(spark, d):
     docs = table(spark, d, "documents")
     made = docs.where("doc_id % 2 = 0 AND source <> 'src3'").groupBy("source").agg(F.count("*").alias("total_chunks"), F.countDistinct("lang").alias("languages"), F.max("n_chars").alias("largest"))
     out = docs.select("source").distinct().join(made, "source", "left")
-    return out.select(F.col("source").alias("collection"), F.when(F.col("total_chunks").isNull(), "missing").otherwise("indexed").alias("status"), F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"), F.coalesce("languages", F.lit(0)).alias("languages"), "largest")
+    return out.select(F.col("source").alias("collection"), F.when(F.col("total_chunks").isNull(), "missing").otherwise("indexed").alias("status"), F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"), F.coalesce("languages", F.lit(0)).alias("languages"), F.coalesce("largest", F.lit(0)).alias("largest"))
