@@ -7,11 +7,10 @@ concatenation of such pieces and each distinct one is encoded once per worker. T
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from array import array
 
 #: Pieces that a worker keeps at most; beyond that the cache begins anew (memory, not results, depends on it).
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_200_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN_FAULT = re.compile(r" \s|\s ")
 _WORKER: dict[str, tuple] = {}
@@ -20,55 +19,65 @@ _WORKER: dict[str, tuple] = {}
 def _load(path: str) -> tuple:
     if path not in _WORKER:
         import os
+        import sys
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are written as they are in memory: little-endian, 32 bits")
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _WORKER[path] = (t, {}, {})
+        _WORKER[path] = (t, {})
     return _WORKER[path]
 
 
-_LETTERS = re.compile(r"( ?[^\W\d_]+)([^\w\s]*)")
+#: Marks that make a piece of their own behind a letter.
+MARKS = ".,!#$%&*"
 
 
-def _encode_new(tokenizer, inner: dict, pieces: list[str]) -> list[bytes]:
-    """Ids of pieces not seen yet. A word with marks behind it is two pieces, cached each."""
-    parts, need = [], {}
-    for p in pieces:
-        m = _LETTERS.fullmatch(p)
-        # an apostrophe begins contractions, and marks may combine: such pieces are encoded whole
-        own = (m[1], m[2]) if m and m[2] and m[2].isascii() and "'" not in m[2] and m[1].strip().isalpha() else (p,)
-        parts.append(own)
-        for x in own:
-            if x not in inner:
-                need[x] = None
-    todo = list(need)
-    for x, e in zip(todo, tokenizer.encode_batch(todo, add_special_tokens=False), strict=True):
-        need[x] = np.array(e.ids, dtype="<u4").tobytes()
-    known = lambda x: need.get(x) or inner.get(x, b"")
-    out = [b"".join(known(x) for x in own) for own in parts]
-    if len(inner) + len(need) > CACHE_PIECES:
-        inner.clear()
-    inner.update(need)
+def _units(piece: str) -> list[str]:
+    """A new piece cut where the vocabulary's pattern cuts it anyway: around one line end, and before marks behind a letter."""
+    a, end, b = piece.partition("\n")
+    if end and ("\n" in b or not a or not b or a[-1].isspace() or b[0].isspace()):
+        return [piece]
+    out = []
+    for u in (a, end, b) if end else (a,):
+        root = u.rstrip(MARKS)
+        if len(root) < len(u) and root[-1:].isalpha():
+            out += [root, u[len(root) :]]
+        else:
+            out.append(u)
     return out
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """For each text its ids as little-endian unsigned 32-bit integers, without special tokens."""
-    tokenizer, cache, inner = _load(path)
+    tokenizer, cache = _load(path)
     cut = []
     for t in texts:
         if _PLAIN_FAULT.search(t) or t[:1].isspace() or t[-1:].isspace():
             own = _CUT.split(t)
         else:
             own = t.split(" ")
-        cut.append([own[0], *[" " + w for w in own[1:]]] if t else [])
-    if len(cache) > CACHE_PIECES:
+        if not t:
+            cut.append([])
+        elif len(own) == 1:
+            cut.append(own)
+        else:  # the space belongs to the piece behind it; the text is cut there in one go
+            head = own[0]
+            own = [" " + w for w in own]
+            own[0] = head
+            cut.append(own)
+    every = set().union(*cut)
+    if len(cache) + len(every) > CACHE_PIECES:
+        kept = {p: cache[p] for p in every if p in cache}
         cache.clear()
-    new = list({p for own in cut for p in own if p not in cache})
-    for at in range(0, len(new), 50_000):
-        some = new[at : at + 50_000]
-        cache.update(zip(some, _encode_new(tokenizer, inner, some), strict=True))
+        cache.update(kept)
+    parts = {p: _units(p) for p in every if p not in cache}
+    new = list({u for own in parts.values() for u in own if u not in cache})
+    for at in range(0, len(new), 20_000):
+        some = new[at : at + 20_000]
+        cache.update(zip(some, [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)], strict=True))
+    cache.update({p: b"".join([cache[u] for u in own]) for p, own in parts.items() if len(own) > 1})
     return [b"".join(map(cache.__getitem__, own)) for own in cut]
