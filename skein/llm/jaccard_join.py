@@ -130,7 +130,8 @@ def rep_sets(texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """gram, doc_id, n, pos: n-grams of other sets, too, within the prefix of each document in the global order."""
+    """gram, doc_id, n, pos, own: n-grams of other sets, too, within the prefix of each document in the global order;
+    own is how many of the document's n-grams no other set has."""
     count = fragments(sets.sparkSession)
     cut = _struct(frag=_I, block=_L, docs=_B, lens=_B, grams=_B)
 
@@ -161,7 +162,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
         freq = np.split(counts[back].astype("<u4"), np.cumsum([len(p) for p in parts])[:-1])
         return pdf.drop(columns="frag").assign(freq=[f.tobytes() for f in freq])
 
-    final = _struct(gram=_L, doc_id=_L, n=_I, pos=_I)
+    final = _struct(gram=_L, doc_id=_L, n=_I, pos=_I, own=_I)
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         docs = np.concatenate([np.repeat(np.frombuffer(d, "<i8"), np.frombuffer(x, "<u4").astype(np.int64)) for d, x in zip(pdf["docs"], pdf["lens"], strict=True)])
@@ -172,9 +173,10 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
         n = np.diff(np.concatenate([starts, [len(docs)]]))
         pos = np.arange(len(docs)) - np.repeat(starts, n) + 1
+        own = np.repeat(np.add.reduceat((freq == 1).astype(np.int32), starts), n)
         n = np.repeat(n, n)
         keep = (pos <= n - -(-n * percent // 100) + 1) & (freq > 1)
-        return pd.DataFrame({"gram": grams[keep].astype(np.int64), "doc_id": docs[keep], "n": n[keep].astype(np.int32), "pos": pos[keep].astype(np.int32)})
+        return pd.DataFrame({"gram": grams[keep].astype(np.int64), "doc_id": docs[keep], "n": n[keep].astype(np.int32), "pos": pos[keep].astype(np.int32), "own": own[keep]})
 
     return arrow_map(sets.select("doc_id", "grams"), split, cut).groupBy("frag").applyInPandas(frequency, answer).groupBy("block").applyInPandas(order, final)
 
@@ -244,7 +246,9 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
         mixed = staged(_mixed(lists, comps), "mixed")
         if mixed.isEmpty():
             return comps
-        hubs = mixed.groupBy("gram").agg(F.min_by(F.struct(F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb")), F.xxhash64("doc_id", F.lit(turn))).alias("h")).select("gram", "h.*")
+        # in even rounds the hub is the most central text of the list, that with the fewest n-grams of its own
+        first = F.struct(F.col("own") if turn % 2 == 0 else F.lit(0), F.xxhash64("doc_id", F.lit(turn)))
+        hubs = mixed.groupBy("gram").agg(F.min_by(F.struct(F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb")), first).alias("h")).select("gram", "h.*")
         met = mixed.join(hubs, "gram").where("comp <> cb").where(F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
         met = met.groupBy("doc_id", "b").agg(F.count("*").alias("k"))
         if tried is not None:
