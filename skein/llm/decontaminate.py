@@ -90,8 +90,8 @@ def shingle_keys(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
 def size_class(n: int) -> int:
     """The window for an item of n words: so short that STRIDE offsets fit, from a geometric ladder."""
     most, c = max(1, min(LONGEST, n - STRIDE + 1)), 1
-    while max(c + 1, c * 9 // 8) <= most:
-        c = max(c + 1, c * 9 // 8)
+    while max(c + 1, c * 5 // 4) <= most:
+        c = max(c + 1, c * 5 // 4)
     return c
 
 
@@ -118,18 +118,19 @@ class Index:
                 by.setdefault(size, []).append((f, j, o))
         for size, own in by.items():
             prints = np.array([x[0] for x in own], np.uint64)
-            tables = np.zeros((BLOCKS, 65536), bool)
+            tables, lists = np.zeros((BLOCKS, 65536), bool), []
             for b in range(BLOCKS):
                 block = (prints >> np.uint64(16 * b) & np.uint64(0xFFFF)).astype(np.int64)
-                tables[b, block] = True
-                for bit in range(16):
-                    tables[b, block ^ (1 << bit)] = True
-            self.classes[size] = (prints, np.array([x[1] for x in own]), np.array([x[2] for x in own]), tables, strides[size])
+                keys = np.concatenate([block, *[block ^ (1 << bit) for bit in range(16)]])
+                order = np.argsort(keys, kind="stable")
+                tables[b, keys] = True
+                lists.append((keys[order], np.tile(np.arange(len(prints)), 17)[order]))
+            self.classes[size] = (prints, np.array([x[1] for x in own]), np.array([x[2] for x in own]), tables, strides[size], lists)
 
     def candidates(self, h: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int, int]]:
         """(text, item, start of the item in the words h). bounds: where each text begins, and the end."""
         sums, out = running(h), set()
-        for size, (prints, item, offset, tables, stride) in self.classes.items():
+        for size, (prints, item, offset, tables, stride, lists) in self.classes.items():
             # windows over the border of two texts are passed over; each text's windows begin at its own start
             starts = np.concatenate([np.empty(0, np.int64), *[np.arange(a, z - size + 1, stride) for a, z in zip(bounds[:-1], bounds[1:], strict=True) if z - a >= size]])
             if not len(starts):
@@ -138,15 +139,16 @@ class Index:
                 some = starts[at : at + 65536]
                 found = fingerprints(sums, some, size)
                 parts = found.view("<u2").reshape(-1, BLOCKS)
-                hit = tables[0][parts[:, 0]]
-                for b in range(1, BLOCKS):
-                    hit |= tables[b][parts[:, b]]
-                near, where = found[hit], some[hit]
-                for k in range(len(prints)):
-                    close = distance(near, prints[k]) <= RADIUS
-                    if close.any():
-                        for s in where[close].tolist():
-                            out.add((int(np.searchsorted(bounds, s, "right")) - 1, int(item[k]), s - int(offset[k])))
+                for b, (keys, which) in enumerate(lists):
+                    hit = np.flatnonzero(tables[b][parts[:, b]])
+                    lo, hi = np.searchsorted(keys, parts[hit, b], "left"), np.searchsorted(keys, parts[hit, b], "right")
+                    # every (window, fingerprint) that agrees in this block but for one bit
+                    n = hi - lo
+                    window = np.repeat(hit, n)
+                    k = which[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+                    close = distance(found[window], prints[k]) <= RADIUS
+                    for s, j in zip(some[window[close]].tolist(), k[close].tolist(), strict=True):
+                        out.add((int(np.searchsorted(bounds, s, "right")) - 1, int(item[j]), s - int(offset[j])))
         return out
 
     def similarity(self, item: int, window: np.ndarray) -> float:

@@ -90,7 +90,7 @@ def test_simhash_counts_bits():
 def test_blocks_lose_nothing_within_the_radius():
     rng = np.random.default_rng(1)
     index = decontaminate.Index([(1, " ".join(f"a{i}" for i in range(30)))])
-    ((prints, _, _, tables, _),) = index.classes.values()
+    ((prints, _, _, tables, _, _),) = index.classes.values()
     for _ in range(3000):
         f = int(prints[0])
         for b in rng.choice(64, rng.integers(0, decontaminate.RADIUS + 1), replace=False):
