@@ -31,7 +31,7 @@ def collection_name(key: str) -> str:
     if not key:
         raise ValueError("empty collection key")
     plain = len(key) == 12 and all(c in "0123456789abcdef" for c in key)
-    return f"code-rag-{key if plain else hashlib.sha256(key.encode()).hexdigest()[:12]}"
+    return f"skein-{key if plain else hashlib.sha256(key.encode()).hexdigest()[:12]}"
 
 
 def index(spark: SparkSession, root: str, store: Store, profile: str = "hashing-tf", source: str | None = None, key: str | None = None) -> dict:

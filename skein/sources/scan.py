@@ -16,7 +16,7 @@ from skein.functions.text import DOC_EXTENSIONS, LANGUAGES, SENSITIVE
 # Directories, file names and extensions that are never read.
 IGNORED_DIRS = frozenset((
     ".git", ".hg", ".svn", "__pycache__", "node_modules", ".venv", "venv", "env", ".env", "dist", "build", ".next", "coverage", ".mypy_cache", ".pytest_cache", ".ruff_cache",
-    ".idea", ".vscode", ".code-rag", ".chroma", ".indexes", "chroma_data", "target", "vendor",
+    ".idea", ".vscode", ".skein", ".chroma", ".indexes", "chroma_data", "target", "vendor",
 ))
 IGNORED_NAMES = frozenset((
     ".env", ".env.local", ".env.production", ".env.development", ".DS_Store", "Thumbs.db", ".npmrc", ".pypirc", "id_rsa", "id_dsa",
