@@ -1,15 +1,17 @@
-"""Operator 8: benchmark decontamination by SimHash of item-sized windows.
+"""Operator 8: benchmark decontamination by SimHash of short windows.
 
-Items and texts are words of letters and digits. Windows of an item's size class slide over every text; a window's
-fingerprint is the 64-bit SimHash of its words, kept as running sums of byte counters. Items give fingerprints at
-STRIDE neighbouring offsets, texts at every STRIDE-th place, so one pair is aligned wherever a passage stands. Four
-blocks of 16 bits index the items' fingerprints with all variants of one bit: a fingerprint within RADIUS differs in
-at most one bit in some block, so none within the radius is missed. Every candidate is then verified at the place it
-points to: the share of the item's weighted five-word shingles in the text's window of the item's size.
+Items and texts are words of letters and digits. Windows of WIDTH words slide over every item, its end included, and
+over every text, one at each word; a window's fingerprint is the 64-bit SimHash of its words, kept as running sums of
+byte counters. A passage that shares a shingle with an item holds that window intact, at distance 0, so the gate asks
+for equal fingerprints (RADIUS 0) and needs no luck: an item is indexed by its rarest shingles of together more than
+what a passage of the wanted similarity may lack, and every such passage has at least one of them, whatever was
+cut, changed, put in or moved, and however short the text. Four blocks of 16 bits sort out windows that are no
+item's. Every (text, item) that meets is then verified exactly: of all windows of the item's size, the one with the
+largest share of the item's weighted five-word shingles.
 
 Defined results: a null or empty text, an item without words, an empty table on either side: no rows. Repeated rows
 give a row each; an item that stands in a text several times gives its first best place; a null id stays null; other
-columns are not looked at.
+columns are not looked at. An item of fewer than WIDTH words is one shingle of its own length.
 """
 
 from __future__ import annotations
@@ -28,17 +30,14 @@ from pyspark.sql import types as T
 from skein.llm.common import arrow_map, doc_texts, small_batches
 
 WIDTH, SIMILARITY = 5, 0.8
-RADIUS, STRIDE, BLOCKS = 7, 4, 4
-#: Items up to which they are sent to every task (about 20 kB each with variants); more are taken in rounds of so many.
+RADIUS, BLOCKS = 0, 4
+#: Items up to which they are sent to every task; more are taken in rounds of so many.
 ROUND_ITEMS = 2_000
-#: Windows of more words are represented by their first LONGEST words, since a byte counts to 255.
-LONGEST = 250
 #: Words of texts that are handled together.
 CHUNK_WORDS = 200_000
 WORD = re.compile(r"[^\W_]+")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _SPREAD = np.ascontiguousarray(_BITS).view(np.uint64)[:, 0]  # a byte's bits as eight byte counters
-_POP = _BITS.sum(1).astype(np.uint8)
 
 
 def words_of(text: str) -> list[str]:
@@ -74,10 +73,6 @@ def fingerprints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(counts > size // 2, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _POP[(a ^ b).view(np.uint8).reshape(-1, 8)].sum(1)
-
-
 def shingle_keys(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
     if len(h) < width:
         width = max(1, len(h))
@@ -87,19 +82,11 @@ def shingle_keys(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return out
 
 
-def size_class(n: int) -> int:
-    """The window for an item of n words: so short that STRIDE offsets fit, from a geometric ladder."""
-    most, c = max(1, min(LONGEST, n - STRIDE + 1)), 1
-    while max(c + 1, c * 5 // 4) <= most:
-        c = max(c + 1, c * 5 // 4)
-    return c
-
-
 class Index:
-    """Items' fingerprints by size class with block tables, and what verification needs."""
+    """Items' fingerprints by window size (WIDTH, or an item's fewer words) with block tables, and what verification needs."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.hashes, self.classes = [], [], {}
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
+        self.ids, self.hashes, self.classes, self.least = [], [], {}, similarity
         for i, text in items:
             h = hashed(words_of(text or ""))
             if len(h):
@@ -107,67 +94,99 @@ class Index:
                 self.hashes.append(h)
         keys = [shingle_keys(h) for h in self.hashes]
         df = Counter(k for own in keys for k in set(own.tolist()))
-        self.weights = [Counter({k: n * math.log(1 + len(keys) / df[k]) for k, n in Counter(own.tolist()).items()}) for own in keys]
-        by: dict[int, list[tuple[int, int, int]]] = {}
-        strides: dict[int, int] = {}
-        for j, h in enumerate(self.hashes):
-            size, sums = size_class(len(h)), running(h)
-            offsets = np.arange(min(len(h) - size + 1, 2 * STRIDE))
-            strides[size] = min(strides.get(size, STRIDE), len(offsets))  # items of a few words have fewer offsets
-            for o, f in zip(offsets.tolist(), fingerprints(sums, offsets, size).tolist(), strict=True):
-                by.setdefault(size, []).append((f, j, o))
-        for size, own in by.items():
-            prints = np.array([x[0] for x in own], np.uint64)
-            tables, lists = np.zeros((BLOCKS, 65536), bool), []
+        self.counts = [Counter(own.tolist()) for own in keys]
+        self.weights = [Counter({k: n * math.log(1 + len(keys) / df[k]) for k, n in own.items()}) for own in self.counts]
+        self.offsets: list[dict[int, list[int]]] = []
+        by: dict[int, list[tuple[int, int]]] = {}
+        for j, (h, own) in enumerate(zip(self.hashes, keys, strict=True)):
+            at: dict[int, list[int]] = {}
+            for o, k in enumerate(own.tolist()):
+                at.setdefault(k, []).append(o)
+            self.offsets.append(at)
+            # the rarest shingles until a passage without any of them cannot reach the similarity
+            weights, lacking, first = self.weights[j], 0.0, []
+            most = (1 - similarity) * sum(weights.values()) * (1 + 1e-9)
+            for k in sorted(weights, key=lambda k: (df[k], k)):
+                if lacking > most:
+                    break
+                lacking += weights[k]
+                first.append(at[k][0])
+            size = min(WIDTH, len(h))
+            prints = fingerprints(running(h), np.array(first), size)
+            by.setdefault(size, []).extend((f, j) for f in prints.tolist())
+        for size, found in by.items():
+            found = sorted(set(found))
+            prints = np.array([x[0] for x in found], np.uint64)
+            tables = np.zeros((BLOCKS, 65536), bool)
             for b in range(BLOCKS):
-                block = (prints >> np.uint64(16 * b) & np.uint64(0xFFFF)).astype(np.int64)
-                keys = np.concatenate([block, *[block ^ (1 << bit) for bit in range(16)]])
-                order = np.argsort(keys, kind="stable")
-                tables[b, keys] = True
-                lists.append((keys[order], np.tile(np.arange(len(prints)), 17)[order]))
-            self.classes[size] = (prints, np.array([x[1] for x in own]), np.array([x[2] for x in own]), tables, strides[size], lists)
-
-    def candidates(self, h: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int, int]]:
-        """(text, item, start of the item in the words h). bounds: where each text begins, and the end."""
+                tables[b, (prints >> np.uint64(16 * b) & np.uint64(0xFFFF)).astype(np.int64)] = True
+            distinct, begin = np.unique(prints, return_index=True)
+            self.classes[size] = (prints, np.array([x[1] for x in found]), distinct, tables, np.append(begin, len(prints)), size)
+
+    def candidates(self, h: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) that have a window in common. bounds: where each text begins in the words h, and the end."""
         sums, out = running(h), set()
-        for size, (prints, item, offset, tables, stride, lists) in self.classes.items():
-            # windows over the border of two texts are passed over; each text's windows begin at its own start
-            starts = np.concatenate([np.empty(0, np.int64), *[np.arange(a, z - size + 1, stride) for a, z in zip(bounds[:-1], bounds[1:], strict=True) if z - a >= size]])
-            if not len(starts):
-                continue
-            for at in range(0, len(starts), 65536):
-                some = starts[at : at + 65536]
-                found = fingerprints(sums, some, size)
+        for size, (_, item, distinct, tables, begin, _) in self.classes.items():
+            for at in range(0, len(h) - size + 1, 65536):
+                starts = np.arange(at, min(at + 65536, len(h) - size + 1))
+                found = fingerprints(sums, starts, size)
                 parts = found.view("<u2").reshape(-1, BLOCKS)
-                for b, (keys, which) in enumerate(lists):
-                    hit = np.flatnonzero(tables[b][parts[:, b]])
-                    lo, hi = np.searchsorted(keys, parts[hit, b], "left"), np.searchsorted(keys, parts[hit, b], "right")
-                    # every (window, fingerprint) that agrees in this block but for one bit
-                    n = hi - lo
-                    window = np.repeat(hit, n)
-                    k = which[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-                    close = distance(found[window], prints[k]) <= RADIUS
-                    for s, j in zip(some[window[close]].tolist(), k[close].tolist(), strict=True):
-                        out.add((int(np.searchsorted(bounds, s, "right")) - 1, int(item[j]), s - int(offset[j])))
+                hit = np.flatnonzero(tables[0][parts[:, 0]])
+                for b in range(1, BLOCKS):
+                    hit = hit[tables[b][parts[hit, b]]]
+                k = np.minimum(np.searchsorted(distinct, found[hit]), len(distinct) - 1)
+                same = distinct[k] == found[hit]
+                hit, k = hit[same], k[same]
+                text = np.searchsorted(bounds, starts[hit], "right") - 1
+                inside = starts[hit] + size <= bounds[text + 1]  # no window over the border of two texts
+                for t, x in set(zip(text[inside].tolist(), k[inside].tolist(), strict=True)):
+                    out.update((t, j) for j in item[begin[x] : begin[x + 1]].tolist())
         return out
 
+    def best_place(self, item: int, h: np.ndarray, places: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[float, int] | None:
+        """(similarity, start) of the best window of the item's size in a text, if it reaches the similarity.
+
+        places: the text's shingle keys in order, and where each stands. A window loses nothing when its start moves on
+        to the next shingle of the item, so windows that begin with one are all that need be seen.
+        """
+        weights, counts, n = self.weights[item], self.counts[item], len(self.hashes[item])
+        own = np.fromiter(weights, np.uint64, len(weights))
+        lo, hi = np.searchsorted(places[0], own, "left"), np.searchsorted(places[0], own, "right")
+        total = sum(weights.values())
+        if sum(w * min(1.0, m / counts[k]) for (k, w), m in zip(weights.items(), (hi - lo).tolist(), strict=True)) < similarity * total * (1 - 1e-9):
+            return None
+        seen = sorted((p, k) for k, a, z in zip(own.tolist(), lo.tolist(), hi.tolist(), strict=True) for p in places[1][a:z].tolist())
+        last, held, got, right, top = n - min(WIDTH, n), Counter(), 0.0, 0, (-1.0, 0, 0)
+        for left, (p, k) in enumerate(seen):
+            while right < len(seen) and seen[right][0] <= p + last:
+                x = seen[right][1]
+                held[x] += 1
+                got += weights[x] / counts[x] if held[x] <= counts[x] else 0.0
+                right += 1
+            if got > top[0] + 1e-9 * total:
+                top = (got, left, seen[right - 1][0])
+            got -= weights[k] / counts[k] if held[k] <= counts[k] else 0.0
+            held[k] -= 1
+        _, left, end = top
+        p, k = seen[left]
+        # where the item's own first word would stand, if that window holds the same shingles
+        start = min([a for o in self.offsets[item][k] if (a := max(0, p - o)) >= end - last], default=p)
+        s = self.similarity(item, h[start : start + n])
+        return (s, start) if s >= similarity else None
+
     def similarity(self, item: int, window: np.ndarray) -> float:
         weights = self.weights[item]
         if len(window) < WIDTH and len(window) != len(self.hashes[item]):
             return 0.0
         found = Counter(shingle_keys(window).tolist())
         total = sum(weights.values())
-        got = sum(w * min(1.0, found[k] / n) for k, w in weights.items() if (n := self._times(item, k)) and k in found)
+        got = sum(w * min(1.0, found[k] / n) for k, w in weights.items() if (n := self.counts[item][k]) and k in found)
         return got / total
 
-    def _times(self, item: int, key: int) -> int:
-        if not hasattr(self, "counts"):
-            self.counts = [Counter(shingle_keys(h).tolist()) for h in self.hashes]
-        return self.counts[item][key]
-
-
     def leaks(self, texts: list[str], similarity: float) -> list[dict[int, tuple[float, int]]]:
         """For each text: number of an item found in it -> (similarity, start word), at its best place."""
+        if similarity < self.least:
+            raise ValueError(f"indexed for a similarity of at least {self.least}")
         found, out, lo = [hashed(words_of(t)) for t in texts], [], 0
         while lo < len(found):
             hi, n = lo, 0
@@ -177,11 +196,16 @@ class Index:
             h = np.concatenate(found[lo:hi])
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in found[lo:hi]])])
             best: list[dict[int, tuple[float, int]]] = [{} for _ in range(hi - lo)]
-            for text, item, start in sorted(self.candidates(h, bounds)):
-                a, z = max(start, int(bounds[text])), min(start + len(self.hashes[item]), int(bounds[text + 1]))
-                s = self.similarity(item, h[a:z])
-                if s >= similarity and s > best[text].get(item, (0.0, 0))[0]:
-                    best[text][item] = (s, a - int(bounds[text]))
+            places: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+            for text, item in sorted(self.candidates(h, bounds)):
+                own, width = h[bounds[text] : bounds[text + 1]], min(WIDTH, len(self.hashes[item]))
+                if (text, width) not in places:
+                    keys = shingle_keys(own, width)
+                    order = np.argsort(keys, kind="stable")
+                    places[text, width] = (keys[order], order)
+                place = self.best_place(item, own, places[text, width], similarity)
+                if place:
+                    best[text][item] = place
             out += best
             lo = hi
         return out
@@ -203,7 +227,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     for mine in _rounds(benchmark):
 
         def rows(batches: Iterator[dict], mine: list = mine) -> Iterator[dict]:
-            index = Index(mine)
+            index = Index(mine, similarity)
             for b in batches:
                 made: dict[str, list] = {f.name: [] for f in schema}
                 for doc, best in zip(b["doc_id"], index.leaks(b["text"], similarity), strict=True):
@@ -226,7 +250,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     for mine in _rounds(benchmark):
 
         def rows(batches: Iterator[dict], mine: list = mine) -> Iterator[dict]:
-            index = Index(mine)
+            index = Index(mine, similarity)
             for b in batches:
                 keep = [not best for best in index.leaks([t or "" for t in b["text"]], similarity)]
                 yield {k: [x for x, good in zip(v, keep, strict=True) if good] for k, v in b.items()}

@@ -126,6 +126,18 @@ def test_decontamination_edges(spark):
     assert sorted(r["doc_id"] for r in decontaminate.cleaned(df, bench).collect()) == [4, 5, 6]
 
 
+def test_decontamination_indexes_the_whole_of_long_items():
+    rng = np.random.default_rng(11)
+    for n in (300, 1000):
+        for k in range(10):
+            item = [f"i{n}x{k}x{x}" for x in rng.permutation(n)]
+            pad, gone = [f"p{x}" for x in range(40)], n * 16 // 100
+            texts = [[*pad, *item[gone:], *pad], [*pad, *[f"q{x}" for x in range(gone)], *item[gone:], *pad], [*pad, *item[: n - gone]]]
+            got = decontaminate.Index([(7, " ".join(item))]).leaks([" ".join(t) for t in texts], 0.8)
+            assert all(g and g[0][0] >= 0.8 for g in got), (n, k, got)
+            assert got[1][0][1] in range(40, 41 + gone) and got[2][0][1] == 40
+
+
 def test_language_model_base_equals_brute_force(docs, texts):
     out = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
     counts = Counter()
