@@ -126,6 +126,12 @@ def test_decontamination_edges(spark):
     assert sorted(r["doc_id"] for r in decontaminate.cleaned(df, bench).collect()) == [4, 5, 6]
 
 
+def brute_leak(index, item, h):
+    """The best similarity over all windows of the item's size."""
+    n = len(index.hashes[item])
+    return max((index.similarity(item, h[a : a + n]) for a in range(len(h))), default=0.0)
+
+
 def test_decontamination_indexes_the_whole_of_long_items():
     rng = np.random.default_rng(11)
     for n in (300, 1000):
@@ -138,6 +144,31 @@ def test_decontamination_indexes_the_whole_of_long_items():
             assert got[1][0][1] in range(40, 41 + gone) and got[2][0][1] == 40
 
 
+def test_decontamination_recall_equals_brute_force():
+    rng = np.random.default_rng(12)
+    items, texts = [], []
+    common = [f"c{x}" for x in range(12)]
+    for n in (1, 3, 4, 5, 9, 30, 30, 59, 100, 200):
+        items.append([*common, *[f"i{len(items)}x{x}" for x in range(n - 12)]] if n > 12 else [f"i{len(items)}x{x % 3}" for x in range(n)])
+    for item in items:
+        n, pad = len(item), [f"p{x}" for x in rng.integers(0, 99, 7)]
+        for cut in {n // 20, n // 10, n * 15 // 100, n * 19 // 100, n // 4}:
+            texts += [item[cut:], item[: n - cut], [*pad, *item[cut:], *pad], [*pad, *item[cut:]], [*pad, *item[: n - cut], *pad], [*item[cut:], *item[:cut]]]
+        for edits in (1, 2, 3, 5):
+            changed, more, less = list(item), list(item), list(item)
+            for at in rng.integers(0, n, edits):
+                changed[at] = "other"
+                more.insert(at, "more")
+                del less[min(at, len(less) - 1) : min(at, len(less) - 1) + 1]
+            texts += [changed, [*pad, *changed, *pad], [*pad, *more], less, [*pad, *less, *pad, *item]]
+    index = decontaminate.Index([(i, " ".join(x)) for i, x in enumerate(items)])
+    hashes = [decontaminate.hashed(t) for t in texts]
+    want = {(t, i): s for t, h in enumerate(hashes) for i in range(len(items)) if (s := brute_leak(index, i, h)) >= 0.8}
+    got = {(t, i): x for t, best in enumerate(index.leaks([" ".join(t) for t in texts], 0.8)) for i, x in best.items()}
+    assert len(want) > 150 and {k: round(s, 9) for k, (s, _) in got.items()} == {k: round(s, 9) for k, s in want.items()}
+    assert all(index.similarity(i, hashes[t][a : a + len(items[i])]) == s for (t, i), (s, a) in got.items())
+
+
 def test_language_model_base_equals_brute_force(docs, texts):
     out = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
     counts = Counter()
