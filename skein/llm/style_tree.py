@@ -1,9 +1,11 @@
 """Operator 2: main text of web pages by a site style tree.
 
 Pages of a host are merged by their presentation paths (tags with class or id, from the body down). A node's
-importance is the entropy of its contents over the host's distinct pages, weighted by what its presentation says of
-its role; branches of low importance are removed from each page. Inside an article only branches with the role of
-page furniture can fall below the threshold, so passages that many pages share stay.
+importance is the entropy of its contents over the host's distinct pages; branches of low importance are removed from
+each page. Within an article a prior speaks for a branch, which entropy overrides where about ten pages or more agree
+almost wholly: its root is taken, so passages that many but not nearly all pages share stay. Elsewhere entropy decides
+alone, and a branch seen once stays. Only branches that their presentation declares to be page furniture go whatever their
+entropy: menus, advertisements and footers often differ on every page, so entropy cannot tell them from content.
 
 Defined results: a null or empty html gives an empty text; a null url counts as a host of its own name ''; repeated
 rows give a row each; an empty table gives an empty one; other columns are not looked at.
@@ -24,6 +26,8 @@ from skein.llm.common import arrow_map, small_batches, staged
 
 #: A branch below this importance is removed.
 THRESHOLD = 0.3
+#: Pages that the prior of a branch within an article counts as.
+PRIOR_PAGES = 4
 #: Rows of the table of unimportant branches up to which it is broadcast (about 100 bytes each); beyond, a join by host.
 BROADCAST_ROWS = 50_000
 #: Characters of a presentation path that are kept.
@@ -125,14 +129,8 @@ def host_of(url: Column) -> Column:
 NODE = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("role", T.IntegerType()), T.StructField("content", T.LongType())])
 
 
-def node_paths(found: list[tuple[str, int, str]]) -> list[tuple[str, int, str]]:
-    """Paths with a mark for pages that have an article: there, neutral branches are beside it."""
-    mark = "A" if any(role == 0 for _, role, _ in found) else "N"
-    return [(mark + path, role, text) for path, role, text in found]
-
-
 def importance(pages: DataFrame) -> DataFrame:
-    """host, path, importance: the merged style tree of every host.
+    """host, path, importance: the merged style tree of every host, without declared furniture.
 
     Counts of (host, path, content) are summed where they arise, so a host with a third of all pages is many keys.
     """
@@ -142,7 +140,9 @@ def importance(pages: DataFrame) -> DataFrame:
             out: dict[str, list] = {f.name: [] for f in NODE}
             for host, page in zip(b["host"], b["html"], strict=True):
                 joined: dict[tuple[str, int], list[str]] = {}
-                for path, role, text in node_paths(blocks(page)):
+                for path, role, text in blocks(page):
+                    if role == 2:
+                        continue
                     joined.setdefault((path, role), []).append(text)
                 for (path, role), texts in joined.items():
                     out["host"].append(host)
@@ -154,8 +154,8 @@ def importance(pages: DataFrame) -> DataFrame:
     styles = arrow_map(pages.select("host", "html"), rows, NODE).groupBy("host", "path", "content").agg(F.count("*").alias("c"), F.max("role").alias("role"))
     merged = styles.groupBy("host", "path").agg(F.max("role").alias("role"), F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m"))
-    beside = F.when(F.col("path").startswith("A"), 0.25).otherwise(1.0)
-    weighed = F.when(F.col("role") == 0, 0.5 + 0.5 * F.coalesce(entropy, F.lit(1.0))).when(F.col("role") == 1, beside * F.coalesce(entropy, F.lit(0.5))).otherwise(0.25 * F.coalesce(entropy, F.lit(0.5)))
+    within = (PRIOR_PAGES + F.col("m") * F.sqrt(F.greatest(entropy, F.lit(0.0)))) / (PRIOR_PAGES + F.col("m"))
+    weighed = F.when(F.col("role") == 0, F.coalesce(within, F.lit(1.0))).otherwise(F.coalesce(entropy, F.lit(0.5)))
     return merged.select("host", "path", weighed.alias("importance"))
 
 
@@ -174,7 +174,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for page, cut in zip(b["html"], b["low"], strict=True):
                 gone = set(cut or ())
-                texts.append(" ".join(t for path, _, t in node_paths(blocks(page)) if path not in gone))
+                texts.append(" ".join(t for path, role, t in blocks(page) if role != 2 and path not in gone))
             yield {"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
     return arrow_map(joined.select("page_id", "url", "html", "low"), rows, schema)

@@ -156,6 +156,17 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert got == {i: f"Story {i} of many" for i in range(6)}
 
 
+def _extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_style_tree_entropy_decides_beside_and_within_articles(spark):
+    rows = [(i, f"http://a.b/{i}", f"<body><div class='lead'>Lead {i}</div><div class='strip'>Same strip</div><article><h1>Title {i % 3}</h1><p>Story {i}</p><p class='disclaimer'>All rights</p></article><nav>Menu {i}</nav></body>") for i in range(20)]
+    assert _extracted(spark, rows) == {i: f"Lead {i} Title {i % 3} Story {i}" for i in range(20)}
+    few = [(i, u.replace("a.b", "c.d"), h) for i, u, h in rows[:2]]  # two pages are little evidence within an article
+    assert _extracted(spark, few) == {i: f"Lead {i} Title {i} Story {i} All rights" for i in range(2)}
+
+
 def test_pages_whole_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in style_tree.extract(pages).collect()}
