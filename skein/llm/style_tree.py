@@ -126,19 +126,25 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-NODE = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("role", T.IntegerType()), T.StructField("content", T.LongType())])
+NODE = T.StructType([T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("role", T.IntegerType()), T.StructField("content", T.LongType()), T.StructField("page", T.LongType())])
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def importance(pages: DataFrame) -> DataFrame:
     """host, path, importance: the merged style tree of every host, without declared furniture.
 
-    Counts of (host, path, content) are summed where they arise, so a host with a third of all pages is many keys.
+    A page that stands in several rows of a host counts once. Rows of (host, path, content, page) are made one where they
+    arise, then counts are summed, so a host with a third of all pages is many keys.
     """
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             out: dict[str, list] = {f.name: [] for f in NODE}
             for host, page in zip(b["host"], b["html"], strict=True):
+                own = _hash(page)
                 joined: dict[tuple[str, int], list[str]] = {}
                 for path, role, text in blocks(page):
                     if role == 2:
@@ -148,10 +154,11 @@ def importance(pages: DataFrame) -> DataFrame:
                     out["host"].append(host)
                     out["path"].append(path)
                     out["role"].append(role)
-                    out["content"].append(int.from_bytes(hashlib.blake2b(" ".join(texts).encode(), digest_size=8).digest(), "little", signed=True))
+                    out["content"].append(_hash(" ".join(texts)))
+                    out["page"].append(own)
             yield out
 
-    styles = arrow_map(pages.select("host", "html"), rows, NODE).groupBy("host", "path", "content").agg(F.count("*").alias("c"), F.max("role").alias("role"))
+    styles = arrow_map(pages.select("host", "html"), rows, NODE).distinct().groupBy("host", "path", "content").agg(F.count("*").alias("c"), F.max("role").alias("role"))
     merged = styles.groupBy("host", "path").agg(F.max("role").alias("role"), F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m"))
     within = (PRIOR_PAGES + F.col("m") * F.sqrt(F.greatest(entropy, F.lit(0.0)))) / (PRIOR_PAGES + F.col("m"))

@@ -167,6 +167,14 @@ def test_style_tree_entropy_decides_beside_and_within_articles(spark):
     assert _extracted(spark, few) == {i: f"Lead {i} Title {i} Story {i} All rights" for i in range(2)}
 
 
+def test_style_tree_counts_distinct_pages_once(spark):
+    page = lambda i: f"<body><div class='top'>Welcome</div><div class='main'>Story {i}</div></body>"
+    rows = [(i, "http://a.b/", page(0)) for i in range(90)] + [(100 + i, "http://a.b/", page(i)) for i in range(1, 10)] + [(200, "http://c.d/", page(7)), (201, "http://c.d/", page(7))]
+    got = _extracted(spark, rows)
+    assert all(got[i] == "Story 0" for i in range(90)) and all(got[100 + i] == f"Story {i}" for i in range(1, 10))
+    assert got[200] == got[201] == "Welcome Story 7"  # one distinct page tells nothing
+
+
 def test_pages_whole_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in style_tree.extract(pages).collect()}
