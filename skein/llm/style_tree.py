@@ -1,6 +1,7 @@
 """Operator 2: main text of web pages by a site style tree.
 
-Pages of a host are merged by their presentation paths (tags with class or id, from the body down). A node's
+Pages of a host are merged by their presentation paths (tags with every class, id and role, and what these tell of a
+branch's part, from the root down; whole paths, hashed; numbers of three or more digits in names count as equal). A node's
 importance is the entropy of its contents over the host's distinct pages; branches of low importance are removed from
 each page. Within an article a prior speaks for a branch, which entropy overrides where about ten pages or more agree
 almost wholly: its root is taken, so passages that many but not nearly all pages share stay. Elsewhere entropy decides
@@ -13,6 +14,7 @@ rows give a row each; an empty table gives an empty one; other columns are not l
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as entities
 import re
@@ -30,8 +32,8 @@ THRESHOLD = 0.3
 PRIOR_PAGES = 4
 #: Rows of the table of unimportant branches up to which it is broadcast (about 100 bytes each); beyond, a join by host.
 BROADCAST_ROWS = 50_000
-#: Characters of a presentation path that are kept.
-PATH_CHARS = 200
+#: Numbers in names, as in post-1234, that tell one page from another.
+SERIAL = re.compile(r"[0-9]{3,}")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -52,8 +54,15 @@ SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _CLOSE = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>", re.I) for t in RAW}
 
 
+@functools.lru_cache(50_000)
+def _key(parent: str, tag: str, names: tuple[tuple[str, str], ...], role: int) -> str:
+    """The key of a branch by that of its parent: as long for any depth, and never shared by branches of different role."""
+    own = repr((parent, tag, [(k, SERIAL.sub("0", x)) for k, x in sorted(names)], role))
+    return hashlib.blake2b(own.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
 def blocks(page: str) -> list[tuple[str, int, str]]:
-    """(presentation path, role, text) in page order. Role: 0 within an article, 1 neutral, 2 page furniture."""
+    """(key of the presentation path, role, text) in page order. Role: 0 within an article, 1 neutral, 2 page furniture."""
     out: list[tuple[str, int, str]] = []
     stack: list[tuple[str, str, int, bool]] = []  # tag, path, role, within an article
     buffer: list[str] = []
@@ -110,14 +119,15 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
         elif tag in CLOSED_BY:
             pop(CLOSED_BY[tag])
         _, path, role, inside = stack[-1] if stack else ("", "", 1, False)
-        names = [a or b or c for _, a, b, c in NAMED.findall(attributes)] if attributes else []
+        named = NAMED.findall(attributes) if attributes else []
+        names = [a or b or c for _, a, b, c in named]
         inside = inside or tag in ARTICLE
         if role == 2 or tag in FURNITURE or tag == "header" and not inside or any(w.lower() in NOISE_WORDS for x in names for w in SPLIT.split(x)):
             role = 2 if tag not in ("body", "html") else role
         elif inside:
             role = 0
         if not attributes.endswith("/"):
-            stack.append((tag, f"{path}/{tag}{'.' + names[0] if names else ''}"[:PATH_CHARS], role, inside))
+            stack.append((tag, _key(path, tag, tuple((k.lower(), " ".join((a or b or c).split())) for k, a, b, c in named), role), role, inside))
     flush()
     return out
 

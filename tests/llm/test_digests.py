@@ -175,6 +175,12 @@ def test_style_tree_counts_distinct_pages_once(spark):
     assert got[200] == got[201] == "Welcome Story 7"  # one distinct page tells nothing
 
 
+def test_style_tree_keys_hold_whole_paths(spark):
+    deep = "<div class='" + " ".join(f"utility-class-{k}" for k in range(20)) + "'>"
+    rows = [(i, f"http://a.b/{i}", f"<body>{deep * 3}<div class='box' id='post-{1000 + i}'>Story {i}</div><div class='box' id='comments'>Reply {i}</div><p>More {i}</p><p class='tail'>Same</p><nav>Menu</nav></body>") for i in range(12)]
+    assert _extracted(spark, rows) == {i: f"Story {i} More {i}" for i in range(12)}
+
+
 def test_pages_whole_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in style_tree.extract(pages).collect()}
