@@ -1,8 +1,8 @@
 """Operator 10: toxicity of texts behind a noisy channel.
 
 A character trigram model is counted over all texts. Stretches that look disguised (digits or signs within words,
-letters set apart, letters repeated) become character lattices: each sign stands for itself or the letters it is used
-for, a separator or a repeated letter may be dropped. Viterbi decoding under the character model restores them. The
+letters set apart, letters repeated) become character lattices: each sign stands for the letters it is used for, a
+separator is dropped or parts two words, a repeated letter may be dropped. Viterbi decoding under the character model restores them. The
 restored text is scored by word and word-beginning statistics learned from labelled rows.
 
 Learning uses at most FIT_ROWS labelled rows whose crc32(doc_id as text) mod 5 is not 0, chosen by a hash of the id;
@@ -36,11 +36,15 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàâäçéèêëíîïñóôöúùûüßáœ"
 SIZE = len(ALPHABET) + 2  # 0: outside words, last: letters not listed
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
-SIGN_INSIDE = re.compile(r"(?<!\S)[^\s]{0,20}[^\W\d_][0-9@$!|+(€£]{1,3}[^\W\d_][^\s]{0,20}(?!\S)|(?<!\S)[0-9@$!|+(€£]{1,2}[^\W\d_]{2}[^\s]{0,20}(?!\S)")
-APART = re.compile(r"(?<!\w)(?:[\w@$!|][ .\-_*]){3,40}[\w@$!|](?!\w)|(?<!\w)\w{1,3}(?:[.\-_*]\w{1,2}){2,40}(?!\w)")
-REPEATED = re.compile(r"(?<![^\W_])(?:[^\W_]{0,24}?)([^\W\d_])\1\1[^\W_]{0,24}(?![^\W_])")
-MOST = 48  # characters of a lattice: words are shorter
+#: Words that mix letters with signs, at any place; letters set apart; words with a letter three times in a row. Of any length.
+SIGNED = re.compile(r"(?<!\S)(?=[^\s0-9@$!|+(€£]*[0-9@$!|+(€£])(?=[\W\d_]*[^\W\d_])\S+")
+APART = re.compile(r"(?<!\w)(?:[\w@$!|][ .\-_*]){3,}[\w@$!|](?!\w)|(?<!\w)\w{1,3}(?:[.\-_*]\w{1,2}){2,}(?!\w)")
+REPEATED = re.compile(r"(?<![^\W_])[^\W_]*?([^\W\d_])\1\1[^\W_]*")
+#: Characters of a stretch that is kept in the cache; longer ones are decoded each time.
+MOST = 48
+OPENING, CLOSING = "(", "!"  # signs that also stand about words as they are
 STRIP = ".,;:!?*#$%&|\"'()[]{}<>«»„“”-_=+/"
+EDGES = "".join(c for c in STRIP if c not in "$!|+(")  # what no reading is lost by cutting off
 DROP, SWAP = math.log(0.25), math.log(0.5)
 
 _TABLE = np.full(0x180, SIZE - 1, np.int64)
@@ -82,14 +86,19 @@ def language_model(cube: np.ndarray) -> np.ndarray:
 
 
 def lattice(span: str) -> list[list[tuple[str, float]]]:
-    """For each character its readings with log weights; an empty reading drops it."""
-    out, before = [], ""
-    for c in span.lower():
+    """For each character its readings with log weights; an empty reading drops it, a blank parts two words."""
+    out, before, span = [], "", span.lower()
+    first, end = len(span) - len(span.lstrip(OPENING)), len(span.rstrip(CLOSING))
+    for i, c in enumerate(span):
         readings = [(x, SWAP) for x in LEET.get(c, "")] if c in LEET else []
         if c.isalpha():
             readings.append((c, 0.0))
+        elif not first <= i < end:
+            readings.append(("", 1.0))  # as punctuation about a word it costs nothing to drop
         elif not readings or c in " .-_*!|+(":
             readings.append(("", DROP if readings else 0.0))
+        if c in " .-_*":
+            readings.append((" ", -1.0))  # as dear as dropping it: the character model tells
         if c == before:
             readings.append(("", DROP))
         out.append(readings)
@@ -98,41 +107,47 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(span: str, lm: np.ndarray) -> str:
-    """The best reading of the lattice: Viterbi over the last two characters."""
-    beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The best reading of the lattice: Viterbi over the last two characters, in time linear in the span."""
+    beams: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for readings in lattice(span):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in beams.items():
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a, b), (score, path) in beams.items():
             for c, weight in readings:
                 if c:
-                    k = CODE.get(c, SIZE - 1)
-                    state, s, t = (b, k), score + weight + float(lm[a, b, k]), text + c
+                    k = 0 if c == " " else CODE.get(c, SIZE - 1)
+                    state, s, t = (b, k), score + weight + float(lm[a, b, k]), (path, c)
                 else:
-                    state, s, t = (a, b), score + weight - 1.0, text
+                    state, s, t = (a, b), score + weight - 1.0, path
                 if state not in new or s > new[state][0]:
                     new[state] = (s, t)
         beams = new
-    return max(((s + float(lm[a, b, 0]), t) for (a, b), (s, t) in beams.items()), default=(0.0, ""))[1]
+    path = max(((s + float(lm[a, b, 0]), t) for (a, b), (s, t) in beams.items()), key=lambda x: x[0], default=(0.0, ()))[1]
+    out = []
+    while path:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def restore(text: str, lm: np.ndarray, cache: dict) -> str:
-    """The text in lower case with its disguised stretches decoded; long or plain stretches stay."""
+    """The text in lower case with its disguised stretches decoded; plain stretches stay."""
 
     def read(m: re.Match) -> str:
         span = m[0]
-        core = span.strip(STRIP.replace("$", "").replace("!", "").replace("|", "").replace("+", "").replace("(", ""))
-        if not 2 <= len(core) <= MOST or sum(c.isdecimal() for c in core) > 0.6 * len(core):
+        core = span.strip(EDGES)
+        if len(core) < 2 or not any(c.isalpha() for c in core):
             return span
-        if core not in cache:
-            if len(cache) > 100_000:
-                cache.clear()
-            cache[core] = decode(core, lm)
-        return span.replace(core, cache[core] or core, 1)
-
-    text = text.lower()
-    if not text.isalpha():
-        text = SIGN_INSIDE.sub(read, text)
-    text = APART.sub(read, text)
+        found = cache.get(core)
+        if found is None:
+            found = decode(core, lm)
+            if len(core) <= MOST:
+                if len(cache) > 100_000:
+                    cache.clear()
+                cache[core] = found
+        return span.replace(core, found or core, 1)
+
+    text = APART.sub(read, text.lower())
+    text = SIGNED.sub(read, text)
     return REPEATED.sub(read, text)
 
 

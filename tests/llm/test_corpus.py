@@ -225,6 +225,22 @@ def test_toxicity_decodes():
     assert toxicity.restore("The 2024 a1b2c3d4e5f6a7b8c9d0 x", lm, {})[:8] == "the 2024"
 
 
+def test_toxicity_decodes_stretches_of_any_length_and_signs_anywhere():
+    cube = np.zeros((toxicity.SIZE,) * 3)
+    for w in "you are a worthless idiot stupid moron such shit stop and the thing was other".split() * 20:
+        c = [0, *[toxicity.CODE[x] for x in w], 0]
+        for a, b, d in zip([0, *c], c, c[1:], strict=False):
+            cube[a, b, d] += 1
+    lm = toxicity.language_model(cube)
+    long = "you are a worthless idiot and you are a stupid moron"
+    for seen, meant in (
+        (" ".join(long.replace(" ", "")), long), (".".join(long.replace(" ", "")), long), ("such a m o r o n was", "such a moron was"), ("st" + "u" * 60 + "pid", "stupid"),
+        ("idio7", "idiot"), ("moro9", "morog"), ("5h17", "shit"), ("570p", "stop"), ("idiot!", "idiot"), ("(idiot", "idiot"), ("!diot", "idiot"), ("2024 1 2 3 4 5", "2024 1 2 3 4 5"),
+    ):
+        assert toxicity.restore(seen, lm, {}) == meant, seen
+    assert len(toxicity.restore("i d i o t " * 5000, lm, {}).split()) > 4000
+
+
 def test_toxicity_edges(spark):
     df = spark.createDataFrame(EDGE, SCHEMA).selectExpr("*", "1 as toxic", "2 as score")
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 0), (2, 1), (5, 0)], "doc_id long, toxic int")
