@@ -50,6 +50,9 @@ RARE, MIN_AGREE, MIN_SCORE = 4, 0.5, 0.6
 _VOCAB = frozenset(w for _, t, _ in TEMPLATES for w in t.split())
 _BASE = [(tuple(p.split()), label) for p, label in BASE]
 _TEMPLATES = [(label, tuple(t.split()), tuple(k.split())) for label, t, k in TEMPLATES]
+#: A label of either kind needs a base or a mandatory phrase in the text, so all words of one.
+_NEEDED = sorted({frozenset(p) for p, _ in _BASE} | {frozenset(k) for _, _, k in _TEMPLATES}, key=sorted)
+_WANTED = _VOCAB.union(*_NEEDED)
 _POSTINGS: dict[str, list[tuple[int, int]]] = defaultdict(list)
 for _t, (_, _words, _) in enumerate(_TEMPLATES):
     for _p, _w in enumerate(_words):
@@ -83,11 +86,11 @@ def _stands(words: list[str], phrase: tuple[str, ...], at: int) -> bool:
 
 def scan(words: list[str], idf: dict[str, float]) -> tuple[list[int], set[str], set[str], float]:
     """Starts of all base phrases, base labels, the method's labels, score."""
-    there = _VOCAB.intersection(words)
-    if not there & {"license", "cc", "cc0", "reserved", "software", "permission", "redistribution"} and "reserved" not in words:
+    wanted = _WANTED.intersection(words)
+    if not any(phrase <= wanted for phrase in _NEEDED):
         return [], set(), set(), 0.0
+    there = _VOCAB & wanted
     places: dict[str, list[int]] = defaultdict(list)
-    wanted = there | {"all", "rights", "reserved", "cc", "by", "general", "public", "license"}
     for i, w in enumerate(words):
         if w in wanted:
             places[w].append(i)

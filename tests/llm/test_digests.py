@@ -90,6 +90,22 @@ def test_license_method(spark):
     assert {r["doc_id"]: r["labels"] for r in license_scan.licenses(df).collect()} == {1: "mit", 2: "apache-2.0", 3: "", 4: "reserved"}
 
 
+def test_license_gate_loses_no_template():
+    said = "This work is licensed under a Creative Commons Attribution 4.0 International"
+    for text in (said, f"{said} licence.", f"{said} licence. Other software"):
+        starts, base, more, score = license_scan.scan(license_scan.words_of(text), {})
+        assert (starts, base, more, score) == ([], set(), {"cc-by-4.0"}, 0.9), text
+    for label, template, mandatory in license_scan.TEMPLATES:
+        must = set(mandatory.split())
+        spare = [w for w in template.split() if w not in must]
+        for gone in ["", *spare]:  # any one word beside the mandatory phrase may be another
+            words = ["other" if w == gone else w for w in template.split()]
+            if sum(w != "other" for w in words) >= license_scan.MIN_SCORE * len(words):
+                assert label in set.union(*license_scan.scan(["x", *words, "y"], {})[1:3]), (template, gone)
+    for phrase, label in license_scan.BASE:
+        assert license_scan.scan(phrase.split(), {})[:2] == ([0], {label})
+
+
 def test_packing_is_whole_and_close_to_the_bound(docs, texts):
     tok = Tokenizer.from_file(PATH)
     tok.encode_special_tokens = True
