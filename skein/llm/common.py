@@ -41,6 +41,20 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str, make: Callable[[], dict], name: str = "") -> dict:
+    """A cache of this worker, for one owner at a time: workers live on across stages, so others' caches are let go."""
+    if owner not in _CACHES:
+        _CACHES.clear()
+        _CACHES[owner] = {}
+    own = _CACHES[owner]
+    if name not in own:
+        own[name] = make()
+    return own[name]
+
+
 def arrow_map(df: DataFrame, rows_of: Callable[[Iterator[dict]], Iterator[dict]], schema: StructType) -> DataFrame:
     """rows_of gets an iterator over batches (name -> Python list) and yields batches of the same kind."""
     target = to_arrow_schema(schema)
