@@ -9,7 +9,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from skein.llm import license_scan, packing, pii, quality_rules, style_tree, token_orc
+from skein.llm import license_scan, packing, pii, quality_rules, style_tree, token_orc, tokens
+from skein.llm.tokens import encode
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -108,7 +109,6 @@ def test_license_gate_loses_no_template():
 
 def test_packing_is_whole_and_close_to_the_bound(docs, texts):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     rows = packing.packed(docs, PATH).collect()
     by, seqs, total = {}, {}, 0
     for r in rows:
@@ -142,16 +142,54 @@ def test_crossover_keeps_items():
 
 def test_orc_round_trip(spark, docs, texts, tmp_path):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     at = 0
     got = {r["doc_id"]: r for r in token_orc.digest(docs, PATH).collect()}
     for d in sorted(texts):
         ids = [*tok.encode(texts[d], add_special_tokens=False).ids, 2]
         assert (got[d]["start"], got[d]["n_tokens"], got[d]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
-    token_orc.write(docs, out := str(tmp_path / "ids"), PATH, 3)
-    found = token_orc.lookup(spark, out, [5])
-    assert found.count() == 1 and "EqualTo" in (plan := found._jdf.queryExecution().toString()) or "In" in plan
+
+
+def test_orc_is_pruned_by_statistics_and_bloom_filters(spark, docs, tmp_path):
+    """Ids that are not there: outside all stripes no row group is read, within a stripe's range the Bloom filter says so."""
+    from pyarrow import orc
+
+    wide = docs.withColumn("doc_id", docs["doc_id"] * 10)
+    token_orc.write(wide, out := str(tmp_path / "ids"), PATH, 3)
+    names = sorted(tmp_path.glob("ids/part-*.orc"))
+    assert len(names) == 3 and sum(orc.ORCFile(x).nrows for x in names) == wide.count()
+    assert {orc.ORCFile(x).row_index_stride for x in names} == {1000}
+    ranges = [(min(i), max(i)) for i in ([r.as_py() for r in orc.ORCFile(x).read(["doc_id"]).column(0)] for x in names)]
+    ranges.sort()
+    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))  # files hold disjoint ranges
+
+    def read_rows(ids):
+        found = token_orc.lookup(spark, out, ids)
+        rows = found.collect()
+        metrics = found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
+        return len(rows), metrics.get("numOutputRows").get().value()
+
+    assert read_rows([50])[0] == 1
+    assert read_rows([10**9]) == (0, 0)  # by statistics
+    assert read_rows([55]) == (0, 0)  # by the Bloom filter: 55 lies between 50 and 60
+    plan = token_orc.lookup(spark, out, [55, 57])._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(doc_id, [55,57])]" in plan
+
+
+def test_tokens_equal_the_library_on_any_text():
+    from array import array
+
+    tok = Tokenizer.from_file(PATH)
+    rng = np.random.default_rng(5)
+    parts = [*" \n\t.,!'’sdtaelmrv019éßÀ×ª中é\u180e\x1c\x85\xa0\u3000-<|>", "<|endoftext|>", "'ll", "'re", "  ", "\n\n", " \n", "n't", "😀", "word", "ɏɐ", "Ōn.", "x,.!"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 14))) for _ in range(10_000)] + ["<|endoftext|>", "a <|endoftext|> b.<|endoftext|>"]
+    want = [array("I", e.ids).tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert encode(texts, PATH) == want and array("I", want[-2]).tolist() == [50256]
+    old, tokens.CACHE_PIECES = tokens.CACHE_PIECES, 50  # generations turn over all the time
+    try:
+        assert encode(texts[::-1], PATH) == want[::-1]
+    finally:
+        tokens.CACHE_PIECES = old
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="header"><header>Site</header><nav><ul><li>Home</li></ul></nav>
