@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm.common import arrow_map, ascii_lower, doc_texts, plain_words, small_batches, staged
-from skein.llm.exchange import HASHES, blocks, fragment_of, fragments
+from skein.llm.exchange import blocks, fragment_of, fragments, hashes
 
 TOP, ENDINGS = 80, 32
 #: Classes: the end, the frequent words, the endings; as a context also "before the text".
@@ -52,7 +52,7 @@ ENDING = Endings()
 
 def _tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = plain_words(ascii_lower(text))
-    return np.array([HASHES[w] for w in words], np.uint64), np.array([ENDING[w.rstrip(".,!#$%&*")[-2:]] for w in words], np.uint8)
+    return hashes(words), np.array([ENDING[w.rstrip(".,!#$%&*")[-2:]] for w in words], np.uint8)
 
 
 def held_out(doc_id: int | None) -> bool:

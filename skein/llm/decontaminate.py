@@ -22,12 +22,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm.common import arrow_map, doc_texts, small_batches
+from skein.llm.exchange import hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 0, 4
@@ -44,21 +44,6 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-class Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-HASHES = Hashes()
-
-
-def hashed(words: list[str]) -> np.ndarray:
-    return np.array([HASHES[w] for w in words], np.uint64)
-
-
 def running(h: np.ndarray) -> np.ndarray:
     """Sums of byte counters before each word: (n + 1, 8) uint64; differences are exact for windows up to 255 words."""
     lanes = _SPREAD[h.astype("<u8").view(np.uint8).reshape(-1, 8)]
@@ -88,7 +73,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
         self.ids, self.hashes, self.classes, self.least = [], [], {}, similarity
         for i, text in items:
-            h = hashed(words_of(text or ""))
+            h = hashes(words_of(text or ""))
             if len(h):
                 self.ids.append(i)
                 self.hashes.append(h)
@@ -187,7 +172,7 @@ class Index:
         """For each text: number of an item found in it -> (similarity, start word), at its best place."""
         if similarity < self.least:
             raise ValueError(f"indexed for a similarity of at least {self.least}")
-        found, out, lo = [hashed(words_of(t)) for t in texts], [], 0
+        found, out, lo = [hashes(words_of(t)) for t in texts], [], 0
         while lo < len(found):
             hi, n = lo, 0
             while hi < len(found) and (hi == lo or n + len(found[hi]) <= CHUNK_WORDS):

@@ -14,11 +14,13 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
 
-from skein.llm.common import ascii_lower, mix64, plain_words
+from skein.llm.common import ascii_lower, mix64, plain_words, worker_cache
 
-BLOCK_FEATURES = 2_000_000
+BLOCK_FEATURES = 1_000_000
+#: Rows of a batch that goes to the JVM: packed arrays of a block are sent in several.
+PACKED_ROWS = 64
 #: Distinct words a worker keeps the hashes of; beyond, it begins anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 
 class WordHashes(dict):
@@ -29,12 +31,14 @@ class WordHashes(dict):
         return h
 
 
-HASHES = WordHashes()
+def hashes(words: list[str]) -> np.ndarray:
+    known = worker_cache("words", WordHashes)
+    return np.array([known[w] for w in words], np.uint64)
 
 
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of the words [^\\x20\\x09-\\x0D]+ of the text in lower case (A-Z)."""
-    return np.array([HASHES[w] for w in plain_words(ascii_lower(text))], np.uint64)
+    return hashes(plain_words(ascii_lower(text)))
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -54,6 +58,32 @@ def fragments(spark: SparkSession) -> int:
     return max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def by_fragment(grams: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the features by fragment, stable within it, and where each fragment begins in that order."""
+    frag = fragment_of(grams, count)
+    order = np.argsort(frag, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(frag, minlength=count))])
+
+
+def runs(who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of the runs of equal neighbours."""
+    starts = np.flatnonzero(np.concatenate([[len(who) > 0], who[1:] != who[:-1]]))
+    return who[starts], np.diff(np.append(starts, len(who)))
+
+
+def in_batches(rows: Iterator[dict], names: list[str]) -> Iterator[dict]:
+    """Rows as batches of PACKED_ROWS."""
+    out: dict[str, list] = {n: [] for n in names}
+    for row in rows:
+        for n in names:
+            out[n].append(row.get(n))
+        if len(out[names[0]]) == PACKED_ROWS:
+            yield out
+            out = {n: [] for n in names}
+    if out[names[0]]:
+        yield out
+
+
 def fragment_of(h: np.ndarray, count: int) -> np.ndarray:
     return ((h >> np.uint64(40)) * np.uint64(count) >> np.uint64(24)).astype(np.int64)
 

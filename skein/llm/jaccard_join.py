@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm.common import arrow_map, doc_texts, small_batches, staged
-from skein.llm.exchange import blocks, fragment_of, fragments, shingles, word_hashes
+from skein.llm.exchange import blocks, by_fragment, fragments, in_batches, runs, shingles, word_hashes
 
 WIDTH, PERCENT = 4, 85
 HUB_ROUNDS = 4
@@ -49,60 +49,65 @@ def _identity(s: np.ndarray) -> tuple[int, int]:
 
 
 def set_sizes(texts: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, id1, id2 (identity of the set), shared: how many of the n-grams another set has, too."""
+    """doc_id, n, id1, id2 (identity of the set), shared: at least as many as its n-grams that another row has, too.
+
+    A fragment gets the low 32 bits of the n-grams and which documents of a block they are of, and answers for these
+    documents only. Equal low bits and equal sets make `shared` too large, never too small: it only says who goes on.
+    """
     count = fragments(texts.sparkSession)
-    cut = _struct(frag=_I, block=_L, lens=_B, grams=_B, sids=_B, docs=_B, nulls=_B, id2=_B)
+    cut = _struct(frag=_I, block=_L, present=_B, lens=_B, grams=_B)
+    head = _struct(docs=_B, nulls=_B, sizes=_B, id1=_B, id2=_B)
 
-    def split(batches: Iterator[dict]) -> Iterator[dict]:
+    def pieces(batches: Iterator[dict]) -> Iterator[dict]:
         for block, ids, sets in blocks(batches, lambda t: shingles(word_hashes(t), width)):
-            who = np.repeat(np.arange(len(sets), dtype=np.int64), [len(s) for s in sets])
+            sizes = np.array([len(s) for s in sets], "<u4")
+            known = np.array([_identity(s) for s in sets], "<i8").reshape(-1, 2)
+            yield {
+                "frag": block % count, "block": block, "docs": np.array([i or 0 for i in ids], "<i8").tobytes(), "nulls": np.array([i is None for i in ids]).tobytes(),
+                "sizes": sizes.tobytes(), "id1": known[:, 0].tobytes(), "id2": known[:, 1].tobytes(),
+            }
             grams = np.concatenate([np.empty(0, np.uint64), *sets])
-            frag = fragment_of(grams, count)
-            order = np.argsort(frag * len(sets) + who, kind="stable")
-            lens = np.bincount(frag * len(sets) + who, minlength=count * len(sets)).astype("<u4").reshape(count, -1)
-            ends = np.concatenate([[0], np.cumsum(lens.sum(1, dtype=np.int64))])
-            low = (grams[order] & np.uint64(0xFFFFFFFF)).astype("<u4")
-            known = [_identity(s) for s in sets]
-            sids = np.array([k[0] for k in known], "<i8").tobytes()
-            own = block % count  # one fragment's row also carries who the documents are
-            out = {f.name: [] for f in cut}
-            for f in range(count):
-                mine = f == own
-                if not mine and ends[f] == ends[f + 1]:
-                    continue
-                row = (f, block, lens[f].tobytes(), low[ends[f] : ends[f + 1]].tobytes(), sids, np.array([i or 0 for i in ids], "<i8").tobytes() if mine else None, np.array([i is None for i in ids]).tobytes() if mine else None, np.array([k[1] for k in known], "<i8").tobytes() if mine else None)
-                for k, v in zip(out, row, strict=True):
-                    out[k].append(v)
-            yield out
-
-    answer = _struct(block=_L, counts=_B, sizes=_B, sids=_B, docs=_B, nulls=_B, id2=_B)
+            del sets
+            order, ends = by_fragment(grams, count)
+            low = grams.astype("<u4")[order]
+            del grams
+            who = np.repeat(np.arange(len(ids), dtype="<u4"), sizes)[order]
+            for f in np.flatnonzero(np.diff(ends)).tolist():
+                present, lens = runs(who[ends[f] : ends[f + 1]])
+                yield {"frag": f, "block": block, "present": present.tobytes(), "lens": lens.astype("<u4").tobytes(), "grams": low[ends[f] : ends[f + 1]].tobytes()}
+
+    sent = T.StructType([*cut, *head])
+    split = lambda batches: in_batches(pieces(batches), sent.names)
+    answer = T.StructType([T.StructField("block", _L), T.StructField("present", _B), T.StructField("counts", _B), *head])
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
-        lens = [np.frombuffer(x, "<u4") for x in pdf["lens"]]
-        grams = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["grams"]]).astype(np.uint64)
-        docs = np.repeat(np.arange(sum(map(len, lens))), np.concatenate(lens).astype(np.int64))
-        sid = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["sids"]])
-        key = np.sort(grams << np.uint64(32) | docs.astype(np.uint64))
-        gram, who = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        total = np.zeros(len(sid), np.int64)
-        if len(key):
-            starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            several = np.minimum.reduceat(sid[who], starts) != np.maximum.reduceat(sid[who], starts)
-            many = np.repeat(several, np.diff(np.concatenate([starts, [len(key)]])))
-            total = np.bincount(who[many], minlength=len(sid))
+        has = pdf["grams"].notna()
+        mine, own = pdf[has], pdf[~has]
+        lens = [np.frombuffer(x, "<u4") for x in mine["lens"]]
+        grams = np.concatenate([np.empty(0, "<u4"), *[np.frombuffer(x, "<u4") for x in mine["grams"]]])
+        order = np.argsort(grams, kind="stable")
+        _, lengths = runs(grams[order])
+        many = np.zeros(len(grams), bool)
+        many[order] = np.repeat(lengths > 1, lengths)
+        who = np.repeat(np.arange(sum(map(len, lens))), np.concatenate([np.empty(0, np.int64), *lens]).astype(np.int64))
+        total = np.bincount(who[many], minlength=sum(map(len, lens))).astype("<u4")
         cuts = np.cumsum([len(x) for x in lens])[:-1]
-        return pd.DataFrame({"block": pdf["block"], "counts": [x.astype("<u4").tobytes() for x in np.split(total, cuts)], "sizes": pdf["lens"], "sids": [s if d is not None else None for s, d in zip(pdf["sids"], pdf["docs"], strict=True)], "docs": pdf["docs"], "nulls": pdf["nulls"], "id2": pdf["id2"]})
+        told = pd.DataFrame({"block": mine["block"], "present": mine["present"], "counts": [x.tobytes() for x in np.split(total, cuts)][: len(mine)]})
+        return pd.concat([told, own]).reindex(columns=answer.names)
 
     final = _struct(doc_id=_L, n=_L, id1=_L, id2=_L, shared=_L)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = lambda c: np.sum([np.frombuffer(x, "<u4") for x in pdf[c]], axis=0, dtype=np.int64)
         own = pdf[pdf["docs"].notna()].iloc[0]
         ids = pd.array(np.frombuffer(own["docs"], "<i8"), dtype="Int64")
         ids[np.frombuffer(own["nulls"], bool)] = pd.NA
-        return pd.DataFrame({"doc_id": ids, "n": total("sizes"), "id1": np.frombuffer(own["sids"], "<i8"), "id2": np.frombuffer(own["id2"], "<i8"), "shared": total("counts")})
+        total = np.zeros(len(ids), np.int64)
+        for present, counts in zip(pdf["present"], pdf["counts"], strict=True):
+            if present is not None:
+                total[np.frombuffer(present, "<u4")] += np.frombuffer(counts, "<u4")
+        return pd.DataFrame({"doc_id": ids, "n": np.frombuffer(own["sizes"], "<u4").astype(np.int64), "id1": np.frombuffer(own["id1"], "<i8"), "id2": np.frombuffer(own["id2"], "<i8"), "shared": total})
 
-    replies = arrow_map(texts, split, cut).groupBy("frag").applyInPandas(shared, answer)
+    replies = arrow_map(texts, split, sent).groupBy("frag").applyInPandas(shared, answer)
     return replies.groupBy("block").applyInPandas(merge, final)
 
 
@@ -135,25 +140,17 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     count = fragments(sets.sparkSession)
     cut = _struct(frag=_I, block=_L, docs=_B, lens=_B, grams=_B)
 
-    def split(batches: Iterator[dict]) -> Iterator[dict]:
+    def pieces(batches: Iterator[dict]) -> Iterator[dict]:
         found = ({"doc_id": b["doc_id"], "text": b["grams"]} for b in batches)
         for block, ids, sets_ in blocks(found, lambda raw: np.frombuffer(raw, "<u8")):
-            who = np.repeat(np.arange(len(ids), dtype=np.int64), [len(s) for s in sets_])
-            grams = np.concatenate(sets_)
-            frag = fragment_of(grams, count)
-            order = np.argsort(frag, kind="stable")
-            ends = np.searchsorted(frag[order], np.arange(count + 1))
-            docs = np.array(ids, "<i8")
-            out = {f.name: [] for f in cut}
-            for f in range(count):
-                mine = order[ends[f] : ends[f + 1]]
-                if len(mine):
-                    present, lens = np.unique(who[mine], return_counts=True)
-                    mine = mine[np.argsort(who[mine], kind="stable")]
-                    for k, v in zip(out, (f, block, docs[present].tobytes(), lens.astype("<u4").tobytes(), grams[mine].tobytes()), strict=True):
-                        out[k].append(v)
-            yield out
-
+            grams, docs = np.concatenate(sets_), np.array(ids, "<i8")
+            order, ends = by_fragment(grams, count)
+            grams, who = grams[order], np.repeat(np.arange(len(ids), dtype="<u4"), [len(s) for s in sets_])[order]
+            for f in np.flatnonzero(np.diff(ends)).tolist():
+                present, lens = runs(who[ends[f] : ends[f + 1]])
+                yield {"frag": f, "block": block, "docs": docs[present].tobytes(), "lens": lens.astype("<u4").tobytes(), "grams": grams[ends[f] : ends[f + 1]].tobytes()}
+
+    split = lambda batches: in_batches(pieces(batches), cut.names)
     answer = _struct(block=_L, docs=_B, lens=_B, grams=_B, freq=_B)
 
     def frequency(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -162,7 +162,7 @@ def test_decontamination_recall_equals_brute_force():
                 del less[min(at, len(less) - 1) : min(at, len(less) - 1) + 1]
             texts += [changed, [*pad, *changed, *pad], [*pad, *more], less, [*pad, *less, *pad, *item]]
     index = decontaminate.Index([(i, " ".join(x)) for i, x in enumerate(items)])
-    hashes = [decontaminate.hashed(t) for t in texts]
+    hashes = [decontaminate.hashes(t) for t in texts]
     want = {(t, i): s for t, h in enumerate(hashes) for i in range(len(items)) if (s := brute_leak(index, i, h)) >= 0.8}
     got = {(t, i): x for t, best in enumerate(index.leaks([" ".join(t) for t in texts], 0.8)) for i, x in best.items()}
     assert len(want) > 150 and {k: round(s, 9) for k, (s, _) in got.items()} == {k: round(s, 9) for k, s in want.items()}
