@@ -71,6 +71,69 @@ def test_pii_method_finds_secrets_and_keeps_words(spark):
     assert all("secret:14:54" in got[i] for i in range(30)) and got[100] == ""
 
 
+PRIVATE = (
+    "secret key = \"9f8a7c6d5e4b3a2190ff\" ok", "iban DE89 3704 0044 0532 0130 00 please", "ssn 219-09-9999 on file", "Dear Mrs. Maria Keller, thanks",
+    "call (415) 555-2671 today", "write to jane[at]mail[dot]example[dot]com now", "card 4111 1111 1111 1111", "host 10.20.30.40 up", "mail a.b@c.de", "phone +49 30 1234567",
+)
+PUBLIC = ("version 1.2.3 of 2024", "order no 000-12-0000", "DE00 3704 0044 0532 0130 01 is no account", "the long-word/path/to/some/file2", "Plain Mr", "10 of 12")
+
+
+def brute_em(rows, rounds=50):
+    """The label model, row by row and labeler by labeler, as its definition says."""
+    import math
+
+    out = {}
+    for kind in {pii.kind_of(k) for k in rows}:
+        own = [k for k in rows if pii.kind_of(k) == kind]
+        w = 100 / len(own)
+        fixed = [pii.anchor(k) for k in own]
+        p = [a if a is not None else 1 / (1 + math.exp(-1.5 * sum(pii.votes_of(k)))) for k, a in zip(own, fixed, strict=True)]
+        for _ in range(rounds):
+            prior = (w * sum(p) + 1) / (w * len(own) + 2)
+            odds = [math.log(prior / (1 - prior))] * len(own)
+            for j in range(len(pii.LABELERS)):
+                v = [pii.votes_of(k)[j] for k in own]
+                hit = (sum(w * q for q, x in zip(p, v, strict=True) if x == 1) + 8) / (sum(w * q for q, x in zip(p, v, strict=True) if x) + 10)
+                miss = (sum(w * (1 - q) for q, x in zip(p, v, strict=True) if x == -1) + 8) / (sum(w * (1 - q) for q, x in zip(p, v, strict=True) if x) + 10)
+                odds = [o + (math.log(hit / (1 - miss)) if x == 1 else math.log((1 - hit) / miss) if x == -1 else 0) for o, x in zip(odds, v, strict=True)]
+            p = [a if a is not None else 1 / (1 + math.exp(-max(-30, min(30, o)))) for o, a in zip(odds, fixed, strict=True)]
+        out.update(zip(own, p, strict=True))
+    return out
+
+
+def test_pii_label_model_equals_brute_force_em():
+    rows = [key for t in (PRIVATE * 7 + PUBLIC * 5) for *_, key in pii.candidates(t, pii.base_spans(t))]
+    rng = np.random.default_rng(3)
+    rows += rng.integers(0, pii.MAX_TUPLES, 300).tolist()
+    counts = {k: rows.count(k) for k in set(rows)}
+    got, want = pii.estimate(counts), brute_em(rows)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_pii_posteriors_and_spans_of_all_kinds(spark):
+    rows = [(i, t) for i, t in enumerate(PRIVATE * 20 + PUBLIC * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = pii.vote_counts(pii.find(docs))
+    posterior = pii.estimate(counts)
+    assert min(posterior[k] for k in counts if pii.kind_of(k) < pii.N_BASE) > 0.9  # valid base spans
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(docs).collect()}
+    kinds = ("secret", "iban", "national", "name", "contact", "contact", "card", "ip", "email", "phone")
+    assert [got[i].split(":")[0] for i in range(len(kinds))] == list(kinds)
+    assert all(got[i] == "" for i in range(len(PRIVATE) * 20, len(rows)))
+    again = {r["doc_id"]: r["text"] for r in pii.redacted(docs).collect()}
+    assert again[1] == "iban [iban] please" and again[3] == "Dear Mrs. [name], thanks"
+
+
+def test_pii_recall_on_planted_rows(spark):
+    """Every e-mail, card, address, phone and token of the table is found; nothing but these and local phone numbers."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {r["doc_id"]: r["text"].count(' token = "') for r in docs.where("text LIKE '% token = \"%'").collect()}
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(docs).collect()}
+    assert len(planted) > 10 and all(got[i].count("secret:") == n for i, n in planted.items())
+    assert {x.split(":")[0] for s in got.values() for x in s.split(",") if x} <= {"email", "ip", "card", "phone", "secret", "contact"}
+    assert sum("secret:" in s for s in got.values()) == len(planted)
+
+
 def test_pii_redacts(spark):
     df = spark.createDataFrame([(1, "mail a@b.cd now", 15), (2, None, None)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in pii.redacted(df).orderBy("doc_id").collect()] == [(1, "mail [email] now", 16), (2, None, None)]
