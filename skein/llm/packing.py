@@ -3,8 +3,9 @@
 A document longer than a sequence is cut so that only its first piece is shorter; whole-length pieces fill
 sequences of their own, the other pieces are items of a bin-packing problem. Items are dealt into groups by a hash.
 For each group several islands evolve populations of groupings: crossover injects the partner's well-filled bins
-whole, drops bins that then hold an item twice, and best-fits the displaced items. After each epoch the islands' best
-groupings migrate along a ring. Bins that stay poorly filled give their items back, and these are packed again in
+whole, drops bins that then hold an item twice, lets displaced items change places with shorter ones of fuller bins, and
+best-fits the rest. After each epoch the islands' best groupings migrate along a ring. An island rests as soon as a
+grouping has no more bins than any must have. Bins that stay poorly filled give their items back, and these are packed again in
 fewer groups, so that the groups' borders cost little.
 
 Defined results: a null or empty text is the end id alone; rows with the same doc_id are separate items, and their
@@ -14,7 +15,7 @@ pieces keep separate offsets; a null doc_id is packed like others; an empty tabl
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,10 +29,10 @@ from skein.llm.common import arrow_map, doc_texts, small_batches, staged
 from skein.llm.tokens import encode
 
 CAPACITY, END = 2048, 0
-#: Items of a group, islands, epochs between migrations, crossovers of an island in an epoch.
-GROUP_ITEMS, ISLANDS, EPOCHS, CROSSOVERS = 1500, 2, 2, 2
+#: Items of a group, islands, epochs between migrations, crossovers of an island in an epoch, groupings of an island.
+GROUP_ITEMS, ISLANDS, EPOCHS, CROSSOVERS, POPULATION = 1500, 3, 3, 8, 5
 #: A bin filled at least so far is injected; one filled less is packed again with those of other groups.
-WELL_FILLED, GOOD_ENOUGH = 0.999, 0.97
+WELL_FILLED, GOOD_ENOUGH = 0.95, 0.97
 REPACKS = 3
 
 Bins = list[list[int]]  # lengths of the items of each bin; items of one length can stand for one another
@@ -58,10 +59,37 @@ def fitness(bins: Bins, capacity: int = CAPACITY) -> tuple[int, float]:
     return (-len(bins), sum((sum(b) / capacity) ** 2 for b in bins))
 
 
+def least_bins(bins: Bins, capacity: int = CAPACITY) -> int:
+    """No grouping of the items has fewer bins: their sum, and the items too long to share a bin, ask for that many."""
+    items = [x for b in bins for x in b]
+    return max(-(-sum(items) // capacity), sum(2 * x > capacity for x in items))
+
+
+def exchange(bins: Bins, free: list[int], rng: np.random.Generator, capacity: int = CAPACITY) -> tuple[Bins, list[int]]:
+    """Items change places with longer free ones where the bin has room for them: bins get fuller, free items shorter."""
+    free = sorted(free)
+    for i in rng.permutation(len(bins)).tolist():
+        own, room = bins[i], capacity - sum(bins[i])
+        for k, x in enumerate(own):
+            if not room or not free:
+                break
+            at = bisect_right(free, x + room) - 1
+            if at >= 0 and free[at] > x:
+                y = free.pop(at)
+                own[k], room = y, room - (y - x)
+                insort(free, x)
+    return bins, free
+
+
+def _refill(bins: Bins, free: list[int], rng: np.random.Generator, capacity: int) -> Bins:
+    kept, left = exchange([list(b) for b in bins], free, rng, capacity)
+    return best_fit(kept, left, capacity)
+
+
 def crossover(a: Bins, b: Bins, rng: np.random.Generator, capacity: int = CAPACITY) -> Bins:
-    """A child: the partner's well-filled bins whole, a's bins whose items are still free, the rest best-fitted."""
-    full = [x for x in b if sum(x) >= WELL_FILLED * capacity]
-    take = [x for x, keep in zip(full, rng.random(len(full)) < 0.6, strict=True) if keep]
+    """A child: the partner's well-filled bins whole, a's bins whose items are still free, the rest put in again."""
+    full = sorted(b, key=sum, reverse=True)[: max(1, len(b) // 2)]
+    take = [x for x, keep in zip(full, rng.random(len(full)) < 0.6, strict=True) if keep and sum(x) >= WELL_FILLED * capacity or sum(x) == capacity]
     free = Counter(x for g in a for x in g)
     for g in take:
         free.subtract(g)
@@ -69,19 +97,19 @@ def crossover(a: Bins, b: Bins, rng: np.random.Generator, capacity: int = CAPACI
     order = sorted(range(len(a)), key=lambda i: -sum(a[i]))
     for i in order:
         need = Counter(a[i])
-        if sum(a[i]) >= 0.9 * capacity and all(free[x] >= n for x, n in need.items()):
+        if all(free[x] >= n for x, n in need.items()):
             child.append(list(a[i]))
             free.subtract(need)
     for x, n in free.items():
         displaced += [x] * n
-    return best_fit(child, displaced, capacity)
+    return _refill(child, displaced, rng, capacity)
 
 
 def mutate(a: Bins, rng: np.random.Generator, capacity: int = CAPACITY) -> Bins:
-    """Empties the least filled bins and a few others, and best-fits their items in a shuffled order of bins."""
+    """Empties the least filled bins and a few others, and puts their items in again."""
     order = sorted(range(len(a)), key=lambda i: sum(a[i]))
     gone = set(order[: max(1, len(a) // 20)]) | set(rng.choice(len(a), max(1, len(a) // 20), replace=False).tolist())
-    return best_fit([a[i] for i in range(len(a)) if i not in gone], [x for i in gone for x in a[i]], capacity)
+    return _refill([a[i] for i in range(len(a)) if i not in gone], [x for i in gone for x in a[i]], rng, capacity)
 
 
 def first(items: list[int], rng: np.random.Generator, capacity: int = CAPACITY) -> Bins:
@@ -91,17 +119,29 @@ def first(items: list[int], rng: np.random.Generator, capacity: int = CAPACITY)
 
 
 def evolve(population: list[Bins], seed: int, capacity: int = CAPACITY) -> list[Bins]:
-    """One epoch of one island; the best grouping stands first."""
+    """One epoch of one island; the best grouping stands first. A grouping that no other can beat ends it."""
     rng = np.random.default_rng(seed)
+    rank = lambda x: fitness(x, capacity)
+    least = least_bins(population[0], capacity)
+    population = sorted(population, key=rank, reverse=True)
     for _ in range(CROSSOVERS):
-        population.sort(key=lambda x: fitness(x, capacity), reverse=True)
+        if len(population[0]) <= least:
+            break
         mate = population[int(rng.integers(1, len(population)))] if len(population) > 1 else population[0]
-        child = crossover(population[0], mate, rng, capacity)
-        population.append(mutate(child, rng, capacity) if rng.random() < 0.5 else child)
-        population = sorted(population, key=lambda x: fitness(x, capacity), reverse=True)[:3]
+        one, two = (population[0], mate) if rng.random() < 0.5 else (mate, population[0])
+        child = crossover(one, two, rng, capacity)
+        population = sorted([*population, child, mutate(child, rng, capacity)], key=rank, reverse=True)[:POPULATION]
     return population
 
 
+def start_of(items: list[int], island: int, rng: np.random.Generator, capacity: int = CAPACITY) -> list[Bins]:
+    """An island's first groupings; the first island has that of best-fit decreasing among them."""
+    made = [best_fit([], items, capacity)] if not island else []
+    if made and len(made[0]) <= least_bins(made[0], capacity):
+        return made
+    return made + [first(items, rng, capacity) for _ in range(POPULATION - len(made))]
+
+
 ISLAND = T.StructType([T.StructField("grp", T.LongType()), T.StructField("island", T.IntegerType()), T.StructField("lengths", T.BinaryType()), T.StructField("bins", T.ArrayType(T.BinaryType()))])
 
 
@@ -127,7 +167,7 @@ def _epoch(islands: DataFrame, epoch: int) -> DataFrame:
                 items = np.frombuffer(lengths, "<u2").tolist()
                 seed = (grp * 1009 + island * 31 + epoch) % 2**63
                 rng = np.random.default_rng(seed)
-                population = [_parse(x) for x in bins] if bins else [best_fit([], items) if not island else first(items, rng), first(items, rng)]
+                population = [_parse(x) for x in bins] if bins else start_of(items, island, rng)
                 made.append([_dump(x) for x in evolve(population, seed + 1)])
             yield b | {"bins": made}
 

@@ -203,6 +203,29 @@ def test_crossover_keeps_items():
     assert sorted(x for g in child for x in g) == sorted(items) and all(sum(g) <= 2048 for g in child)
 
 
+def evolved(items, seed=0):
+    """What a group's islands come to, without Spark."""
+    islands = [packing.start_of(items, i, np.random.default_rng(seed + i)) for i in range(packing.ISLANDS)]
+    for epoch in range(packing.EPOCHS):
+        islands = [packing.evolve(p, seed + 100 * epoch + i) for i, p in enumerate(islands)]
+        islands = [p + [islands[i - 1][0]] for i, p in enumerate(islands)]
+    return max((p[0] for p in islands), key=packing.fitness)
+
+
+@pytest.mark.parametrize(("low", "high", "saved"), [(400, 1100, 10), (500, 900, 25), (300, 700, 8), (600, 1000, 15)])
+def test_genetic_packing_beats_best_fit(low, high, saved):
+    items = np.random.default_rng(low).integers(low, high + 1, 1500).tolist()
+    plain, best = packing.best_fit([], items), evolved(items)
+    assert sorted(x for b in best for x in b) == sorted(items) and max(map(sum, best)) <= packing.CAPACITY
+    assert packing.least_bins(plain) <= len(best) <= len(plain) - saved
+
+
+def test_genetic_packing_rests_at_the_bound():
+    items = np.minimum(2047, np.random.default_rng(1).lognormal(5.5, 1, 1500).astype(int) + 1).tolist()
+    best = evolved(items)
+    assert len(best) == packing.least_bins(best) == -(-sum(items) // packing.CAPACITY)
+
+
 def test_orc_round_trip(spark, docs, texts, tmp_path):
     tok = Tokenizer.from_file(PATH)
     at = 0
