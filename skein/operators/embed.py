@@ -34,8 +34,8 @@ def profile_key(key: str, profile: str, baseline: str = "hash") -> str:
 
 def letter_counts(text: Column) -> Column:
     """Profile letters: how often each letter stands in the text; built-in functions only."""
-    low = F.lower(text)
-    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
+    counts = lambda low: F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
+    return F.transform(F.array(F.lower(text)), counts)[0]  # the lambda variable holds the lowered text once
 
 
 def _digest_vector(text: str, n: int) -> np.ndarray:

@@ -10,29 +10,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Queries of a block: their vectors go to every task (1024 x 1024 doubles are 8 MB).
-BLOCK_QUERIES = 1024
+from skein.operators.topk import TopK
+
+#: Queries of one matrix product, and bytes of query vectors that go to every task at once.
+BLOCK_QUERIES, ROUND_BYTES = 1024, 64 << 20
 ROUND = 6
 
 
 def unit(v: Column) -> Column:
-    """The vector at length 1; a zero vector stays."""
-    d = v.cast("array<double>")
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm == 0, d).otherwise(F.transform(d, lambda x: x / norm))
+    """The vector at length 1; a zero vector stays. Vector and norm are bound to lambda variables, so each is computed once."""
+    normed = F.transform(F.array(v.cast("array<double>")), lambda d: F.struct(d.alias("d"), F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x)).alias("n")))
+    return F.transform(normed, lambda s: F.when(s["n"] == 0, s["d"]).otherwise(F.transform(s["d"], lambda x: x / s["n"])))[0]
+
+
+def _matrix(column: pa.ListArray, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are vectors of that dimension without nulls, and those rows at length 1."""
+    values, ends = column.flatten(), np.asarray(column.value_lengths().fill_null(0))
+    good = ends == dimension
+    flat = values.to_numpy(zero_copy_only=False).astype(float)  # nulls become NaN
+    x = flat[np.repeat(good, ends)].reshape(-1, dimension)
+    whole = ~np.isnan(x).any(1)
+    good[np.flatnonzero(good)[~whole]] = False
+    x = x[whole]
+    return good, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
 def distances(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, distance: of each batch the k nearest to each query, by one matrix product a block.
+    """query_id, chunk_id, distance: of each task the k nearest to each query. Ties by chunk_id.
 
-    vectors: chunk_id, embedding. queries: query_id, embedding; taken in blocks of BLOCK_QUERIES. Ties by chunk_id.
+    vectors: chunk_id, embedding. queries: query_id, embedding, of one dimension. A vector that is null, holds a null or
+    has another dimension is near no query, and a query without a vector has no hits. One scan serves as many queries as
+    ROUND_BYTES hold, in matrix products of BLOCK_QUERIES; more queries take more scans.
     """
     spark, out = vectors.sparkSession, None
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK_QUERIES))
-    numbered = queries if blocks == 1 else queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    for b in range(blocks):
-        got = (numbered if blocks == 1 else numbered.where(F.col("_b") == b)).select("query_id", "embedding").orderBy("query_id").collect()
+    known = queries.select("query_id", "embedding").where("embedding IS NOT NULL AND NOT exists(embedding, x -> x IS NULL)")
+    sizes = known.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    dimension = sizes["d"] or 1
+    rounds = max(1, -(-sizes["n"] * dimension * 8 // ROUND_BYTES))
+    numbered = known if rounds == 1 else known.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(rounds)))
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(vectors.dtypes)['chunk_id']}, distance double"
+    for b in range(rounds):
+        got = (numbered if rounds == 1 else numbered.where(F.col("_b") == b)).select("query_id", "embedding").orderBy("query_id").collect()
+        got = [r for r in got if len(r["embedding"]) == dimension]
         if not got:
             continue
         q = np.array([r["embedding"] for r in got], float)
@@ -40,22 +59,20 @@ def distances(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, unit_q = sent.value
+            blocks = [(at, TopK(len(unit_q[at : at + BLOCK_QUERIES]), k)) for at in range(0, len(unit_q), BLOCK_QUERIES)]
             for batch in batches:
-                own = np.array(batch.column("chunk_id").to_pylist())
-                x = np.array(batch.column("embedding").to_pylist(), float)
-                if not len(own):
-                    continue
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                d = np.round(1 - unit_q @ x.T, ROUND)
-                near = np.array([np.lexsort((own, row))[:k] for row in d])
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(ids, near.shape[1])), "chunk_id": pa.array(own[near].ravel()), "distance": pa.array(np.take_along_axis(d, near, 1).ravel())})
-
-        kind = dict(vectors.dtypes)["chunk_id"]
-        one = vectors.select("chunk_id", "embedding").mapInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {kind}, distance double")
+                good, x = _matrix(batch.column("embedding"), unit_q.shape[1])
+                own = batch.column("chunk_id").to_numpy(zero_copy_only=False)[good]
+                for at, best in blocks if len(own) else ():
+                    best.add(np.round(1 - unit_q[at : at + BLOCK_QUERIES] @ x.T, ROUND), own)
+            for at, best in blocks:
+                if best.found is not None:
+                    query, value, ident = best.found
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[at + i] for i in query.tolist()]), "chunk_id": pa.array(ident), "distance": pa.array(value)})
+
+        one = vectors.select("chunk_id", "embedding").mapInArrow(run, kinds)
         out = one if out is None else out.unionByName(one)
-    if out is None:
-        out = queries.join(vectors.select("chunk_id"), F.lit(False)).select("query_id", "chunk_id", F.lit(0.0).alias("distance"))
-    return out
+    return spark.createDataFrame([], kinds) if out is None else out
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
