@@ -9,7 +9,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-NAMES = ("scan_hash", "change_set", "doc_lines", "keywords_vector", "vector_topk", "vector_boost_threshold", "rrf_fusion", "lexical_topk", "text_vector_topk", "golden_summary", "context_build", "plan_steps", "key_files")
+NAMES = ("scan_hash", "change_set", "doc_lines", "keywords_vector", "vector_topk", "vector_boost_threshold", "rrf_fusion", "lexical_topk", "text_vector_topk", "hybrid_topk", "golden_summary", "context_build", "plan_steps", "key_files")
 
 
 def main() -> None:

@@ -9,13 +9,14 @@ from skein.functions.text import escape_context
 
 
 def block(escape: bool = True) -> Column:
-    """One hit in the fixed form; score with four places, N/A without one."""
-    body = escape_context(F.col("source")) if escape else F.col("source")
+    """One hit in the fixed form; score with four places, N/A without one. A null field is empty: no hit is lost."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    body = escape_context(text("source")) if escape else text("source")
     score = F.coalesce(F.format_string("%.4f", F.col("score").cast("double")), F.lit("N/A"))
-    span = F.concat(F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    span = F.concat(text("start_line"), F.lit("-"), text("end_line"))
     return F.concat(
-        F.lit("### ["), F.col("chunk_type"), F.lit("] "), F.col("name"), F.lit("\n- file: "), F.col("file_path"), F.lit("\n- lines: "), span, F.lit("\n- language: "), F.col("language"),
-        F.lit("\n- score: "), F.when(F.col("score").isNull(), "N/A").otherwise(score), F.lit("\n```"), F.col("language"), F.lit("\n"), body, F.lit("\n```"),
+        F.lit("### ["), text("chunk_type"), F.lit("] "), text("name"), F.lit("\n- file: "), text("file_path"), F.lit("\n- lines: "), span, F.lit("\n- language: "), text("language"),
+        F.lit("\n- score: "), F.when(F.col("score").isNull(), "N/A").otherwise(score), F.lit("\n```"), text("language"), F.lit("\n"), body, F.lit("\n```"),
     )
 
 

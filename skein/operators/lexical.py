@@ -1,23 +1,40 @@
-"""Lexical channel: weighted keyword scores by an exact inverted index instead of a nested loop over texts.
-
-A keyword of letters, digits, _ and - occurs only inside maximal runs of these characters, so its occurrences in a text
-are the sum over the text's runs. Runs are counted per chunk once; keywords meet the distinct runs only, by an
-equi-join on three characters; and per-run counts flow back by an equi-join. Keywords with a dot or of Han characters
-have run classes of their own.
+"""Lexical channel: weighted keyword scores of all questions in one pass over the chunks.
+
+The distinct keywords of a batch of questions are few: they are collected up to a checked bound and sent to every task as
+one automaton, which finds them in a text in time linear in it. Scores of all questions are one matrix product a batch,
+and a task keeps the k best of each question before anything is shuffled. Beyond the bound keywords meet texts by
+equi-joins: a keyword of letters, digits, _ and - occurs only inside maximal runs of these characters, so its occurrences
+are the sum over the text's runs; runs are counted per chunk, keywords meet the distinct runs on three characters, and
+counts flow back. Keywords with a dot or of Han characters have run classes of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skein.functions.text import keywords_lexical, occurrences
+from skein.operators.topk import TopK
+
+try:
+    import ahocorasick
+except ImportError:  # without it all keywords go by joins
+    ahocorasick = None
 
 #: Run classes and the keywords that live in them.
 CLASSES = ((r"[a-z0-9_-]+", r"^[a-z0-9_-]+$"), (r"[a-z0-9_.-]+", r"\."), ("[一-鿿]+", "[一-鿿]"))
 #: Distinct keywords of a batch up to which they are broadcast (some 50 bytes each).
 BROADCAST_KEYWORDS = 100_000
+#: (question, keyword) rows up to which an automaton of the keywords goes to every task (some 100 bytes each), and the
+#: questions of one matrix product.
+PASS_ROWS, PASS_QUERIES = 200_000, 512
+#: Points of a keyword in the short strings of a chunk, and of each occurrence in its source, of which so many count.
+POINTS, OCCURRENCE, MOST = {"file_path": 5.0, "name": 4.0, "parent": 2.0, "language": 0.5}, 0.5, 5
 
 
 def query_keywords(queries: DataFrame) -> DataFrame:
@@ -49,22 +66,112 @@ def _short_terms(chunks: DataFrame, keywords: DataFrame) -> DataFrame:
     few = kws.count() <= BROADCAST_KEYWORDS
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     has = lambda c, points: F.when(low(c).contains(F.col("kw")), points).otherwise(0.0)
-    score = has("file_path", 5.0) + has("name", 4.0) + has("parent", 2.0) + has("language", 0.5)
+    score = sum(has(c, points) for c, points in POINTS.items())
     # theta join on short strings: keywords are broadcast up to a checked size, else joined in a shuffled nested loop
     met = strings.join(F.broadcast(kws) if few else kws, score > 0).select("*", score.alias("points"))
     same = [chunks[c].eqNullSafe(met[c]) for c in ("file_path", "name", "parent", "language")]
     return chunks.join(met, same[0] & same[1] & same[2] & same[3]).select(chunks["chunk_id"], "kw", "points")
 
 
+def _by_joins(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    words = query_keywords(queries)
+    counted = source_counts(chunks, words).select("chunk_id", "kw", (F.least("n", F.lit(MOST)) * OCCURRENCE).alias("points"))
+    points = counted.unionByName(_short_terms(chunks, words)).groupBy("chunk_id", "kw").agg(F.sum("points").alias("points"))
+    return points.join(words, "kw").groupBy("query_id", "chunk_id").agg(F.sum("points").alias("score")).where("score > 0")
+
+
+class Questions:
+    """The keywords of a batch of questions: which question (by place in ids) has which keyword (by place in words)."""
+
+    def __init__(self, rows: list):
+        self.ids = sorted({r["query_id"] for r in rows})
+        self.words = sorted({r["kw"] for r in rows})
+        number, place = {q: i for i, q in enumerate(self.ids)}, {w: i for i, w in enumerate(self.words)}
+        self.of = np.array([(number[r["query_id"]], place[r["kw"]]) for r in rows], np.int64).reshape(-1, 2)
+
+    def automaton(self):
+        out = ahocorasick.Automaton()
+        for i, w in enumerate(self.words):
+            out.add_word(w, (i, len(w)))
+        out.make_automaton()
+        return out
+
+    def points(self, batch: pa.RecordBatch, automaton) -> np.ndarray:
+        """Chunks x keywords."""
+        out = np.zeros((batch.num_rows, len(self.words)))
+        for name, points in POINTS.items():
+            known: dict[str, list[int]] = {}
+            for row, s in enumerate(batch.column(name).to_pylist()):
+                if s not in known:
+                    known[s] = sorted({i for _, (i, _) in automaton.iter(s)})
+                out[row, known[s]] += points
+        for row, s in enumerate(batch.column("source").to_pylist()):
+            ends: dict[int, int] = {}
+            seen: dict[int, int] = {}
+            for end, (i, n) in automaton.iter(s):
+                if end - n >= ends.get(i, -1):  # occurrences do not overlap
+                    ends[i] = end
+                    seen[i] = seen.get(i, 0) + 1
+            for i, n in seen.items():
+                out[row, i] += min(n, MOST) * OCCURRENCE
+        return out
+
+
+def _in_one_pass(chunks: DataFrame, queries: DataFrame, rows: list, k: int | None) -> DataFrame:
+    """query_id, chunk_id, score: of every task the k best of each question, or all with a positive score."""
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double"
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c)
+    sent = chunks.sparkSession.sparkContext.broadcast(Questions(rows))
+    target = pa.schema([("query_id", pa.string() if isinstance(rows[0]["query_id"], str) else pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = sent.value
+        automaton = asked.automaton()
+        ids = np.array(asked.ids, object)
+        parts = []
+        for at in range(0, len(ids), PASS_QUERIES):
+            own = asked.of[(asked.of[:, 0] >= at) & (asked.of[:, 0] < at + PASS_QUERIES)]
+            use, place = np.unique(own[:, 1], return_inverse=True)
+            weights = np.zeros((len(ids[at : at + PASS_QUERIES]), len(use)))
+            weights[own[:, 0] - at, place] = 1
+            parts.append((at, use, weights, TopK(len(weights), k) if k else None))
+
+        def told(query: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids[query].tolist(), target.field("query_id").type), pa.array(chunk), pa.array(score)], ["query_id", "chunk_id", "score"])
+
+        for batch in batches:
+            points = asked.points(batch, automaton)
+            chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            for at, use, weights, best in parts:
+                scores = weights @ points[:, use].T
+                if best:
+                    best.add(np.where(scores > 0, -scores, np.inf), chunk)
+                else:
+                    query, row = np.nonzero(scores > 0)
+                    yield told(query + at, chunk[row], scores[query, row])
+        for at, _, _, best in parts if k else ():
+            if best.found is not None:
+                query, value, ident = best.found
+                yield told(query + at, ident, -value)
+
+    return chunks.select("chunk_id", *[low(c) for c in (*POINTS, "source")]).mapInArrow(run, kinds)
+
+
+def _scored(chunks: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
+    rows = query_keywords(queries).limit(PASS_ROWS + 1).collect() if ahocorasick else None
+    if rows is None or len(rows) > PASS_ROWS:
+        return _by_joins(chunks, queries)
+    if not rows:
+        return queries.join(chunks.select("chunk_id"), F.lit(False)).select("query_id", "chunk_id", F.lit(0.0).alias("score"))
+    return _in_one_pass(chunks, queries, rows, k)
+
+
 def lexical_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, score of every pair with a positive score.
 
-    chunks: chunk_id, file_path, name, parent, language, source. queries: query_id, question.
+    chunks: chunk_id, file_path, name, parent, language, source. queries: query_id (text or integer), question.
     """
-    words = query_keywords(queries)
-    counted = source_counts(chunks, words).select("chunk_id", "kw", (F.least("n", F.lit(5)) * 0.5).alias("points"))
-    points = counted.unionByName(_short_terms(chunks, words)).groupBy("chunk_id", "kw").agg(F.sum("points").alias("points"))
-    return points.join(words, "kw").groupBy("query_id", "chunk_id").agg(F.sum("points").alias("score")).where("score > 0")
+    return _scored(chunks, queries, None)
 
 
 def ranked(hits: DataFrame, k: int, order: list[Column], by: str = "query_id") -> DataFrame:
@@ -73,4 +180,4 @@ def ranked(hits: DataFrame, k: int, order: list[Column], by: str = "query_id") -
 
 
 def lexical_topk(chunks: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
-    return ranked(lexical_scores(chunks, queries), k, [F.col("score").desc(), F.col("chunk_id")])
+    return ranked(_scored(chunks, queries, k), k, [F.col("score").desc(), F.col("chunk_id")])

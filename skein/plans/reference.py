@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from skein.functions import text as T
 from skein.operators import agent, context, embed, evaluation, fusion, lexical, vectors
+from skein.operators import passages as matching
 from skein.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -339,23 +340,9 @@ SELECT mode, {_SUMMARY} FROM pm GROUP BY mode"""
 
 
 def passages(spark: SparkSession, d: str) -> DataFrame:
-    """item_id, doc_id where the text holds the item word for word: found by the item's first eight words, then verified.
-
-    A seed of words makes it an equi-join; contains() alone would be a nested loop over all texts.
-    """
-    seeds = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), F.substring("text", 1, 24).alias("seed"))
-    lengths = sorted({r[0] for r in seeds.select(F.length("seed")).distinct().collect()})  # at most 24 values
-    docs = table(spark, d, "documents").select("doc_id", "text")
-
-
-    def windows(n: int):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1))), lambda i: F.col("text").substr(i, F.lit(n)))
-
-    starts = F.array_distinct(F.flatten(F.array(*[windows(n) for n in lengths]))) if lengths else F.array().cast("array<string>")
-    want = spark.sparkContext.defaultParallelism
-    docs = docs.repartition(want) if docs.rdd.getNumPartitions() < want else docs
-    met = docs.select("doc_id", "text", F.explode(starts).alias("seed")).join(F.broadcast(seeds) if seeds.count() <= 10_000 else seeds, "seed")
-    return met.where(F.col("text").contains(F.col("item"))).select("item_id", "doc_id").distinct()
+    """item_id, doc_id where a document holds a benchmark item word for word."""
+    own = chunks(spark, d).select(F.col("chunk_id").alias("doc_id"), F.col("source").alias("text"))
+    return matching.passages(table(spark, d, "benchmark").select("item_id", F.col("text").alias("item")), own)
 
 
 @query(_MODES)

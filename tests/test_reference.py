@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.operators import agent, chunking, context, embed, evaluation, fusion, lexical, vectors
+from skein.operators import agent, chunking, context, embed, evaluation, fusion, lexical, passages, vectors
 from skein.plans import index as plans
 from skein.sources import golden, repository, scan, store
 
@@ -203,3 +203,72 @@ def test_git_source(tmp_path):
     assert os.path.exists(os.path.join(folder, "feature.txt")) and len(commit) == 40
     with pytest.raises(ValueError):
         repository.checkout(url, str(tmp_path / "cache"))
+
+
+CHUNK_ROWS = [
+    ("a", "src/cli.py", "main", None, "python", "cli cli CLI entry-point aaaa 入口 入口在"),
+    ("b", "src/Other.md", None, "Cli", None, "no keyword here"),
+    ("c", None, None, None, None, None),
+    ("d", "x/入口.py", "aa", "aa", "python", "aaaaa aa cli.py"),
+]
+
+
+def test_lexical_pass_equals_joins_and_brute_force(spark):
+    chunks = spark.createDataFrame(CHUNK_ROWS, "chunk_id string, file_path string, name string, parent string, language string, source string")
+    questions = spark.createDataFrame([(1, "where is the cli.py 入口 aa"), (2, "Python entry-point"), (3, "the"), (4, None)], "query_id long, question string")
+    words = {}
+    for r in lexical.query_keywords(questions).collect():
+        words.setdefault(r["query_id"], []).append(r["kw"])
+    want = {}
+    for q, kws in words.items():
+        for ident, *fields in CHUNK_ROWS:
+            path, name, parent, language, source = [(x or "").lower() for x in fields]
+            score = sum(5 * (w in path) + 4 * (w in name) + 2 * (w in parent) + 0.5 * (w in language) + 0.5 * min(source.count(w), 5) for w in kws)
+            if score:
+                want[q, ident] = score
+    as_dict = lambda df: {(r["query_id"], r["chunk_id"]): r["score"] for r in df.collect()}
+    assert as_dict(lexical.lexical_scores(chunks, questions)) == want == as_dict(lexical._by_joins(chunks, questions))
+    best = {q: sorted((-s, i) for (x, i), s in want.items() if x == q)[:2] for q in words}
+    got = {q: [] for q in words}
+    for r in lexical.lexical_topk(chunks, questions, 2).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((-r["score"], r["chunk_id"]))
+    assert got == best
+    assert lexical.lexical_topk(chunks, questions.where("query_id = 4")).count() == 0 == lexical.lexical_scores(chunks.limit(0), questions).count()
+
+
+def test_vector_topk_equals_brute_force_with_ties_and_faults(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(300)]
+    odd = [(1000, None), (1001, [1.0]), (1002, [1.0, None, 0.0, 0.0]), (1003, [0.0] * 4)]
+    queries = [(i, v) for i, v in rows[:20]] + [(500, None)]
+    schema = "{} long, embedding array<double>"
+    got = vectors.vector_topk(spark.createDataFrame(rows + odd, schema.format("chunk_id")).repartition(5), spark.createDataFrame(queries, schema.format("query_id")), 7).collect()
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-300)
+    for q, v in queries[:20]:
+        want = sorted((round(1 - float(unit(v) @ unit(x)), 6), i) for i, x in [*rows, odd[-1]])[:7]
+        mine = sorted((r["rank"], r["chunk_id"], r["distance"]) for r in got if r["query_id"] == q)
+        assert [(i, d) for _, i, d in mine] == [(i, pytest.approx(d, abs=2e-6)) for d, i in want]
+    assert len(got) == 140
+    assert vectors.vector_topk(spark.createDataFrame(rows, schema.format("chunk_id")), spark.createDataFrame(queries[-1:], schema.format("query_id"))).count() == 0
+
+
+def test_unit_is_computed_once(spark):
+    plan = spark.range(1).select(embed.embed(F.col("id").cast("string"), "letters").alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") <= 2 and plan.count("aggregate(") <= 1  # not once an element
+
+
+def test_passages_equal_brute_force(spark):
+    items = [(1, "a long passage of more than twenty-four letters"), (2, "short"), (3, ""), (4, None), (5, "a long passage of more than other letters"), (6, "short")]
+    texts = [(1, "x a long passage of more than twenty-four letters y a long passage of more than other"), (2, "shortshort"), (3, None), (4, ""), (2, "more short")]
+    own, docs = spark.createDataFrame(items, "item_id long, item string"), spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted((i, d) for i, x in items for d, t in texts if x and t and x in t)
+    assert sorted(tuple(r) for r in passages.passages(own, docs).collect()) == want
+    assert {tuple(r) for r in passages._by_join(own.where("item <> ''"), docs).collect()} == set(want)
+
+
+def test_context_keeps_hits_with_null_fields(spark):
+    rows = [("q", 1, "doc", "n", "p", 1, 2, None, 0.5, "text"), ("q", 2, "doc", None, "p", None, 2, "md", None, None)]
+    hits = spark.createDataFrame(rows, "query_id string, rank int, chunk_type string, name string, file_path string, start_line int, end_line int, language string, score double, source string")
+    assert context.contexts(hits).first()["context"].count("### [doc]") == 2
