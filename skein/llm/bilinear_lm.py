@@ -1,15 +1,19 @@
 """Operator 9: log-bilinear language model by noise-contrastive estimation, and the base unigram score.
 
-Words are counted by fragments of the hash range over all training texts. The frequent words are classes of their
-own, all others fall into classes by their ending; a class's share goes to its words by their smoothed counts, with
-one place for unseen words. The log-bilinear model predicts a class from the classes of the words before it: a
-context vector is the sum of position-weighted class vectors. It is fitted by noise-contrastive estimation on the
-class trigram counts of all training texts (the sufficient statistics, of bounded size), and one batched matrix
-product normalises it over all contexts, so a text is scored by looking up log probabilities.
+Words are counted by fragments of the hash range over all training texts. The model is log-bilinear on two levels:
+1. The most frequent words are classes of their own, all others fall into classes by their ending. A class is predicted
+   from the classes of the two words before it: the context vector is the sum of position-weighted class vectors. One
+   batched matrix product normalises it over all contexts.
+2. Within the ending classes every word that stands MIN_COUNT times or more in training has an output vector and a bias
+   of its own, fitted to all its contexts in training; the rarer ones share what their counts give, with one place for
+   unseen words. This vocabulary grows with the input. Its vectors live in the fragments and go to the blocks of texts
+   that need them, never to the driver; the normalising sums, a table of fixed size, go to every task.
+Both levels are fitted by the noise-contrastive objective in full: the expected noise of the unigram distribution (level
+2: of the class's) stands in for drawn samples, so a fit can be repeated. A token's probability is the product.
 
 Defined results: a null or empty text is the end token alone; rows with a null doc_id are held out of training, with
 held_out null; repeated rows count as often as they stand; without training rows counts are 0 and classes uniform;
-an empty table gives an empty one; other columns are not looked at.
+an empty table gives an empty one; other columns are not looked at. Long texts are whole: a text is never cut over blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ TOP, ENDINGS = 80, 32
 CLASSES = 1 + TOP + ENDINGS
 START = CLASSES
 CONTEXT, DIMENSION, NOISE, STEPS = 2, 16, 10, 300
+#: Training occurrences from which a word has a vector of its own, its dimension, Newton steps, ridge, words of one step.
+MIN_COUNT, OWN_DIMENSION, OWN_STEPS, RIDGE, OWN_BATCH = 50, 8, 8, 1.0, 2048
 TOP_CANDIDATES = 400
 _L, _B, _I, _D = T.LongType(), T.BinaryType(), T.IntegerType(), T.DoubleType()
 
@@ -148,14 +154,6 @@ class Classes:
             out[top] = 1 + self.rank[at[top]]
         return out
 
-    def within(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 of a word's share of its class."""
-        out = np.zeros(len(classes))
-        rare = classes > TOP
-        n, v = self.rest[classes[rare] - 1 - TOP].T
-        out[rare] = np.log10((counts[rare] + 0.5) / (n + 0.5 * (v + 1)))
-        return out
-
 
 def _sequence(classes: np.ndarray, lens: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of all tokens of a block with the end after each text; the contexts, the nearer word last."""
@@ -187,7 +185,7 @@ def trigram_counts(store: DataFrame, classes: Classes) -> np.ndarray:
                 cell, n = np.unique(((far * side + near) * CLASSES + seq)[use], return_counts=True)
                 total[cell] += n
         at = np.flatnonzero(total)
-        yield {"cell": at.tolist(), "n": total[at].tolist()}
+        yield {"cell": at, "n": total[at]}
 
     got = arrow_map(store, rows, _struct(cell=_L, n=_L)).groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros(side * side * CLASSES)
@@ -196,8 +194,9 @@ def trigram_counts(store: DataFrame, classes: Classes) -> np.ndarray:
     return out.reshape(side * side, CLASSES)
 
 
-def estimate(counts: np.ndarray, steps: int = STEPS, seed: int = 5) -> np.ndarray:
-    """Normalised log10 probabilities (contexts x classes) of the log-bilinear model.
+def estimate(counts: np.ndarray, steps: int = STEPS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Normalised log10 probabilities (contexts x classes) of the log-bilinear model, and the class vectors as the nearer
+    word sees them, in OWN_DIMENSION main directions.
 
     The noise-contrastive objective is taken in full: for every context and class, its count against NOISE times the
     noise distribution, so no noise is drawn and a fit can be repeated.
@@ -227,7 +226,132 @@ def estimate(counts: np.ndarray, steps: int = STEPS, seed: int = 5) -> np.ndarra
             p[k] = p[k] - 0.03 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-9)
     logits = (p["r"][far] * p["c"][0] + p["r"][near] * p["c"][1]) @ p["q"].T + p["b"]
     logits -= logits.max(1, keepdims=True)
-    return ((logits - np.log(np.exp(logits).sum(1, keepdims=True))) / np.log(10)).astype(np.float32)
+    u, size, _ = np.linalg.svd(p["r"] * p["c"][1], full_matrices=False)
+    return ((logits - np.log(np.exp(logits).sum(1, keepdims=True))) / np.log(10)).astype(np.float32), u[:, :OWN_DIMENSION] * size[:OWN_DIMENSION]
+
+
+class OwnWords:
+    """What level 2 is fitted with: the context vectors, the words of each ending after each class, the words' shares."""
+
+    def __init__(self, classes: Classes, trigrams: np.ndarray, near: np.ndarray):
+        side = CLASSES + 1
+        self.classes, self.near, self.least = classes, near, MIN_COUNT
+        self.after = trigrams.reshape(side, side, CLASSES).sum(0)[:, 1 + TOP :].T  # ending x class before
+
+    def mask(self, counts: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return (counts >= self.least) & (own > TOP)
+
+    def share(self, ending: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """A word's share of its ending, by counts; all words and the unseen place add up to one."""
+        n, v = self.classes.rest[ending].T
+        return (counts + 0.5) / (n + 0.5 * (v + 1))
+
+    def fit(self, seen: np.ndarray, ending: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors (float16) and biases (float32): logistic regression of each word's contexts against its ending's, by
+        Newton steps with a ridge about the unigram. seen: words x classes before."""
+        x = np.hstack([self.near, np.ones((len(self.near), 1))])
+        share = self.share(ending, counts)
+        noise = NOISE * share[:, None] * self.after[ending]
+        w = np.zeros((len(seen), OWN_DIMENSION + 1))
+        w[:, -1] = np.log(share)
+        start = w[:, -1].copy()
+        ridge = np.full(OWN_DIMENSION + 1, RIDGE)
+        for _ in range(OWN_STEPS):
+            p = 1 / (1 + np.exp(-np.clip(w @ x.T - np.log(NOISE * share)[:, None], -40, 40)))
+            g = (noise * p - seen * (1 - p)) @ x
+            g += ridge * (w - np.hstack([np.zeros((len(w), OWN_DIMENSION)), start[:, None]]))
+            h = np.einsum("wk,ki,kj->wij", (noise + seen) * p * (1 - p), x, x, optimize=True) + np.diag(ridge)
+            w -= np.clip(np.linalg.solve(h, g[..., None])[..., 0], -2, 2)
+        return w[:, :-1].astype(np.float16), w[:, -1].astype(np.float32)
+
+    def logits(self, vectors: np.ndarray, biases: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Natural logs, not normalised, of words (rows of vectors) after classes (near, one for each row)."""
+        return (vectors.astype(np.float64) * self.near[near]).sum(1) + biases
+
+
+FITTED = _struct(block=_L, frag=_I, vectors=_B, biases=_B, sums=_B)
+
+
+def fitted(store: DataFrame, replies: DataFrame, model) -> DataFrame:
+    """Per block and fragment vectors and biases of the block's words that have their own, in the order of its words; per
+    fragment, in one row of its own (block null), what the ending's sums after each class change by them."""
+    count, side = fragments(store.sparkSession), CLASSES + 1
+    cut = _struct(frag=_I, block=_L, words=_B, counts=_B, endings=_B, lens=_B, near=_B, n=_B)
+
+    def split(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own: OwnWords = model.value
+        docs, nulls, lens, places, words, endings = _open({k: left[k].tolist() for k in BLOCK.names}, 0)
+        counts = _counts(right)
+        kinds = own.classes.of(words, endings)
+        mask = own.mask(counts, kinds)
+        seq, _, near = _sequence(kinds, lens, places)
+        word = _is_word(lens, len(seq))
+        use = np.repeat(_training(docs, nulls), lens.astype(np.int64)) & mask[places]
+        cell, n = np.unique(places[use].astype(np.int64) * side + near[word][use], return_counts=True)
+        chosen = np.flatnonzero(mask)
+        many = np.bincount(cell // side, minlength=len(words))[chosen].astype("<u4")
+        ends = np.searchsorted(fragment_of(words[chosen], count), np.arange(count + 1))
+        cells = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
+        use_ = np.flatnonzero(np.diff(ends)).tolist()
+        by = lambda a: [a[ends[f] : ends[f + 1]].tobytes() for f in use_]
+        of = lambda a: [a[cells[ends[f]] : cells[ends[f + 1]]].tobytes() for f in use_]
+        packed_ = {"words": by(words[chosen]), "counts": by(counts[chosen]), "endings": by(endings[chosen]), "lens": by(many), "near": of((cell % side).astype("u1")), "n": of(n.astype("<u4"))}
+        return pd.DataFrame({"frag": np.array(use_, np.int32), "block": left["block"].iloc[0], **packed_})[cut.names]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        own: OwnWords = model.value
+        join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
+        every, lens = join("words", "<u8"), join("lens", "<u4")
+        words, at, back = np.unique(every, return_index=True, return_inverse=True)
+        counts, endings = join("counts", "<i8")[at], join("endings", "u1")[at].astype(np.int64)
+        row, near, n = np.repeat(back, lens), join("near", "u1"), join("n", "<u4")
+        order = np.argsort(row, kind="stable")
+        row, near, n = row[order], near[order], n[order]
+        vectors, biases = np.empty((len(words), OWN_DIMENSION), np.float16), np.empty(len(words), np.float32)
+        sums = np.zeros((ENDINGS, side))
+        for lo in range(0, len(words), OWN_BATCH):
+            hi = min(lo + OWN_BATCH, len(words))
+            a, z = np.searchsorted(row, [lo, hi])
+            seen = np.bincount((row[a:z] - lo) * side + near[a:z], n[a:z], (hi - lo) * side).reshape(-1, side)
+            vectors[lo:hi], biases[lo:hi] = own.fit(seen, endings[lo:hi], counts[lo:hi])
+            odds = np.exp(vectors[lo:hi].astype(float) @ own.near.T + biases[lo:hi, None]) - own.share(endings[lo:hi], counts[lo:hi])[:, None]
+            np.add.at(sums, endings[lo:hi], odds)
+        cuts = np.cumsum([len(x) // 8 for x in pdf["words"]])[:-1]
+        out = pd.DataFrame({"block": pdf["block"].astype("Int64"), "frag": pdf["frag"], "vectors": [vectors[i].tobytes() for i in np.split(back, cuts)], "biases": [biases[i].tobytes() for i in np.split(back, cuts)]})
+        total = pd.DataFrame({"block": pd.array([pd.NA], "Int64"), "frag": [pdf["frag"].iloc[0]], "sums": [sums.tobytes()]})
+        return pd.concat([out, total]).reindex(columns=FITTED.names).astype({"frag": "int32"})
+
+    answers = replies.where("block IS NOT NULL").select("block", "frag", "counts")
+    cuts = store.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(split, cut)
+    return cuts.groupBy("frag").applyInPandas(fit, FITTED)
+
+
+def norms(fits: DataFrame) -> np.ndarray:
+    """Endings x classes before: natural logs of the sums that normalise level 2. Added up by cells before the driver sees them."""
+    side = CLASSES + 1
+
+    def cells(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            if b["sums"]:
+                total = np.sum([np.frombuffer(x, float) for x in b["sums"]], axis=0)
+                yield {"cell": list(range(len(total))), "x": total.tolist()}
+
+    got = arrow_map(fits.where("block IS NULL").select("sums"), cells, _struct(cell=_L, x=_D)).groupBy("cell").agg(F.sum("x").alias("x")).toArrow()
+    out = np.ones(ENDINGS * side)
+    out[got.column("cell").to_numpy()] += got.column("x").to_numpy()
+    return np.log(np.maximum(out, 1e-12)).reshape(ENDINGS, side)
+
+
+def _counts(right: pd.DataFrame) -> np.ndarray:
+    """Training counts of a block's words from the fragments' replies."""
+    use = right[right["counts"].notna()].sort_values("frag")
+    return np.concatenate([np.empty(0, np.int64), *[np.frombuffer(x, "<i8") for x in use["counts"]]])
+
+
+def _is_word(lens: np.ndarray, n: int) -> np.ndarray:
+    word = np.ones(n, bool)
+    word[np.cumsum(lens.astype(np.int64) + 1) - 1] = False
+    return word
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -241,28 +365,47 @@ def scores(docs: DataFrame) -> DataFrame:
     n_docs = texts.select("doc_id").where(F.col("doc_id").isNotNull() & ~held).count()
     sums = [(bytes(r["counts"]), bytes(r["top"])) for r in replies.where("block IS NULL").select("counts", "top").toLocalIterator()]  # a row for each fragment
     classes = Classes(sums, n_docs)
-    table = spark.sparkContext.broadcast((classes, estimate(trigram_counts(store, classes))))
+    trigrams = trigram_counts(store, classes)
+    logs_, near_ = estimate(trigrams)
+    own_words = OwnWords(classes, trigrams, near_)
+    fits = staged(fitted(store, replies, spark.sparkContext.broadcast(own_words)), "vectors")
+    table = spark.sparkContext.broadcast((own_words, logs_, norms(fits)))
     side = CLASSES + 1
     schema = _struct(doc_id=_L, held_out=T.BooleanType(), n_tokens=_L, n_known=_L, train_tokens=_L, base_score=_D, score=_D)
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        classes, logs = table.value
+        own_, logs, norm = table.value
+        classes = own_.classes
         b = {k: left[k].tolist() for k in BLOCK.names}
         docs_, nulls, lens, places, words, endings = _open(b, 0)
-        counts = np.concatenate([np.empty(0, np.int64), *[np.frombuffer(x, "<i8") for x in right.sort_values("frag")["counts"]]])
+        counts = _counts(right)
+        fit = right[right["vectors"].notna()].sort_values("frag")
+        vectors = np.concatenate([np.empty(0, np.float16), *[np.frombuffer(x, np.float16) for x in fit["vectors"]]]).reshape(-1, OWN_DIMENSION)
+        biases = np.concatenate([np.empty(0, np.float32), *[np.frombuffer(x, np.float32) for x in fit["biases"]]])
         own = classes.of(words, endings)
         seq, far, near = _sequence(own, lens, places)
-        ends = np.cumsum(lens.astype(np.int64) + 1)
-        begin = ends - lens.astype(np.int64) - 1
-        word = np.ones(len(seq), bool)
-        word[ends - 1] = False
+        begin = np.cumsum(lens.astype(np.int64) + 1) - lens.astype(np.int64) - 1
+        word = _is_word(lens, len(seq))
         n, v = classes.tokens, classes.types
         base = np.full(len(seq), np.log10((classes.n_docs + 0.5) / (n + 0.5 * (v + 1))))
         base[word] = np.log10((counts + 0.5) / (n + 0.5 * (v + 1)))[places]
         known = np.full(len(seq), int(classes.n_docs > 0))
         known[word] = (counts > 0)[places]
         model = logs[far * side + near, seq].astype(float)
-        model[word] += classes.within(own, counts)[places]
+        within = np.zeros(len(words))  # natural logs
+        rare = own > TOP
+        within[rare] = np.log(own_.share(endings[rare].astype(np.int64), counts[rare]))
+        inner, before = within[places], near[word]
+        mask = own_.mask(counts, own)
+        number = np.cumsum(mask) - 1
+        at = np.flatnonzero(mask[places])
+        for lo in range(0, len(at), 100_000):
+            some = at[lo : lo + 100_000]
+            use = number[places[some]]
+            inner[some] = own_.logits(vectors[use], biases[use], before[some])
+        under = rare[places]
+        inner[under] -= norm[endings[places[under]], before[under]]
+        model[word] += inner / np.log(10)
         add = lambda x: np.add.reduceat(x, begin) if len(begin) else x
         ids = pd.array(docs_, dtype="Int64")
         ids[nulls] = pd.NA
@@ -270,5 +413,6 @@ def scores(docs: DataFrame) -> DataFrame:
         out[nulls] = pd.NA
         return pd.DataFrame({"doc_id": ids, "held_out": out, "n_tokens": lens.astype(np.int64) + 1, "n_known": add(known.astype(np.int64)), "train_tokens": n, "base_score": add(base), "score": add(model)})
 
-    answers = replies.where("block IS NOT NULL").select("block", "frag", "counts")
+    answers = replies.where("block IS NOT NULL").select("block", "frag", "counts", F.lit(None).cast("binary").alias("vectors"), F.lit(None).cast("binary").alias("biases"))
+    answers = answers.unionByName(fits.where("block IS NOT NULL").select("block", "frag", F.lit(None).cast("binary").alias("counts"), "vectors", "biases"))
     return store.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, schema)

@@ -56,7 +56,7 @@ def worker_cache(owner: str, make: Callable[[], dict], name: str = "") -> dict:
 
 
 def arrow_map(df: DataFrame, rows_of: Callable[[Iterator[dict]], Iterator[dict]], schema: StructType) -> DataFrame:
-    """rows_of gets an iterator over batches (name -> Python list) and yields batches of the same kind."""
+    """rows_of gets an iterator over batches (name -> Python list) and yields batches of the same kind (lists or arrays)."""
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -191,9 +191,40 @@ def test_language_model_is_normalised():
     side = bilinear_lm.CLASSES + 1
     counts = np.zeros((side * side, bilinear_lm.CLASSES))
     counts[5, 3], counts[5, 4], counts[9, 2] = 30, 10, 7
-    p = 10.0 ** bilinear_lm.estimate(counts, 60)
+    logs, near = bilinear_lm.estimate(counts, 60)
+    p = 10.0**logs
+    assert near.shape == (side, bilinear_lm.OWN_DIMENSION)
     assert np.allclose(p.sum(1), 1, atol=1e-4) and p[5, 3] > p[5, 2]
-    assert np.allclose((10.0 ** bilinear_lm.estimate(counts * 0, 5)).sum(1), 1, atol=1e-4)
+    assert np.allclose((10.0 ** bilinear_lm.estimate(counts * 0, 5)[0]).sum(1), 1, atol=1e-4)
+
+
+def test_language_model_learns_words_of_its_own(spark, monkeypatch):
+    """Words beyond the classes follow what they followed in training, and each class's words still share all of it."""
+    rng = np.random.default_rng(4)
+    frequent = [f"f{i:02}q" for i in range(bilinear_lm.TOP)]
+    own = [f"{a}{b}zz" for a in "abcde" for b in "abcdef"]
+    lines = [" ".join(frequent)] * 300
+    lines += [" ".join([frequent[i % 5], w] * 3) for i, w in enumerate(own) for _ in range(40)]  # w always after its own word
+    lines += ["rare one zz", "other two bzz"]
+    ids = iter(range(10**6))
+    train = [(d, t) for t, d in zip(rng.permutation(lines).tolist(), (i for i in ids if zlib.crc32(str(i).encode()) % 5 != 1), strict=False)]
+    ids = iter(range(2 * 10**6, 3 * 10**6))
+    words_ = [*own, "unseenzz", "zz", "bzz"]
+    asked = [(d, f"{frequent[k]} {w}") for (k, w), d in zip([(k, w) for k in range(5) for w in words_], (i for i in ids if zlib.crc32(str(i).encode()) % 5 == 1), strict=False)]
+    docs = spark.createDataFrame(train + asked, "doc_id long, text string")
+
+    def told():
+        got = {r["doc_id"]: r["score"] for r in bilinear_lm.scores(docs).collect()}
+        return np.array([got[d] for d, _ in asked]).reshape(5, len(words_))
+
+    with_vectors = told()
+    monkeypatch.setattr(bilinear_lm, "MIN_COUNT", 10**9)
+    without = told()
+    right = np.array([[with_vectors[i % 5, i] - with_vectors[k, i] for k in range(5) if k != i % 5] for i in range(len(own))])
+    assert right.min() > 0.3, right.min()  # log10: at least twice as likely after its own word
+    assert np.allclose((10.0**with_vectors).sum(1), (10.0**without).sum(1), rtol=1e-3)
+    mine = [(i % 5, i) for i in range(len(own))]
+    assert np.mean([with_vectors[x] - without[x] for x in mine]) > 0.3
 
 
 def test_language_model_edges(spark):
