@@ -5,9 +5,10 @@ IDF are looked up in the templates' postings; postings that agree on a relative
 candidate counts only if the template's mandatory phrase stands in the file there.
 
 Defined results: a null or empty text has no words; labels are sorted by code point, each once; first_word and
-last_word are null without a base phrase; score is the best share of a template's words at their places, at least 1.0
-for a base label (0 without labels); an empty table gives an empty one; repeated rows a row each; other columns are not
-looked at.
+last_word are null without a base phrase; score is the best share of a template's words at their places, at least 0.5
+for a base label (0 without labels); an empty table gives an empty one; repeated rows give a row each, a null doc_id
+stays null; other columns are not looked at, so their names cannot clash. Texts are scanned whole; time grows with the
+number of words and of license words in them.
 """
 
 from __future__ import annotations
@@ -26,25 +27,60 @@ from skein.llm.common import arrow_map, ascii_lower, doc_texts, small_batches
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Statements of licenses, each with the phrase that must stand in the file.
+#: Statements, titles and paragraphs of licenses, each with the phrase that must stand in the file.
 TEMPLATES = (
     ("agpl-3.0", "licensed under the gnu affero general public license version 3", "affero general public license"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "under the apache license version 2 0"),
+    ("apache-2.0", "apache license version 2 0 january 2004", "apache license version 2 0"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
+    ("artistic-2.0", "the artistic license 2 0", "artistic license 2 0"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "may be used to endorse or promote products derived from this software"),
+    ("bsl-1.0", "boost software license version 1 0", "boost software license"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy of the software"),
     ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
+    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-nc-4.0", "creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0"),
+    ("cc-by-nd-4.0", "creative commons attribution noderivatives 4 0 international license", "creative commons attribution noderivatives 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa"),
-    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    ("cc-by-sa-4.0", "creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0"),
+    ("cc-by-sa-3.0", "creative commons attribution sharealike 3 0 unported license", "creative commons attribution sharealike 3 0"),
     ("cc0-1.0", "released under the creative commons zero cc0 1 0 public domain dedication", "cc0 1 0"),
+    ("cc0-1.0", "cc0 1 0 universal public domain dedication", "cc0 1 0"),
+    ("epl-2.0", "eclipse public license version 2 0", "eclipse public license"),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", "eclipse public license"),
     ("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("gpl-2.0", "terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "either version 2 of the license"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
+    ("gpl-3.0", "terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "either version 3 of the license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute"),
-    ("lgpl-3.0", "licensed under the gnu lesser general public license version 3", "lesser general public license"),
+    ("isc", "the isc license", "isc license"),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1", "lesser general public license version 2 1"),
+    ("lgpl-2.1", "gnu lesser general public license v2 1", "lesser general public license v2 1"),
+    ("lgpl-3.0", "licensed under the gnu lesser general public license version 3", "lesser general public license version 3"),
+    ("lgpl-3.0", "gnu lesser general public license v3", "lesser general public license v3"),
     ("mit", "released under the mit license", "mit license"),
+    ("mit", "the mit license mit", "mit license"),
+    ("mit", "mit license", "mit license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "free of charge to any person obtaining a copy of this software"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "shall be included in all copies or substantial portions of the software"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one", "mozilla public license v 2 0"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("unlicense", "the unlicense", "the unlicense"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages"),
+)
+#: Identifiers that stand behind "SPDX-License-Identifier:", in words, and what they are called here.
+IDENTIFIERS = (
+    ("agpl 3 0", "agpl-3.0"), ("apache 2 0", "apache-2.0"), ("artistic 2 0", "artistic-2.0"), ("bsd 2 clause", "bsd"), ("bsd 3 clause", "bsd-3-clause"), ("bsl 1 0", "bsl-1.0"),
+    ("cc by 4 0", "cc-by-4.0"), ("cc by sa 4 0", "cc-by-sa-4.0"), ("cc0 1 0", "cc0-1.0"), ("epl 2 0", "epl-2.0"), ("gpl 2 0", "gpl-2.0"), ("gpl 3 0", "gpl-3.0"), ("isc", "isc"),
+    ("lgpl 2 1", "lgpl-2.1"), ("lgpl 3 0", "lgpl-3.0"), ("mit", "mit"), ("mpl 2 0", "mpl-2.0"), ("unlicense", "unlicense"), ("zlib", "zlib"),
 )
+TEMPLATES += tuple((label, said, said) for x, label in IDENTIFIERS for said in [f"spdx license identifier {x}"])
 RARE, MIN_AGREE, MIN_SCORE = 4, 0.5, 0.6
 
 _VOCAB = frozenset(w for _, t, _ in TEMPLATES for w in t.split())
@@ -53,10 +89,10 @@ _TEMPLATES = [(label, tuple(t.split()), tuple(k.split())) for label, t, k in TEM
 #: A label of either kind needs a base or a mandatory phrase in the text, so all words of one.
 _NEEDED = sorted({frozenset(p) for p, _ in _BASE} | {frozenset(k) for _, _, k in _TEMPLATES}, key=sorted)
 _WANTED = _VOCAB.union(*_NEEDED)
-_POSTINGS: dict[str, list[tuple[int, int]]] = defaultdict(list)
+_POSTINGS: dict[str, dict[int, list[int]]] = defaultdict(dict)  # word -> template -> its places there
 for _t, (_, _words, _) in enumerate(_TEMPLATES):
     for _p, _w in enumerate(_words):
-        _POSTINGS[_w].append((_t, _p))
+        _POSTINGS[_w].setdefault(_t, []).append(_p)
 
 
 def words_of(text: str) -> list[str]:
@@ -102,15 +138,18 @@ def scan(words: list[str], idf: dict[str, float]) -> tuple[list[int], set[str],
             base.add(label)
     rare = sorted(there, key=lambda w: (-idf.get(w, 0.0), w))
     found: dict[str, float] = {}
-    for t, (label, template, mandatory) in enumerate(_TEMPLATES):
-        mine = [w for w in rare if any(x == t for x, _ in _POSTINGS[w])][:RARE]
-        if not mine:
+    chosen: dict[int, list[str]] = defaultdict(list)  # a template's rarest words that the file has
+    for w in rare:
+        for t in _POSTINGS[w]:
+            if len(chosen[t]) < RARE:
+                chosen[t].append(w)
+    for t, mine in sorted(chosen.items()):
+        label, template, mandatory = _TEMPLATES[t]
+        if not wanted.issuperset(mandatory):
             continue
         offsets: Counter = Counter()  # votes for where the template would begin
         for w in mine:
-            for x, p in _POSTINGS[w]:
-                if x == t:
-                    offsets.update({i - p for i in places[w]})
+            offsets.update({i - p for p in _POSTINGS[w][t] for i in places[w]})
         best = 0.0
         for at, votes in offsets.items():
             if votes < MIN_AGREE * len(mine) and votes < 2:
@@ -120,7 +159,7 @@ def scan(words: list[str], idf: dict[str, float]) -> tuple[list[int], set[str],
                 best = share
         if best >= MIN_SCORE:
             found[label] = max(best, found.get(label, 0.0))
-    score = 1.0 if base else max(found.values(), default=0.0)
+    score = max([*found.values(), 0.5 if base else 0.0])
     return starts, base, set(found), score
 
 
