@@ -11,7 +11,7 @@ labels, lang, source and doc_id are never inputs of a score. Everything else cov
 Defined results: null and empty texts get the score of a text without evidence; rows without a label are scored like
 others; a null doc_id has held_out null; repeated rows give a row each; several labels of one id count as their
 largest; without labels of both kinds the score is the share of toxic labels (0.0 without any); an empty table gives
-an empty one; other columns are not looked at.
+an empty one; other columns are not looked at. Texts and disguised stretches are decoded whole, in linear time.
 """
 
 from __future__ import annotations
@@ -22,14 +22,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm.common import arrow_map, doc_texts, small_batches
 
-#: Bounds of the learning sample and of what is sent to every task.
-FIT_ROWS, MAX_FEATURES, MIN_SUPPORT = 16_000, 20_000, 4
+#: Bound of the learning sample, and toxic rows of it that a feature must stand in; both bound the table of weights.
+#: A feature counts if it is at least e times as frequent in toxic rows.
+FIT_ROWS, MIN_SUPPORT = 16_000, 4
 PREFIXES = (3, 4, 5, 6, 7)
 #: Letters that signs are used for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -68,7 +70,7 @@ def trigrams(texts: DataFrame) -> np.ndarray:
                     if len(c) <= 5000:
                         np.add.at(total, (c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], 1)
         at = np.flatnonzero(total)
-        yield {"cell": at.tolist(), "n": total[at].tolist()}
+        yield {"cell": at, "n": total[at]}
 
     schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("n", T.LongType())])
     got = arrow_map(texts.select("text"), rows, schema).groupBy("cell").agg(F.sum("n").alias("n")).limit(SIZE**3).toPandas()
@@ -216,7 +218,7 @@ def fit(texts: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         for b in batches:
             for text, toxic, half in zip(b["text"], b["toxic"], b["half"], strict=True):
                 if half == 0:
-                    own = {f for w in words_of(restore(text, lm, cache)) if len(w) <= 40 for f in features(w)}
+                    own = {f for w in words_of(restore(text, lm, cache)) for f in features(w)}
                     seen[toxic].update(own)
                     seen[toxic][""] += 1
         names = [f for f, n in seen[1].items()]
@@ -227,18 +229,15 @@ def fit(texts: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
     schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("t", T.LongType()), T.StructField("c", T.LongType())])
     sums = arrow_map(chosen, count, schema).groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    # the most telling MAX_FEATURES of those with enough support in toxic rows; the empty feature counts rows
-    ranked = sums.where((F.col("t") >= MIN_SUPPORT) | (F.col("feature") == "")).orderBy((F.col("feature") != "").cast("int"), ((F.col("t") + 0.1) / (F.col("t") + F.col("c") + 1)).desc(), F.col("t").desc(), "feature").limit(MAX_FEATURES)
-    got = {r["feature"]: (r["t"], r["c"]) for r in ranked.collect()}
-    nt, nc = got.pop("", (0, 0))
+    sums = sums.where((F.col("t") >= MIN_SUPPORT) | (F.col("feature") == "")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows_ = sums.where("feature = ''").first()  # the empty feature counts rows
+    nt, nc = (rows_["t"], rows_["c"]) if rows_ else (0, 0)
     prior = nt / (nt + nc) if nt + nc else 0.0
     if not nt or not nc:
         return Model(lm, {}, None, float(prior))
-    weights = {}
-    for f, (t, c) in got.items():
-        odds = math.log((t + 0.1) / (nt + 0.2)) - math.log((c + 0.5) / (nc + 1.0))
-        if odds > 1.0:
-            weights[f] = min(odds, 6.0)
+    odds = F.log((F.col("t") + 0.1) / (nt + 0.2)) - F.log((F.col("c") + 0.5) / (nc + 1.0))
+    weights = {r["feature"]: min(r["odds"], 6.0) for r in sums.where("feature <> ''").select("feature", odds.alias("odds")).where("odds > 1.0").orderBy("feature").collect()}
+    sums.unpersist()
 
     def tell(batches: Iterator[dict]) -> Iterator[dict]:
         a, e = {}, {}
