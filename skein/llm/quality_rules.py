@@ -1,10 +1,13 @@
 """Operator 6: line-first cleaning in DataFrame functions only.
 
-Every line is tested by punctuation, navigation and boilerplate rules; failing lines are removed; a document
-that loses too much of its text is rejected, as is one that fails the base rules (few words, repetition).
-
-Defined results: a null text counts as empty (no words, so rejected); repeated rows give a row each; ties need
-no order; an empty table gives an empty one; columns other than doc_id and text are not looked at.
+Every line is tested by rules of punctuation (junk signs, "!!", cut ends), navigation (separators, link lists) and
+boilerplate phrases; failing lines are removed; a document that loses too much of its text is rejected, as is one that
+fails the base rules (few words, repetition). Rules that look for a phrase only judge short lines, so a text of one line
+that mentions a privacy policy stays.
+
+Defined results: a null text counts as empty (no words, so rejected); a null doc_id stays null; repeated rows give a row
+each; ties need no order; an empty table gives an empty one; columns other than doc_id and text are not looked at and
+come back as they are. Very long texts and lines are judged whole, in n log n.
 """
 
 from __future__ import annotations
@@ -16,9 +19,13 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 MIN_WORDS, MAX_REPEAT, REPEAT_WINDOW = 50, 0.5, 3
 #: A document is rejected when more than this share of its word characters was in removed lines.
 MAX_LOST = 0.5
-#: Shares of a line's words, at the least, that make it fail.
-SYMBOL_SHARE, SHOUT_SHARE, PIPE_SHARE = 0.3, 0.5, 0.25
-#: Phrases of page furniture.
+#: Shares of a line's words, at the least, that make it fail: junk signs, "!!", separators of menus, links.
+SYMBOL_SHARE, SHOUT_SHARE, PIPE_SHARE, LINK_SHARE = 0.3, 0.5, 0.25, 0.5
+#: Words of a line up to which a phrase of page furniture, or a cut end ("... read more"), makes it fail: longer lines are text.
+SHORT_LINE = 30
+#: Signs that part the entries of a menu; ends of a line that was cut off; phrases of page furniture.
+SEPARATORS = ("|", "»", "›", "·", "•", "::")
+TEASER = "(\\[\\.\\.\\.\\]|\\[…\\]|(\\.\\.\\.|…) ?(read|show|see) more)[\\x20\\x09-\\x0D]*$"
 BOILERPLATE = (
     "accept all cookies", "all rights reserved worldwide", "click here to", "enable javascript", "javascript is disabled",
     "lorem ipsum", "powered by wordpress", "privacy policy", "sign up for our newsletter", "skip to content", "subscribe to our",
@@ -51,15 +58,19 @@ def line_fails(line: Column, words: Column) -> Column:
     """True if a rule removes the line. Lines without a word fail no rule: they carry no text."""
     n = F.size(words)
     count = lambda pattern: F.size(F.filter(words, lambda w: w.rlike(pattern)))
-    junk, shout, pipes = count("[#*$%&<>]{2,}"), count("!!+$"), count("^[|]$")
+    junk, shout, links = count("[#*$%&<>]{2,}"), count("!!+$"), count("^(https?://|www[.])")
+    pipes = F.size(F.filter(words, lambda w: w.isin(*SEPARATORS)))
     low = F.lower(line)
     boiler = F.lit(False)
     for phrase in BOILERPLATE:
         boiler = boiler | low.contains(phrase)
+    boiler = boiler & (n <= SHORT_LINE)
+    teaser = low.rlike(TEASER) & (n <= SHORT_LINE)
     bad_junk = line.rlike("[#*$%&<>]{2,}") & (junk >= SYMBOL_SHARE * n)
     bad_shout = line.contains("!!") & (shout > 1) & (shout >= SHOUT_SHARE * n)
-    bad_pipes = line.contains("|") & (pipes > 1) & (pipes >= PIPE_SHARE * n)
-    return bad_junk | bad_shout | bad_pipes | boiler
+    bad_pipes = line.rlike("[|»›·•]|::") & (pipes > 1) & (pipes >= PIPE_SHARE * n)
+    bad_links = line.rlike("https?://|www[.]") & (links >= LINK_SHARE * n)
+    return bad_junk | bad_shout | bad_pipes | bad_links | boiler | teaser
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -93,6 +104,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 _SQL_BAD = " OR ".join(f"contains(lower(l), '{p}')" for p in BOILERPLATE)
+_SQL_SEPARATORS = "(" + ", ".join(f"'{x}'" for x in SEPARATORS) + ")"
 _SQL_WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
@@ -104,10 +116,10 @@ rep AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest([p, p + 1, p
 lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d),
 lw AS (SELECT rid, l, {_SQL_WORDS.format("l")} AS w FROM lines),
 lm AS (SELECT rid, l, len(w) AS n, len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&<>]{{2,}}'))) AS junk,
-  len(list_filter(w, lambda x: regexp_matches(x, '!!+$'))) AS shout, len(list_filter(w, lambda x: x = '|')) AS pipes,
+  len(list_filter(w, lambda x: regexp_matches(x, '!!+$'))) AS shout, len(list_filter(w, lambda x: x IN {_SQL_SEPARATORS})) AS pipes, len(list_filter(w, lambda x: regexp_matches(x, '^(https?://|www[.])'))) AS links,
   length(regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g')) AS c FROM lw),
 ls AS (SELECT rid, count(*) FILTER (n > 0) - count(DISTINCT l) FILTER (n > 0) AS dup,
-  coalesce(sum(c) FILTER ((junk > 0 AND junk >= {SYMBOL_SHARE} * n) OR (shout > 1 AND shout >= {SHOUT_SHARE} * n) OR (pipes > 1 AND pipes >= {PIPE_SHARE} * n) OR {_SQL_BAD}), 0) AS lost
+  coalesce(sum(c) FILTER ((junk > 0 AND junk >= {SYMBOL_SHARE} * n) OR (shout > 1 AND shout >= {SHOUT_SHARE} * n) OR (pipes > 1 AND pipes >= {PIPE_SHARE} * n) OR (links > 0 AND links >= {LINK_SHARE} * n) OR (n <= {SHORT_LINE} AND ({_SQL_BAD} OR regexp_matches(lower(l), '{TEASER}')))), 0) AS lost
   FROM lm GROUP BY rid),
 o AS (SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(length(regexp_replace(w.t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(w.t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(ls.dup AS BIGINT) AS n_dup_lines,

@@ -1,5 +1,6 @@
 """Operators that gather from the whole corpus, against brute-force versions."""
 
+import itertools
 import math
 import re
 import zlib
@@ -256,6 +257,31 @@ def test_toxicity_decodes():
     assert toxicity.restore("The 2024 a1b2c3d4e5f6a7b8c9d0 x", lm, {})[:8] == "the 2024"
 
 
+def test_toxicity_viterbi_equals_all_readings():
+    rng = np.random.default_rng(8)
+    lm = np.log(rng.dirichlet(np.ones(toxicity.SIZE), (toxicity.SIZE, toxicity.SIZE))).astype(np.float32)
+    for span in ("1d10t", "a m.o", "sccc0", "(l0$e!", "5+up1", "x", "éà7!", "s  k!!", "4@4"):
+        best = (-math.inf, "")
+        for reading in itertools.product(*toxicity.lattice(span)):
+            a, b, score = 0, 0, 0.0
+            for c, weight in reading:
+                if c:
+                    k = 0 if c == " " else toxicity.CODE.get(c, toxicity.SIZE - 1)
+                    score, a, b = score + weight + float(lm[a, b, k]), b, k
+                else:
+                    score += weight - 1.0
+            best = max(best, (score + float(lm[a, b, 0]), "".join(c for c, _ in reading)))
+        assert toxicity.decode(span, lm) == best[1], span
+
+
+def test_toxicity_edges(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, "you 1d10t"), (4, "fine words"), (4, "fine words"), (7, "a" * 20_000)], "doc_id long, text string").selectExpr("*", "1 as toxic", "2 as score", "'x' as half")
+    labels = spark.createDataFrame([(1, 0, None), (2, 0, None), (4, None, None), (None, 1, 1)], "doc_id long, toxic int, quality int")
+    got = toxicity.digest(docs, labels).collect()
+    assert len(got) == 6 and {r["score"] for r in got} == {0.0} and {r["predicted"] for r in got} == {0} and [r["held_out"] for r in got if r["doc_id"] is None] == [None]
+    assert toxicity.digest(docs.limit(0), labels).count() == 0 and toxicity.digest(docs, labels.limit(0)).count() == 6
+
+
 def test_toxicity_decodes_stretches_of_any_length_and_signs_anywhere():
     cube = np.zeros((toxicity.SIZE,) * 3)
     for w in "you are a worthless idiot stupid moron such shit stop and the thing was other".split() * 20:

@@ -154,6 +154,45 @@ def test_license_method(spark):
     assert {r["doc_id"]: r["labels"] for r in license_scan.licenses(df).collect()} == {1: "mit", 2: "apache-2.0", 3: "", 4: "reserved"}
 
 
+def test_license_titles_notices_and_identifiers():
+    said = {
+        "MIT License": "mit", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0", "Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa-4.0", "The Unlicense": "unlicense",
+        "Boost Software License - Version 1.0": "bsl-1.0", "GNU Lesser General Public License v2.1": "lgpl-2.1", "Eclipse Public License, version 2.0": "epl-2.0", "SPDX-License-Identifier: (MIT)": "mit",
+        "in no event will the authors be held liable for any damages arising from the use of this software": "zlib",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.": "mit",
+    }
+    for text, label in said.items():
+        assert label in license_scan.scan(license_scan.words_of(f"# {text}\n and more"), {})[2], text
+    for text in ("a license to kill", "the software of the foundation", "version 2 of the text", "public domain music", "copyright by nobody"):
+        assert license_scan.scan(license_scan.words_of(text), {})[1:] == (set(), set(), 0.0), text
+
+
+def brute_labels(words):
+    """Every template at every place: the best share of its words, where its mandatory phrase stands beside."""
+    out = {}
+    for label, template, mandatory in license_scan.TEMPLATES:
+        t, k = template.split(), mandatory.split()
+        phrase = [i for i in range(len(words)) if words[i : i + len(k)] == k]
+        for at in range(-len(t), len(words)):
+            if any(at - 2 <= i <= at + len(t) - len(k) + 2 for i in phrase):
+                share = sum(0 <= at + p < len(words) and words[at + p] == w for p, w in enumerate(t)) / len(t)
+                out[label] = max(share, out.get(label, 0.0))
+    return {k: v for k, v in out.items() if v >= license_scan.MIN_SCORE}
+
+
+def test_license_labels_equal_brute_force():
+    rng = np.random.default_rng(6)
+    vocabulary = sorted(license_scan._WANTED) + ["filler", "other"] * 20
+    for _ in range(120):
+        words = rng.choice(vocabulary, rng.integers(0, 12)).tolist()
+        for _ in range(rng.integers(0, 3)):
+            own = license_scan.TEMPLATES[rng.integers(len(license_scan.TEMPLATES))][1].split()
+            for _ in range(rng.integers(0, 3)):
+                own[rng.integers(len(own))] = "other"
+            words += own + rng.choice(vocabulary, rng.integers(0, 6)).tolist()
+        assert license_scan.scan(words, {})[2] == set(brute_labels(words)), words
+
+
 def test_license_gate_loses_no_template():
     said = "This work is licensed under a Creative Commons Attribution 4.0 International"
     for text in (said, f"{said} licence.", f"{said} licence. Other software"):
@@ -170,6 +209,24 @@ def test_license_gate_loses_no_template():
         assert license_scan.scan(phrase.split(), {})[:2] == ([0], {label})
 
 
+def test_quality_rules_values(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, f"{text} our privacy policy says so"), (2, f"{text}\nPrivacy policy"), (3, f"{text}\nHome » News » Blog"), (4, f"{text}\nhttps://a.b/c www.d.e more"), (5, f"{text}\nA story begins here ... Read more"),
+        (6, f"{text}\n$$## && ok"), (7, f"{text}\nBuy!! Now!! it"), (8, f"{text}\n \n{text}"), (9, "a b c " * 30), (None, text), (11, None), (12, ""), (12, "one | two | three\n" * 40), (13, "\t\n"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as kept", "'x' as clean_text", "2 as n_words")
+    got = [r.asDict() for r in quality_rules.digest(df).collect()]
+    lost = [r["lost_chars"] for r in got]
+    assert lost == [0, 13, len("Home»News»Blog"), len("https://a.b/cwww.d.emore"), len("Astorybeginshere...Readmore"), len("$$##&&ok"), len("Buy!!Now!!it"), 0, 0, 0, 0, 0, 40 * 13, 0]
+    assert [r["kept"] for r in got] == [True] * 7 + [False, False, True, False, False, False, False]
+    assert [r["base_failed"] for r in got] == [False] * 7 + [True, True, False, True, True, True, True]
+    assert [r["n_dup_lines"] for r in got] == [0] * 7 + [1, 0, 0, 0, 0, 39, 0] and [r["n_words"] for r in got][-4:] == [0, 0, 200, 0]
+    assert [r["n_repeat_words"] for r in got][7:10] == [120, 90, 0] and got[5]["n_symbols"] == 6 and got[9]["word_chars"] == len(text.replace(" ", ""))
+    clean = quality_rules.quality(spark.createDataFrame(rows[1:2], "doc_id long, text string")).first()
+    assert clean["clean_text"] == text and clean["_row"]["doc_id"] == 2
+
+
 def test_packing_is_whole_and_close_to_the_bound(docs, texts):
     tok = Tokenizer.from_file(PATH)
     rows = packing.packed(docs, PATH).collect()
