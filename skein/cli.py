@@ -1,4 +1,4 @@
-"""Command line: index, search, ask, list, status, remove, eval, agent, embeddings."""
+"""Command line: index, search, ask, list, status, remove, eval, agent, embeddings, cache."""
 
 from __future__ import annotations
 
@@ -8,10 +8,13 @@ import os
 
 from pyspark.sql import functions as F
 
-from skein.operators import agent, embed
+from skein.functions.text import shortened
+from skein.operators import embed, evaluation
 from skein.plans import index as plans
 from skein.session import session
+from skein.sinks import reports
 from skein.sources import golden, repository
+from skein.sources.clones import Clones
 from skein.sources.store import Store, stats
 
 
@@ -33,32 +36,62 @@ def parser() -> argparse.ArgumentParser:
         if name == "eval":
             s.add_argument("--dataset", required=True)
             s.add_argument("--compare-modes", default="")
+            s.add_argument("--compare-embeddings", default="")
+        if name in ("eval", "agent"):
+            s.add_argument("--json")
+            s.add_argument("--markdown")
     sub.add_parser("list")
     sub.add_parser("embeddings")
+    sub.add_parser("cache").add_argument("action", choices=("list", "prune"))
     return p
 
 
+def _report(report: dict, a: argparse.Namespace) -> None:
+    """Prints a report, and writes it where that is asked for."""
+    print(reports.markdown(report))
+    for kind in reports.FORMATS:
+        if getattr(a, kind):
+            reports.write(report, getattr(a, kind), kind)
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command == "embeddings":
-        print(json.dumps({k: v.dimension for k, v in embed.PROFILES.items()}))
+        print(json.dumps({k: {"dimension": v.dimension, "query_prefix": v.query_prefix, "document_prefix": v.document_prefix} for k, v in embed.PROFILES.items()}))
+        return 0
+    clones = Clones(os.path.join(a.store, "clones"))
+    if a.command == "cache" and a.action == "prune":
+        print(json.dumps({"removed": clones.prune()}))
         return 0
     spark = session(a.master)
     store = Store(spark, a.store)
+    if a.command == "cache":
+        shown = clones.list(spark).withColumn("canonical_url", shortened(F.col("canonical_url")))
+        for r in shown.collect():
+            print(json.dumps(r.asDict(), ensure_ascii=False))
+        return 0
     if a.command == "list":
         for r in plans.manifests(spark, store).collect():
             print(json.dumps(r.asDict(), ensure_ascii=False))
         return 0
-    git = repository.kind(a.source) == "git"
-    key = plans.git_key(repository.canonical(a.source), a.ref) if git else plans.local_key(a.source)
+    kind, source, key = plans.resolve(a.source, a.ref)
     name = plans.collection_name(embed.profile_key(key, a.profile))
     if a.command == "index":
-        root = repository.checkout(a.source, os.path.join(a.store, "clones"), a.ref, a.refresh)[0] if git else repository.local(a.source)
+        if kind == "git":
+            root, commit = repository.checkout(a.source, clones.root, a.ref, a.refresh)
+            clones.update(source, a.ref, commit)
+        else:
+            root = repository.local(a.source)
         print(json.dumps(plans.index(spark, root, store, a.profile, a.source, key)))
         return 0
     if a.command == "remove":
         print(json.dumps({"removed": store.delete(name)}))
         return 0
+    if a.command == "eval" and a.compare_embeddings:
+        golden_ = golden.load(spark, a.dataset)
+        told = plans.compare_embeddings(store, key, golden_, [p.strip() for p in a.compare_embeddings.split(",") if p.strip()], a.mode, a.top_k)
+        _report(reports.comparison(told, "profile", a.dataset, a.source, a.top_k), a)
+        return 0
     chunks = store.read(name)  # nothing is cloned for a collection that is not there
     if chunks is None:
         print(json.dumps({"collection": name, "exists": False}))
@@ -66,15 +99,16 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "status":
         print(json.dumps({r["chunk_type"]: r["n"] for r in stats(chunks).collect()}))
     elif a.command == "eval":
-        modes = [m for m in a.compare_modes.split(",") if m] or [a.mode]
-        for r in plans.evaluate(chunks, golden.load(spark, a.dataset), modes, a.top_k).collect():
-            print(json.dumps(r.asDict()))
+        wanted, modes = golden.load(spark, a.dataset), plans.parse_modes(a.compare_modes)
+        if modes:
+            _report(reports.comparison(plans.evaluate(chunks, wanted, modes, a.top_k, profile=a.profile), "mode", a.dataset, a.source, a.top_k), a)
+        else:
+            summary, metrics = plans.evaluate_one(chunks, wanted, a.mode, a.top_k, a.profile)
+            _report(reports.evaluation(summary, metrics, a.dataset, a.source, a.top_k, a.mode), a)
+            for r in evaluation.failed_samples(metrics).collect():
+                print(f"no hit: {r['query_id']}")
     elif a.command == "agent":
-        steps = agent.plan(spark.createDataFrame([("t", a.text)], "task_id string, task string"))
-        hits = plans.search(chunks, steps.select(F.col("pos").alias("query_id"), "question"), "hybrid", 5, a.profile)
-        evidence = hits.select(F.lit("t").alias("task_id"), F.col("query_id").alias("pos"), "rank", "file_path")
-        rows, files = steps.orderBy("pos").collect(), agent.key_files(evidence).orderBy("rank").collect()
-        print(agent.markdown(a.text, rows[0]["understanding"], [(r["question"], r["rationale"]) for r in rows], [f["file_path"] for f in files], [] if files else ["证据不足"]))
+        _report(plans.run_agent(chunks, a.text, a.profile), a)
     else:
         asked = spark.createDataFrame([("q", a.text)], "query_id string, question string")
         hits = plans.search(chunks, asked, a.mode, a.top_k, a.profile)

@@ -82,6 +82,21 @@ def escape_context(c: Column) -> Column:
     return F.regexp_replace(spaced, "<(/?)untrusted_context>", "< $1untrusted_context >")
 
 
+def shortened(c: Column, most: int = 60) -> Column:
+    """For display: the end of a longer string behind three dots."""
+    return F.when(F.length(c) > most, F.concat(F.lit("..."), F.substring(c, 3 - most, most - 3))).otherwise(c)
+
+
+def json_map(c: Column) -> Column:
+    """A JSON object as a map; what is no object becomes an empty map."""
+    return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def headings(line: Column) -> Column:
+    """Whether a line of a document is a heading: one to six # and a space, then text."""
+    return line.rlike("^#{1,6}[ \\t]+\\S")
+
+
 def sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "[。！？!?；;.\\n]+"), lambda s: F.regexp_replace(s, "^\\s+|\\s+$", "")), lambda s: s != "")
 

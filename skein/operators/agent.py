@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -53,8 +53,44 @@ def insufficient(steps: DataFrame, evidence: DataFrame) -> DataFrame:
     return steps.select("task_id").distinct().join(found, "task_id", "left").select("task_id", F.col("found").isNull().alias("insufficient"))
 
 
-def markdown(task: str, understanding: str, steps: list[tuple[str, str]], files: list[str], risks: list[str]) -> str:
-    lines = [f"# Agent report\n\n**Task:** {task}\n\n{understanding}\n\n## Plan\n"]
-    lines += [f"{i}. {q} ({r})" for i, (q, r) in enumerate(steps, 1)]
-    lines += ["\n## Key files\n", *[f"- `{f}`" for f in files], "\n## Risks\n", *[f"- {r}" for r in risks]]
-    return "\n".join(lines) + "\n"
+def hit_line() -> Column:
+    """A hit in one line: where it stands, and what it is."""
+    return F.format_string("%s:%d-%d  %s=%s", F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("chunk_type"), F.when(F.coalesce("name", F.lit("")) == "", "<anonymous>").otherwise(F.col("name")))
+
+
+# What a brief says.
+CHANGE, NO_CHANGE = "处理子问题：", "无具体子问题，可直接基于现有代码修改"
+RISK_NONE, RISK_FEW, RISK_CHANGE = "证据不足：检索未命中任何代码片段，建议人工补充上下文", "命中的关键文件较少，可能存在理解偏差", "任务涉及改动，注意回归测试与兼容性"
+CHANGE_WORDS, SPEED_WORDS = ("重构", "修改", "替换", "删除"), ("性能", "performance", "perf")
+TEST, TEST_SPEED = "python -m pytest tests/ -v", "# 性能相关：考虑补 benchmark / 性能基线"
+NOTE_NONE, NOTE_FOUND = "证据不足，未自动生成完整方案；建议重新索引后重试，或补充任务描述", "已交叉验证检索证据；建议人工复核引用到的关键文件"
+
+
+def briefs(steps: DataFrame, evidence: DataFrame) -> DataFrame:
+    """What the evidence of a task comes to, a row a task: understanding, suggested_changes, key_files, risks, suggested_tests,
+    insufficient_evidence, review_note. steps: as plan() gives them (at most MOST a task). evidence: as for key_files()."""
+    told = steps.groupBy("task_id").agg(F.first("understanding").alias("understanding"), F.array_sort(F.collect_list(F.struct("pos", "question"))).alias("s"))
+    files = key_files(evidence).groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("rank", "file_path"))).alias("f"))
+    both = told.join(files, "task_id", "left").withColumn("key_files", F.coalesce(F.col("f.file_path"), F.array().cast("array<string>")))
+    asked = F.filter(F.col("s.question"), lambda q: q != "")
+    changes = F.when(F.size(asked) == 0, F.array(F.lit(NO_CHANGE))).otherwise(F.transform(asked, lambda q: F.concat(F.lit(CHANGE), q)))
+    none = F.size("key_files") == 0
+    speed = F.exists(F.col("s.question"), lambda q: F.lower(q).rlike("|".join(SPEED_WORDS)))
+    risks = F.array(F.when(none, RISK_NONE).when(F.size("key_files") < 2, RISK_FEW), F.when(F.col("understanding").rlike("|".join(CHANGE_WORDS)), RISK_CHANGE))
+    return both.select(
+        "task_id", "understanding", changes.alias("suggested_changes"), "key_files", F.array_compact(risks).alias("risks"),
+        F.array_compact(F.array(F.lit(TEST), F.when(speed, TEST_SPEED))).alias("suggested_tests"), none.alias("insufficient_evidence"), F.when(none, NOTE_NONE).otherwise(NOTE_FOUND).alias("review_note"),
+    )
+
+
+def report(task: str, steps: DataFrame, hits: DataFrame) -> dict:
+    """The report of one task: its plan, evidence and brief. hits: task_id, pos, rank, file_path and the chunk's columns."""
+    evidence = hits.select("task_id", "pos", "rank", "file_path")
+    brief = briefs(steps, evidence).first().asDict()
+    rows, found = steps.orderBy("pos").collect(), hits.select("pos", "rank", "file_path", hit_line().alias("line")).orderBy("pos", "rank").collect()
+    mine = lambda pos, c: list(dict.fromkeys(r[c] for r in found if r["pos"] == pos))
+    return {
+        "task": task, **{k: v for k, v in brief.items() if k != "task_id"}, "plan": [{"question": r["question"], "rationale": r["rationale"]} for r in rows],
+        "references": list(dict.fromkeys(r["line"] for r in found)),
+        "evidence": [{"question": r["question"], "file_paths": mine(r["pos"], "file_path"), "chunk_summaries": mine(r["pos"], "line")} for r in rows],
+    }

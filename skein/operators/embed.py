@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators.vectors import unit
@@ -25,7 +25,26 @@ class Profile:
     document_prefix: str = ""
 
 
-PROFILES = {p.profile_id: p for p in (Profile("hash", 1024), Profile("hashing-tf", 256), Profile("letters", 26))}
+PROFILES = {p.profile_id: p for p in (Profile("hash", 1024), Profile("hashing-tf", 256), Profile("letters", 26), Profile("hashing-tf-e5", 256, "query: ", "passage: "))}
+
+
+def profile(name: str, **custom: object) -> Profile:
+    """A registered profile; "custom" needs its dimension and may set prefixes, and is registered under its profile_id."""
+    name = (name or "").strip().lower()
+    if name == "custom":
+        if not custom.get("dimension"):
+            raise ValueError("a custom profile needs its dimension")
+        made = Profile(**{"profile_id": "custom", **custom})
+        PROFILES[made.profile_id] = made
+        return made
+    if name not in PROFILES:
+        raise ValueError(f"unknown profile {name!r}; known: {', '.join(sorted(PROFILES))}, custom")
+    return PROFILES[name]
+
+
+def listed(spark: SparkSession) -> DataFrame:
+    """All profiles: profile_id, dimension, query_prefix, document_prefix."""
+    return spark.createDataFrame([(p.profile_id, p.dimension, p.query_prefix, p.document_prefix) for p in PROFILES.values()], "profile_id string, dimension int, query_prefix string, document_prefix string")
 
 
 def profile_key(key: str, profile: str, baseline: str = "hash") -> str:

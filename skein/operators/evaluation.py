@@ -49,6 +49,19 @@ def summary(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
     return metrics.groupBy(*(by or [])).agg(*aggs)
 
 
+def with_latency(summaries: DataFrame, metrics: DataFrame, times: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """summaries and avg_latency_ms, over all queries. times: query_id, elapsed_ms and the grouping columns; 0 without any."""
+    by = by or []
+    mean = metrics.select("query_id", *by).join(times, ["query_id", *by]).groupBy(*by).agg(F.round(F.avg("elapsed_ms"), 2).alias("avg_latency_ms"))
+    joined = summaries.join(F.broadcast(mean), by, "left") if by else summaries.join(F.broadcast(mean))  # a row a group
+    return joined.withColumn("avg_latency_ms", F.coalesce("avg_latency_ms", F.lit(0.0)))
+
+
+def failed_samples(metrics: DataFrame, n: int = 5) -> DataFrame:
+    """The first n queries with an expectation that no hit met, neither file nor symbol."""
+    return metrics.where((F.col("has_files") | F.col("has_symbols")) & ~F.col("file_hit") & ~F.col("symbol_hit")).orderBy("query_id").limit(n)
+
+
 def confidence(hits: DataFrame, queries: DataFrame, mode: str = "hybrid") -> DataFrame:
     """low_confidence and reason of each query: no hit, documents only, or too far on average (vector mode)."""
     seen = queries.select("query_id").join(hits, "query_id", "left").groupBy("query_id").agg(

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skein.functions.text import keywords_lexical, occurrences
 from skein.operators.topk import TopK
@@ -122,7 +123,7 @@ def _in_one_pass(chunks: DataFrame, queries: DataFrame, rows: list, k: int | Non
     kinds = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, score double"
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))).alias(c)
     sent = chunks.sparkSession.sparkContext.broadcast(Questions(rows))
-    target = pa.schema([("query_id", pa.string() if isinstance(rows[0]["query_id"], str) else pa.int64()), ("score", pa.float64())])
+    query_type, chunk_type = (to_arrow_type(df.schema[c].dataType) for df, c in ((queries, "query_id"), (chunks, "chunk_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = sent.value
@@ -137,7 +138,7 @@ def _in_one_pass(chunks: DataFrame, queries: DataFrame, rows: list, k: int | Non
             parts.append((at, use, weights, TopK(len(weights), k) if k else None))
 
         def told(query: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids[query].tolist(), target.field("query_id").type), pa.array(chunk), pa.array(score)], ["query_id", "chunk_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[query].tolist(), query_type), pa.array(chunk, chunk_type), pa.array(score)], ["query_id", "chunk_id", "score"])
 
         for batch in batches:
             points = asked.points(batch, automaton)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 try:
     import ahocorasick
@@ -30,6 +31,7 @@ def passages(items: DataFrame, texts: DataFrame) -> DataFrame:
     if ahocorasick is None or size["n"] > PASS_ITEMS or size["c"] > PASS_CHARS:
         return _by_join(known, texts)
     rows = [(r["item_id"], r["item"]) for r in known.collect()]
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
     sent = texts.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +49,7 @@ def passages(items: DataFrame, texts: DataFrame) -> DataFrame:
                 mine = {ident for end, (n, own) in automaton.iter(text) for ident, item in own if text.startswith(item, end - n + 1)}
                 found += mine
                 docs += [doc] * len(mine)
-            yield pa.RecordBatch.from_pydict({"item_id": pa.array(found, pa.int64() if not found or isinstance(found[0], int) else pa.string()), "doc_id": pa.array(docs, batch.schema.field("doc_id").type)})
+            yield pa.RecordBatch.from_pydict({"item_id": pa.array(found, item_type), "doc_id": pa.array(docs, batch.schema.field("doc_id").type)})
 
     return texts.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(run, kinds)
 

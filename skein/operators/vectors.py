@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skein.operators.topk import TopK
 
@@ -49,6 +50,7 @@ def distances(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     rounds = max(1, -(-sizes["n"] * dimension * 8 // ROUND_BYTES))
     numbered = known if rounds == 1 else known.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(rounds)))
     kinds = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(vectors.dtypes)['chunk_id']}, distance double"
+    types = [to_arrow_type(df.schema[c].dataType) for df, c in ((queries, "query_id"), (vectors, "chunk_id"))]
     for b in range(rounds):
         got = (numbered if rounds == 1 else numbered.where(F.col("_b") == b)).select("query_id", "embedding").orderBy("query_id").collect()
         got = [r for r in got if len(r["embedding"]) == dimension]
@@ -68,7 +70,7 @@ def distances(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for at, best in blocks:
                 if best.found is not None:
                     query, value, ident = best.found
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[at + i] for i in query.tolist()]), "chunk_id": pa.array(ident), "distance": pa.array(value)})
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[at + i] for i in query.tolist()], types[0]), "chunk_id": pa.array(ident, types[1]), "distance": pa.array(value)})
 
         one = vectors.select("chunk_id", "embedding").mapInArrow(run, kinds)
         out = one if out is None else out.unionByName(one)

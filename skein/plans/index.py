@@ -5,14 +5,16 @@ from __future__ import annotations
 import datetime
 import hashlib
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import context, embed, evaluation, fusion, lexical, vectors
+from skein.operators import agent, context, embed, evaluation, fusion, lexical, vectors
 from skein.operators.chunking import CHUNKS, chunk_files
+from skein.sources import repository
 from skein.sources import scan as scanning
-from skein.sources.store import Store, change_set, stats, upserted, without_files
+from skein.sources.store import Store, change_set, manifest_status, stats, upserted, without_files
 
 TRACKER = "rel_path string, file_hash string"
 MANIFEST = "collection string, display_name string, source string, profile string, files long, chunks long, chunk_types map<string,long>, last_indexed_at string"
@@ -27,6 +29,29 @@ def git_key(url: str, ref: str | None = None) -> str:
     return f"git-{hashlib.sha256(url.removesuffix('.git').encode()).hexdigest()[:8]}-{(ref or 'DEFAULT').replace('/', '_')}"
 
 
+def resolve(source: str, ref: str | None = None) -> tuple[str, str, str]:
+    """(kind, canonical source, key) of what a user names; nothing is cloned or opened."""
+    if repository.kind(source) == "git":
+        url = repository.canonical(source)
+        return "git", url, git_key(url, ref)
+    return "local", os.path.abspath(os.path.expanduser(source)), local_key(source)
+
+
+MODES = ("vector", "lexical", "hybrid")
+
+
+def parse_mode(mode: str) -> str:
+    found = (mode or "").strip().lower()
+    if found not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}, not {mode!r}")
+    return found
+
+
+def parse_modes(listed: str) -> list[str]:
+    """Modes of a comma-separated list, each once, in order; empty entries are passed over."""
+    return list(dict.fromkeys(parse_mode(m) for m in (listed or "").split(",") if m.strip()))
+
+
 def collection_name(key: str) -> str:
     if not key:
         raise ValueError("empty collection key")
@@ -60,9 +85,9 @@ def index(spark: SparkSession, root: str, store: Store, profile: str = "hashing-
 
 def search(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid", k: int = 8, profile: str = "hashing-tf", threshold: float = 0.7) -> DataFrame:
     """query_id, rank, score, stage, channels and the chunk's columns of a batch of questions (query_id, question)."""
-    mode = mode.strip().lower()
-    if mode not in ("vector", "lexical", "hybrid") or k < 1:
-        raise ValueError("mode is vector, lexical or hybrid; k is at least 1")
+    mode = parse_mode(mode)
+    if k < 1:
+        raise ValueError("k is at least 1")
     metadata = chunks.drop("embedding")
 
     def vector(n: int) -> DataFrame:
@@ -92,11 +117,11 @@ def answer_context(hits: DataFrame, questions: DataFrame, mode: str = "hybrid")
     return evaluation.confidence(hits, questions, mode).join(context.contexts(hits), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
-def evaluate(chunks: DataFrame, golden: DataFrame, modes: list[str], k: int = 8, respect_query_mode: bool = False) -> DataFrame:
+def evaluate(chunks: DataFrame, golden: DataFrame, modes: list[str], k: int = 8, respect_query_mode: bool = False, profile: str = "hashing-tf") -> DataFrame:
     """Averages per mode of golden queries, one job for all; a query's own mode overrides where that is asked for."""
     out = None
     for m in dict.fromkeys(modes):
-        hits = search(chunks, golden, m, k).select(F.lit(m).alias("mode"), "query_id", "rank", "file_path", "name", "parent")
+        hits = search(chunks, golden, m, k, profile).select(F.lit(m).alias("mode"), "query_id", "rank", "file_path", "name", "parent")
         out = hits if out is None else out.unionByName(hits)
     metrics = evaluation.per_query(golden.select("query_id", "expected_files", "expected_symbols"), out, ["mode"])
     if respect_query_mode:
@@ -105,6 +130,52 @@ def evaluate(chunks: DataFrame, golden: DataFrame, modes: list[str], k: int = 8,
     return evaluation.summary(metrics, ["mode"])
 
 
+def evaluate_one(chunks: DataFrame, golden: DataFrame, mode: str = "hybrid", k: int = 8, profile: str = "hashing-tf") -> tuple[DataFrame, DataFrame]:
+    """(summary with average latency, metrics of each query) of one mode. All queries are one job: each is given an equal
+    part of its time."""
+    began = time.time()
+    hits = search(chunks, golden, mode, k, profile).select("query_id", "rank", "file_path", "name", "parent")
+    rows = evaluation.per_query(golden.select("query_id", "expected_files", "expected_symbols"), hits).collect()
+    spark = golden.sparkSession
+    schema = evaluation.per_query(golden.select("query_id", "expected_files", "expected_symbols"), hits).schema
+    metrics = spark.createDataFrame(rows, schema).withColumn("elapsed_ms", F.lit(1000 * (time.time() - began) / max(1, len(rows))))
+    return evaluation.with_latency(evaluation.summary(metrics), metrics, metrics.select("query_id", "elapsed_ms")), metrics
+
+
+def compare_embeddings(store: Store, key: str, golden: DataFrame, profiles: list[str], mode: str = "hybrid", k: int = 8) -> DataFrame:
+    """A row for each profile: the measures of its own index, or why there are none."""
+    spark, out = golden.sparkSession, None
+    for name in dict.fromkeys(profiles):
+        profile = embed.profile(name)
+        chunks = store.read(collection_name(embed.profile_key(key, profile.profile_id)))
+        told = {"profile": F.lit(profile.profile_id), "dimension": F.lit(profile.dimension), "index_exists": F.lit(chunks is not None)}
+        if chunks is None:
+            one = spark.range(1).select(*[c.alias(n) for n, c in told.items()], F.lit(f"no index for this profile; run `index <source> --profile {profile.profile_id}`").alias("missing_reason"))
+        else:
+            one = evaluate(chunks, golden, [mode], k, profile=profile.profile_id).drop("mode").withColumns(told | {"missing_reason": F.lit("")})
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("name at least one profile")
+    return out
+
+
+def run_agent(chunks: DataFrame, task: str, profile: str = "hashing-tf", k: int = 5) -> dict:
+    """Plan, hybrid evidence of all steps in one job, brief: a report for skein.sinks.reports."""
+    steps = agent.plan(chunks.sparkSession.createDataFrame([("t", task)], "task_id string, task string"))
+    found = search(chunks, steps.select(F.col("pos").alias("query_id"), "question"), "hybrid", k, profile)
+    return agent.report(task, steps, found.withColumns({"task_id": F.lit("t"), "pos": F.col("query_id")}))
+
+
+def remove_manifest(store: Store, collection: str) -> bool:
+    """Forgets one manifest; the chunks stay."""
+    return store.delete(f"{collection}/manifest")
+
+
+def status(spark: SparkSession, store: Store, wanted: DataFrame) -> DataFrame:
+    """status of the wanted collections (collection), from the manifests."""
+    return manifest_status(wanted, manifests(spark, store))
+
+
 def manifests(spark: SparkSession, store: Store) -> DataFrame:
     out = spark.createDataFrame([], MANIFEST)
     for c in store.collections():

@@ -109,8 +109,7 @@ def change_set(spark, d):
 @query(f"""WITH {_SNAP}, c AS (SELECT coalesce(cur.rel_path, old.rel_path) AS p, cur.file_hash AS n, old.file_hash AS o FROM cur FULL JOIN old ON cur.rel_path = old.rel_path)
 SELECT CAST(count(*) FILTER (o IS NULL) AS BIGINT) AS added, CAST(count(*) FILTER (n IS NULL) AS BIGINT) AS deleted, CAST(count(*) FILTER (n IS NOT NULL AND o IS NOT NULL AND n <> o) AS BIGINT) AS modified, CAST(count(*) FILTER (n IS DISTINCT FROM o) AS BIGINT) AS total FROM c""")
 def change_totals(spark, d):
-    n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
-    return store.change_set(*_snapshots(spark, d)).agg(n("added"), n("deleted"), n("modified"), F.count("*").alias("total"))
+    return store.change_totals(store.change_set(*_snapshots(spark, d)))
 
 
 _CHUNK_ID = "file_path || ':' || substr(sha256('doc:' || source || ':1'), 1, 12)"
@@ -441,6 +440,33 @@ def references(spark, d):
 SELECT p.source AS collection, CASE WHEN m.source IS NULL THEN 'missing' ELSE 'indexed' END AS status, coalesce(total_chunks, 0) AS total_chunks, coalesce(languages, 0) AS languages, coalesce(largest, 0) AS largest FROM p LEFT JOIN m ON m.source = p.source""")
 def manifest_status(spark, d):
     docs = table(spark, d, "documents")
-    made = docs.where("doc_id % 2 = 0 AND source <> 'src3'").groupBy("source").agg(F.count("*").alias("total_chunks"), F.countDistinct("lang").alias("languages"), F.max("n_chars").alias("largest"))
-    out = docs.select("source").distinct().join(made, "source", "left")
-    return out.select(F.col("source").alias("collection"), F.when(F.col("total_chunks").isNull(), "missing").otherwise("indexed").alias("status"), F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"), F.coalesce("languages", F.lit(0)).alias("languages"), F.coalesce("largest", F.lit(0)).alias("largest"))
+    made = docs.where("doc_id % 2 = 0 AND source <> 'src3'").groupBy(F.col("source").alias("collection")).agg(F.count("*").alias("total_chunks"), F.countDistinct("lang").alias("languages"), F.max("n_chars").alias("largest"))
+    return store.manifest_status(docs.select(F.col("source").alias("collection")), made)
+
+
+@query("SELECT page_id, CASE WHEN length(url) > 60 THEN '...' || right(url, 57) ELSE url END AS shown FROM pages")
+def display_urls(spark, d):
+    return table(spark, d, "pages").select("page_id", T.shortened(F.col("url")).alias("shown"))
+
+
+@query(f"WITH {_GOLD} SELECT query_id, first_hit_rank IS NULL AS no_hit FROM pq WHERE (has_files OR has_symbols) AND NOT file_hit AND NOT symbol_hit ORDER BY query_id LIMIT 5")
+def failed_samples(spark, d):
+    golden, hits, _ = _golden(spark, d)
+    return evaluation.failed_samples(evaluation.per_query(golden, hits)).select("query_id", F.col("first_hit_rank").isNull().alias("no_hit"))
+
+
+_UNDERSTOOD = f"regexp_matches(text, '{'|'.join(agent.CHANGE_WORDS)}')"
+_FAST = f"len(list_filter(q, lambda s: regexp_matches(lower(s), '{'|'.join(agent.SPEED_WORDS)}'))) > 0"
+
+
+@query(f"""WITH {_PLAN}, w AS (SELECT task_id, q, substr(trim(text, ' ' || chr(9) || chr(10) || chr(13)), 1, 77) AS text, (task_id // 1000) % 3 AS n FROM f)
+SELECT task_id, len(q) AS n_changes, array_to_string(list_transform(range(1, n + 1), lambda i: 'c/' || i), ',') AS key_files,
+concat_ws(' ', CASE WHEN n = 0 THEN '{agent.RISK_NONE}' WHEN n < 2 THEN '{agent.RISK_FEW}' END, CASE WHEN {_UNDERSTOOD} THEN '{agent.RISK_CHANGE}' END) AS risks,
+1 + CAST({_FAST} AS INT) AS n_tests, n = 0 AS insufficient_evidence, CASE WHEN n = 0 THEN '{agent.NOTE_NONE}' ELSE '{agent.NOTE_FOUND}' END AS review_note FROM w""")
+def agent_briefs(spark, d):
+    """Briefs of all tasks; a task's evidence is as many files as its conversation's number leaves after division by three."""
+    tasks = _tasks(spark, d)
+    count = (F.floor(F.col("task_id") / 1000) % 3).cast("int")
+    files = tasks.select("task_id", F.explode(F.when(count > 0, F.sequence(F.lit(1), count))).alias("rank")).select("task_id", F.lit(0).alias("pos"), "rank", F.concat(F.lit("c/"), F.col("rank").cast("string")).alias("file_path"))
+    found = agent.briefs(agent.plan(tasks), files)
+    return found.select("task_id", F.size("suggested_changes").alias("n_changes"), F.array_join("key_files", ",").alias("key_files"), F.array_join("risks", " ").alias("risks"), F.size("suggested_tests").alias("n_tests"), "insufficient_evidence", "review_note")

@@ -53,13 +53,19 @@ def _git(*args: str, at: str | None = None) -> str:
     return done.stdout.strip()
 
 
+def cache_dir(url: str) -> str:
+    """The folder name of a URL's clone: its last part and eight digits of its hash."""
+    plain = canonical(url).removesuffix(".git")
+    return f"{re.split(r'[/:]', plain)[-1]}_{hashlib.sha256(plain.encode()).hexdigest()[:8]}"
+
+
 def checkout(url: str, cache: str, ref: str | None = None, refresh: bool = False, allow_file: bool = False) -> tuple[str, str]:
     """(folder, commit) of a clean worktree of the ref; the remote's state is preferred to an older local one."""
     if kind(url, allow_file) != "git":
         raise ValueError("not a git source")
-    own = os.path.join(cache, f"{re.split(r'[/:]', canonical(url).removesuffix('.git'))[-1]}_{hashlib.sha256(canonical(url).removesuffix('.git').encode()).hexdigest()[:8]}")
+    own = os.path.join(cache, cache_dir(url))
     if not os.path.isdir(os.path.join(own, ".git")):
-        _git("clone", "--quiet", url, own)
+        _git("clone", "--quiet", "--depth", "1", "--no-single-branch", url, own)
     elif refresh:
         _git("fetch", "--quiet", "--all", "--tags", at=own)
     if ref:
@@ -72,7 +78,11 @@ def checkout(url: str, cache: str, ref: str | None = None, refresh: bool = False
             _git("checkout", "--quiet", "--detach", name, at=own)
             break
         else:
-            raise ValueError(f"no such ref: {ref}")
+            try:  # the clone is shallow: an older commit is fetched on its own
+                _git("fetch", "--quiet", "--depth", "1", "origin", ref, at=own)
+            except RuntimeError:
+                raise ValueError(f"no such ref: {ref}") from None
+            _git("checkout", "--quiet", "--detach", "FETCH_HEAD", at=own)
     elif refresh:
         _git("checkout", "--quiet", "--detach", "origin/HEAD", at=own)
     _git("reset", "--quiet", "--hard", at=own)

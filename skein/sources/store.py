@@ -17,6 +17,20 @@ def change_set(current: DataFrame, stored: DataFrame) -> DataFrame:
     return both.withColumn("status", status).where("status IS NOT NULL").select("rel_path", "status", "old_hash", "new_hash")
 
 
+def change_totals(changes: DataFrame) -> DataFrame:
+    """added, deleted, modified, total of a change set."""
+    n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
+    return changes.agg(n("added"), n("deleted"), n("modified"), F.count("*").alias("total"))
+
+
+def manifest_status(wanted: DataFrame, manifests: DataFrame) -> DataFrame:
+    """collection, status (indexed, missing) and the manifest's columns for every wanted collection; numbers of missing ones are 0."""
+    numbers = [c for c, kind in manifests.dtypes if c != "collection" and kind in ("bigint", "int", "double")]
+    both = wanted.select("collection").distinct().join(manifests.withColumn("_there", F.lit(True)), "collection", "left")
+    rest = [F.coalesce(c, F.lit(0)).alias(c) if c in numbers else F.col(c) for c in manifests.columns if c != "collection"]
+    return both.select("collection", F.when(F.col("_there").isNull(), "missing").otherwise("indexed").alias("status"), *rest)
+
+
 def keep_first(chunks: DataFrame, key: str = "chunk_id", order: str = "ordinal") -> DataFrame:
     return chunks.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")
 
@@ -48,10 +62,11 @@ class Store:
 
     def _current(self, collection: str, table: str) -> str | None:
         try:
-            row = self.spark.read.schema("version string, n long").json(f"{self.root}/{collection}/{table}/pointer").orderBy(F.col("n").desc()).first()
+            row = self.spark.read.schema("version string, n long").json(f"{self.root}/{collection}/{table}/pointer").where("version IS NOT NULL").orderBy(F.col("n").desc(), F.col("version").desc()).first()
         except AnalysisException:
             return None
-        return f"{self.root}/{collection}/{table}/{row['version']}" if row else None
+        # a pointer that names nothing (corrupt lines read as nulls) is no snapshot: the next write is a first one
+        return f"{self.root}/{collection}/{table}/{row['version']}" if row and row["version"] else None
 
     def read(self, collection: str, table: str = "chunks", schema: str | None = None) -> DataFrame | None:
         """The current snapshot, or None (an empty table where a schema is given): reading creates nothing."""

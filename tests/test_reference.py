@@ -1,5 +1,6 @@
 """Operators of the retrieval engine on small inputs with known answers."""
 
+import json
 import os
 import subprocess
 
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.operators import agent, chunking, context, embed, evaluation, fusion, lexical, passages, vectors
 from skein.plans import index as plans
-from skein.sources import golden, repository, scan, store
+from skein.sinks import reports
+from skein.sources import clones, golden, repository, scan, store
 
 
 def one(spark, column, value):
@@ -272,3 +274,78 @@ def test_context_keeps_hits_with_null_fields(spark):
     rows = [("q", 1, "doc", "n", "p", 1, 2, None, 0.5, "text"), ("q", 2, "doc", None, "p", None, 2, "md", None, None)]
     hits = spark.createDataFrame(rows, "query_id string, rank int, chunk_type string, name string, file_path string, start_line int, end_line int, language string, score double, source string")
     assert context.contexts(hits).first()["context"].count("### [doc]") == 2
+
+
+def test_reports_and_comparison_of_embeddings(spark, tmp_path):
+    write(tmp_path / "repo", {"src/cli.py": "import os\nX = 1\nY = 2\n\n\ndef main_entry():\n    return 1\n", "docs/a.md": "# Title\n\ntext of the guide\n"})
+    st = store.Store(spark, f"file://{tmp_path}/store")
+    root, key = str(tmp_path / "repo"), plans.local_key(str(tmp_path / "repo"))
+    name = plans.collection_name(embed.profile_key(key, "hashing-tf"))
+    assert plans.index(spark, root, st)["collection"] == name and plans.resolve(root) == ("local", root, key)
+    rows = [("q1", "main_entry", ["src/cli.py"], ["main_entry"]), ("q2", "guide text", ["nowhere.py"], []), ("q3", "guide", [], [])]
+    g = spark.createDataFrame(rows, "query_id string, question string, expected_files array<string>, expected_symbols array<string>")
+    chunks = st.read(name)
+    summary, metrics = plans.evaluate_one(chunks, g, " Lexical ")
+    got = reports.evaluation(summary, metrics, "set", root, 8, "lexical")
+    assert got["summary"]["total"] == 3 and got["summary"]["recall_at_1"] == 0.5 and got["summary"]["avg_latency_ms"] > 0 and len(got["per_query"]) == 3
+    assert [r["query_id"] for r in evaluation.failed_samples(metrics).collect()] == ["q2"]
+    path = reports.write(got, str(tmp_path / "out" / "r.json"), " JSON ")
+    assert json.load(open(path, encoding="utf-8")) == got and "| Recall@1 | 50.00% |" in open(reports.write(got, str(tmp_path / "r.md"), "markdown"), encoding="utf-8").read()
+    with pytest.raises(ValueError):
+        reports.write(got, str(tmp_path / "r.txt"), "text")
+    both = reports.comparison(plans.compare_embeddings(st, key, g, ["hashing-tf", "letters", "hashing-tf"], "hybrid"), "profile", "set")
+    assert both["profiles"]["hashing-tf"]["index_exists"] and both["profiles"]["hashing-tf"]["recall_at_1"] == 0.5
+    assert not both["profiles"]["letters"]["index_exists"] and "letters: no index" in reports.markdown(both) and both["profiles"]["letters"]["mrr"] is None
+    modes = reports.comparison(plans.evaluate(chunks, g, plans.parse_modes("lexical, Hybrid,lexical,")), "mode")
+    assert set(modes["modes"]) == {"lexical", "hybrid"} and "| hybrid |" in reports.markdown(modes)
+    with pytest.raises(ValueError):
+        plans.parse_modes("lexical,fuzzy")
+    told = plans.run_agent(chunks, "修改 main_entry。performance of main_entry?")
+    assert told["key_files"][0] == "src/cli.py" and len(told["plan"]) == 3 and not told["insufficient_evidence"] and len(told["suggested_tests"]) == 2 and agent.RISK_CHANGE in told["risks"]
+    assert told["references"][0].startswith("src/cli.py:") and "# Agent report" in reports.markdown(told) and json.loads(json.dumps(told)) == told
+    wanted = spark.createDataFrame([(name,), ("other",)], "collection string")
+    assert {r["collection"]: (r["status"], r["files"]) for r in plans.status(spark, st, wanted).collect()} == {name: ("indexed", 2), "other": ("missing", 0)}
+    assert plans.remove_manifest(st, name) and plans.manifests(spark, st).count() == 0 and st.read(name) is not None
+
+
+def test_agent_brief_without_evidence(spark):
+    steps = agent.plan(spark.createDataFrame([("t", "重构")], "task_id string, task string"))
+    none = spark.createDataFrame([], "task_id string, pos int, rank int, file_path string")
+    r = agent.briefs(steps, none).first()
+    assert r["insufficient_evidence"] and r["key_files"] == [] and r["risks"] == [agent.RISK_NONE, agent.RISK_CHANGE] and r["review_note"] == agent.NOTE_NONE and r["suggested_tests"] == [agent.TEST]
+
+
+def test_clones(spark, tmp_path):
+    c = clones.Clones(str(tmp_path / "clones"))
+    one, two = "https://a.b/c/one", "https://a.b/c/two"
+    assert c.get(one) is None and c.list(spark).count() == 0 and c.prune() == []
+    for u in (one, two):
+        os.makedirs(c.path(u))
+    first = c.update(one, None, "abc", first=True, note=1)
+    again = c.update(one, "main", "def", more=2)
+    assert again["cloned_at"] == first["cloned_at"] and again["metadata"] == {"note": 1, "more": 2} and c.get(one)["commit"] == "def"
+    with open(f"{c.path(two)}.json", "w") as f:
+        f.write("{broken")
+    assert c.get(two) is None and [r["canonical_url"] for r in c.list(spark).collect()] == [one]
+    assert c.remove(two) and not c.remove(two) and c.prune() == [os.path.basename(c.path(one))] and c.get(one) is None
+
+
+def test_profiles_and_display(spark):
+    assert embed.profile(" Hash ").dimension == 1024 and embed.profile("custom", dimension=8, profile_id="mine", query_prefix="q: ").query_prefix == "q: " and embed.listed(spark).where("profile_id = 'mine'").count() == 1
+    del embed.PROFILES["mine"]
+    for bad in ("nothing", "custom"):
+        with pytest.raises(ValueError):
+            embed.profile(bad)
+    vector = lambda text, query: spark.range(1).select(embed.embed(F.lit(text), "hashing-tf-e5", query).alias("v")).first()["v"]
+    assert vector("a b", True) != vector("a b", False) == vector("a b", False)
+    assert one(spark, T.shortened, "x" * 61) == "..." + "x" * 57 and one(spark, T.shortened, "x" * 60) == "x" * 60
+    assert one(spark, T.json_map, '{"a": "b"}') == {"a": "b"} and one(spark, T.json_map, "no") == {} and one(spark, T.json_map, None) == {}
+
+
+def test_a_corrupt_pointer_is_no_snapshot(spark, tmp_path):
+    st = store.Store(spark, f"file://{tmp_path}")
+    os.makedirs(tmp_path / "c" / "tracker" / "pointer")
+    (tmp_path / "c" / "tracker" / "pointer" / "part-0.json").write_text("{broken\n")
+    assert st.read("c", "tracker", plans.TRACKER).count() == 0
+    st.write("c", spark.createDataFrame([("p", "h")], plans.TRACKER), "tracker")
+    assert st.read("c", "tracker", plans.TRACKER).count() == 1
