@@ -279,8 +279,14 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     return sizes.join(ids, ["id1", "id2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
 
 
-ORACLE = """
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END) AS g FROM d)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id) USING (doc_id)
+#: Whole: sets, links by their definition over all pairs that share a shingle, and smallest reachable ids.
+ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WIDTH} THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + {WIDTH - 1}], ' ') FOR i IN range(1, len(w) - {WIDTH - 2})]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= {PERCENT} * (p.n + q.n - k)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+walk AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT edge.b, walk.c FROM walk JOIN edge ON edge.a = walk.doc_id WHERE walk.c < edge.b)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM (SELECT doc_id, min(c) AS component_id FROM walk GROUP BY doc_id) LEFT JOIN n USING (doc_id)
 """
