@@ -32,6 +32,8 @@ from skein.llm.exchange import blocks, by_fragment, fragments, in_batches, runs,
 
 WIDTH, PERCENT = 4, 85
 HUB_ROUNDS = 4
+#: Parts in which a list's documents meet what is known of the list, so that a list of very many is no single task.
+SALTS = 8
 #: Cuts of the hash range in which a pair's overlap is counted.
 PAIR_CUTS = 4
 
@@ -227,11 +229,17 @@ def _relabel(comps: DataFrame, links: DataFrame) -> DataFrame:
     return staged(comps.join(new.withColumnRenamed("id", "comp"), "comp", "left").select("doc_id", F.coalesce("label", "comp").alias("comp")), "comps")
 
 
+def _by_list(entries: DataFrame, known: DataFrame, who: str = "doc_id") -> DataFrame:
+    """entries (gram, who, ...) with what is known of their list: a row a list, repeated for each part of it."""
+    parts = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return entries.withColumn("salt", F.pmod(F.xxhash64(who), F.lit(SALTS)).cast("int")).join(parts, ["gram", "salt"]).drop("salt")
+
+
 def _mixed(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """Entries, with their class, of the lists that hold several classes."""
     own = lists.join(comps, "doc_id")
     several = own.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram")
-    return own.join(several, "gram")
+    return _by_list(own, several)
 
 
 def link_classes(sets: DataFrame, percent: int) -> DataFrame:
@@ -246,7 +254,7 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
         # in even rounds the hub is the most central text of the list, that with the fewest n-grams of its own
         first = F.struct(F.col("own") if turn % 2 == 0 else F.lit(0), F.xxhash64("doc_id", F.lit(turn)))
         hubs = mixed.groupBy("gram").agg(F.min_by(F.struct(F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb")), first).alias("h")).select("gram", "h.*")
-        met = mixed.join(hubs, "gram").where("comp <> cb").where(F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
+        met = _by_list(mixed, hubs).where("comp <> cb").where(F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
         met = met.groupBy("doc_id", "b").agg(F.count("*").alias("k"))
         if tried is not None:
             met = met.join(tried.select(F.col("a").alias("doc_id"), "b"), ["doc_id", "b"], "left_anti")
@@ -258,7 +266,7 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
     index = mixed.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100.0 + percent) - 1e-9) + 1)
     small = index.select("gram", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     large = mixed.select("gram", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    rest = small.join(large, "gram").where("ca <> cb AND na <= nb").where(F.col("na") * 100 >= F.col("nb") * percent)
+    rest = _by_list(large, small, "b").where("ca <> cb AND na <= nb").where(F.col("na") * 100 >= F.col("nb") * percent)
     rest = rest.where(1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need("na", "nb")).select("a", "b").distinct()
     rest = rest.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     return _relabel(comps, staged(similar(rest, sets, percent), "links"))
