@@ -11,14 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import agent, context, embed, evaluation, fusion, lexical, vectors
-from skein.operators.chunking import CHUNKS, chunk_files
+from skein.operators.chunking import chunk_files
 from skein.sources import repository
 from skein.sources import scan as scanning
-from skein.sources.store import Store, change_set, manifest_status, stats, upserted, without_files
+from skein.sources.store import Store, change_set, manifest_status, stats
 
 TRACKER = "rel_path string, file_hash string"
 MANIFEST = "collection string, display_name string, source string, profile string, files long, chunks long, chunk_types map<string,long>, last_indexed_at string"
-STORED = f"{CHUNKS}, embedding array<float>"
 
 
 def local_key(path: str) -> str:
@@ -62,24 +61,24 @@ def collection_name(key: str) -> str:
 def index(spark: SparkSession, root: str, store: Store, profile: str = "hashing-tf", source: str | None = None, key: str | None = None) -> dict:
     """Counts of what changed. Without changes nothing is written."""
     name = collection_name(embed.profile_key(key or local_key(root), profile))
-    files = scanning.scan(spark, root).cache()
-    tracker = store.read(name, "tracker", TRACKER)
-    changes = change_set(files, tracker).cache()
+    listed = scanning.listed(spark, root)
+    hashes = scanning.contents(listed).select("rel_path", "file_hash").cache()  # no contents are kept
+    changes = change_set(hashes, store.read(name, "tracker", TRACKER)).cache()
     n = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
     result = {"collection": name, **{k: n.get(k, 0) for k in ("added", "modified", "deleted")}}
     if n:
-        build = files.join(changes.where("status IN ('added', 'modified')").select("rel_path"), "rel_path")
-        clean = changes.where("status IN ('deleted', 'modified')").select(F.col("rel_path").alias("file_path"))
+        # the files that changed are read once more: a path meets its change before its bytes are read
+        build = scanning.contents(listed.join(changes.where("status IN ('added', 'modified')").select("rel_path"), "rel_path"))
         new = chunk_files(build).withColumn("embedding", embed.embed(F.col("source"), profile))
-        store.write(name, upserted(without_files(store.read(name, "chunks", STORED), clean), new))
-        store.write(name, files.select("rel_path", "file_hash"), "tracker")
+        store.replace_files(name, changes.select(F.col("rel_path").alias("file_path")), new)
+        store.write(name, hashes, "tracker")
         types = {r["chunk_type"]: r["n"] for r in stats(store.read(name)).collect()}
         now = datetime.datetime.now().isoformat(timespec="seconds")
-        row = (name, os.path.basename(os.path.abspath(root)), source or os.path.abspath(root), profile, files.count(), sum(types.values()), types, now)
+        row = (name, os.path.basename(os.path.abspath(root)), source or os.path.abspath(root), profile, hashes.count(), sum(types.values()), types, now)
         store.write(name, spark.createDataFrame([row], MANIFEST), "manifest")
         result |= {"chunks": sum(types.values())}
     changes.unpersist()
-    files.unpersist()
+    hashes.unpersist()
     return result
 
 
@@ -177,8 +176,6 @@ def status(spark: SparkSession, store: Store, wanted: DataFrame) -> DataFrame:
 
 
 def manifests(spark: SparkSession, store: Store) -> DataFrame:
-    out = spark.createDataFrame([], MANIFEST)
-    for c in store.collections():
-        found = store.read(c, "manifest")
-        out = out if found is None else out.unionByName(found)
-    return out.orderBy(F.col("last_indexed_at").desc(), "collection")
+    """All manifests, the latest first. Each is one row: they are read on the driver, not as a plan with a branch for each."""
+    rows = [tuple(r) for c in store.collections() if (found := store.read(c, "manifest")) is not None for r in found.collect()]
+    return spark.createDataFrame(rows, MANIFEST).orderBy(F.col("last_indexed_at").desc(), "collection")

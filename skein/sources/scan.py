@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import fnmatch
-import hashlib
 import os
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.text import DOC_EXTENSIONS, LANGUAGES, SENSITIVE
+from skein.functions.text import DOC_EXTENSIONS, LANGUAGES, is_sensitive
 
 # Directories, file names and extensions that are never read.
 IGNORED_DIRS = frozenset((
@@ -28,7 +28,9 @@ IGNORED_EXTENSIONS = frozenset((
 ))
 MAX_FILE_SIZE = 1 << 20
 _BY_EXTENSION = {e: "doc" for e in DOC_EXTENSIONS} | {e: n for n, own in LANGUAGES.items() for e in own}
-FILES = "abs_path string, rel_path string, language string, extension string, size long, file_hash string, content string"
+LISTED = "abs_path string, rel_path string, language string, extension string, size long"
+#: Files that a task holds at once.
+READ_FILES = 64
 
 
 def extension_of(name: str) -> str:
@@ -73,11 +75,15 @@ def matches(names: list[str], parts: list[str]) -> bool:
     return bool(names) and fnmatch.fnmatchcase(names[0], parts[0]) and matches(names[1:], parts[1:])
 
 
-def listing(root: str, max_size: int = MAX_FILE_SIZE) -> list[tuple[str, str, str, str, int]]:
-    """Files that pass every test that needs no content: names, extensions, ignore rules, size, language."""
+#: Why a file is passed over, in the order of the tests.
+REASONS = ("symlink", "name", "extension", "ignored", "size", "empty", "language")
+
+
+def listing(root: str, max_size: int = MAX_FILE_SIZE, skipped: Counter | None = None) -> list[tuple[str, str, str, str, int]]:
+    """Files that pass every test that needs no content, by path; skipped counts the others by reason."""
     if not os.path.isdir(root):
         raise ValueError(f"not a directory: {root}")
-    rules, out = Rules(), []
+    rules, out, skipped = Rules(), [], Counter() if skipped is None else skipped
     for here, dirs, names in os.walk(root):
         base = os.path.relpath(here, root).replace(os.sep, "/").removeprefix(".")
         if ".gitignore" in names:
@@ -87,39 +93,53 @@ def listing(root: str, max_size: int = MAX_FILE_SIZE) -> list[tuple[str, str, st
         dirs[:] = sorted(d for d in dirs if d not in IGNORED_DIRS and not os.path.islink(os.path.join(here, d)) and not rules.ignored(path(d), True))
         for n in names:
             full, ext = os.path.join(here, n), extension_of(n)
-            if os.path.islink(full) or n in IGNORED_NAMES or ext in IGNORED_EXTENSIONS or rules.ignored(path(n), False):
-                continue
+            found = ("symlink" if os.path.islink(full) else "name" if n in IGNORED_NAMES else "extension" if ext in IGNORED_EXTENSIONS else "ignored" if rules.ignored(path(n), False) else "")
             try:
-                size = os.stat(full).st_size
+                size = 0 if found else os.stat(full).st_size
             except OSError:
-                continue
-            if 0 < size <= max_size and ext in _BY_EXTENSION:
+                size = max_size + 1
+            found = found or ("size" if size > max_size else "empty" if not size else "" if ext in _BY_EXTENSION else "language")
+            if found:
+                skipped[found] += 1
+            else:
                 out.append((full, path(n), _BY_EXTENSION[ext], ext, size))
     return sorted(out, key=lambda x: x[1])
 
 
-def scan(spark: SparkSession, root: str, max_size: int = MAX_FILE_SIZE) -> DataFrame:
-    """One row per file to index, by rel_path. root must be a folder that executors see, too.
+def listed(spark: SparkSession, root: str, max_size: int = MAX_FILE_SIZE) -> DataFrame:
+    """What listing() finds, as a table: abs_path, rel_path, language, extension, size."""
+    return spark.createDataFrame(listing(root, max_size), LISTED)
+
+
+def described(raw: DataFrame) -> DataFrame:
+    """file_hash (of the bytes) and content (bytes that are no UTF-8 replaced) instead of raw; documents with a sensitive
+    assignment are left out. raw: any columns, language, raw (binary; null: the file could not be read, it is left out)."""
+    text = F.make_valid_utf8(F.col("raw").cast("string"))
+    told = raw.where("raw IS NOT NULL").withColumns({"file_hash": F.sha2("raw", 256), "content": text}).drop("raw")
+    return told.where(~(F.coalesce(F.col("language"), F.lit("")) == "doc") | ~is_sensitive(F.col("content")))
 
-    Documents with a sensitive assignment and unreadable files are left out; bytes that are no UTF-8 are replaced.
-    """
-    found = listing(root, max_size)
-    base = spark.createDataFrame(found, "abs_path string, rel_path string, language string, extension string, size long")
+
+def contents(files: DataFrame) -> DataFrame:
+    """The listed files with what they hold, in order of rel_path: only paths are shuffled, executors read bytes."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                try:
-                    with open(r.abs_path, "rb") as f:
-                        raw = f.read()
-                except OSError:
-                    continue
-                text = raw.decode("utf-8", "replace")
-                if r.language == "doc" and any(s in text for s in SENSITIVE):
-                    continue
-                rows.append((*r, hashlib.sha256(raw).hexdigest(), text))
-            yield pd.DataFrame(rows, columns=[*pdf.columns, "file_hash", "content"])
-
-    # small files: some hundreds a task
-    return base.repartition(max(1, len(found) // 200)).mapInPandas(read, FILES).orderBy("rel_path")
+            for at in range(0, len(pdf), READ_FILES):
+                part = pdf.iloc[at : at + READ_FILES]
+                yield part.assign(raw=[_bytes(p) for p in part["abs_path"]])
+
+    ordered = files.repartitionByRange("rel_path").sortWithinPartitions("rel_path")
+    return described(ordered.mapInPandas(read, f"{LISTED}, raw binary"))
+
+
+def _bytes(path: str) -> bytes | None:
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def scan(spark: SparkSession, root: str, max_size: int = MAX_FILE_SIZE) -> DataFrame:
+    """One row per file to index, by rel_path. root must be a folder that executors see, too."""
+    return contents(listed(spark, root, max_size))

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
+
+POINTER = "n long, schema string, buckets int, parts map<string,string>"
+#: The column whose hash deals rows to buckets.
+BY = "file_path"
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(BY), F.lit(buckets)).alias("bucket")
 
 
 def change_set(current: DataFrame, stored: DataFrame) -> DataFrame:
@@ -50,46 +61,108 @@ def stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk_type").agg(F.count("*").alias("n"))
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has moved the pointer since this one read it; nothing of this write is visible."""
+
+
 class Store:
-    """One folder per collection: snapshots v-*, and a small table that names the current one and is written last."""
+    """One folder per collection and table: snapshots v-*, and numbered pointer files that name the parts of each state.
+
+    Chunks lie in buckets of their file's path, so a change rewrites only the buckets of the files it touches and the next
+    pointer names the others where they are. The number of buckets is fixed when a collection is first written; take about
+    one for each GB. A pointer file is created, never overwritten: of two writers one gets ConcurrentWrite.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self, collection: str, table: str) -> str | None:
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _entry(self, collection: str, table: str):
+        """The last pointer (n, schema, buckets, parts); lines that are no pointer are passed over."""
         try:
-            row = self.spark.read.schema("version string, n long").json(f"{self.root}/{collection}/{table}/pointer").where("version IS NOT NULL").orderBy(F.col("n").desc(), F.col("version").desc()).first()
+            rows = self.spark.read.schema(POINTER).json(f"{self.root}/{collection}/{table}/pointer")
+            return rows.where("n IS NOT NULL AND schema IS NOT NULL").orderBy(F.col("n").desc()).first()
         except AnalysisException:
             return None
-        # a pointer that names nothing (corrupt lines read as nulls) is no snapshot: the next write is a first one
-        return f"{self.root}/{collection}/{table}/{row['version']}" if row and row["version"] else None
+
+    def _point(self, collection: str, table: str, n: int, schema: StructType, buckets: int, parts: dict[str, str]) -> None:
+        fs, p = self._fs(f"{self.root}/{collection}/{table}/pointer/{n:012d}.json")
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                raise ConcurrentWrite(f"{collection}/{table} was written by another writer") from None
+            raise
+        out.write(bytearray(json.dumps({"n": n, "schema": schema.json(), "buckets": buckets, "parts": parts}).encode() + b"\n"))
+        out.close()
+
+    def _open(self, collection: str, table: str, schema: StructType, parts: list[str]) -> DataFrame:
+        paths = [f"{self.root}/{collection}/{table}/{x}" for x in parts]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def read(self, collection: str, table: str = "chunks", schema: str | None = None) -> DataFrame | None:
         """The current snapshot, or None (an empty table where a schema is given): reading creates nothing."""
-        path = self._current(collection, table)
-        if path is None:
+        now = self._entry(collection, table)
+        if now is None:
             return self.spark.createDataFrame([], schema) if schema else None
-        return self.spark.read.parquet(path)
+        return self._open(collection, table, StructType.fromJson(json.loads(now["schema"])), sorted((now["parts"] or {}).values()))
+
+    def _put(self, collection: str, table: str, df: DataFrame, buckets: int) -> dict[str, str]:
+        """Writes rows beside what is there; their parts."""
+        version = f"v-{uuid.uuid4().hex}"
+        path = f"{self.root}/{collection}/{table}/{version}"
+        if not buckets:
+            df.write.parquet(path)
+            return {"": version}
+        df.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+        return {x.removeprefix("bucket="): f"{version}/{x}" for x in self._names(path) if x.startswith("bucket=")}
 
     def write(self, collection: str, df: DataFrame, table: str = "chunks") -> None:
         """A new snapshot beside the one that may be read by df; the pointer moves when it is whole."""
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{collection}/{table}/{version}")
-        pointer = f"{self.root}/{collection}/{table}/pointer"
-        try:
-            n = (self.spark.read.schema("version string, n long").json(pointer).agg(F.max("n").alias("n")).first()["n"] or 0) + 1
-        except AnalysisException:
-            n = 1
-        self.spark.createDataFrame([(version, n)], "version string, n long").coalesce(1).write.mode("append").json(pointer)
+        now = self._entry(collection, table)
+        buckets = (now["buckets"] if now else self.buckets) if BY in df.columns and "bucket" not in df.columns else 0
+        self._point(collection, table, now["n"] + 1 if now else 1, df.schema, buckets, self._put(collection, table, df, buckets))
+
+    def replace_files(self, collection: str, changed: DataFrame, new: DataFrame, table: str = "chunks") -> None:
+        """The rows of the changed files (file_path) are replaced by the new ones, all of them of changed files; of equal
+        chunk_ids the first stays. A collection without buckets is written whole."""
+        now = self._entry(collection, table)
+        fresh = keep_first(new)
+        if now is None or not now["buckets"]:
+            old = self.read(collection, table)
+            return self.write(collection, fresh if old is None else without_files(old, changed).unionByName(fresh), table)
+        touched = {str(r[0]) for r in changed.select(_bucket(now["buckets"])).distinct().collect()}  # numbers of buckets
+        schema, parts = StructType.fromJson(json.loads(now["schema"])), now["parts"] or {}
+        old = self._open(collection, table, schema, [v for k, v in sorted(parts.items()) if k in touched])
+        put = self._put(collection, table, without_files(old, changed).unionByName(fresh).select(*schema.names), now["buckets"])
+        self._point(collection, table, now["n"] + 1, schema, now["buckets"], {k: v for k, v in parts.items() if k not in touched} | put)
+
+    def vacuum(self, collection: str, table: str = "chunks") -> int:
+        """Removes what the current state does not name; how many folders went. No one may read or write an older state."""
+        now, path = self._entry(collection, table), f"{self.root}/{collection}/{table}"
+        if now is None:
+            return 0
+        used, gone = set((now["parts"] or {}).values()), []
+        for x in [n for n in self._names(path) if n.startswith("v-")]:
+            if x in used:
+                continue
+            own = [f"{x}/{b}" for b in self._names(f"{path}/{x}") if b.startswith("bucket=")]
+            gone += [b for b in own if b not in used] if any(b in used for b in own) else [x]
+        for x in [*gone, *[f"pointer/{n}" for n in self._names(f"{path}/pointer") if n != f"{now['n']:012d}.json"]]:
+            fs, p = self._fs(f"{path}/{x}")
+            fs.delete(p, True)
+        return len(gone)
 
     def delete(self, collection: str) -> bool:
         fs, p = self._fs(f"{self.root}/{collection}")
         return bool(fs.delete(p, True)) if fs.exists(p) else False
 
     def collections(self) -> list[str]:
-        fs, p = self._fs(self.root)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        return self._names(self.root)

@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from skein.operators.chunking import chunk_files
-from skein.sources.store import Store, upserted, without_files
+from skein.sources.store import Store
 
 FILES = "rel_path string, language string, file_hash string, content string"
 
 
 def upsert_stream(spark: SparkSession, arriving: str, store: Store, collection: str, checkpoint: str) -> StreamingQuery:
-    """Parquet files of FILES rows in `arriving`; each micro-batch replaces the chunks of its files."""
+    """Parquet files of FILES rows in `arriving`; each micro-batch replaces the chunks of its files,
+    in their buckets only."""
 
     def put(batch: DataFrame, _: int) -> None:
-        new = chunk_files(batch)
-        old = store.read(collection)
-        store.write(collection, new if old is None else upserted(without_files(old, batch.selectExpr("rel_path AS file_path")), new))
+        store.replace_files(collection, batch.selectExpr("rel_path AS file_path"), chunk_files(batch))
 
     return spark.readStream.schema(FILES).parquet(arriving).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

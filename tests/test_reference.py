@@ -349,3 +349,34 @@ def test_a_corrupt_pointer_is_no_snapshot(spark, tmp_path):
     assert st.read("c", "tracker", plans.TRACKER).count() == 0
     st.write("c", spark.createDataFrame([("p", "h")], plans.TRACKER), "tracker")
     assert st.read("c", "tracker", plans.TRACKER).count() == 1
+
+
+def test_changes_rewrite_only_their_buckets(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}", buckets=4)
+    rows = lambda *x: spark.createDataFrame(x, "chunk_id string, file_path string, ordinal long")
+    files = lambda *x: spark.createDataFrame([(f,) for f in x], "file_path string")
+    s.write("c", rows(*[(f"{i}:0", f"f{i}", 0) for i in range(40)]))
+    before = s._entry("c", "chunks")["parts"]
+    s.replace_files("c", files("f1", "f2"), rows(("1:1", "f1", 1), ("1:1", "f1", 2)))
+    after = s._entry("c", "chunks")["parts"]
+    touched = {k for k in after if after[k] != before[k]}
+    assert 1 <= len(touched) <= 2 and s.read("c").count() == 39
+    assert [r["ordinal"] for r in s.read("c").where("file_path = 'f1'").collect()] == [1] and not s.read("c").where("file_path = 'f2'").count()
+    assert s.vacuum("c") == len(touched) and s.vacuum("c") == 0 and s.read("c").count() == 39
+    s.replace_files("c", files(*[f"f{i}" for i in range(40)]), rows())
+    assert s.read("c").count() == 0 and s.read("c").columns == ["chunk_id", "file_path", "ordinal"]
+    now = s._entry("c", "chunks")
+    s._point("c", "chunks", now["n"] + 1, s.read("c").schema, 4, {})
+    with pytest.raises(store.ConcurrentWrite):
+        s._point("c", "chunks", now["n"] + 1, s.read("c").schema, 4, {})
+
+
+def test_scan_counts_what_it_skips(spark, tmp_path):
+    write(tmp_path, {"a.py": "x = 1", "b.bin": "x", "c.png": "x", ".env": "x", "d.md": "API_KEY=1", "e.py": "", "f.py": "y" * 50, "g.py": "z", ".gitignore": "g.py\n"})
+    os.symlink(tmp_path / "a.py", tmp_path / "l.py")
+    (tmp_path / "h.py").write_bytes(b"caf\xe9")
+    skipped = scan.Counter()
+    found = [x[1] for x in scan.listing(str(tmp_path), 20, skipped)]
+    assert found == ["a.py", "d.md", "h.py"] and skipped == {"language": 2, "extension": 1, "name": 1, "empty": 1, "size": 1, "ignored": 1, "symlink": 1}
+    got = scan.scan(spark, str(tmp_path), 20).collect()
+    assert [r["rel_path"] for r in got] == ["a.py", "h.py"] and got[1]["content"] == "caf\ufffd"
