@@ -1,18 +1,20 @@
-"""Command line: index, search, ask, list, status, remove, eval, agent, embeddings, cache."""
+"""Command line: index, search, ask, chat, list, status, remove, eval, agent, embeddings, cache."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import os
+import sys
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import shortened
-from skein.operators import embed, evaluation
+from skein.operators import agent, embed, evaluation
 from skein.plans import index as plans
 from skein.session import session
-from skein.sinks import reports
+from skein.sinks import model, reports
 from skein.sources import golden, repository
 from skein.sources.clones import Clones
 from skein.sources.store import Store, stats
@@ -23,11 +25,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--store", default=os.environ.get("SKEIN_STORE", ".skein"))
     p.add_argument("--master", default=os.environ.get("SKEIN_MASTER", "local[*]"))
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("index", "search", "ask", "status", "remove", "eval", "agent"):
+    for name in ("index", "search", "ask", "chat", "status", "remove", "eval", "agent"):
         s = sub.add_parser(name)
         s.add_argument("source")
         if name in ("search", "ask", "agent"):
             s.add_argument("text")
+        if name == "ask":
+            s.add_argument("--context", action="store_true", help="print the context, call no model")
         s.add_argument("--profile", default="hashing-tf", choices=sorted(embed.PROFILES))
         s.add_argument("--ref")
         s.add_argument("--refresh", action="store_true")
@@ -54,6 +58,20 @@ def _report(report: dict, a: argparse.Namespace) -> None:
             reports.write(report, getattr(a, kind), kind)
 
 
+def _answer(chunks: DataFrame, question: str, a: argparse.Namespace, said: model.Model | None) -> None:
+    """Streams the model's answer; without a model prints the context it would get."""
+    how = {"mode": a.mode, "k": a.top_k, "profile": a.profile}
+    if said is None:
+        print(plans.ask(chunks, question, **how)["context"])
+        return
+    found, pieces = plans.stream_answer(chunks, question, said, **how)
+    if found["low_confidence"]:
+        print(f"weak evidence: {found['reason']}", file=sys.stderr)
+    for p in pieces:
+        print(p.content, end="", flush=True)
+    print()
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command == "embeddings":
@@ -109,14 +127,20 @@ def main(argv: list[str] | None = None) -> int:
                 print(f"no hit: {r['query_id']}")
     elif a.command == "agent":
         _report(plans.run_agent(chunks, a.text, a.profile), a)
+    elif a.command == "ask":
+        _answer(chunks, a.text, a, None if a.context else model.from_environment())
+    elif a.command == "chat":  # each question on its own
+        said, chunks = model.from_environment(), chunks.cache()
+        for line in sys.stdin:
+            if line.strip().lower() in ("exit", "quit", "q"):
+                break
+            if line.strip():
+                _answer(chunks, line.strip(), a, said)
     else:
         asked = spark.createDataFrame([("q", a.text)], "query_id string, question string")
         hits = plans.search(chunks, asked, a.mode, a.top_k, a.profile)
-        if a.command == "ask":
-            print(plans.answer_context(hits, asked, a.mode).first()["context"])
-        else:
-            for r in hits.orderBy("rank").collect():
-                print(f"{r['rank']}. {r['file_path']}:{r['start_line']}-{r['end_line']}  {r['chunk_type']}={r['name']}  {r['score']:.4f}")
+        for r in hits.orderBy("rank").select("*", agent.hit_line().alias("line")).collect():
+            print(f"{r['rank']}. {r['line']}  {r['score']:.4f}")
     return 0
 
 

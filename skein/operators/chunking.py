@@ -12,8 +12,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 MAX_TOKENS = 512
 CHUNKS = "file_path string, language string, chunk_type string, name string, start_line int, end_line int, parent string, file_hash string, source string, token_count int, metadata map<string,int>, ordinal long, chunk_id string"
@@ -255,3 +256,14 @@ def chunk_files(files: DataFrame, most: int = MAX_TOKENS, count: Callable[[str],
     from skein.functions.text import chunk_id
 
     return made.withColumn("chunk_id", chunk_id(F.col("file_path"), F.col("chunk_type"), F.col("source"), F.col("start_line")))
+
+
+def lines(files: DataFrame, key: str = "rel_path", text: str = "content") -> DataFrame:
+    """key, line (from 1), text: the lines of each file as they stand between line ends."""
+    return files.select(key, F.posexplode(F.split(text, "\n")).alias("p", "text")).select(key, (F.col("p") + 1).alias("line"), "text")
+
+
+def section_numbers(of: DataFrame, heading: Column, key: str = "rel_path") -> DataFrame:
+    """lines() with section: how many headings have come up to this line. A file's lines are one group: files are bounded in
+    size when they are scanned."""
+    return of.withColumn("section", F.sum(F.coalesce(heading, F.lit(False)).cast("long")).over(W.partitionBy(key).orderBy("line")))

@@ -1,10 +1,11 @@
-"""Embedding profiles that need no model file: an Arrow function per profile, vectors at length 1."""
+"""Embedding profiles, vectors at length 1: some that need no model file, others by an encoder that a worker loads once."""
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from skein.operators.vectors import unit
 
+Encoder = Callable[[list[str]], np.ndarray]
+Loader = Callable[[], Encoder]
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,6 +54,40 @@ def profile_key(key: str, profile: str, baseline: str = "hash") -> str:
     return key if profile == baseline else f"{key}__emb_{re.sub(r'[^A-Za-z0-9_.-]', '_', profile)}"
 
 
+#: Profiles with a model: what loads it, in order, and a name of the registration.
+LOADERS: dict[str, tuple[str, tuple[Loader, ...]]] = {}
+_LOADED: dict[str, Encoder] = {}
+
+
+def register(made: Profile, *loaders: Loader) -> Profile:
+    """A profile whose vectors a model makes. Each loader returns an encoder (list of texts -> array, a row each) or raises;
+    the first that returns one serves, so a local folder may stand before a hub, and a device before another. Loaders go to
+    the workers: they and what they name must be there."""
+    if not loaders:
+        raise ValueError("a profile with a model needs a loader")
+    PROFILES[made.profile_id] = made
+    LOADERS[made.profile_id] = (uuid.uuid4().hex, loaders)
+    return made
+
+
+def loaded(name: str, loaders: tuple[Loader, ...]) -> Encoder:
+    """The encoder of a registration, loaded once a worker; another registration takes its place in memory."""
+    if name not in _LOADED:
+        faults = []
+        for load in loaders:
+            try:
+                found = load()
+            except Exception as e:  # noqa: BLE001 - whatever a library raises, the next loader is tried
+                faults.append(f"{type(e).__name__}: {e}")
+                continue
+            _LOADED.clear()
+            _LOADED[name] = found
+            break
+        else:
+            raise RuntimeError(f"no loader gave a model: {'; '.join(faults)}")
+    return _LOADED[name]
+
+
 def letter_counts(text: Column) -> Column:
     """Profile letters: how often each letter stands in the text; built-in functions only."""
     counts = lambda low: F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
@@ -75,12 +112,16 @@ def embed(text: Column, profile: str = "hashing-tf", query: bool = False) -> Col
     full = F.concat(F.lit(p.query_prefix if query else p.document_prefix), F.coalesce(text, F.lit("")))
     if profile == "letters":
         return unit(letter_counts(full))
-    make = _digest_vector if profile == "hash" else _tf_vector
+    if profile in LOADERS:
+        name, loaders = LOADERS[profile]
+        vectors = lambda texts: np.asarray(loaded(name, loaders)(texts), float).reshape(len(texts), p.dimension)
+    else:
+        make = _digest_vector if profile == "hash" else _tf_vector
+        vectors = lambda texts: [make(t, p.dimension) for t in texts]
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            found = [make(t, p.dimension) for t in s]
-            yield pd.Series([(v / (np.linalg.norm(v) or 1)).astype(np.float32) for v in found])
+            yield pd.Series([(v / (np.linalg.norm(v) or 1)).astype(np.float32) for v in vectors(s.tolist())])
 
     return run(full)

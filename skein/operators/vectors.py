@@ -66,7 +66,7 @@ def distances(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 good, x = _matrix(batch.column("embedding"), unit_q.shape[1])
                 own = batch.column("chunk_id").to_numpy(zero_copy_only=False)[good]
                 for at, best in blocks if len(own) else ():
-                    best.add(np.round(1 - unit_q[at : at + BLOCK_QUERIES] @ x.T, ROUND), own)
+                    best.add(np.round(1 - unit_q[at : at + BLOCK_QUERIES] @ x.T, ROUND) + 0.0, own)  # no negative zero
             for at, best in blocks:
                 if best.found is not None:
                     query, value, ident = best.found
@@ -77,8 +77,10 @@ def distances(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return spark.createDataFrame([], kinds) if out is None else out
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 8, max_distance: float | None = None) -> DataFrame:
+    """query_id, chunk_id, distance, rank of the k nearest, those farther than max_distance left out."""
     near = distances(vectors, queries, k)
+    near = near if max_distance is None else near.where(F.col("distance") <= max_distance)
     return near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "chunk_id"))).where(F.col("rank") <= k)
 
 

@@ -6,12 +6,14 @@ import datetime
 import hashlib
 import os
 import time
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import agent, context, embed, evaluation, fusion, lexical, vectors
 from skein.operators.chunking import chunk_files
+from skein.sinks.model import Model, Piece
 from skein.sources import repository
 from skein.sources import scan as scanning
 from skein.sources.store import Store, change_set, manifest_status, stats
@@ -82,15 +84,16 @@ def index(spark: SparkSession, root: str, store: Store, profile: str = "hashing-
     return result
 
 
-def search(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid", k: int = 8, profile: str = "hashing-tf", threshold: float = 0.7) -> DataFrame:
-    """query_id, rank, score, stage, channels and the chunk's columns of a batch of questions (query_id, question)."""
+def search(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid", k: int = 8, profile: str = "hashing-tf", threshold: float = 0.7, max_distance: float | None = None) -> DataFrame:
+    """query_id, rank, score, stage, channels and the chunk's columns of a batch of questions (query_id, question).
+    max_distance drops farther neighbours before boost and threshold."""
     mode = parse_mode(mode)
     if k < 1:
         raise ValueError("k is at least 1")
     metadata = chunks.drop("embedding")
 
     def vector(n: int) -> DataFrame:
-        near = vectors.vector_topk(chunks.select("chunk_id", "embedding"), questions.select("query_id", embed.embed(F.col("question"), profile, True).alias("embedding")), vectors.candidates(n))
+        near = vectors.vector_topk(chunks.select("chunk_id", "embedding"), questions.select("query_id", embed.embed(F.col("question"), profile, True).alias("embedding")), vectors.candidates(n), max_distance)
         words = questions.select("query_id", vectors_keywords().alias("kws"))
         told = near.join(metadata.select("chunk_id", F.lower(F.concat_ws(" ", "file_path", "name", "parent", "language")).alias("m")), "chunk_id").join(words, "query_id")
         cut = vectors.boost_and_cut(told, F.exists("kws", lambda w: F.col("m").contains(w)), n, threshold)
@@ -116,6 +119,28 @@ def answer_context(hits: DataFrame, questions: DataFrame, mode: str = "hybrid")
     return evaluation.confidence(hits, questions, mode).join(context.contexts(hits), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
+def ask(chunks: DataFrame, question: str, mode: str = "hybrid", k: int = 8, profile: str = "hashing-tf", threshold: float = 0.7) -> dict:
+    """One question: its hits in order, their context, and whether they are a weak ground for an answer."""
+    asked = chunks.sparkSession.createDataFrame([("q", question)], "query_id string, question string")
+    hits = search(chunks, asked, mode, k, profile, threshold).cache()  # k rows, read twice
+    told = answer_context(hits, asked, mode).first()
+    rows = [r.asDict() for r in hits.orderBy("rank").collect()]
+    hits.unpersist()
+    return {"question": question, "hits": rows, "context": told["context"], "low_confidence": told["low_confidence"], "reason": told["reason"]}
+
+
+def answer(chunks: DataFrame, question: str, model: Model, **how) -> dict:
+    """ask(), and the model's answer."""
+    found = ask(chunks, question, **how)
+    return found | {"answer": model.generate(found["context"], question)}
+
+
+def stream_answer(chunks: DataFrame, question: str, model: Model, **how) -> tuple[dict, Iterator[Piece]]:
+    """ask(), and the pieces of the model's answer as they come."""
+    found = ask(chunks, question, **how)
+    return found, model.stream(found["context"], question)
+
+
 def evaluate(chunks: DataFrame, golden: DataFrame, modes: list[str], k: int = 8, respect_query_mode: bool = False, profile: str = "hashing-tf") -> DataFrame:
     """Averages per mode of golden queries, one job for all; a query's own mode overrides where that is asked for."""
     out = None

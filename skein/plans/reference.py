@@ -10,12 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from skein.functions import text as T
-from skein.operators import agent, context, embed, evaluation, fusion, lexical, vectors
+from skein.operators import agent, chunking, context, embed, evaluation, fusion, lexical, vectors
 from skein.operators import passages as matching
-from skein.sources import store
+from skein.sources import scan, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,9 +49,14 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 _CHUNKS = "chunks AS (SELECT doc_id AS chunk_id, source || '/' || doc_id || '.md' AS file_path, source || '/' || doc_id || '.md' AS name, 'doc' AS chunk_type, CAST(NULL AS VARCHAR) AS parent, lang AS language, text AS source FROM documents)"
 
 
-@query("SELECT doc_id, sha256(text) AS file_hash, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents")
+_SECRET = " OR ".join(f"contains(text, '{x}')" for x in T.SENSITIVE)
+
+
+@query(f"SELECT doc_id, sha256(text) AS file_hash, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents WHERE NOT ({_SECRET})")
 def scan_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"), F.octet_length("text").cast("long").alias("size"))
+    """What the scan makes of the bytes of documents: sensitive ones are left out."""
+    raw = table(spark, d, "documents").select("doc_id", F.lit("doc").alias("language"), F.col("text").cast("binary").alias("raw"))
+    return scan.described(raw).select("doc_id", "file_hash", F.octet_length("content").cast("long").alias("size"))
 
 
 _EXT = ["py", "ts", "md", "hpp", "JSON", "bin", "Rs", "gitignore"]
@@ -149,7 +153,7 @@ def chunk_type_stats(spark, d):
 
 @query("SELECT doc_id, CAST(p AS INT) AS line, l AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents)")
 def doc_lines(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("line"), "text")
+    return chunking.lines(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
@@ -157,9 +161,65 @@ s AS (SELECT doc_id, p, l, sum(CASE WHEN length(l) > 200 THEN 1 ELSE 0 END) OVER
 SELECT doc_id, CAST(section AS BIGINT) AS section, CAST(min(p) AS INT) AS first_line, count(*) AS n_lines, CAST(sum(length(l)) AS BIGINT) AS chars FROM s GROUP BY doc_id, section""")
 def section_ids(spark, d):
     """Running section numbers; a long line begins a section here (documents have no headings)."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "l"))
-    section = F.sum((F.length("l") > 200).cast("int")).over(W.partitionBy("doc_id").orderBy("p"))
-    return lines.withColumn("section", section.cast("long")).groupBy("doc_id", "section").agg((F.min("p") + 1).alias("first_line"), F.count("*").alias("n_lines"), F.sum(F.length("l")).cast("long").alias("chars"))
+    numbered = chunking.section_numbers(chunking.lines(table(spark, d, "documents"), "doc_id", "text"), F.length("text") > 200, "doc_id")
+    return numbered.groupBy("doc_id", "section").agg(F.min("line").alias("first_line"), F.count("*").alias("n_lines"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+_TOKENS = r"CAST(coalesce(list_sum(list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'), lambda x: (length(x) + 5) // 6)), 0) AS INT)"
+_TOK = _TOKENS.format
+_STRIPPED = r"regexp_replace(b, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""WITH RECURSIVE d AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) > 200 THEN '## ' || x ELSE x END) AS a FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(a) AS l, generate_subscripts(a, 1) AS p FROM d),
+n AS (SELECT *, sum(CASE WHEN regexp_matches(l || chr(10), '^#{{1,6}}\s') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS section FROM l),
+s AS (SELECT doc_id, section, min(p) AS start, string_agg(l, chr(10) ORDER BY p) AS b FROM n GROUP BY doc_id, section),
+w AS (SELECT d.doc_id, array_to_string(a, chr(10)) AS t, {_TOK("array_to_string(a, chr(10))")} AS total, (SELECT count(DISTINCT section) FROM s WHERE s.doc_id = d.doc_id) AS sections, (SELECT max(section) FROM s WHERE s.doc_id = d.doc_id) AS last FROM d),
+u AS (SELECT doc_id, 0 AS section, 1 AS start, t AS src, length(t) - length(replace(t, chr(10), '')) + 1 AS stop, total > {chunking.MAX_TOKENS} AS cut FROM w WHERE total <= {chunking.MAX_TOKENS} OR sections < 2
+UNION ALL SELECT s.doc_id, s.section, s.start, {_STRIPPED}, s.start + length(b) - length(replace(b, chr(10), '')) + CASE WHEN s.section < last THEN 1 ELSE 0 END, {_TOK('b')} > {chunking.MAX_TOKENS} FROM s JOIN w USING (doc_id) WHERE total > {chunking.MAX_TOKENS} AND sections >= 2 AND {_STRIPPED} <> ''),
+c AS (SELECT doc_id, section, start, string_split(CASE WHEN ends_with(src, chr(10)) THEN src[:-2] ELSE src END, chr(10)) AS a, ends_with(src, chr(10)) AS ended FROM u WHERE cut),
+k AS (SELECT doc_id, section, start, unnest(a) AS l, generate_subscripts(a, 1) AS p, len(a) AS m, ended FROM c),
+kt AS (SELECT *, {_TOK('l')} AS n FROM k),
+g AS (SELECT doc_id, section, p, n AS total, 1 AS piece FROM kt WHERE p = 1
+UNION ALL SELECT kt.doc_id, kt.section, kt.p, CASE WHEN g.total + kt.n > {chunking.MAX_TOKENS} THEN kt.n ELSE g.total + kt.n END, g.piece + CASE WHEN g.total + kt.n > {chunking.MAX_TOKENS} THEN 1 ELSE 0 END FROM g JOIN kt ON kt.doc_id = g.doc_id AND kt.section = g.section AND kt.p = g.p + 1),
+pc AS (SELECT kt.doc_id, kt.section, g.piece, min(kt.start + kt.p - 1) AS start, max(kt.start + kt.p - 1) AS stop, sum(n) AS n, string_agg(l, chr(10) ORDER BY kt.p) || CASE WHEN max(kt.p) < max(m) OR bool_or(ended) THEN chr(10) ELSE '' END AS src FROM kt JOIN g USING (doc_id, section, p) GROUP BY kt.doc_id, kt.section, g.piece),
+x AS (SELECT *, count(*) OVER (PARTITION BY doc_id, section) AS m FROM pc)
+SELECT doc_id, CAST(doc_id AS VARCHAR) AS name, CAST(start AS INT) AS start_line, CAST(stop AS INT) AS end_line, {_TOK('src')} AS token_count, sha256(src) AS source_hash FROM u WHERE NOT cut
+UNION ALL SELECT doc_id, CAST(doc_id AS VARCHAR) || CASE WHEN m > 1 THEN ' [part ' || piece || '/' || m || ']' ELSE '' END, CAST(start AS INT), CAST(stop AS INT), CAST(n AS INT), sha256(src) FROM x""")
+def doc_chunks(spark, d):
+    """Documents, their long lines made headings, cut by headings, and sections of too many tokens by lines."""
+    marked = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) > 200, F.concat(F.lit("## "), x)).otherwise(x)), "\n")
+    files = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("rel_path"), F.lit("doc").alias("language"), F.sha2("text", 256).alias("file_hash"), marked.alias("content"))
+    return chunking.chunk_files(files).select(F.col("file_path").cast("long").alias("doc_id"), "name", "start_line", "end_line", "token_count", F.sha2("source", 256).alias("source_hash"))
+
+
+#: A module for each document: {0} is its number.
+_MODULE = "import os\nLIMIT = {0}\n\n\nclass Kind{0}:\n    def size(self):\n        return LIMIT\n\n    def half(self):\n        return LIMIT // 2\n\n\ndef main{0}(path):\n    return os.path.join(path, '{0}')\n"
+
+
+def _module_sql(text: str) -> str:
+    return " || doc_id || ".join("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in text.split("{0}"))
+
+
+_PARTS = (
+    ("module_summary", "m{0}.py", 1, 15, None, "# File: m{0}.py\nimport os\nLIMIT = {0}"),
+    ("class", "Kind{0}", 5, 10, None, "class Kind{0}:\n    def size(self):\n    def half(self):"),
+    ("function", "size", 6, 7, "Kind{0}", "    def size(self):\n        return LIMIT"),
+    ("function", "half", 9, 10, "Kind{0}", "    def half(self):\n        return LIMIT // 2"),
+    ("function", "main{0}", 13, 14, None, "def main{0}(path):\n    return os.path.join(path, '{0}')"),
+)
+
+
+@query(" UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS chunk_type, {_module_sql(name)} AS name, {lo} AS start_line, {hi} AS end_line, {_module_sql(parent) if parent else 'CAST(NULL AS VARCHAR)'} AS parent, 'm' || doc_id || '.py:' || substr(sha256('{kind}:' || {_module_sql(body)} || ':{lo}'), 1, 12) AS chunk_id FROM documents"
+    for kind, name, lo, hi, parent, body in _PARTS
+))
+def code_chunks(spark, d):
+    """Chunks of a module for each document: summary, class outline, methods and function."""
+    number = F.col("doc_id").cast("string")
+    path = F.concat(F.lit("m"), number, F.lit(".py"))
+    files = table(spark, d, "documents").select(path.alias("rel_path"), F.lit("python").alias("language"), F.lit("").alias("file_hash"), F.replace(F.lit(_MODULE), F.lit("{0}"), number).alias("content"))
+    return chunking.chunk_files(files).select(F.regexp_extract("file_path", "[0-9]+", 0).cast("long").alias("doc_id"), "chunk_type", "name", "start_line", "end_line", "parent", "chunk_id")
 
 
 @query(r"""WITH s AS (SELECT doc_id, source, [x FOR x IN string_split(text, chr(10)) IF x <> ''] AS l, string_split(text, chr(10)) AS a FROM documents),
@@ -184,6 +244,12 @@ def vector_topk(spark, d):
     return vectors.vector_topk(v, q, 8)
 
 
+@query(f"WITH {_VEC}, {_NEAR} SELECT query_id, chunk_id, distance, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8 AND distance <= 0.75")
+def vector_max_distance(spark, d):
+    v, q = _vectors(spark, d)
+    return vectors.vector_topk(v, q, 8, 0.75)
+
+
 @query(f"""WITH {_VEC}, {_NEAR}, c AS (SELECT *, ql = label AS boosted FROM r WHERE rank <= 50),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, rank) AS pos, distance <= 0.7 AS near FROM c),
 k AS (SELECT *, bool_or(near) OVER (PARTITION BY query_id) AS any_near FROM p),

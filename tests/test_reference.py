@@ -1,16 +1,21 @@
 """Operators of the retrieval engine on small inputs with known answers."""
 
+import http.server
+import io
 import json
 import os
 import subprocess
+import threading
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skein import cli
 from skein.functions import text as T
 from skein.operators import agent, chunking, context, embed, evaluation, fusion, lexical, passages, vectors
 from skein.plans import index as plans
-from skein.sinks import reports
+from skein.sinks import model, reports
 from skein.sources import clones, golden, repository, scan, store
 
 
@@ -380,3 +385,93 @@ def test_scan_counts_what_it_skips(spark, tmp_path):
     assert found == ["a.py", "d.md", "h.py"] and skipped == {"language": 2, "extension": 1, "name": 1, "empty": 1, "size": 1, "ignored": 1, "symlink": 1}
     got = scan.scan(spark, str(tmp_path), 20).collect()
     assert [r["rel_path"] for r in got] == ["a.py", "h.py"] and got[1]["content"] == "caf\ufffd"
+
+
+@pytest.fixture
+def served():
+    """(address, requests) of a server that answers with the question, in two pieces where it streams."""
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, self.headers["Authorization"], body))
+            told = body["messages"][-1]["content"]
+            fault = told == "fail"
+            self.send_response(500 if fault else 200)
+            self.end_headers()
+            if body["stream"]:
+                pieces = [{"delta": {"content": told[:2]}}, {"delta": {}}, {"delta": {"content": told[2:]}}, {"delta": {}, "finish_reason": "stop"}]
+                out = "".join(f"data: {json.dumps({'choices': [p]})}\n\n" for p in pieces) + ": note\n\ndata: {}\n\ndata: [DONE]\n\n"
+            else:
+                out = json.dumps({"choices": [] if told == "none" else [{"message": {"content": told}}]})
+            self.wfile.write(out.encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/v1/", asked
+    server.shutdown()
+    server.server_close()
+
+
+def test_model(served):
+    url, asked = served
+    for bad in ("", " ", None, model.PLACEHOLDER):
+        with pytest.raises(ValueError):
+            model.HttpModel(bad, url, "m")
+    m = model.HttpModel("k", url, "m")
+    assert m.generate("some {question} {context}", "where?") == "where?" and m.healthy()
+    path, key, body = asked[0]
+    assert path == "/v1/chat/completions" and key == "Bearer k" and body["model"] == "m" and "some {question} {context}" in body["messages"][0]["content"]
+    got = list(m.stream("c", "where?"))
+    assert "".join(p.content for p in got) == "where?" and [p.index for p in got] == [0, 1, 2] and got[-1].finish_reason == "stop"
+    for q in ("fail", "none"):
+        with pytest.raises(RuntimeError):
+            m.generate("c", q)
+    with pytest.raises(RuntimeError):
+        list(m.stream("c", "fail"))
+    assert not model.HttpModel("k", "http://127.0.0.1:9", "m", timeout=2).healthy()
+
+
+def test_ask_and_chat(spark, served, tmp_path, monkeypatch, capsys):
+    root = tmp_path / "r"
+    write(root, {"a.py": PY, "README.md": "# Title\nThe server starts here."})
+    store_at = f"file://{tmp_path}/s"
+    monkeypatch.setattr(cli, "session", lambda master: spark)
+    assert cli.main(["--store", store_at, "index", str(root)]) == 0
+    capsys.readouterr()
+    assert cli.main(["--store", store_at, "ask", str(root), "where does the server start", "--context"]) == 0
+    assert "README.md" in capsys.readouterr().out
+    monkeypatch.setenv("SKEIN_MODEL_URL", served[0])
+    monkeypatch.setenv("SKEIN_MODEL_KEY", "k")
+    monkeypatch.setattr("sys.stdin", io.StringIO("server?\n\nexit\nnever\n"))
+    assert cli.main(["--store", store_at, "chat", str(root), "--mode", "lexical"]) == 0
+    assert capsys.readouterr().out == "server?\n" and len(served[1]) == 1
+    assert "README.md" in served[1][0][2]["messages"][0]["content"]
+    chunks = store.Store(spark, store_at).read(plans.collection_name(embed.profile_key(plans.local_key(str(root)), "hashing-tf")))
+    got = plans.answer(chunks, "server", model.from_environment(), mode="lexical")
+    assert got["answer"] == "server" and got["hits"][0]["file_path"] == "README.md" and got["reason"] == "documents_only"
+
+
+def test_embedding_by_a_model(spark):
+    def missing():
+        raise OSError("no such folder")
+
+    def loader():
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    embed.register(embed.Profile("lengths", 2, "q"), missing, loader)
+    embed.register(embed.Profile("nowhere", 2), missing)
+    try:
+        vector = lambda p, query=False: spark.createDataFrame([("abc",)], "t string").select(embed.embed(F.col("t"), p, query).alias("v")).first()["v"]
+        assert vector("lengths") == pytest.approx([3 / 10**0.5, 1 / 10**0.5]) and vector("lengths", True) == pytest.approx([4 / 17**0.5, 1 / 17**0.5])
+        with pytest.raises(Exception, match="no such folder"):
+            vector("nowhere")
+    finally:
+        for p in ("lengths", "nowhere"):
+            del embed.PROFILES[p], embed.LOADERS[p]
+    with pytest.raises(ValueError):
+        embed.register(embed.Profile("x", 2))
