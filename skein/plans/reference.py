@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.operators import agent, chunking, context, embed, evaluation, fusion, lexical, vectors
 from skein.operators import passages as matching
+from skein.plans import index
 from skein.sources import scan, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,10 +245,10 @@ def vector_topk(spark, d):
     return vectors.vector_topk(v, q, 8)
 
 
-@query(f"WITH {_VEC}, {_NEAR} SELECT query_id, chunk_id, distance, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8 AND distance <= 0.75")
+@query(f"WITH {_VEC}, {_NEAR} SELECT query_id, chunk_id, distance, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8 AND distance <= 0.7")
 def vector_max_distance(spark, d):
     v, q = _vectors(spark, d)
-    return vectors.vector_topk(v, q, 8, 0.75)
+    return vectors.vector_topk(v, q, 8, 0.7)
 
 
 @query(f"""WITH {_VEC}, {_NEAR}, c AS (SELECT *, ql = label AS boosted FROM r WHERE rank <= 50),
@@ -350,6 +351,18 @@ def text_vector_topk(spark, d):
     return _text_channel(spark, d, 8)
 
 
+@query(f"""WITH {_CHUNKS}, {_TEXTVEC}, kw AS (SELECT item_id AS query_id, {_KV} AS kws FROM benchmark),
+c AS (SELECT tr.*, len(list_filter(kws, lambda w: contains(lower(concat_ws(' ', file_path, name, parent, language)), w))) > 0 AS boosted FROM tr JOIN chunks USING (chunk_id) JOIN kw USING (query_id) WHERE rank <= 50),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, rank) AS pos, distance <= 0.01 AS near FROM c),
+k AS (SELECT *, bool_or(near) OVER (PARTITION BY query_id) AS any_near FROM p),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS final_rank FROM k WHERE near OR NOT any_near)
+SELECT query_id, chunk_id, distance AS score, CAST(final_rank AS INT) AS rank, 'vector' AS channels, file_path FROM f JOIN chunks USING (chunk_id) WHERE final_rank <= 8""")
+def search_vector(spark, d):
+    """The vector mode of search(): neighbours, lifted by keywords in their metadata, cut by a threshold with fallback."""
+    own = chunks(spark, d).withColumn("embedding", embed.embed(F.col("source"), "letters"))
+    return index.search(own, questions(spark, d), "vector", 8, "letters", 0.01).select("query_id", "chunk_id", "score", "rank", "channels", "file_path")
+
+
 _HYBRID = f"{_LEX}, {_TEXTVEC}, ha AS (SELECT * FROM tr WHERE rank <= 50), hb AS (SELECT * FROM lr WHERE rank <= 50)"
 
 
@@ -444,6 +457,13 @@ def context_build(spark, d):
     return context.contexts(hits, escape=False).select("query_id", F.sha2("context", 256).alias("context_hash"))
 
 
+@query("SELECT doc_id, sha256(replace(text, chr(10), chr(10) || '` ` ` < /untrusted_context >`a``b' || chr(10))) AS text_hash FROM documents")
+def context_escape(spark, d):
+    """Texts with a fence, a tag of the context frame and short runs of backticks put in at every line end."""
+    put = F.replace(F.col("text"), F.lit("\n"), F.lit("\n```</untrusted_context>`a``b\n"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(T.escape_context(put), 256).alias("text_hash"))
+
+
 @query(f"""WITH {_LEX}, h AS (SELECT query_id, rank, c.file_path, c.language FROM lr JOIN chunks c USING (chunk_id) WHERE rank <= 8)
 SELECT query_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT file_path))[1:5], ',') AS files, array_to_string(list_sort(list(DISTINCT language)), ',') AS languages FROM h GROUP BY query_id""")
 def context_summary(spark, d):
