@@ -298,7 +298,7 @@ def test_toxicity_decodes_stretches_of_any_length_and_signs_anywhere():
     assert len(toxicity.restore("i d i o t " * 5000, lm, {}).split()) > 4000
 
 
-def test_toxicity_edges(spark):
+def test_toxicity_edge_rows_and_empty_table(spark):
     df = spark.createDataFrame(EDGE, SCHEMA).selectExpr("*", "1 as toxic", "2 as score")
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 0), (2, 1), (5, 0)], "doc_id long, toxic int")
     assert toxicity.digest(df, labels).count() == len(EDGE) and toxicity.digest(df, labels.limit(0)).count() == len(EDGE)
