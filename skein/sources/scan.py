@@ -114,9 +114,10 @@ def listed(spark: SparkSession, root: str, max_size: int = MAX_FILE_SIZE) -> Dat
 def described(raw: DataFrame) -> DataFrame:
     """file_hash (of the bytes) and content (bytes that are no UTF-8 replaced) instead of raw; documents with a sensitive
     assignment are left out. raw: any columns, language, raw (binary; null: the file could not be read, it is left out)."""
-    text = F.make_valid_utf8(F.col("raw").cast("string"))
-    told = raw.where("raw IS NOT NULL").withColumns({"file_hash": F.sha2("raw", 256), "content": text}).drop("raw")
-    return told.where(~(F.coalesce(F.col("language"), F.lit("")) == "doc") | ~is_sensitive(F.col("content")))
+    text = F.col("raw").cast("string")
+    doc = F.coalesce(F.col("language") == "doc", F.lit(False))
+    kept = raw.where(F.col("raw").isNotNull() & ~(doc & is_sensitive(text)))  # the marks are ASCII: found in any bytes
+    return kept.withColumns({"file_hash": F.sha2("raw", 256), "content": F.make_valid_utf8(text)}).drop("raw")
 
 
 def contents(files: DataFrame) -> DataFrame:
