@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bilinear_lm, decontaminate, jaccard_join, license_scan, packing, pii, quality_rules, spot_signatures, style_tree, token_orc, toxicity
+from skein.llm import bilinear_lm, conversation_repair, decontaminate, jaccard_join, license_scan, packing, pii, quality_rules, spot_signatures, style_tree, token_orc, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,6 +28,7 @@ QUERIES = {
     "op9_log_bilinear_lm": lambda spark, d: bilinear_lm.scores(_docs(spark, d)),
     "op10_noisy_channel_toxicity": lambda spark, d: toxicity.digest(_docs(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
     "op12_spot_signatures": lambda spark, d: spot_signatures.digest(_docs(spark, d)),
+    "op13_conversation_repair": lambda spark, d: conversation_repair.digest(spark.read.parquet(f"{d}/conversations.parquet")),
     "pipeline": corpus_pipeline.run,
 }
 #: What of operators 1, 3 and 9 SQL can say: the columns that the contract fixes.
@@ -46,6 +47,7 @@ ORACLES = {
     "op5_ngram_jaccard_join": jaccard_join.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
     "op12_spot_signatures": spot_signatures.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
     "base_personal_data": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') AS e,
