@@ -2,9 +2,9 @@
 
 Common words are anchors. Behind an anchor stands a chain of the next CHAIN content words (anchors between them are passed
 over); anchor and chain are a spot signature. Anchors in a row share their chain, so the last of them names it. Texts with
-few common words (lists, other languages) need something to stand on as well: the first content word of a text and those
-of a length divisible by OWN_LENGTH count as if an anchor stood before them. A fingerprint is the set of a text's signatures, and
-two texts are as alike as the Jaccard similarity of their sets.
+few common words (lists, other languages) need something to stand on as well: the first content word of a text and those of
+a length divisible by OWN_LENGTH count as if an anchor stood before them. A fingerprint is the set of a text's signatures,
+and two texts are as alike as the Jaccard similarity of their sets.
 
 `digest` holds every document against its edited text and its neighbour.
 
@@ -26,6 +26,8 @@ from skein.llm.common import LOWER_ASCII, UPPER_ASCII, doc_texts, lower_column,
 CHAIN, DIGITS = 2, 8
 #: Content words of so many letters, or a multiple, need no anchor.
 OWN_LENGTH = 7
+#: Neighbours, on average, of a group; bits of the hash that group rows without an id.
+GROUP_ROWS, LOST_BITS = 512, 9
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
     "a an and are as at be but by for from had has have he her his if in into is it its not of on or she so that the their them then there these they this to was we were what when which who will with would you "
@@ -75,40 +77,49 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
     return (near.when(F.least(na, nb) < F.greatest(na, nb) * least, 0.0) if least else near).otherwise(compared)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents with a key of two hashes; equal rows share it."""
-    return doc_texts(docs).withColumns({"g1": F.xxhash64("doc_id", "text"), "g2": F.xxhash64("text", "doc_id", F.lit(1))})
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text, the hashes g1 and g2 that order rows of one id, and the group (lost, b) of some GROUP_ROWS neighbours.
 
+    Groups follow each other: by lost, then b downwards. Ids are cut evenly, as densely as nine tenths of them lie; rows
+    without an id are cut by their hash."""
+    own = doc_texts(docs).withColumns({"g1": F.xxhash64("doc_id", "text"), "g2": F.xxhash64("text", "doc_id", F.lit(1))})
+    seen = docs.agg(F.count("doc_id").alias("n"), F.percentile_approx(docs["doc_id"].cast("long"), [0.05, 0.95]).alias("ends")).first()
+    width = max(1, GROUP_ROWS * (seen["ends"][1] - seen["ends"][0]) * 10 // (9 * seen["n"])) if seen["n"] else 1
+    lost = F.col("doc_id").isNull()
+    b = F.when(lost, -F.shiftright("g1", 64 - LOST_BITS)).otherwise(F.expr(f"doc_id div {width}L"))
+    return own.withColumns({"lost": lost.cast("int"), "b": F.coalesce(b, F.lit(0))})  # never null, so that joins add no filter and the exchange serves twice
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Equal rows are told apart by their number j."""
-    return rows.withColumn("j", F.row_number().over(W.partitionBy("g1", "g2").orderBy("g1")))
 
-
-def neighbours(docs: DataFrame) -> DataFrame:
-    """g1, g2, j of every document as g1, g2, j, and of the document before it (whose next it is) as p1, p2, pj, with that
-    one's length pn. Rows are sorted by ranges; only the ends of the ranges meet in one place."""
-    slim = _numbered(_keyed(docs).select("doc_id", "g1", "g2", F.char_length("text").alias("n")))
-    order = [F.col("doc_id").desc_nulls_last(), "g1", "g2", "j"]
-    placed = staged(slim.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id()), "order")
+def _followers(groups: DataFrame) -> DataFrame:
+    """lost, b of every group, and nl, nb of the one after it (of the first behind the last). Groups are sorted by ranges;
+    only the ends of the ranges, as many as shuffle partitions, meet in one place."""
+    order = ["lost", F.col("b").desc()]
+    placed = staged(groups.distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id()), "groups")
     ranges = placed.groupBy(F.shiftright("m", 33).alias("part")).agg(F.min("m").alias("head"), F.max("m").alias("tail"))
-    # as many rows as shuffle partitions: the head of the next range, of the first one behind the last
-    ends = ranges.select("tail", F.coalesce(F.lead("head").over(W.orderBy("part")), F.first("head").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("after"))
-    before = placed.join(F.broadcast(ends), F.col("m") == F.col("tail"), "left")
-    before = before.select(F.coalesce("after", F.col("m") + 1).alias("m"), F.col("g1").alias("p1"), F.col("g2").alias("p2"), F.col("j").alias("pj"), F.col("n").alias("pn"))
-    return placed.join(before, "m").select("g1", "g2", "j", "p1", "p2", "pj", "pn")
+    around = W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ends = ranges.select("tail", F.coalesce(F.lead("head").over(W.orderBy("part")), F.first("head").over(around)).alias("after"))
+    before = placed.join(F.broadcast(ends), F.col("m") == F.col("tail"), "left").select("lost", "b", F.coalesce("after", F.col("m") + 1).alias("m"))
+    return before.join(placed.select("m", F.col("lost").alias("nl"), F.col("b").alias("nb")), "m").drop("m")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures of every row."""
-    own = _keyed(docs).withColumn("spots", spot_set(F.col("text"))).repartition("g1", "g2")
-    whole = _numbered(own)
-    given = whole.join(neighbours(docs), ["g1", "g2", "j"]).select(F.col("p1").alias("g1"), F.col("p2").alias("g2"), F.col("pj").alias("j"), F.expr("substring(text, 1, pn div 3)").alias("lead"), F.col("spots").alias("next_spots"))
-    both = whole.join(given, ["g1", "g2", "j"])
-    n = F.char_length("text")
-    edited = both.select("doc_id", n.cast("long").alias("n_chars"), "spots", "next_spots", F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 3)"), "lead").alias("edited"))
-    seen = edited.select("*", spot_set(F.col("edited")).alias("edited_spots"))
-    return seen.select(
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures of every row.
+
+    Texts are shuffled once, by group: a row's next one stands in the same group, or is the head of the group after it."""
+    own = _grouped(docs)
+    order = [F.col("doc_id").desc(), "g1", "g2"]
+    inside = W.partitionBy("lost", "b").orderBy(*order)
+    heads = own.withColumn("before", F.lag("g1").over(inside)).where("before IS NULL").select(F.col("lost").alias("nl"), F.col("b").alias("nb"), F.col("text").alias("head"))
+    heads = heads.join(_followers(own.select("lost", "b")), ["nl", "nb"]).select("lost", "b", "head", spot_set(F.col("head")).alias("head_spots"))
+    seen = own.withColumn("next", F.lead("text").over(inside)).withColumn("spots", spot_set(F.col("text")))
+    seen = seen.withColumn("next_spots", F.lead("spots").over(inside)).join(heads, ["lost", "b"], "left")
+    own_part = F.expr("substring(text, 1, char_length(text) - char_length(text) div 3)")
+    edited = seen.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), "spots", F.coalesce("next_spots", "head_spots").alias("next_spots"),
+        F.concat(own_part, F.expr("substring(coalesce(next, head), 1, char_length(text) div 3)")).alias("edited"),
+    )
+    told = edited.withColumn("edited_spots", spot_set(F.col("edited")))
+    return told.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("spots")).alias("fingerprint"), fingerprint(F.col("edited_spots")).alias("edited_fingerprint"),
         likeness(F.col("spots"), F.col("edited_spots")).alias("near_edited"), likeness(F.col("spots"), F.col("next_spots")).alias("near_next"), F.size("spots").cast("long").alias("n_signatures"),
     )
