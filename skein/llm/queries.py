@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bilinear_lm, conversation_repair, decontaminate, jaccard_join, license_scan, packing, pii, quality_rules, spot_signatures, style_tree, token_orc, toxicity
+from skein.llm import bilinear_lm, conversation_repair, decontaminate, hard_negatives, jaccard_join, license_scan, packing, pii, quality_rules, spot_signatures, style_tree, token_orc, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -27,6 +27,7 @@ QUERIES = {
     "op8_benchmark_decontamination": lambda spark, d: decontaminate.digest(_docs(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
     "op9_log_bilinear_lm": lambda spark, d: bilinear_lm.scores(_docs(spark, d)),
     "op10_noisy_channel_toxicity": lambda spark, d: toxicity.digest(_docs(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+    "op11_distance_key_negatives": lambda spark, d: hard_negatives.mined(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op12_spot_signatures": lambda spark, d: spot_signatures.digest(_docs(spark, d)),
     "op13_conversation_repair": lambda spark, d: conversation_repair.digest(spark.read.parquet(f"{d}/conversations.parquet")),
     "pipeline": corpus_pipeline.run,
@@ -46,6 +47,7 @@ _CRC32 = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
 ORACLES = {
     "op5_ngram_jaccard_join": jaccard_join.ORACLE,
     "op6_quality_rules": quality_rules.ORACLE,
+    "op11_distance_key_negatives": hard_negatives.ORACLE,
     "op12_spot_signatures": spot_signatures.ORACLE,
     "op13_conversation_repair": conversation_repair.ORACLE,
     "base_personal_data": f"""
