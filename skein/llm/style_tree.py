@@ -8,7 +8,11 @@ almost wholly: its root is taken, so passages that many but not nearly all pages
 alone, and a branch seen once stays. Only branches that their presentation declares to be page furniture go whatever their
 entropy: menus, advertisements and footers often differ on every page, so entropy cannot tell them from content.
 
-Defined results: a null or empty html gives an empty text; a null url counts as a host of its own name ''; repeated
+A class, id or role declares furniture only as a whole name (site-header, cookie-banner), not by some part of it
+(entry-header, has-sidebar, search-algorithms); inline elements may, too; a main element is the page's main part whatever
+the names about it.
+
+Defined results: a null or empty html gives an empty text; a page of any length is read whole, in time linear in it; a null url counts as a host of its own name ''; repeated
 rows give a row each; an empty table gives an empty one; other columns are not looked at.
 """
 
@@ -50,10 +54,35 @@ NOISE_WORDS = frozenset((
     "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination",
     "popup", "promo", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 ))
+#: Words that may stand beside those in a name without changing what it says, that leave no doubt at its end,
+#: and that at its beginning tell of the page about it.
+PLAIN_WORDS = frozenset((
+    "area", "bar", "block", "bottom", "box", "btn", "button", "buttons", "col", "column", "container", "content", "desktop", "form", "global", "icon", "icons", "inner", "item", "items", "left", "link",
+    "links", "list", "main", "mobile", "module", "outer", "page", "panel", "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "sticky", "text", "top", "unit", "wrap", "wrapper",
+))
+CERTAIN_WORDS = frozenset(("advert", "adverts", "advertisement", "breadcrumb", "breadcrumbs", "comments", "navbar", "newsletter", "pagination", "replies", "sidebar"))
+ABOUT_WORDS = frozenset(("has", "with", "without", "no", "is", "show", "hide"))
 SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: What can still begin where no > follows.
+UNENDED = re.compile(r"<!--|<!\[CDATA\[")
 _CLOSE = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>", re.I) for t in RAW}
 
 
+@functools.lru_cache(50_000)
+def is_noise(name: str) -> bool:
+    """Whether a class, id or role declares furniture: as a whole, not because of any part of a longer name."""
+    words = [w.lower() for w in SPLIT.split(name) if w]
+    if not words or words[0] in ABOUT_WORDS:
+        return False
+    return words[-1] in CERTAIN_WORDS or any(w in NOISE_WORDS for w in words) and all(w in NOISE_WORDS or w in PLAIN_WORDS or w.isdigit() for w in words)
+
+
+def _declared(attributes: str, inside: bool) -> tuple[list, bool]:
+    """The names in a tag's attributes, and whether one of them declares furniture; a header within an article is none."""
+    named = NAMED.findall(attributes) if attributes else []
+    return named, any(is_noise(x) and not (inside and "header" in x.lower()) for _, a, b, c in named for x in (a or b or c).split())
+
+
 @functools.lru_cache(50_000)
 def _key(parent: str, tag: str, names: tuple[tuple[str, str], ...], role: int) -> str:
     """The key of a branch by that of its parent: as long for any depth, and never shared by branches of different role."""
@@ -66,7 +95,7 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
     out: list[tuple[str, int, str]] = []
     stack: list[tuple[str, str, int, bool]] = []  # tag, path, role, within an article
     buffer: list[str] = []
-    at, n = 0, len(page)
+    at, n, last = 0, len(page), page.rfind(">")
 
     def flush() -> None:
         if buffer:
@@ -85,9 +114,12 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
                 return
 
     while at < n:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else None
         if not m:
-            buffer.append(page[at:])
+            rest = UNENDED.search(page, at)
+            buffer.append(page[at : rest.start()] if rest else page[at:])
+            if rest and rest[0] != "<!--":
+                buffer.append(entities.escape(page[rest.end() :]))
             break
         if m.start() > at:
             buffer.append(page[at : m.start()])
@@ -100,11 +132,12 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
         tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
-                end = _CLOSE[tag].search(page, at)
+                end = _CLOSE[tag].search(page, at) if at <= last else None
                 at = end.end() if end else n
             continue
-        if tag in INLINE:
-            continue
+        named, noise = _declared(attributes, bool(stack) and stack[-1][3])
+        if tag in INLINE and (tag in VOID or not noise and not any(x[0] == tag for x in stack[-4:])):
+            continue  # inline elements matter where they are furniture, or stand in one of their own name that is
         flush()
         if tag in VOID:
             continue
@@ -119,10 +152,10 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
         elif tag in CLOSED_BY:
             pop(CLOSED_BY[tag])
         _, path, role, inside = stack[-1] if stack else ("", "", 1, False)
-        named = NAMED.findall(attributes) if attributes else []
-        names = [a or b or c for _, a, b, c in named]
         inside = inside or tag in ARTICLE
-        if role == 2 or tag in FURNITURE or tag == "header" and not inside or any(w.lower() in NOISE_WORDS for x in names for w in SPLIT.split(x)):
+        if tag == "main" and not any(x[0] in FURNITURE for x in stack):
+            role = 0  # whatever the names about it say, this is the page's main part
+        elif role == 2 or tag in FURNITURE or tag == "header" and not inside or noise:
             role = 2 if tag not in ("body", "html") else role
         elif inside:
             role = 0
