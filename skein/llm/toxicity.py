@@ -39,7 +39,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzàâäçéèêëíîïñóôöúùûüßá
 SIZE = len(ALPHABET) + 2  # 0: outside words, last: letters not listed
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}
 #: Words that mix letters with signs, at any place; letters set apart; words with a letter three times in a row. Of any length.
-SIGNED = re.compile(r"(?<!\S)(?=[^\s0-9@$!|+(€£]*[0-9@$!|+(€£])(?=[\W\d_]*[^\W\d_])\S+")
+SIGNED = re.compile(r"(?<!\S)(?=[^\s0-9@$!|+(€£]*[0-9@$!|+(€£])(?=(?:[^\w\s]|[\d_])*[^\W\d_])\S+")
 APART = re.compile(r"(?<!\w)(?:[\w@$!|][ .\-_*]){3,}[\w@$!|](?!\w)|(?<!\w)\w{1,3}(?:[.\-_*]\w{1,2}){2,}(?!\w)")
 REPEATED = re.compile(r"(?<![^\W_])[^\W_]*?([^\W\d_])\1\1[^\W_]*")
 #: Characters of a stretch that is kept in the cache; longer ones are decoded each time.
