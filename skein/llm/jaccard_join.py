@@ -12,8 +12,9 @@ looked at again, with other hubs; at last every remaining pair of different clas
 position filters is verified, so no link between different classes is lost.
 
 Defined results: a null or empty text has an empty set and its own id as class; rows with a null doc_id take the class
-of an equal set that has an id, else null; repeated rows give a row each; an empty table gives an empty one; other
-columns are not looked at.
+of an equal set that has an id, else null; repeated rows give a row each; several texts under one id are one document, with
+the links of all of them; an empty table gives an empty one; texts of any length are taken whole; other columns are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -119,21 +120,22 @@ def _least(n: Column, percent: int) -> Column:
 
 
 def rep_sets(texts: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, grams (packed, sorted) of the classes' representatives."""
-    joined = texts.join(reps.select("doc_id", "id1", "id2"), "doc_id")
+    """doc_id (the set's number), n, grams (packed, sorted) of the sets that stand for others. reps: doc_id (of a row that
+    holds the set), sid, id1, id2."""
+    joined = texts.join(reps.select("doc_id", "sid", "id1", "id2"), "doc_id")
     schema = _struct(doc_id=_L, n=_I, grams=_B)
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             out: dict[str, list] = {"doc_id": [], "n": [], "grams": []}
-            for i, t, a, c in zip(b["doc_id"], b["text"], b["id1"], b["id2"], strict=True):
+            for i, t, a, c in zip(b["sid"], b["text"], b["id1"], b["id2"], strict=True):
                 s = shingles(word_hashes(t), width)
                 if _identity(s) == (a, c):  # an id may be repeated with another text
                     for k, v in zip(out, (i, len(s), s.tobytes()), strict=True):
                         out[k].append(v)
             yield out
 
-    return arrow_map(joined.select("doc_id", "text", "id1", "id2"), rows, schema).dropDuplicates(["doc_id"])
+    return arrow_map(joined.select("sid", "text", "id1", "id2"), rows, schema).dropDuplicates(["doc_id"])
 
 
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -272,18 +274,32 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
     return _relabel(comps, staged(similar(rest, sets, percent), "links"))
 
 
+def _one_document(comps: DataFrame, rows: DataFrame) -> DataFrame:
+    """Classes of sets that stand under one doc_id are one class. rows: doc_id, sid."""
+    first = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z")
+    if first.isEmpty():
+        return comps
+    links = first.join(rows, "doc_id").where("a <> sid").select("a", F.col("sid").alias("b")).distinct()
+    return _relabel(comps, staged(links, "links"))
+
+
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+    """doc_id, n_shingles, component_id of every row. Sets are numbered, so that an id with several texts keeps all their
+    links; such texts are one document."""
     small_batches(docs.sparkSession)
     texts = doc_texts(docs)
     sizes = staged(set_sizes(texts, width), "sizes")
     own = sizes.where("n > 0").groupBy("id1", "id2", "n").agg(F.min("doc_id").alias("doc_id"), F.max("shared").alias("shared"))
-    own = staged(own, "classes")
+    own = staged(own.withColumn("sid", F.monotonically_increasing_id()), "classes")
     reps = own.where(F.col("doc_id").isNotNull() & (F.col("shared") >= _least(F.col("n"), percent)))
     sets = staged(rep_sets(texts, reps, width), "sets")
-    comps = link_classes(sets, percent)
-    ids = own.select("id1", "id2", "doc_id").join(comps, "doc_id", "left").select("id1", "id2", F.coalesce("comp", "doc_id").alias("c"))
-    # a class may begin with an id that is no representative's; the smallest id of a class is that of its smallest set
+    linked = link_classes(sets, percent)
+    comps = own.select(F.col("sid").alias("doc_id")).join(linked, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp"))
+    rows = sizes.where("n > 0").join(own.select("id1", "id2", "sid"), ["id1", "id2"]).select("doc_id", "sid")
+    comps = _one_document(comps, rows)
+    known = own.select("id1", "id2", "doc_id", F.col("sid")).join(comps.withColumnRenamed("doc_id", "sid"), "sid")
+    least = known.groupBy("comp").agg(F.min("doc_id").alias("c"))
+    ids = staged(known.join(least, "comp").select("id1", "id2", "c"), "components")
     return sizes.join(ids, ["id1", "id2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
 
 
