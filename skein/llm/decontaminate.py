@@ -9,7 +9,10 @@ cut, changed, put in or moved, and however short the text. Four blocks of 16 bit
 item's. Every (text, item) that meets is then verified exactly: of all windows of the item's size, the one with the
 largest share of the item's weighted five-word shingles.
 
-Defined results: a null or empty text, an item without words, an empty table on either side: no rows. Repeated rows
+Weights come from all items, however they are dealt to rounds.
+
+Defined results: a null or empty text, an item without words, an empty table on either side: no rows. Texts of any length are
+searched whole, in chunks of words. Repeated rows
 give a row each; an item that stands in a text several times gives its first best place; a null id stays null; other
 columns are not looked at. An item of fewer than WIDTH words is one shingle of its own length.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import arrow_map, doc_texts, small_batches
+from skein.llm.common import arrow_map, doc_texts, small_batches, staged
 from skein.llm.exchange import hashes
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -70,7 +73,8 @@ def shingle_keys(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
 class Index:
     """Items' fingerprints by window size (WIDTH, or an item's fewer words) with block tables, and what verification needs."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, known: tuple[int, dict[int, int]] | None = None):
+        """known: how many items there are in all, and how many of them each shingle stands in; else counted over `items`."""
         self.ids, self.hashes, self.classes, self.least = [], [], {}, similarity
         for i, text in items:
             h = hashes(words_of(text or ""))
@@ -78,9 +82,9 @@ class Index:
                 self.ids.append(i)
                 self.hashes.append(h)
         keys = [shingle_keys(h) for h in self.hashes]
-        df = Counter(k for own in keys for k in set(own.tolist()))
+        total, df = known or (len(keys), Counter(k for own in keys for k in set(own.tolist())))
         self.counts = [Counter(own.tolist()) for own in keys]
-        self.weights = [Counter({k: n * math.log(1 + len(keys) / df[k]) for k, n in own.items()}) for own in self.counts]
+        self.weights = [Counter({k: n * math.log(1 + total / df[k]) for k, n in own.items()}) for own in self.counts]
         self.offsets: list[dict[int, list[int]]] = []
         by: dict[int, list[tuple[int, int]]] = {}
         for j, (h, own) in enumerate(zip(self.hashes, keys, strict=True)):
@@ -196,12 +200,46 @@ class Index:
         return out
 
 
-def _rounds(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items, in rounds of at most ROUND_ITEMS or so: benchmarks are short lists, a longer one takes several rounds."""
+Round = tuple[list[tuple[int, str]], tuple[int, dict[int, int]]]
+
+
+def _keyed(items: DataFrame) -> DataFrame:
+    """item_id, text, and key of each distinct shingle of the items; an item without words has none."""
+    schema = T.StructType([T.StructField("item", T.LongType()), T.StructField("key", T.LongType())])
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            own = [np.unique(shingle_keys(h)) if len(h := hashes(words_of(t))) else np.empty(0, np.uint64) for t in b["text"]]
+            yield {"item": np.repeat(np.array(b["item"], np.int64), [len(k) for k in own]), "key": np.concatenate([np.empty(0, np.uint64), *own]).view(np.int64)}
+
+    return arrow_map(items.select("item", "text"), rows, schema)
+
+
+def _rounds(benchmark: DataFrame) -> list[Round]:
+    """The items, in rounds of at most ROUND_ITEMS or so: benchmarks are short lists, a longer one takes several rounds.
+    In how many items a shingle stands is counted over all of them, so a weight does not depend on the rounds."""
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].alias("text")).where("text IS NOT NULL")
+    items = items.withColumn("item", F.xxhash64("item_id", "text"))
     rounds = max(1, -(-items.count() // ROUND_ITEMS))
-    parts = [items if rounds == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == r) for r in range(rounds)]
-    return [sorted([(x["item_id"], x["text"]) for x in p.collect()], key=lambda x: (x[0] is None, x[0] or 0, x[1])) for p in parts]
+    if rounds == 1:
+        own = _in_order(items.select("item_id", "text").collect())
+        keys = [np.unique(shingle_keys(h)) for _, t in own if len(h := hashes(words_of(t)))]
+        return [(own, (len(keys), Counter(k for x in keys for k in x.tolist())))]
+    # equal rows count as often as they stand
+    keyed = staged(items.groupBy("item").count().join(_keyed(items.dropDuplicates(["item"])), "item"), "shingles")
+    total = keyed.select("item", "count").distinct().agg(F.sum("count")).first()[0] or 0
+    counted = staged(keyed.groupBy("key").agg(F.sum("count").alias("df")), "frequencies")
+    out = []
+    for r in range(rounds):
+        mine = F.pmod("item", F.lit(rounds)) == r
+        of = keyed.where(mine).select("key").distinct().join(counted, "key")
+        known = {x["key"] & (1 << 64) - 1: x["df"] for x in of.collect()}  # the shingles of a round's items
+        out.append((_in_order(items.where(mine).select("item_id", "text").collect()), (total, known)))
+    return out
+
+
+def _in_order(items: list) -> list[tuple[int, str]]:
+    return sorted([(x["item_id"], x["text"]) for x in items], key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -211,8 +249,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     texts, out = doc_texts(docs), None
     for mine in _rounds(benchmark):
 
-        def rows(batches: Iterator[dict], mine: list = mine) -> Iterator[dict]:
-            index = Index(mine, similarity)
+        def rows(batches: Iterator[dict], mine: Round = mine) -> Iterator[dict]:
+            index = Index(mine[0], similarity, mine[1])
             for b in batches:
                 made: dict[str, list] = {f.name: [] for f in schema}
                 for doc, best in zip(b["doc_id"], index.leaks(b["text"], similarity), strict=True):
@@ -234,8 +272,8 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     small_batches(docs.sparkSession)
     for mine in _rounds(benchmark):
 
-        def rows(batches: Iterator[dict], mine: list = mine) -> Iterator[dict]:
-            index = Index(mine, similarity)
+        def rows(batches: Iterator[dict], mine: Round = mine) -> Iterator[dict]:
+            index = Index(mine[0], similarity, mine[1])
             for b in batches:
                 keep = [not best for best in index.leaks([t or "" for t in b["text"]], similarity)]
                 yield {k: [x for x, good in zip(v, keep, strict=True) if good] for k, v in b.items()}
