@@ -16,7 +16,7 @@ from skein.operators.chunking import chunk_files
 from skein.sinks.model import Model, Piece
 from skein.sources import repository
 from skein.sources import scan as scanning
-from skein.sources.store import Store, change_set, manifest_status, stats
+from skein.sources.store import STATS, Store, change_set, manifest_status, merged
 
 TRACKER = "rel_path string, file_hash string"
 MANIFEST = "collection string, display_name string, source string, profile string, files long, chunks long, chunk_types map<string,long>, last_indexed_at string"
@@ -61,23 +61,25 @@ def collection_name(key: str) -> str:
 
 
 def index(spark: SparkSession, root: str, store: Store, profile: str = "hashing-tf", source: str | None = None, key: str | None = None) -> dict:
-    """Counts of what changed. Without changes nothing is written."""
+    """Counts of what changed. Without changes nothing is written; chunks, tracker and manifest become visible at once."""
     name = collection_name(embed.profile_key(key or local_key(root), profile))
+    change = store.change(name)
     listed = scanning.listed(spark, root)
     hashes = scanning.contents(listed).select("rel_path", "file_hash").cache()  # no contents are kept
-    changes = change_set(hashes, store.read(name, "tracker", TRACKER)).cache()
+    changes = change_set(hashes, change.read("tracker", TRACKER)).cache()
     n = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
     result = {"collection": name, **{k: n.get(k, 0) for k in ("added", "modified", "deleted")}}
     if n:
         # the files that changed are read once more: a path meets its change before its bytes are read
         build = scanning.contents(listed.join(changes.where("status IN ('added', 'modified')").select("rel_path"), "rel_path"))
         new = chunk_files(build).withColumn("embedding", embed.embed(F.col("source"), profile))
-        store.replace_files(name, changes.select(F.col("rel_path").alias("file_path")), new)
-        store.write(name, hashes, "tracker")
-        types = {r["chunk_type"]: r["n"] for r in stats(store.read(name)).collect()}
+        change.replace_files(changes.select(F.col("rel_path").alias("file_path")), new)
+        change.write(hashes, "tracker")
+        types = {r["chunk_type"]: r["n"] for r in merged(change.read("chunks-stats", STATS), "chunk_type").collect()}
         now = datetime.datetime.now().isoformat(timespec="seconds")
         row = (name, os.path.basename(os.path.abspath(root)), source or os.path.abspath(root), profile, hashes.count(), sum(types.values()), types, now)
-        store.write(name, spark.createDataFrame([row], MANIFEST), "manifest")
+        change.write(spark.createDataFrame([row], MANIFEST), "manifest")
+        change.commit()
         result |= {"chunks": sum(types.values())}
     changes.unpersist()
     hashes.unpersist()
@@ -192,7 +194,7 @@ def run_agent(chunks: DataFrame, task: str, profile: str = "hashing-tf", k: int
 
 def remove_manifest(store: Store, collection: str) -> bool:
     """Forgets one manifest; the chunks stay."""
-    return store.delete(f"{collection}/manifest")
+    return store.drop(collection, "manifest")
 
 
 def status(spark: SparkSession, store: Store, wanted: DataFrame) -> DataFrame:
@@ -201,6 +203,5 @@ def status(spark: SparkSession, store: Store, wanted: DataFrame) -> DataFrame:
 
 
 def manifests(spark: SparkSession, store: Store) -> DataFrame:
-    """All manifests, the latest first. Each is one row: they are read on the driver, not as a plan with a branch for each."""
-    rows = [tuple(r) for c in store.collections() if (found := store.read(c, "manifest")) is not None for r in found.collect()]
-    return spark.createDataFrame(rows, MANIFEST).orderBy(F.col("last_indexed_at").desc(), "collection")
+    """All manifests, the latest first, in one read."""
+    return store.everywhere("manifest", MANIFEST).orderBy(F.col("last_indexed_at").desc(), "collection")

@@ -349,8 +349,9 @@ def test_profiles_and_display(spark):
 
 def test_a_corrupt_pointer_is_no_snapshot(spark, tmp_path):
     st = store.Store(spark, f"file://{tmp_path}")
-    os.makedirs(tmp_path / "c" / "tracker" / "pointer")
-    (tmp_path / "c" / "tracker" / "pointer" / "part-0.json").write_text("{broken\n")
+    os.makedirs(tmp_path / "c" / "pointer")
+    (tmp_path / "c" / "pointer" / "part-0.json").write_text("{broken\n")
+    (tmp_path / "c" / "pointer" / "000000000002.json").write_text("")  # of a writer that is lost
     assert st.read("c", "tracker", plans.TRACKER).count() == 0
     st.write("c", spark.createDataFrame([("p", "h")], plans.TRACKER), "tracker")
     assert st.read("c", "tracker", plans.TRACKER).count() == 1
@@ -370,10 +371,13 @@ def test_changes_rewrite_only_their_buckets(spark, tmp_path):
     assert s.vacuum("c") == len(touched) and s.vacuum("c") == 0 and s.read("c").count() == 39
     s.replace_files("c", files(*[f"f{i}" for i in range(40)]), rows())
     assert s.read("c").count() == 0 and s.read("c").columns == ["chunk_id", "file_path", "ordinal"]
-    now = s._entry("c", "chunks")
-    s._point("c", "chunks", now["n"] + 1, s.read("c").schema, 4, {})
+    first, second = s.change("c"), s.change("c")
+    first.write(rows(("a", "a", 1)))
+    second.write(rows(("b", "b", 1)))
+    second.commit()
     with pytest.raises(store.ConcurrentWrite):
-        s._point("c", "chunks", now["n"] + 1, s.read("c").schema, 4, {})
+        first.commit()
+    assert [r["chunk_id"] for r in s.read("c").collect()] == ["b"]
 
 
 def test_scan_counts_what_it_skips(spark, tmp_path):
