@@ -1,4 +1,5 @@
-"""Parsing and chunking of files: Python by its own syntax tree, other languages by braces and keywords.
+"""Parsing and chunking of files: Python by its own syntax tree, other languages by braces and keywords, documents by
+DataFrame functions alone.
 
 The heuristic languages find functions and classes at line starts and follow braces (or `end` for Ruby and Lua);
 they promise no syntax-tree parity. Tokens are counted by a pluggable function.
@@ -244,18 +245,93 @@ def chunks_of(text: str, language: str, path: str, most: int = MAX_TOKENS, count
     return out
 
 
-def chunk_files(files: DataFrame, most: int = MAX_TOKENS, count: Callable[[str], int] = count_tokens) -> DataFrame:
-    """Chunks of files (rel_path, language, file_hash, content), one Arrow batch of files at a time."""
+_BLANK = " \t\n\x0b\x0c\r"
+_ORDER = ("file_path", "language", "chunk_type", "name", "start_line", "end_line", "parent", "file_hash", "source", "token_count", "metadata", "ordinal")
+
+
+def tokens(text: Column) -> Column:
+    """count_tokens() as an expression."""
+    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{IsWhite_Space}]"), F.lit(0))
+    return F.aggregate(words, F.lit(0), lambda n, w: n + F.floor((F.char_length(w) + 5) / 6).cast("int"))
+
+
+def greedy_starts(counts: Column, most: int) -> Column:
+    """Places (from 0) at which pieces begin, as many lines to a piece as fit `most`; a longer line is a piece of its own."""
+
+    def step(state: Column, x: Column) -> Column:
+        new = (F.size(state["starts"]) == 0) | (state["total"] + x["n"] > most)
+        return F.struct(F.when(new, x["n"]).otherwise(state["total"] + x["n"]).alias("total"), F.when(new, F.array_append(state["starts"], x["at"])).otherwise(state["starts"]).alias("starts"))
+
+    numbered = F.transform(counts, lambda n, at: F.struct(n.alias("n"), at.alias("at")))
+    return F.aggregate(numbered, F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("starts")), step)["starts"]
+
+
+def doc_sections(files: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
+    """rel_path, file_hash, content, section, start, source, stop, cut of what documents are cut into at headings: a document
+    that fits, or has one section, is one; blank sections are left out; cut says that the source is too long for a chunk."""
+    lines = F.split("content", "\n")
+    heads = F.filter(F.transform(lines, lambda x, i: F.when(F.rlike(F.concat(x, F.lit("\n")), F.lit(r"^#{1,6}\s")) | (i == 0), i)), lambda i: i.isNotNull())
+    own = files.select("rel_path", "file_hash", "content", lines.alias("lines"), tokens(F.col("content")).alias("total"), heads.alias("heads"))
+    whole = (F.col("total") <= most) | (F.size("heads") < 2)
+    one = F.array(F.struct(F.lit(0).alias("from"), F.size("lines").alias("to")))
+    each = F.transform("heads", lambda h, i: F.struct(h.alias("from"), F.coalesce(F.get("heads", i + 1), F.size("lines")).alias("to")))
+    parts = own.select("rel_path", "file_hash", "content", "lines", "total", whole.alias("whole"), F.posexplode(F.when(whole, one).otherwise(each)).alias("section", "x"))
+    last = F.col("x.to") == F.size("lines")
+    body = F.when(F.col("whole"), F.col("content")).otherwise(F.concat(F.array_join(F.slice("lines", F.col("x.from") + 1, F.col("x.to") - F.col("x.from")), "\n"), F.when(last, "").otherwise("\n")))
+    cut = parts.select("rel_path", "file_hash", "section", (F.col("x.from") + 1).alias("start"), "whole", body.alias("body"))
+    source = F.when(F.col("whole"), F.col("body")).otherwise(F.btrim("body", F.lit(_BLANK)))
+    stop = F.col("start") + F.char_length("body") - F.char_length(F.replace("body", F.lit("\n"), F.lit("")))
+    told = cut.select("rel_path", "file_hash", "section", "start", source.alias("source"), stop.alias("stop"), (tokens(F.col("body")) > most).alias("cut"), "whole")
+    return told.where("whole OR source <> ''").drop("whole")
+
+
+def doc_chunks(files: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
+    """CHUNKS without chunk_id of documents: sections at headings, those of too many tokens in pieces of whole lines.
+
+    Lines end at \\n. A null content is empty, and an empty document is one empty chunk."""
+    parts = doc_sections(files.select("rel_path", "file_hash", F.coalesce("content", F.lit("")).alias("content")), most)
+    ended = F.endswith("source", F.lit("\n"))
+    lines = F.split(F.when(ended, F.expr("substring(source, 1, char_length(source) - 1)")).otherwise(F.col("source")), "\n")
+    counted = parts.select("*", lines.alias("lines")).withColumn("starts", F.when(F.col("cut"), greedy_starts(F.transform("lines", tokens), most)).otherwise(F.array(F.lit(0))))
+    pieces = counted.select("*", F.size("starts").alias("m"), F.posexplode("starts").alias("i", "from")).withColumn("to", F.coalesce(F.get("starts", F.col("i") + 1), F.size("lines")))
+    joined = F.concat(F.array_join(F.slice("lines", F.col("from") + 1, F.col("to") - F.col("from")), "\n"), F.when((F.col("to") < F.size("lines")) | F.endswith("source", F.lit("\n")), "\n").otherwise(""))
+    made = pieces.select("*", F.when(F.col("cut"), joined).otherwise(F.col("source")).alias("own"))
+    several, part = F.col("cut") & (F.col("m") > 1), F.col("i") + 1
+    label = F.concat("rel_path", F.lit(" [part "), part.cast("string"), F.lit("/"), F.col("m").cast("string"), F.lit("]"))
+    values = {
+        "file_path": F.col("rel_path"), "language": F.lit("doc"), "chunk_type": F.lit("doc"), "name": F.when(several, label).otherwise(F.col("rel_path")),
+        "start_line": F.when(F.col("cut"), F.col("start") + F.col("from")).otherwise(F.col("start")).cast("int"), "end_line": F.when(F.col("cut"), F.col("start") + F.col("to") - 1).otherwise(F.col("stop")).cast("int"),
+        "parent": F.lit(None).cast("string"), "file_hash": F.col("file_hash"), "source": F.col("own"), "token_count": tokens(F.col("own")),
+        "metadata": F.when(several, F.create_map(F.lit("sub_index"), part, F.lit("sub_total"), F.col("m"))).otherwise(F.create_map().cast("map<string,int>")), "ordinal": F.col("section").cast("long") * (1 << 20) + F.col("i"),
+    }
+    return made.select(*[values[c].alias(c) for c in _ORDER])
+
+
+def chunk_files(files: DataFrame, most: int = MAX_TOKENS, count: Callable[[str], int] | None = None, kind: str | None = None) -> DataFrame:
+    """Chunks of files (rel_path, language, file_hash, content): documents by expressions, code one Arrow batch at a time; all
+    by the second way where `count` gives another count of tokens. files is read once for each way, or once in all where
+    `kind` (doc or code) says that it holds only such."""
+    if kind == "doc" and count is None:
+        made = doc_chunks(files, most)
+    elif kind == "code" and count is None:
+        made = _by_batches(files, most, count_tokens)
+    elif count is None:
+        docs, code = files.where("language = 'doc'"), files.where("language IS NULL OR language <> 'doc'")
+        made = doc_chunks(docs, most).unionByName(_by_batches(code, most, count_tokens))
+    else:
+        made = _by_batches(files, most, count)
+    from skein.functions.text import chunk_id
+
+    return made.withColumn("chunk_id", chunk_id(F.col("file_path"), F.col("chunk_type"), F.col("source"), F.col("start_line")))
+
 
+def _by_batches(files: DataFrame, most: int, count: Callable[[str], int]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [{"file_path": r.rel_path, "language": r.language, "file_hash": r.file_hash, "ordinal": i, **c} for r in pdf.itertuples(index=False) for i, c in enumerate(chunks_of(r.content or "", r.language, r.rel_path, most, count))]
-            yield pd.DataFrame(rows, columns=["file_path", "language", "chunk_type", "name", "start_line", "end_line", "parent", "file_hash", "source", "token_count", "metadata", "ordinal"])
+            yield pd.DataFrame(rows, columns=list(_ORDER))
 
-    made = files.select("rel_path", "language", "file_hash", "content").mapInPandas(run, CHUNKS.removesuffix(", chunk_id string"))
-    from skein.functions.text import chunk_id
-
-    return made.withColumn("chunk_id", chunk_id(F.col("file_path"), F.col("chunk_type"), F.col("source"), F.col("start_line")))
+    return files.select("rel_path", "language", "file_hash", "content").mapInPandas(run, CHUNKS.removesuffix(", chunk_id string"))
 
 
 def lines(files: DataFrame, key: str = "rel_path", text: str = "content") -> DataFrame:

@@ -71,8 +71,9 @@ def index(spark: SparkSession, root: str, store: Store, profile: str = "hashing-
     result = {"collection": name, **{k: n.get(k, 0) for k in ("added", "modified", "deleted")}}
     if n:
         # the files that changed are read once more: a path meets its change before its bytes are read
-        build = scanning.contents(listed.join(changes.where("status IN ('added', 'modified')").select("rel_path"), "rel_path"))
-        new = chunk_files(build).withColumn("embedding", embed.embed(F.col("source"), profile))
+        build = listed.join(changes.where("status IN ('added', 'modified')").select("rel_path"), "rel_path")
+        docs, code = (scanning.contents(build.where(kind)) for kind in ("language = 'doc'", "language <> 'doc'"))  # each file once
+        new = chunk_files(docs, kind="doc").unionByName(chunk_files(code, kind="code")).withColumn("embedding", embed.embed(F.col("source"), profile))
         change.replace_files(changes.select(F.col("rel_path").alias("file_path")), new)
         change.write(hashes, "tracker")
         types = {r["chunk_type"]: r["n"] for r in merged(change.read("chunks-stats", STATS), "chunk_type").collect()}

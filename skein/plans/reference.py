@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.operators import agent, chunking, context, embed, evaluation, fusion, lexical, vectors
+from skein.operators import agent, chunking, context, embed, evaluation, fusion, ignores, lexical, symbols, vectors
 from skein.operators import passages as matching
+from skein.operators.cells import Cells
 from skein.plans import index
+from skein.session import scratch
 from skein.sources import scan, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +97,55 @@ def sensitive_filter(spark, d):
     return table(spark, d, "documents").where(~T.is_sensitive(F.col("text"))).select("doc_id")
 
 
+#: Rule files of the folders that the sources are; rules and paths come from the texts' own words.
+_RULES = {"": "*o/\n!s*/\n/src1/**/e*\n# no rule\n\nt*n\n!then*", "src2": "a*/\n!an*/\n**/th", "src3": "[a-h]*\n!?h*", "src0": "*/on\n!th*\nre*/*e"}
+
+
+@query("""WITH RECURSIVE w AS (SELECT doc_id, source, list_slice(regexp_extract_all(lower(text), '[a-z]+'), 1, 3) AS w FROM documents),
+p AS (SELECT DISTINCT source || '/' || array_to_string(w, '/') AS path FROM w WHERE len(w) > 0),
+parts AS (SELECT path AS file, string_split(path, '/') AS a FROM p),
+every AS (SELECT DISTINCT array_to_string(a[1:n], '/') AS path, n < len(a) AS is_folder FROM (SELECT a, unnest(range(1, len(a) + 1)) AS n FROM parts)),
+rules(folder, line, negated, only_folders, tied, regex) AS (VALUES ('', 0, false, true, false, '[^/]*o'), ('', 1, true, true, false, 's[^/]*'), ('', 2, false, false, true, 'src1/([^/]+/)*e[^/]*'), ('', 5, false, false, false, 't[^/]*n'), ('', 6, true, false, false, 'then[^/]*'),
+ ('src2', 0, false, true, false, 'a[^/]*'), ('src2', 1, true, true, false, 'an[^/]*'), ('src2', 2, false, false, true, '([^/]+/)*th'), ('src3', 0, false, false, false, '[a-h][^/]*'), ('src3', 1, true, false, false, '[^/]h[^/]*'),
+ ('src0', 0, false, false, true, '[^/]*/on'), ('src0', 1, true, false, false, 'th[^/]*'), ('src0', 2, false, false, true, 're[^/]*/[^/]*e')),
+m AS (SELECT e.path, e.is_folder, arg_max(NOT negated, len(folder) * 1000 + line) AS ignored FROM every e JOIN rules r ON (folder = '' OR starts_with(e.path, folder || '/')) AND (NOT only_folders OR is_folder)
+ AND regexp_matches(CASE WHEN folder = '' THEN e.path ELSE substr(e.path, length(folder) + 2) END, '^' || CASE WHEN tied THEN '' ELSE '(.*/)?' END || regex || '(/.*)?$') GROUP BY e.path, e.is_folder),
+gone AS (SELECT path FROM m WHERE is_folder AND ignored)
+SELECT p.path, coalesce(bool_or(m.ignored), false) OR exists(SELECT 1 FROM gone WHERE starts_with(p.path, gone.path || '/')) AS ignored FROM p LEFT JOIN m ON m.path = p.path AND NOT m.is_folder GROUP BY p.path""")
+def ignored_paths(spark, d):
+    """Paths made of each text's source and first words, under the rules of _RULES."""
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 3)
+    paths = table(spark, d, "documents").select(F.concat_ws("/", "source", F.array_join(words, "/")).alias("path"), F.size(words).alias("n")).where("n > 0").select("path")
+    return ignores.ignored(paths, spark.createDataFrame(list(_RULES.items()), "folder string, content string"))
+
+
+def _symbols(spark, d):
+    """Ranges of lines as symbols: a line of a multiple of seven characters begins a class of a thirteenth as many lines, one that
+    begins with a vowel a function of a fortieth."""
+    lines = chunking.lines(table(spark, d, "documents"), "doc_id", "text").where("text IS NOT NULL AND text <> ''")
+    n = F.char_length("text")
+    named = lambda kind, size: F.struct(F.lit(kind).alias("kind"), (F.col("line") + F.floor(n / size)).cast("int").alias("end_line"))
+    both = F.array_compact(F.array(F.when(n % 7 == 0, named("class", 13)), F.when(F.lower(F.left("text", F.lit(1))).isin("a", "e", "i", "o", "u"), named("function", 40))))
+    rows = lines.select("doc_id", F.col("line").alias("start_line"), F.substring("text", 1, 12).alias("name"), F.explode(both).alias("s"))
+    return rows.select("doc_id", "s.kind", "name", "start_line", "s.end_line")
+
+
+_SYMBOLS = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
+c AS (SELECT doc_id, left(l, 12) AS name, CAST(p AS INT) AS s, CAST(p + length(l) // 13 AS INT) AS e FROM l WHERE l <> '' AND length(l) % 7 = 0),
+f AS (SELECT doc_id, left(l, 12) AS name, CAST(p AS INT) AS s, CAST(p + length(l) // 40 AS INT) AS e FROM l WHERE l <> '' AND lower(left(l, 1)) IN ('a', 'e', 'i', 'o', 'u')),
+j AS (SELECT f.doc_id, f.name, f.s, f.e, c.name AS class_name, c.s AS class_start, row_number() OVER (PARTITION BY f.doc_id, f.s, f.e, f.name ORDER BY c.s DESC, c.e, c.name DESC) AS r FROM f LEFT JOIN c ON c.doc_id = f.doc_id AND c.s <= f.s AND f.e <= c.e)"""
+
+
+@query(f"WITH {_SYMBOLS} SELECT doc_id, name, s AS start_line, e AS end_line, class_name, class_start FROM j WHERE r = 1")
+def class_members(spark, d):
+    return symbols.members(_symbols(spark, d), "doc_id")
+
+
+@query(f"WITH {_SYMBOLS} SELECT doc_id, class_name, class_start, count(*) AS methods, CAST(sum(e - s + 1) AS BIGINT) AS lines FROM j WHERE r = 1 AND class_name IS NOT NULL GROUP BY ALL")
+def class_sizes(spark, d):
+    return symbols.class_sizes(_symbols(spark, d), "doc_id")
+
+
 def _snapshots(spark, d):
     docs = table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("rel_path"), F.sha2("text", 256).alias("file_hash"), "doc_id")
     old = docs.where("doc_id % 7 <> 1").select("rel_path", "file_hash")
@@ -191,7 +242,7 @@ def doc_chunks(spark, d):
     """Documents, their long lines made headings, cut by headings, and sections of too many tokens by lines."""
     marked = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) > 200, F.concat(F.lit("## "), x)).otherwise(x)), "\n")
     files = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("rel_path"), F.lit("doc").alias("language"), F.sha2("text", 256).alias("file_hash"), marked.alias("content"))
-    return chunking.chunk_files(files).select(F.col("file_path").cast("long").alias("doc_id"), "name", "start_line", "end_line", "token_count", F.sha2("source", 256).alias("source_hash"))
+    return chunking.doc_chunks(files).select(F.col("file_path").cast("long").alias("doc_id"), "name", "start_line", "end_line", "token_count", F.sha2("source", 256).alias("source_hash"))
 
 
 #: A module for each document: {0} is its number.
@@ -263,6 +314,33 @@ def vector_boost_threshold(spark, d):
     return vectors.boost_and_cut(near.withColumn("boosted", F.col("ql") == F.col("label")), F.col("boosted")).select("query_id", "chunk_id", "distance", "boosted", "final_rank")
 
 
+def _cells(spark, d) -> Cells:
+    """The vectors as cells of a collection of their own."""
+    index = Cells(store.Store(spark, scratch(spark, "store")), "vectors")
+    index.build(_vectors(spark, d)[0])
+    return index
+
+
+@query(f"WITH {_VEC}, {_NEAR} SELECT query_id, chunk_id, distance, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8")
+def vector_cells_topk(spark, d):
+    """Cells are opened until none that remains can hold a nearer vector."""
+    return _cells(spark, d).search(_vectors(spark, d)[1], 8, certain=True)
+
+
+@query(f"WITH {_VEC}, {_NEAR}, f AS (SELECT query_id, chunk_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS INT) AS rank FROM n WHERE label % 2 = 1) SELECT * FROM f WHERE rank <= 5")
+def vector_cells_filtered(spark, d):
+    """The nearest of the vectors whose metadata pass a filter."""
+    return _cells(spark, d).search(_vectors(spark, d)[1], 5, where="label % 2 = 1", certain=True)
+
+
+def vector_cells_approximate(spark, d):
+    """As many cells as a sample of the stored vectors needs for 95 of 100 of its nearest."""
+    return _cells(spark, d).search(_vectors(spark, d)[1], 8)
+
+
+QUERIES["vector_cells_approximate"] = vector_cells_approximate  # no SQL: tests hold its recall
+
+
 def _sql_list(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
