@@ -15,6 +15,7 @@ from skein.functions import text as T
 from skein.operators import agent, chunking, context, embed, evaluation, fusion, ignores, lexical, symbols, vectors
 from skein.operators import passages as matching
 from skein.operators.cells import Cells
+from skein.operators.postings import Postings
 from skein.plans import index
 from skein.session import scratch
 from skein.sources import scan, store
@@ -383,6 +384,16 @@ def lexical_topk(spark, d):
     return lexical.lexical_topk(chunks(spark, d), questions(spark, d))
 
 
+@query(f"WITH {_LEX} SELECT query_id, chunk_id, score, CAST(rank AS INT) AS rank FROM lr WHERE rank <= 8")
+def lexical_postings_topk(spark, d):
+    """The lexical channel over kept postings: blocks that cannot reach the k-th score are not read."""
+    kept = store.Store(spark, scratch(spark, "store"), buckets=8)
+    kept.write("docs", chunks(spark, d))
+    own = Postings(kept, "docs")
+    own.build()
+    return own.topk(questions(spark, d), 8)
+
+
 _LABEL = "b AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM n WHERE ql = label)"
 
 

@@ -18,7 +18,8 @@ SKETCH_BITS = 12
 STATS = "bucket int, chunk_type string, n long, files binary"
 
 
-def _bucket(buckets: int) -> Column:
+def bucket_of(buckets: int) -> Column:
+    """The bucket that a row's file path deals it to."""
     return F.pmod(F.xxhash64(BY), F.lit(buckets)).alias("bucket")
 
 
@@ -65,7 +66,7 @@ def stats(chunks: DataFrame) -> DataFrame:
 def summaries(chunks: DataFrame, buckets: int) -> DataFrame:
     """bucket, chunk_type, n, files (sketch of the distinct files): what can be merged without reading the chunks again."""
     kind = F.coalesce(F.col("chunk_type"), F.lit("")).alias("chunk_type")
-    return chunks.groupBy(_bucket(buckets), kind).agg(F.count("*").alias("n"), F.hll_sketch_agg(F.coalesce(BY, F.lit("")), F.lit(SKETCH_BITS)).alias("files"))
+    return chunks.groupBy(bucket_of(buckets), kind).agg(F.count("*").alias("n"), F.hll_sketch_agg(F.coalesce(BY, F.lit("")), F.lit(SKETCH_BITS)).alias("files"))
 
 
 def merged(summary: DataFrame, *by: str) -> DataFrame:
@@ -101,33 +102,39 @@ class Change:
         wanted = parts if buckets is None or not now["buckets"] else {k: v for k, v in parts.items() if int(k) in set(buckets)}
         return self._open(table, StructType.fromJson(json.loads(now["schema"])), sorted(wanted.values()))
 
-    def _put(self, table: str, df: DataFrame, buckets: int) -> dict[str, str]:
-        """Writes rows beside what is there; their parts."""
+    def _put(self, table: str, df: DataFrame, buckets: int, row_group: int | None = None) -> dict[str, str]:
+        """Writes rows beside what is there; their parts. Rows keep the order of their partitions within a part."""
         version = f"v-{uuid.uuid4().hex}"
         path = f"{self.store.root}/{self.collection}/{table}/{version}"
         if not buckets:
             df.write.parquet(path)
             return {"": version}
-        dealt = df.withColumn("bucket", _bucket(buckets)) if buckets > 0 else df
-        dealt.withColumn("_part", F.col("bucket")).drop(*["bucket"] * (buckets > 0)).repartition("_part").write.partitionBy("_part").parquet(path)
+        dealt = df.withColumn("bucket", bucket_of(buckets)) if buckets > 0 else df
+        placed = dealt.withColumn("_part", F.col("bucket")).drop(*["bucket"] * (buckets > 0)).repartition("_part")
+        if row_group:  # rows of small groups stand in order, so that a filter passes over most of them
+            writer = placed.sortWithinPartitions("_part", "block").write.option("parquet.block.size", row_group)
+        else:
+            writer = placed.write
+        writer.partitionBy("_part").parquet(path)
         return {x.removeprefix("_part="): f"{version}/{x}" for x in self.store._names(path) if x.startswith("_part=")}
 
     def _set(self, table: str, schema: StructType, buckets: int, parts: dict[str, str]) -> None:
         self.tables = self.tables | {table: {"schema": schema.json(), "buckets": buckets, "parts": parts}}
 
-    def write(self, df: DataFrame, table: str = "chunks") -> None:
-        """The whole table anew. Rows with a file path are laid out by its hash, rows that carry a number `bucket` by that."""
+    def write(self, df: DataFrame, table: str = "chunks", row_group: int | None = None) -> None:
+        """The whole table anew. Rows with a file path are laid out by its hash, rows that carry a number `bucket` by that; with
+        row_group, sorted by their column `block` in row groups of so many bytes."""
         now = self.tables.get(table)
         buckets = OWN if "bucket" in df.columns else 0 if BY not in df.columns else now["buckets"] if now and now["buckets"] > 0 else self.store.buckets
-        parts = self._put(table, df, buckets)
+        parts = self._put(table, df, buckets, row_group)
         self._set(table, df.schema, buckets, parts)
         self._summarise(table, df.schema, buckets, parts, None)
 
-    def replace_buckets(self, df: DataFrame, touched: set[int], table: str) -> None:
+    def replace_buckets(self, df: DataFrame, touched: set[int], table: str, row_group: int | None = None) -> None:
         """The touched buckets of a table laid out by `bucket` hold these rows from now on, the others what they held."""
         now = self.tables.get(table)
         kept = {k: v for k, v in (now["parts"] if now else {}).items() if int(k) not in touched}
-        self._set(table, df.schema if now is None else StructType.fromJson(json.loads(now["schema"])), OWN, kept | self._put(table, df, OWN))
+        self._set(table, df.schema if now is None else StructType.fromJson(json.loads(now["schema"])), OWN, kept | self._put(table, df, OWN, row_group))
 
     def replace_files(self, changed: DataFrame, new: DataFrame, table: str = "chunks") -> set[int]:
         """The rows of the changed files (file_path) are replaced by the new ones, all of them of changed files; of equal
@@ -138,7 +145,7 @@ class Change:
             old = self.read(table)
             self.write(fresh if old is None else without_files(old, changed).unionByName(fresh), table)
             return {int(k) for k in self.tables[table]["parts"] if k}
-        touched = {r[0] for r in changed.select(_bucket(now["buckets"])).distinct().collect()}  # numbers of buckets
+        touched = {r[0] for r in changed.select(bucket_of(now["buckets"])).distinct().collect()}  # numbers of buckets
         schema, parts = StructType.fromJson(json.loads(now["schema"])), now["parts"] or {}
         put = self._put(table, without_files(self.read(table, buckets=list(touched)), changed).unionByName(fresh).select(*schema.names), now["buckets"])
         self._set(table, schema, now["buckets"], {k: v for k, v in parts.items() if int(k) not in touched} | put)
@@ -257,7 +264,7 @@ class Store:
         buckets = None
         if now["buckets"] > 0:
             path = rows.select(F.regexp_replace("chunk_id", ":[^:]*$", "").alias(BY))
-            buckets = [r[0] for r in path.select(_bucket(now["buckets"])).distinct().collect()]  # at most the table's buckets
+            buckets = [r[0] for r in path.select(bucket_of(now["buckets"])).distinct().collect()]  # at most the table's buckets
         return rows.join(self.read(collection, table, buckets=buckets).select("chunk_id", *columns), "chunk_id")
 
     def statistics(self, collection: str, *by: str, table: str = "chunks") -> DataFrame:
