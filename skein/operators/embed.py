@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators.vectors import unit
+from skein.sources.store import ConcurrentWrite
 
 Encoder = Callable[[list[str]], np.ndarray]
 Loader = Callable[[], Encoder]
@@ -125,3 +126,48 @@ def embed(text: Column, profile: str = "hashing-tf", query: bool = False) -> Col
             yield pd.Series([(v / (np.linalg.norm(v) or 1)).astype(np.float32) for v in vectors(s.tolist())])
 
     return run(full)
+
+
+#: Times that vectors are put beside what other writers have added meanwhile.
+TRIES = 5
+SHARED, VECTORS_BY_CONTENT = "embeddings", "bucket int, profile string, text_hash string, embedding array<float>"
+
+
+class SharedEmbeddings:
+    """Vectors by (profile, hash of the text), kept once for all collections of a store: a text that any of them has had
+    embedded needs no model again. Laid out by buckets of the hash; only buckets that gain texts are rewritten."""
+
+    def __init__(self, store, buckets: int = 64):
+        self.store, self.buckets = store, buckets
+
+    def of(self, chunks: DataFrame, profile: str = "hashing-tf", text: str = "source") -> DataFrame:
+        """chunks with embedding. Missing texts are embedded, each once, and kept before the vectors are joined."""
+        self.add(chunks, profile, text)
+        own = self.store.read(SHARED, "vectors", VECTORS_BY_CONTENT).where(F.col("profile") == profile).select(F.col("text_hash").alias("_hash"), "embedding")
+        return chunks.withColumn("_hash", self._hash(text)).join(own, "_hash", "left").drop("_hash")
+
+    def _hash(self, text: str) -> Column:
+        return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+    def add(self, chunks: DataFrame, profile: str, text: str = "source") -> int:
+        """Embeds the texts that have no vector of the profile yet; how many those were."""
+        change = self.store.change(SHARED)
+        known = change.read("vectors", VECTORS_BY_CONTENT).where(F.col("profile") == profile).select("text_hash")
+        texts = chunks.select(self._hash(text).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+        missing = texts.join(known, "text_hash", "left_anti").groupBy("text_hash").agg(F.any_value("t").alias("t"))
+        bucket = F.pmod(F.xxhash64("text_hash"), F.lit(self.buckets)).cast("int")
+        made = missing.select(bucket.alias("bucket"), F.lit(profile).alias("profile"), "text_hash", embed(F.col("t"), profile).cast("array<float>").alias("embedding"))
+        fresh = change.stage(made, "new")  # the model runs once, whatever is done with its vectors
+        added = {r["bucket"]: r["count"] for r in fresh.groupBy("bucket").count().collect()}  # at most self.buckets rows
+        for attempt in range(TRIES if added else 0):
+            old = change.read("vectors", VECTORS_BY_CONTENT, buckets=sorted(added))
+            new = fresh.join(old.select("profile", "text_hash"), ["profile", "text_hash"], "left_anti").select(*old.columns)
+            change.replace_buckets(old.unionByName(new), set(added), "vectors")
+            try:
+                change.commit()
+                break
+            except ConcurrentWrite:  # another collection's texts came first; they may be among these
+                if attempt == TRIES - 1:
+                    raise
+                change = self.store.change(SHARED)
+        return sum(added.values())

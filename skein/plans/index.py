@@ -6,13 +6,15 @@ import datetime
 import hashlib
 import os
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import agent, context, embed, evaluation, fusion, lexical, vectors
+from skein.operators import agent, context, embed, evaluation, fusion, lexical, postings, vectors
+from skein.operators.cells import Cells
 from skein.operators.chunking import chunk_files
+from skein.operators.postings import Postings
 from skein.sinks.model import Model, Piece
 from skein.sources import repository
 from skein.sources import scan as scanning
@@ -60,8 +62,10 @@ def collection_name(key: str) -> str:
     return f"skein-{key if plain else hashlib.sha256(key.encode()).hexdigest()[:12]}"
 
 
-def index(spark: SparkSession, root: str, store: Store, profile: str = "hashing-tf", source: str | None = None, key: str | None = None) -> dict:
-    """Counts of what changed. Without changes nothing is written; chunks, tracker and manifest become visible at once."""
+def index(spark: SparkSession, root: str, store: Store, profile: str = "hashing-tf", source: str | None = None, key: str | None = None, keep_postings: bool = False) -> dict:
+    """Counts of what changed. Without changes nothing is written; chunks, tracker and manifest become visible at once, and so
+    do postings, which are kept up once a collection has them (keep_postings). Texts whose vectors of the profile any
+    collection of the store has are not embedded again."""
     name = collection_name(embed.profile_key(key or local_key(root), profile))
     change = store.change(name)
     listed = scanning.listed(spark, root)
@@ -73,8 +77,12 @@ def index(spark: SparkSession, root: str, store: Store, profile: str = "hashing-
         # the files that changed are read once more: a path meets its change before its bytes are read
         build = listed.join(changes.where("status IN ('added', 'modified')").select("rel_path"), "rel_path")
         docs, code = (scanning.contents(build.where(kind)) for kind in ("language = 'doc'", "language <> 'doc'"))  # each file once
-        new = chunk_files(docs, kind="doc").unionByName(chunk_files(code, kind="code")).withColumn("embedding", embed.embed(F.col("source"), profile))
-        change.replace_files(changes.select(F.col("rel_path").alias("file_path")), new)
+        new = change.stage(chunk_files(docs, kind="doc").unionByName(chunk_files(code, kind="code")), "new")
+        new = embed.SharedEmbeddings(store).of(new, profile)
+        before = "chunks" in change.tables
+        touched = change.replace_files(changes.select(F.col("rel_path").alias("file_path")), new)
+        if keep_postings or postings.GRAMS in change.tables:
+            Postings(store, name).refresh(change, touched if before and postings.GRAMS in change.tables else None)
         change.write(hashes, "tracker")
         types = {r["chunk_type"]: r["n"] for r in merged(change.read("chunks-stats", STATS), "chunk_type").collect()}
         now = datetime.datetime.now().isoformat(timespec="seconds")
@@ -87,28 +95,57 @@ def index(spark: SparkSession, root: str, store: Store, profile: str = "hashing-
     return result
 
 
-def search(chunks: DataFrame, questions: DataFrame, mode: str = "hybrid", k: int = 8, profile: str = "hashing-tf", threshold: float = 0.7, max_distance: float | None = None) -> DataFrame:
+def search(
+    chunks: DataFrame, questions: DataFrame, mode: str = "hybrid", k: int = 8, profile: str = "hashing-tf", threshold: float = 0.7, max_distance: float | None = None,
+    lookup: Callable[..., DataFrame] | None = None, near: Callable[[DataFrame, int], DataFrame] | None = None, words: Callable[[DataFrame, int], DataFrame] | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """query_id, rank, score, stage, channels and the chunk's columns of a batch of questions (query_id, question).
-    max_distance drops farther neighbours before boost and threshold."""
+
+    max_distance drops farther neighbours before boost and threshold. What a stored collection does better than a scan may
+    be put in: lookup(rows, *columns) joins columns of chunks to rows of their ids, near(queries, n) and words(questions, n)
+    give the n best of a channel (query_id, chunk_id, distance or score, rank). rerank gets the hits of the mode, as many
+    as are fetched, and gives query_id, chunk_id, score, rank of those that stay."""
     mode = parse_mode(mode)
     if k < 1:
         raise ValueError("k is at least 1")
-    metadata = chunks.drop("embedding")
+    columns = [c for c in chunks.columns if c not in ("chunk_id", "embedding")]
+    lookup = lookup or (lambda rows, *wanted: rows.join(chunks.select("chunk_id", *wanted), "chunk_id"))
+    near = near or (lambda asked, n: vectors.vector_topk(chunks.select("chunk_id", "embedding"), asked, n))
+    words = words or (lambda asked, n: lexical.lexical_topk(chunks, asked, n))
 
     def vector(n: int) -> DataFrame:
-        near = vectors.vector_topk(chunks.select("chunk_id", "embedding"), questions.select("query_id", embed.embed(F.col("question"), profile, True).alias("embedding")), vectors.candidates(n), max_distance)
-        words = questions.select("query_id", vectors_keywords().alias("kws"))
-        told = near.join(metadata.select("chunk_id", F.lower(F.concat_ws(" ", "file_path", "name", "parent", "language")).alias("m")), "chunk_id").join(words, "query_id")
+        found = near(questions.select("query_id", embed.embed(F.col("question"), profile, True).alias("embedding")), vectors.candidates(n))
+        found = found if max_distance is None else found.where(F.col("distance") <= max_distance)
+        asked = questions.select("query_id", vectors_keywords().alias("kws"))
+        named = F.lower(F.concat_ws(" ", "file_path", "name", "parent", "language"))
+        told = lookup(found, "file_path", "name", "parent", "language").withColumn("m", named).drop("file_path", "name", "parent", "language").join(asked, "query_id")
         cut = vectors.boost_and_cut(told, F.exists("kws", lambda w: F.col("m").contains(w)), n, threshold)
         return cut.select("query_id", "chunk_id", F.col("distance").alias("score"), F.col("final_rank").alias("rank"))
 
+    fetched = k if rerank is None else vectors.candidates(k)
     if mode == "vector":
-        hits = vector(k).withColumns({"stage": F.lit("vector"), "channels": F.lit("vector")})
+        hits = vector(fetched).withColumns({"stage": F.lit("vector"), "channels": F.lit("vector")})
     elif mode == "lexical":
-        hits = lexical.lexical_topk(chunks, questions, k).withColumns({"stage": F.lit("lexical"), "channels": F.lit("lexical")})
+        hits = words(questions, fetched).withColumns({"stage": F.lit("lexical"), "channels": F.lit("lexical")})
     else:
-        hits = fusion.rrf({"vector": vector(max(50, k)), "lexical": lexical.lexical_topk(chunks, questions, max(50, k))}, k)
-    return hits.join(metadata, "chunk_id")
+        hits = fusion.rrf({"vector": vector(max(50, fetched)), "lexical": words(questions, max(50, fetched))}, fetched)
+    if rerank is not None:
+        hits = hits.transform(rerank).select("query_id", "chunk_id", "score", "rank").join(hits.select("query_id", "chunk_id", "stage", "channels"), ["query_id", "chunk_id"])
+    return lookup(hits, *columns)
+
+
+def search_stored(store: Store, collection: str, questions: DataFrame, mode: str = "hybrid", k: int = 8, threshold: float = 0.7, cells: str | None = None, certain: bool = True, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """search() over an indexed collection: metadata and sources are looked up for the candidates only, in the buckets of their
+    files; questions are embedded by the collection's profile. Where the collection has postings the lexical channel reads
+    only the blocks it needs, and with `cells` (a collection of vector cells) the vector channel only those cells."""
+    change = store.change(collection)
+    chunks, manifest = change.read("chunks"), change.read("manifest", MANIFEST).first()
+    if chunks is None:
+        raise ValueError(f"no collection {collection}")
+    near = (lambda asked, n: Cells(store, cells).search(asked, n, certain=certain)) if cells else None
+    words = (lambda asked, n: Postings(store, collection).topk(asked, n)) if postings.GRAMS in change.tables else None
+    lookup = lambda rows, *columns: store.lookup(collection, rows, *columns)
+    return search(chunks, questions, mode, k, manifest["profile"] if manifest else "hashing-tf", threshold, None, lookup, near, words, rerank)
 
 
 def vectors_keywords():

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.operators import agent, chunking, context, embed, evaluation, fusion, ignores, lexical, symbols, vectors
+from skein.operators import agent, chunking, context, embed, evaluation, fusion, ignores, lexical, rerank, symbols, vectors
 from skein.operators import passages as matching
 from skein.operators.cells import Cells
 from skein.operators.postings import Postings
 from skein.plans import index
 from skein.session import scratch
 from skein.sources import scan, store
+from skein.sources.folders import FolderTracker
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,6 +170,66 @@ def change_totals(spark, d):
     return store.change_totals(store.change_set(*_snapshots(spark, d)))
 
 
+def _deep(spark, d):
+    """The two snapshots, with a folder more: three digits of the file's content hash as it was."""
+    docs = table(spark, d, "documents").select(F.concat_ws("/", "source", F.left(F.sha2("text", 256), F.lit(2)), F.col("doc_id").cast("string")).alias("rel_path"), F.sha2("text", 256).alias("file_hash"), "doc_id", "source")
+    old = docs.where("doc_id % 7 <> 1").select("rel_path", "file_hash")
+    new = docs.where("doc_id % 5 <> 2 OR source = 'src1'").select("rel_path", F.when((F.col("doc_id") % 50 == 0) & (F.col("source") != "src1"), F.sha2("file_hash", 256)).otherwise(F.col("file_hash")).alias("file_hash"))
+    return new, old
+
+
+@query("""WITH s AS (SELECT source || '/' || left(sha256(text), 2) || '/' || doc_id AS rel_path, sha256(text) AS file_hash, doc_id, source FROM documents), old AS (SELECT rel_path, file_hash FROM s WHERE doc_id % 7 <> 1),
+cur AS (SELECT rel_path, CASE WHEN doc_id % 50 = 0 AND source <> 'src1' THEN sha256(file_hash) ELSE file_hash END AS file_hash FROM s WHERE doc_id % 5 <> 2 OR source = 'src1')
+SELECT coalesce(cur.rel_path, old.rel_path) AS rel_path, CASE WHEN old.rel_path IS NULL THEN 'added' WHEN cur.rel_path IS NULL THEN 'deleted' ELSE 'modified' END AS status, old.file_hash AS old_hash, cur.file_hash AS new_hash
+FROM cur FULL JOIN old ON cur.rel_path = old.rel_path WHERE cur.file_hash IS DISTINCT FROM old.file_hash""")
+def change_set_by_folders(spark, d):
+    """Change sets that open only the folders whose hashes differ."""
+    new, old = _deep(spark, d)
+    tracker = FolderTracker(store.Store(spark, scratch(spark, "store")), "c")
+    tracker.write(old)
+    return tracker.change_set(new)
+
+
+def _stored_chunks(spark, d):
+    """A collection of every second document, in which files with an id divisible by three are replaced by a later text."""
+    kept = store.Store(spark, scratch(spark, "store"), buckets=8)
+    own = chunks(spark, d).withColumn("ordinal", F.col("chunk_id")).withColumn("chunk_type", F.col("language")).withColumn("chunk_id", F.concat("file_path", F.lit(":"), F.substring(F.sha2("source", 256), 1, 12)))
+    kept.write("docs", own.where("ordinal % 2 = 0"))
+    changed = own.where("ordinal % 3 = 0")
+    kept.replace_files("docs", changed.select("file_path"), changed.withColumn("source", F.concat(F.lit("new "), "source")))
+    return kept
+
+
+@query(f"WITH {_CHUNKS} SELECT file_path || ':' || substr(sha256(source), 1, 12) AS chunk_id, sha256(CASE WHEN chunk_id % 3 = 0 THEN 'new ' || source ELSE source END) AS source_hash FROM chunks WHERE chunk_id % 2 = 0 OR chunk_id % 3 = 0")
+def replace_files(spark, d):
+    """Chunks of changed files replaced in the buckets of their files."""
+    return _stored_chunks(spark, d).read("docs").select("chunk_id", F.sha2("source", 256).alias("source_hash"))
+
+
+@query("SELECT lang AS chunk_type, count(*) AS n FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 GROUP BY lang")
+def merged_statistics(spark, d):
+    """Counts by chunk type from the buckets' summaries, after a change of files."""
+    return _stored_chunks(spark, d).statistics("docs", "chunk_type").select("chunk_type", "n")
+
+
+@query(f"WITH {_CHUNKS} SELECT file_path || ':' || substr(sha256(source), 1, 12) AS chunk_id, language, length(source) + CASE WHEN chunk_id % 3 = 0 THEN 4 ELSE 0 END AS n FROM chunks WHERE (chunk_id % 2 = 0 OR chunk_id % 3 = 0) AND language = 'fr'")
+def bucket_lookup(spark, d):
+    """Columns of given chunks, from the buckets of their files."""
+    kept = _stored_chunks(spark, d)
+    ids = kept.read("docs").where("language = 'fr'").select("chunk_id")
+    return kept.lookup("docs", ids, "language", "source").select("chunk_id", "language", F.char_length("source").cast("long").alias("n"))
+
+
+@query("SELECT count(*) AS texts, CAST(count(DISTINCT text) AS BIGINT) AS embedded, CAST(0 AS BIGINT) AS again, CAST(count(DISTINCT text) AS BIGINT) AS vectors FROM documents")
+def shared_embeddings(spark, d):
+    """Vectors by content: how many texts a first collection has embedded, a second of the same texts, and how many are kept."""
+    kept = embed.SharedEmbeddings(store.Store(spark, scratch(spark, "store")), 8)
+    own = chunks(spark, d).select("chunk_id", "source")
+    first, second = kept.add(own, "letters"), kept.add(own, "letters")
+    joined = kept.of(own, "letters")
+    return joined.agg(F.count("embedding").alias("texts"), F.lit(first).cast("long").alias("embedded"), F.lit(second).cast("long").alias("again"), F.countDistinct(F.sha2("source", 256)).alias("vectors"))
+
+
 _CHUNK_ID = "file_path || ':' || substr(sha256('doc:' || source || ':1'), 1, 12)"
 
 
@@ -452,6 +513,35 @@ def search_vector(spark, d):
     return index.search(own, questions(spark, d), "vector", 8, "letters", 0.01).select("query_id", "chunk_id", "score", "rank", "channels", "file_path")
 
 
+_WORDS_OF = f"kw AS (SELECT item_id AS query_id, {_KV} AS kws FROM benchmark)"
+
+
+@query(f"""WITH {_LEX}, {_TEXTVEC}, {_WORDS_OF},
+c AS (SELECT tr.*, len(list_filter(kws, lambda w: contains(lower(concat_ws(' ', file_path, name, parent, language)), w))) > 0 AS boosted FROM tr JOIN chunks USING (chunk_id) JOIN kw USING (query_id) WHERE rank <= 250),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, rank) AS pos, distance <= 0.01 AS near FROM c),
+kn AS (SELECT *, bool_or(near) OVER (PARTITION BY query_id) AS any_near FROM p),
+fc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS final_rank FROM kn WHERE near OR NOT any_near),
+ha AS (SELECT query_id, chunk_id, final_rank AS rank FROM fc WHERE final_rank <= 50), hb AS (SELECT query_id, chunk_id, rank FROM lr WHERE rank <= 50), {_rrf_sql('ha', 'hb').replace('SELECT query_id, chunk_id, score, stage, channels, CAST(rr AS INT) AS rank FROM x WHERE rr <= 8', 'SELECT query_id, x.chunk_id, score, stage, channels, CAST(rr AS INT) AS rank, file_path FROM x JOIN chunks ON chunks.chunk_id = x.chunk_id WHERE rr <= 8')}""")
+def search_hybrid(spark, d):
+    """The hybrid mode of search(): both channels as it fetches them, fused by reciprocal ranks."""
+    own = chunks(spark, d).withColumn("embedding", embed.embed(F.col("source"), "letters"))
+    return index.search(own, questions(spark, d), "hybrid", 8, "letters", 0.01).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "stage", "channels", "rank", "file_path")
+
+
+@query(f"""WITH RECURSIVE {_VEC}, {_NEAR}, c AS (SELECT query_id, chunk_id, rank, round(1 - distance, 6) AS near FROM r WHERE rank <= 30),
+s AS (SELECT c.query_id, c.chunk_id, o.chunk_id AS other, round(1 - list_cosine_distance(a.e, b.e), 6) AS alike FROM c JOIN c o ON o.query_id = c.query_id JOIN v a ON a.vec_id = c.chunk_id JOIN v b ON b.vec_id = o.chunk_id),
+m AS (SELECT query_id, chunk_id, rank, near, CAST(0 AS DOUBLE) AS alike, 0 AS step, CAST(NULL AS BIGINT) AS pick, CAST(0 AS DOUBLE) AS value, false AS gone FROM c
+UNION ALL SELECT query_id, chunk_id, rank, near, CASE WHEN step = 0 THEN seen ELSE greatest(alike, seen) END, step + 1, pick, value, gone OR chunk_id = pick FROM (
+  SELECT f.query_id, f.chunk_id, f.rank, f.near, f.alike, f.step, f.gone, f.p.c AS pick, f.p.v AS value, s.alike AS seen
+  FROM (SELECT *, max({{'v': CASE WHEN gone THEN -9.0 ELSE round(0.6 * near - 0.4 * alike, 6) END, 'r': -rank, 'c': chunk_id}}) OVER (PARTITION BY query_id) AS p FROM (SELECT query_id, chunk_id, rank, near, alike, step, gone FROM m WHERE step < 6)) f
+  JOIN s ON s.query_id = f.query_id AND s.chunk_id = f.chunk_id AND s.other = f.p.c))
+SELECT DISTINCT query_id, pick AS chunk_id, value AS score, CAST(step AS INT) AS rank FROM m WHERE step > 0""")
+def diverse_topk(spark, d):
+    """Hits of the vector channel, chosen one by one for nearness and for distance from those chosen before."""
+    v, q = _vectors(spark, d)
+    return vectors.vector_topk(v, q, 30).transform(rerank.diverse(v, q, 6, 0.6))
+
+
 _HYBRID = f"{_LEX}, {_TEXTVEC}, ha AS (SELECT * FROM tr WHERE rank <= 50), hb AS (SELECT * FROM lr WHERE rank <= 50)"
 
 

@@ -118,6 +118,10 @@ class Change:
         writer.partitionBy("_part").parquet(path)
         return {x.removeprefix("_part="): f"{version}/{x}" for x in self.store._names(path) if x.startswith("_part=")}
 
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written once and read again: for what several tables are made of. No table; vacuum() removes it."""
+        return self._open(name, df.schema, [*self._put(name, df, 0).values()])
+
     def _set(self, table: str, schema: StructType, buckets: int, parts: dict[str, str]) -> None:
         self.tables = self.tables | {table: {"schema": schema.json(), "buckets": buckets, "parts": parts}}
 
