@@ -92,6 +92,12 @@ def json_map(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
+def json_text(c: Column) -> Column:
+    """A map as a JSON object, keys in order; null becomes an empty one. json_map() of it gives the map again."""
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(c)))
+    return F.coalesce(F.to_json(ordered), F.lit("{}"))
+
+
 def headings(line: Column) -> Column:
     """Whether a line of a document is a heading: one to six # and a space, then text."""
     return line.rlike("^#{1,6}[ \\t]+\\S")

@@ -29,7 +29,7 @@ class Profile:
     document_prefix: str = ""
 
 
-PROFILES = {p.profile_id: p for p in (Profile("hash", 1024), Profile("hashing-tf", 256), Profile("letters", 26), Profile("hashing-tf-e5", 256, "query: ", "passage: "))}
+PROFILES = {p.profile_id: p for p in (Profile("hash", 1024), Profile("hashing-tf", 256), Profile("letters", 26), Profile("letters-e5", 26, "query: ", "passage: "), Profile("hashing-tf-e5", 256, "query: ", "passage: "))}
 
 
 def profile(name: str, **custom: object) -> Profile:
@@ -111,7 +111,7 @@ def _tf_vector(text: str, n: int) -> np.ndarray:
 def embed(text: Column, profile: str = "hashing-tf", query: bool = False) -> Column:
     p = PROFILES[profile]
     full = F.concat(F.lit(p.query_prefix if query else p.document_prefix), F.coalesce(text, F.lit("")))
-    if profile == "letters":
+    if profile in ("letters", "letters-e5"):
         return unit(letter_counts(full))
     if profile in LOADERS:
         name, loaders = LOADERS[profile]

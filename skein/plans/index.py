@@ -6,6 +6,7 @@ import datetime
 import hashlib
 import os
 import time
+import warnings
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,21 +64,45 @@ def collection_name(key: str) -> str:
 
 
 def index(spark: SparkSession, root: str, store: Store, profile: str = "hashing-tf", source: str | None = None, key: str | None = None, keep_postings: bool = False) -> dict:
-    """Counts of what changed. Without changes nothing is written; chunks, tracker and manifest become visible at once, and so
-    do postings, which are kept up once a collection has them (keep_postings). Texts whose vectors of the profile any
-    collection of the store has are not embedded again."""
+    """Counts of what changed in a folder since it was last indexed; see _update()."""
     name = collection_name(embed.profile_key(key or local_key(root), profile))
-    change = store.change(name)
     listed = scanning.listed(spark, root)
-    hashes = scanning.contents(listed).select("rel_path", "file_hash").cache()  # no contents are kept
+    hashes = scanning.contents(listed).select("rel_path", "file_hash")  # no contents are kept
+
+    def changed(paths: DataFrame) -> DataFrame:
+        # the files that changed are read once more: a path meets its change before its bytes are read
+        build = listed.join(paths, "rel_path")
+        docs, code = (scanning.contents(build.where(kind)) for kind in ("language = 'doc'", "language <> 'doc'"))  # each file once
+        return chunk_files(docs, kind="doc").unionByName(chunk_files(code, kind="code"))
+
+    return _update(store, name, hashes, changed, profile, os.path.basename(os.path.abspath(root)), source or os.path.abspath(root), keep_postings)
+
+
+def index_table(files: DataFrame, store: Store, name: str, profile: str = "hashing-tf", source: str = "", keep_postings: bool = False) -> dict:
+    """As index(), of files that are rows: rel_path, language (doc, or that of code; null: not indexed), content. Sensitive
+    documents are left out as in a scan; of several rows of a path the one of greatest hash counts."""
+    raw = files.where("rel_path IS NOT NULL AND language IS NOT NULL AND content <> ''").select("rel_path", "language", F.col("content").cast("binary").alias("raw"))
+    found = scanning.described(raw)
+    hashes = found.groupBy("rel_path").agg(F.max("file_hash").alias("file_hash"))
+
+    def changed(paths: DataFrame) -> DataFrame:
+        own = found.join(paths, "rel_path").join(hashes, ["rel_path", "file_hash"]).dropDuplicates(["rel_path"])
+        return chunk_files(own)
+
+    return _update(store, name, hashes, changed, profile, name, source, keep_postings)
+
+
+def _update(store: Store, name: str, hashes: DataFrame, changed: Callable[[DataFrame], DataFrame], profile: str, shown: str, source: str, keep_postings: bool) -> dict:
+    """Counts of what changed. Without changes nothing is written; chunks, tracker and manifest become visible at once, and so
+    do postings, which are kept up once a collection has them (keep_postings). Texts whose vectors of the profile any
+    collection of the store has are not embedded again. changed: paths (rel_path) to the chunks of those files."""
+    change, spark = store.change(name), store.spark
+    hashes = hashes.cache()
     changes = change_set(hashes, change.read("tracker", TRACKER)).cache()
     n = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
     result = {"collection": name, **{k: n.get(k, 0) for k in ("added", "modified", "deleted")}}
     if n:
-        # the files that changed are read once more: a path meets its change before its bytes are read
-        build = listed.join(changes.where("status IN ('added', 'modified')").select("rel_path"), "rel_path")
-        docs, code = (scanning.contents(build.where(kind)) for kind in ("language = 'doc'", "language <> 'doc'"))  # each file once
-        new = change.stage(chunk_files(docs, kind="doc").unionByName(chunk_files(code, kind="code")), "new")
+        new = change.stage(changed(changes.where("status IN ('added', 'modified')").select("rel_path")), "new")
         new = embed.SharedEmbeddings(store).of(new, profile)
         before = "chunks" in change.tables
         touched = change.replace_files(changes.select(F.col("rel_path").alias("file_path")), new)
@@ -86,7 +111,7 @@ def index(spark: SparkSession, root: str, store: Store, profile: str = "hashing-
         change.write(hashes, "tracker")
         types = {r["chunk_type"]: r["n"] for r in merged(change.read("chunks-stats", STATS), "chunk_type").collect()}
         now = datetime.datetime.now().isoformat(timespec="seconds")
-        row = (name, os.path.basename(os.path.abspath(root)), source or os.path.abspath(root), profile, hashes.count(), sum(types.values()), types, now)
+        row = (name, shown, source, profile, hashes.count(), sum(types.values()), types, now)
         change.write(spark.createDataFrame([row], MANIFEST), "manifest")
         change.commit()
         result |= {"chunks": sum(types.values())}
@@ -97,14 +122,15 @@ def index(spark: SparkSession, root: str, store: Store, profile: str = "hashing-
 
 def search(
     chunks: DataFrame, questions: DataFrame, mode: str = "hybrid", k: int = 8, profile: str = "hashing-tf", threshold: float = 0.7, max_distance: float | None = None,
-    lookup: Callable[..., DataFrame] | None = None, near: Callable[[DataFrame, int], DataFrame] | None = None, words: Callable[[DataFrame, int], DataFrame] | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None,
+    lookup: Callable[..., DataFrame] | None = None, near: Callable[[DataFrame, int], DataFrame] | None = None, words: Callable[[DataFrame, int], DataFrame] | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, tolerant: bool = False,
 ) -> DataFrame:
     """query_id, rank, score, stage, channels and the chunk's columns of a batch of questions (query_id, question).
 
     max_distance drops farther neighbours before boost and threshold. What a stored collection does better than a scan may
     be put in: lookup(rows, *columns) joins columns of chunks to rows of their ids, near(queries, n) and words(questions, n)
     give the n best of a channel (query_id, chunk_id, distance or score, rank). rerank gets the hits of the mode, as many
-    as are fetched, and gives query_id, chunk_id, score, rank of those that stay."""
+    as are fetched, and gives query_id, chunk_id, score, rank of those that stay. With `tolerant` a channel of the hybrid mode
+    that fails gives no hits instead, with a warning, unless both fail: channels are computed at once then."""
     mode = parse_mode(mode)
     if k < 1:
         raise ValueError("k is at least 1")
@@ -128,12 +154,29 @@ def search(
     elif mode == "lexical":
         hits = words(questions, fetched).withColumns({"stage": F.lit("lexical"), "channels": F.lit("lexical")})
     else:
-        hits = fusion.rrf({"vector": vector(max(50, fetched)), "lexical": words(questions, max(50, fetched))}, fetched)
+        channels = {"vector": lambda: vector(max(50, fetched)), "lexical": lambda: words(questions, max(50, fetched))}
+        hits = fusion.rrf(_standing(channels) if tolerant else {n: make() for n, make in channels.items()}, fetched)
     if rerank is not None:
         hits = hits.transform(rerank).select("query_id", "chunk_id", "score", "rank").join(hits.select("query_id", "chunk_id", "stage", "channels"), ["query_id", "chunk_id"])
     return lookup(hits, *columns)
 
 
+def _standing(channels: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """The channels that can be computed, a few rows a question each; the fault of the last one if none can."""
+    out, fault = {}, None
+    for name, make in channels.items():
+        try:
+            hits = make().persist()
+            hits.count()
+            out[name] = hits
+        except Exception as e:  # noqa: BLE001 - whatever fails in a channel, the other one may answer
+            warnings.warn(f"the {name} channel failed and gives no hits: {str(e)[:200]}", stacklevel=2)
+            fault = e
+    if not out:
+        raise fault
+    return out
+
+
 def search_stored(store: Store, collection: str, questions: DataFrame, mode: str = "hybrid", k: int = 8, threshold: float = 0.7, cells: str | None = None, certain: bool = True, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """search() over an indexed collection: metadata and sources are looked up for the candidates only, in the buckets of their
     files; questions are embedded by the collection's profile. Where the collection has postings the lexical channel reads
@@ -230,6 +273,17 @@ def run_agent(chunks: DataFrame, task: str, profile: str = "hashing-tf", k: int
     return agent.report(task, steps, found.withColumns({"task_id": F.lit("t"), "pos": F.col("query_id")}))
 
 
+def run_agents(chunks: DataFrame, tasks: DataFrame, mode: str = "hybrid", profile: str = "hashing-tf", k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(steps, evidence, briefs) of a batch of tasks (task_id, task): the steps of all plans are one batch of questions."""
+    steps = agent.plan(tasks)
+    asked = steps.select(F.concat_ws(":", F.col("task_id").cast("string"), F.col("pos").cast("string")).alias("query_id"), "question")
+    found = search(chunks, asked, mode, k, profile)
+    place = F.regexp_extract("query_id", ":([0-9]+)$", 1).cast("int").alias("pos")
+    of = F.regexp_replace("query_id", ":[0-9]+$", "").cast(tasks.schema["task_id"].dataType).alias("task_id")
+    evidence = found.select(of, place, *[c for c in found.columns if c != "query_id"])
+    return steps, evidence, agent.briefs(steps, evidence)
+
+
 def remove_manifest(store: Store, collection: str) -> bool:
     """Forgets one manifest; the chunks stay."""
     return store.drop(collection, "manifest")

@@ -513,6 +513,93 @@ def search_vector(spark, d):
     return index.search(own, questions(spark, d), "vector", 8, "letters", 0.01).select("query_id", "chunk_id", "score", "rank", "channels", "file_path")
 
 
+_FALL = "[" + ", ".join(f"'{q}'" for q, _ in agent.FALLBACKS) + "]"
+_PREFIXED = f"""tv AS (SELECT doc_id, {_sql_letters("'passage: ' || text")} AS e FROM documents), tq AS (SELECT item_id, {_sql_letters("'query: ' || text")} AS e FROM benchmark),
+tn AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(list_cosine_distance(tq.e, tv.e), 6) + 0.0 AS distance FROM tq, tv), tr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM tn)"""
+
+
+@query(f"WITH {_PREFIXED} SELECT query_id, chunk_id, distance, CAST(rank AS INT) AS rank FROM tr WHERE rank <= 8")
+def prefixed_vector_topk(spark, d):
+    """A profile that puts one prefix before questions and another before documents."""
+    own = chunks(spark, d).select("chunk_id", embed.embed(F.col("source"), "letters-e5").alias("embedding"))
+    return vectors.vector_topk(own, questions(spark, d).select("query_id", embed.embed(F.col("question"), "letters-e5", True).alias("embedding")), 8)
+
+
+@query("""WITH b AS (SELECT doc_id, list_transform(range(32), lambda i: CAST(('0x' || substr(sha256(text), 2 * i + 1, 2)) AS INT)) AS v FROM documents),
+n AS (SELECT doc_id, v, sqrt(32 * list_sum(list_transform(v, lambda x: x * x))) AS n FROM b)
+SELECT doc_id, CAST(1024 AS INT) AS dimension, round(v[1] / n, 4) AS first, round(v[32] / n, 4) AS last, round(32 * list_sum(v) / n, 2) AS total FROM n""")
+def hash_embeddings(spark, d):
+    """The profile of hashed texts: its dimension, ends and sum."""
+    v = table(spark, d, "documents").select("doc_id", embed.embed(F.col("text"), "hash").cast("array<double>").alias("v"))
+    return v.select("doc_id", F.size("v").alias("dimension"), F.round(F.col("v")[0], 4).alias("first"), F.round(F.element_at("v", -1), 4).alias("last"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(x) > 200 THEN '## ' || x ELSE x END)) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
+s AS (SELECT doc_id, p, l, sum(CASE WHEN regexp_matches(l, '^#{1,6}[ 	]+[^ 	
+
+]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS section FROM l)
+SELECT doc_id, CAST(section AS BIGINT) AS section, CAST(min(p) AS INT) AS first_line, count(*) AS n_lines FROM s GROUP BY doc_id, section""")
+def heading_sections(spark, d):
+    """Running section numbers by headings; long lines are made headings before, as documents have none."""
+    marked = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) > 200, F.concat(F.lit("## "), x)).otherwise(x)), "\n")
+    own = table(spark, d, "documents").select("doc_id", marked.alias("text"))
+    numbered = chunking.section_numbers(chunking.lines(own, "doc_id", "text"), T.headings(F.col("text")), "doc_id")
+    return numbered.groupBy("doc_id", "section").agg(F.min("line").alias("first_line"), F.count("*").alias("n_lines"))
+
+
+@query("""SELECT doc_id, '{"' || 'lang' || '":"' || lang || '","' || 'n' || '":"' || n_chars || '"}' AS json, lang AS lang_again, CAST(2 AS INT) AS keys, CAST(0 AS INT) AS keys_of_text FROM documents""")
+def json_maps(spark, d):
+    """Maps to JSON and back; a text that is no object is an empty map."""
+    made = table(spark, d, "documents").select("doc_id", "text", T.json_text(F.create_map(F.lit("n"), F.col("n_chars").cast("string"), F.lit("lang"), F.col("lang"))).alias("json"))
+    back = T.json_map(F.col("json"))
+    return made.select("doc_id", "json", back["lang"].alias("lang_again"), F.size(back).alias("keys"), F.size(T.json_map(F.col("text"))).alias("keys_of_text"))
+
+
+_RUNS = f"""f AS (SELECT doc_id, source || '/' || doc_id || '.md' AS rel_path, text FROM documents WHERE NOT ({_SECRET})), a AS (SELECT doc_id, rel_path, sha256(text) AS h FROM f WHERE doc_id % 2 = 0),
+b AS (SELECT doc_id, rel_path, sha256(CASE WHEN doc_id % 4 = 0 THEN text || chr(10) || 'more' ELSE text END) AS h FROM f WHERE doc_id % 3 <> 1)"""
+
+
+@query(f"""WITH {_RUNS}, c AS (SELECT b.rel_path AS n, a.rel_path AS o, b.h AS nh, a.h AS oh FROM a FULL JOIN b USING (doc_id)),
+t AS (SELECT count(*) FILTER (o IS NULL) AS added, count(*) FILTER (n = o AND nh <> oh) AS modified, count(*) FILTER (n IS NULL) AS deleted FROM c)
+SELECT rel_path, h AS file_hash, true AS has_chunks, CAST(added AS INT) AS added, CAST(modified AS INT) AS modified, CAST(deleted AS INT) AS deleted, (SELECT count(*) FROM b) AS files FROM b, t""")
+def index_runs(spark, d):
+    """Two runs of the index over documents as files, of which some come, change and go between them: the tracker, whether its
+    files have chunks, what the second run counted, and what the manifest says."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("rel_path"), F.lit("doc").alias("language"), F.col("text").alias("content"))
+    kept = store.Store(spark, scratch(spark, "store"), buckets=8)
+    index.index_table(docs.where("doc_id % 2 = 0"), kept, "docs", "letters")
+    changed = F.when(F.col("doc_id") % 4 == 0, F.concat("content", F.lit("\nmore"))).otherwise(F.col("content"))
+    n = index.index_table(docs.where("doc_id % 3 <> 1").withColumn("content", changed), kept, "docs", "letters")
+    files = kept.read("docs").select(F.col("file_path").alias("rel_path")).distinct().withColumn("there", F.lit(True))
+    told = kept.read("docs", "tracker").join(files, "rel_path", "full_outer").select("rel_path", "file_hash", F.coalesce("there", F.lit(False)).alias("has_chunks"))
+    files = index.manifests(spark, kept).first()["files"]
+    return told.select("*", *[F.lit(n[k]).cast("int").alias(k) for k in ("added", "modified", "deleted")], F.lit(files).alias("files"))
+
+
+_STEPS = rf"""o AS (SELECT item_id AS task_id, list_filter(list_transform(regexp_split_to_array(text, '[。！？!?；;.
+]+'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '') AS own FROM benchmark),
+f AS (SELECT task_id, CASE WHEN len(own) < 3 THEN list_concat(own, list_filter({_FALL}, lambda f: NOT list_contains(own, f)))[1:3] ELSE own[1:6] END AS q FROM o),
+st AS (SELECT task_id, CAST(generate_subscripts(q, 1) - 1 AS INT) AS pos, unnest(q) AS text FROM f)"""
+
+
+@query(f"""WITH {_CHUNKS}, {_STEPS}, k AS (SELECT task_id, pos, unnest({_KL}) AS kw FROM st), u AS (SELECT DISTINCT kw FROM k),
+l AS (SELECT chunk_id, lower(file_path) AS p, lower(source) AS s, lower(language) AS g FROM chunks),
+pt AS (SELECT chunk_id, kw, CASE WHEN contains(p, kw) THEN 9.0 ELSE 0.0 END + least(CAST((length(s) - length(replace(s, kw, ''))) / length(kw) AS INT), 5) * 0.5 + CASE WHEN contains(g, kw) THEN 0.5 ELSE 0.0 END AS points FROM l, u WHERE contains(p, kw) OR contains(s, kw) OR contains(g, kw)),
+sc AS (SELECT task_id, pos, chunk_id, CAST(sum(points) AS DOUBLE) AS score FROM pt JOIN k USING (kw) GROUP BY task_id, pos, chunk_id),
+lr AS (SELECT *, row_number() OVER (PARTITION BY task_id, pos ORDER BY score DESC, chunk_id) AS rank FROM sc),
+ev AS (SELECT task_id, pos, rank, file_path FROM lr JOIN chunks USING (chunk_id) WHERE rank <= 3),
+fi AS (SELECT task_id, file_path, count(DISTINCT pos) AS steps, min({{'p': pos, 'r': rank}}) AS f FROM ev GROUP BY task_id, file_path),
+kf AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY steps DESC, f.p, f.r, file_path) AS r FROM fi),
+n AS (SELECT task_id, max(len(q)) AS steps FROM f GROUP BY task_id), a AS (SELECT task_id, string_agg(file_path, ',' ORDER BY r) AS key_files FROM kf WHERE r <= 8 GROUP BY task_id)
+SELECT n.task_id, CAST(steps AS INT) AS steps, coalesce(key_files, '') AS key_files, key_files IS NULL AS insufficient_evidence FROM n LEFT JOIN a USING (task_id)""")
+def agent_evidence(spark, d):
+    """Plans of all benchmark texts as tasks, evidence of all their steps in one batch, and the files that briefs name."""
+    tasks = table(spark, d, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("task"))
+    steps, _, briefs = index.run_agents(chunks(spark, d), tasks, "lexical", k=3)
+    told = briefs.select("task_id", F.array_join("key_files", ",").alias("key_files"), "insufficient_evidence")
+    return steps.groupBy("task_id").agg(F.count("*").cast("int").alias("steps")).join(told, "task_id")
+
+
 _WORDS_OF = f"kw AS (SELECT item_id AS query_id, {_KV} AS kws FROM benchmark)"
 
 
@@ -650,7 +737,6 @@ def context_summary(spark, d):
     return context.summaries(lexical.lexical_topk(own, questions(spark, d)).join(own.select("chunk_id", "file_path", "language"), "chunk_id"))
 
 
-_FALL = "[" + ", ".join(f"'{q}'" for q, _ in agent.FALLBACKS) + "]"
 _PLAN = rf"""t AS (SELECT conv_id * 1000 + turn AS task_id, text FROM conversations WHERE role = 'user'),
 o AS (SELECT task_id, text, list_filter(list_transform(regexp_split_to_array(text, '[。！？!?；;.\n]+'), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s <> '') AS own FROM t),
 f AS (SELECT task_id, text, CASE WHEN len(own) < 3 THEN list_concat(own, list_filter({_FALL}, lambda f: NOT list_contains(own, f)))[1:3] ELSE own[1:6] END AS q FROM o)"""

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import chunking, ignores, lexical, postings, rerank, symbols, vectors
+from skein.operators import chunking, embed, ignores, lexical, postings, rerank, symbols, vectors
 from skein.operators.cells import Cells
 from skein.operators.postings import Postings
 from skein.plans import index as plans
@@ -217,3 +217,27 @@ def test_search_takes_a_reranker_and_one_failed_channel(spark):
     only = plans.search(chunks, asked, "hybrid", 4, near=none)
     assert [r["chunk_id"] for r in only.orderBy("rank").collect()] == [r["chunk_id"] for r in plans.search(chunks, asked, "lexical", 4).orderBy("rank").collect()]
     assert {r["channels"] for r in only.collect()} == {"lexical"}
+
+    def broken(texts):
+        raise OSError("no model")
+
+    embed.register(embed.Profile("broken", 3), lambda: broken)
+    with pytest.warns(UserWarning, match="vector channel failed"):
+        left = plans.search(chunks, asked, "hybrid", 4, "broken", tolerant=True)
+    assert tuples(left, "rank", "chunk_id") == tuples(only, "rank", "chunk_id")
+    with pytest.raises(Exception, match="no model"):
+        plans.search(chunks, asked, "hybrid", 4, "broken").collect()
+    with pytest.warns(UserWarning), pytest.raises(Exception, match="no model"):
+        plans.search(chunks, asked, "hybrid", 4, "broken", words=lambda a, n: lexical.lexical_topk(chunks.drop("source"), a, n), tolerant=True).collect()
+
+
+def test_agents_of_many_tasks_and_tables_as_sources(spark, tmp_path):
+    files = spark.createDataFrame([("a.py", "python", "import os\nX = 1\nY = 2\n\n\ndef alpha_run():\n    return 1\n"), ("b.md", "doc", "# Beta\n\nguide to alpha_run"), ("c.md", "doc", "API_KEY=1"), ("d.bin", None, "x"), ("e.md", "doc", None), ("b.md", "doc", "# Beta\n\nguide to alpha_run")], "rel_path string, language string, content string")
+    s = store.Store(spark, f"file://{tmp_path}", buckets=4)
+    first = plans.index_table(files, s, "t", "letters")
+    assert (first["added"], first["chunks"]) == (2, 3) and "chunks" not in plans.index_table(files, s, "t", "letters")
+    tasks = spark.createDataFrame([(1, "alpha_run. what is beta?"), (2, "zzz qqq")], "task_id long, task string")
+    steps, evidence, briefs = plans.run_agents(s.read("t"), tasks, "lexical", "letters", 3)
+    told = {r["task_id"]: (r["key_files"], r["insufficient_evidence"]) for r in briefs.collect()}
+    assert set(told[1][0]) == {"a.py", "b.md"} and not told[1][1] and told[2] == ([], True)
+    assert steps.where("task_id = 1").count() == 3 and evidence.select("task_id").distinct().count() == 1
