@@ -42,7 +42,12 @@ TEMPLATES = (
     ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy of the software"),
     ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
+    ("cc-by-nc-sa-4.0", "licensed under cc by nc sa 4 0", "cc by nc sa 4 0"),
+    ("cc-by-nc-sa-4.0", "creative commons attribution noncommercial sharealike 4 0 international license", "attribution noncommercial sharealike 4 0"),
+    ("cc-by-nc-nd-4.0", "licensed under cc by nc nd 4 0", "cc by nc nd 4 0"),
+    ("cc-by-nc-nd-4.0", "creative commons attribution noncommercial noderivatives 4 0 international license", "attribution noncommercial noderivatives 4 0"),
+    ("cc-by-nd-4.0", "licensed under cc by nd 4 0", "cc by nd 4 0"),
     ("cc-by-nc-4.0", "creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0"),
     ("cc-by-nd-4.0", "creative commons attribution noderivatives 4 0 international license", "creative commons attribution noderivatives 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa"),
@@ -74,13 +79,23 @@ TEMPLATES = (
     ("unlicense", "the unlicense", "the unlicense"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages"),
 )
+#: Titles, each wholly mandatory.
+TITLES = (
+    ("agpl-3.0", "gnu affero general public license version 3"), ("bsd", "bsd 2 clause license"), ("bsd", "2 clause bsd license"), ("bsd-3-clause", "bsd 3 clause license"), ("bsd-3-clause", "3 clause bsd license"),
+    ("gpl-2.0", "gnu general public license version 2 june 1991"), ("gpl-3.0", "gnu general public license version 3 29 june 2007"), ("gpl-2.0", "gnu gpl version 2"), ("gpl-3.0", "gnu gpl version 3"), ("gpl-2.0", "gnu gpl v2"), ("gpl-3.0", "gnu gpl v3"),
+    ("lgpl-3.0", "gnu lesser general public license version 3"), ("mpl-2.0", "mozilla public license version 2 0"), ("mpl-2.0", "mozilla public license 2 0"), ("epl-1.0", "eclipse public license v 1 0"), ("artistic-2.0", "artistic license version 2 0"),
+    ("mit", "mit or apache 2 0"), ("apache-2.0", "mit or apache 2 0"), ("mit", "apache 2 0 or mit"), ("apache-2.0", "apache 2 0 or mit"),
+)
+TEMPLATES += tuple((label, title, title) for label, title in TITLES)
 #: Identifiers that stand behind "SPDX-License-Identifier:", in words, and what they are called here.
 IDENTIFIERS = (
     ("agpl 3 0", "agpl-3.0"), ("apache 2 0", "apache-2.0"), ("artistic 2 0", "artistic-2.0"), ("bsd 2 clause", "bsd"), ("bsd 3 clause", "bsd-3-clause"), ("bsl 1 0", "bsl-1.0"),
-    ("cc by 4 0", "cc-by-4.0"), ("cc by sa 4 0", "cc-by-sa-4.0"), ("cc0 1 0", "cc0-1.0"), ("epl 2 0", "epl-2.0"), ("gpl 2 0", "gpl-2.0"), ("gpl 3 0", "gpl-3.0"), ("isc", "isc"),
+    ("cc by 4 0", "cc-by-4.0"), ("cc by nc 4 0", "cc-by-nc-4.0"), ("cc by nc nd 4 0", "cc-by-nc-nd-4.0"), ("cc by nc sa 4 0", "cc-by-nc-sa-4.0"), ("cc by nd 4 0", "cc-by-nd-4.0"), ("cc by sa 4 0", "cc-by-sa-4.0"), ("cc0 1 0", "cc0-1.0"), ("epl 2 0", "epl-2.0"), ("gpl 2 0", "gpl-2.0"), ("gpl 3 0", "gpl-3.0"), ("isc", "isc"),
     ("lgpl 2 1", "lgpl-2.1"), ("lgpl 3 0", "lgpl-3.0"), ("mit", "mit"), ("mpl 2 0", "mpl-2.0"), ("unlicense", "unlicense"), ("zlib", "zlib"),
 )
-TEMPLATES += tuple((label, said, said) for x, label in IDENTIFIERS for said in [f"spdx license identifier {x}"])
+SPDX = ("spdx", "license", "identifier")
+TEMPLATES += tuple((label, f"{' '.join(SPDX)} {x}", f"{' '.join(SPDX)} {x}") for x, label in IDENTIFIERS)
+TEMPLATES += tuple((label, f"licensed under {the}{x}", f"under {the}{x}") for x, label in IDENTIFIERS for the in ("", "the "))
 RARE, MIN_AGREE, MIN_SCORE = 4, 0.5, 0.6
 
 _VOCAB = frozenset(w for _, t, _ in TEMPLATES for w in t.split())
@@ -88,6 +103,9 @@ _BASE = [(tuple(p.split()), label) for p, label in BASE]
 _TEMPLATES = [(label, tuple(t.split()), tuple(k.split())) for label, t, k in TEMPLATES]
 #: A label of either kind needs a base or a mandatory phrase in the text, so all words of one.
 _NEEDED = sorted({frozenset(p) for p, _ in _BASE} | {frozenset(k) for _, _, k in _TEMPLATES}, key=sorted)
+#: Identifiers as words, longest first, and the words that join them or say more about the one before.
+_BY_LENGTH = sorted(((tuple(x.split()), label) for x, label in IDENTIFIERS), key=lambda x: (-len(x[0]), x))
+_JOINS, _SAYS_MORE = ("or", "and"), (("or", "later"), ("only",))
 _WANTED = _VOCAB.union(*_NEEDED)
 _POSTINGS: dict[str, dict[int, list[int]]] = defaultdict(dict)  # word -> template -> its places there
 for _t, (_, _words, _) in enumerate(_TEMPLATES):
@@ -120,6 +138,23 @@ def _stands(words: list[str], phrase: tuple[str, ...], at: int) -> bool:
     return at >= 0 and tuple(words[at : at + len(phrase)]) == phrase
 
 
+def expression(words: list[str], at: int) -> set[str]:
+    """Labels of the identifiers of an SPDX expression that begins at a word: joined by or and and, exceptions passed over."""
+    found: set[str] = set()
+    while True:
+        own = next(((x, label) for x, label in _BY_LENGTH if tuple(words[at : at + len(x)]) == x), None)
+        if own is None:
+            return found
+        found.add(own[1])
+        at += len(own[0])
+        at += next((len(x) for x in _SAYS_MORE if tuple(words[at : at + len(x)]) == x), 0)
+        if words[at : at + 1] == ["with"]:  # an exception's name of a few words, up to the next join
+            at = next((i for i in range(at + 1, min(at + 7, len(words))) if words[i] in _JOINS), len(words))
+        if at >= len(words) or words[at] not in _JOINS:
+            return found
+        at += 1
+
+
 def scan(words: list[str], idf: dict[str, float]) -> tuple[list[int], set[str], set[str], float]:
     """Starts of all base phrases, base labels, the method's labels, score."""
     wanted = _WANTED.intersection(words)
@@ -159,6 +194,9 @@ def scan(words: list[str], idf: dict[str, float]) -> tuple[list[int], set[str],
                 best = share
         if best >= MIN_SCORE:
             found[label] = max(best, found.get(label, 0.0))
+    for i in places.get(SPDX[0], ()):
+        if _stands(words, SPDX, i):
+            found |= {label: 1.0 for label in expression(words, i + len(SPDX))}
     score = max([*found.values(), 0.5 if base else 0.0])
     return starts, base, set(found), score
 

@@ -5,7 +5,7 @@ import time
 import pytest
 
 import corpus_pipeline
-from skein.llm import decontaminate, jaccard_join, style_tree, toxicity
+from skein.llm import decontaminate, jaccard_join, license_scan, style_tree, toxicity
 
 
 def main_text(html):
@@ -90,3 +90,24 @@ def test_weights_do_not_depend_on_rounds(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ROUND_ITEMS", 3)
     assert len(decontaminate._rounds(bench)) > 3
     assert whole and rows() == whole
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("BSD 3-Clause License", {"bsd-3-clause"}),
+        ("Mozilla Public License Version 2.0", {"mpl-2.0"}),
+        ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", {"gpl-3.0"}),
+        ("This work is licensed under CC BY-NC-SA 4.0.", {"cc-by-nc-sa-4.0"}),
+        ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", {"cc-by-nc-sa-4.0"}),
+        ("licensed under CC BY-NC 4.0", {"cc-by-nc-4.0"}),
+        ("licensed under the LGPL-2.1", {"lgpl-2.1"}),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", {"mit", "apache-2.0"}),
+        ("# SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) OR MIT\nimport os", {"gpl-2.0", "mit"}),
+        ("SPDX-License-Identifier: GPL-3.0-only and more words", {"gpl-3.0"}),
+        ("licensed under either MIT OR Apache-2.0", {"mit", "apache-2.0"}),
+        ("Er ging mit dem Hund or a license", set()),
+    ],
+)
+def test_titles_and_expressions_of_licenses(text, labels):
+    assert license_scan.scan(license_scan.words_of(text), {})[2] == labels
