@@ -54,7 +54,8 @@ def write(docs: DataFrame, out: str, path: str, partitions: int | None = None) -
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(raw), part, np.int32)), pa.array(done + offsets[:-1]), pa.array(counts), ids.cast(target.field("ids").type)], schema=target)
             done += int(offsets[-1])
 
-    ordered = texts.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")
+    # rows of one id, or without any, are dealt by their text as well, so that they are no single task
+    ordered = texts.repartitionByRange(partitions, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     ordered.mapInArrow(rows, STORED).write.options(**ORC).orc(out)
 
 
