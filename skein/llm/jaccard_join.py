@@ -19,7 +19,7 @@ looked at, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -244,9 +244,11 @@ def _mixed(lists: DataFrame, comps: DataFrame) -> DataFrame:
     return _by_list(own, several)
 
 
-def link_classes(sets: DataFrame, percent: int) -> DataFrame:
-    """doc_id, comp of every set that is linked or not, by hubs first and then by all pairs that remain."""
-    lists = staged(prefixes(sets, percent), "prefixes")
+def link_classes(sets: DataFrame, percent: int, lists_of: Callable[[DataFrame, int], DataFrame] = prefixes, verified: Callable[[DataFrame, DataFrame, int], DataFrame] = similar) -> DataFrame:
+    """doc_id, comp of every set that is linked or not, by hubs first and then by all pairs that remain.
+
+    lists_of: sets to gram, doc_id, n, pos, own, such that linked sets share a gram; verified: pairs (a, b) to those that link."""
+    lists = staged(lists_of(sets, percent), "prefixes")
     comps = staged(sets.select("doc_id", F.col("doc_id").alias("comp")), "comps")
     tried = None
     for turn in range(HUB_ROUNDS):
@@ -262,7 +264,7 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
             met = met.join(tried.select(F.col("a").alias("doc_id"), "b"), ["doc_id", "b"], "left_anti")
         pairs = staged(met.groupBy("doc_id").agg(F.max_by("b", F.struct("k", F.xxhash64("b"))).alias("b")).withColumnRenamed("doc_id", "a"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        comps = _relabel(comps, staged(similar(pairs, sets, percent), "links"))
+        comps = _relabel(comps, staged(verified(pairs, sets, percent), "links"))
     mixed = staged(_mixed(lists, comps), "mixed")
     need = lambda a, b: F.ceil((F.col(a) + F.col(b)) * percent / (100.0 + percent) - 1e-9)
     index = mixed.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100.0 + percent) - 1e-9) + 1)
@@ -271,7 +273,7 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
     rest = _by_list(large, small, "b").where("ca <> cb AND na <= nb").where(F.col("na") * 100 >= F.col("nb") * percent)
     rest = rest.where(1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need("na", "nb")).select("a", "b").distinct()
     rest = rest.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    return _relabel(comps, staged(similar(rest, sets, percent), "links"))
+    return _relabel(comps, staged(verified(rest, sets, percent), "links"))
 
 
 def _one_document(comps: DataFrame, rows: DataFrame) -> DataFrame:

@@ -32,8 +32,9 @@ QUERIES = {
     "op13_conversation_repair": lambda spark, d: conversation_repair.digest(spark.read.parquet(f"{d}/conversations.parquet")),
     "pipeline": corpus_pipeline.run,
 }
-#: What of operators 1, 3 and 9 SQL can say: the columns that the contract fixes.
+#: What of operators 1, 3 and 9 SQL can say: the columns that the contract fixes; and the near-duplicates of operator 12.
 QUERIES |= {
+    "spot_signature_classes": lambda spark, d: spot_signatures.classes(_docs(spark, d)),
     "base_personal_data": lambda spark, d: pii.digest(_docs(spark, d)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone"),
     "base_license_phrases": lambda spark, d: license_scan.licenses(_docs(spark, d)).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"),
     "base_language_model": lambda spark, d: bilinear_lm.scores(_docs(spark, d)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score")),
@@ -50,6 +51,7 @@ ORACLES = {
     "op11_distance_key_negatives": hard_negatives.ORACLE,
     "op12_spot_signatures": spot_signatures.ORACLE,
     "op13_conversation_repair": conversation_repair.ORACLE,
+    "spot_signature_classes": spot_signatures.CLASSES_ORACLE,
     "base_personal_data": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') AS e,

@@ -6,7 +6,9 @@ few common words (lists, other languages) need something to stand on as well: th
 a length divisible by OWN_LENGTH count as if an anchor stood before them. A fingerprint is the set of a text's signatures,
 and two texts are as alike as the Jaccard similarity of their sets.
 
-`digest` holds every document against its edited text and its neighbour.
+`digest` holds every document against its edited text and its neighbour. `classes` finds the near-duplicates of a corpus: sets
+are dealt to partitions by their length, so that a set meets its own partition and the next one only; within them the
+rarest signatures make lists, lengths and positions prune what is compared, and classes grow from hubs, not from all pairs.
 
 Defined results: a null text is empty; a text without a word has an empty fingerprint, and two empty fingerprints are alike
 (1) if both texts are empty of words, an empty one and another are not (0); documents in descending doc_id, rows without an
@@ -16,10 +18,13 @@ text of any length is taken whole, in time linear in it; other columns are not l
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from skein.llm import jaccard_join
 from skein.llm.common import LOWER_ASCII, UPPER_ASCII, doc_texts, lower_column, staged
 
 #: Content words of a chain, and hexadecimal digits of a signature's hash.
@@ -28,6 +33,8 @@ CHAIN, DIGITS = 2, 8
 OWN_LENGTH = 7
 #: Neighbours, on average, of a group; bits of the hash that group rows without an id.
 GROUP_ROWS, LOST_BITS = 512, 9
+#: Similarity of near-duplicates.
+PERCENT = 80
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
     "a an and are as at be but by for from had has have he her his if in into is it its not of on or she so that the their them then there these they this to was we were what when which who will with would you "
@@ -125,6 +132,43 @@ def digest(docs: DataFrame) -> DataFrame:
     )
 
 
+def spot_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """gram, doc_id, n, pos, own: a set's signatures that others have, too, within its prefix in the order of rareness, each in the
+    lists of the length partitions in which the set can meet a similar one; own: its signatures that no other set has.
+
+    Partition bounds grow by the factor that a similar set may be longer. A list holds a partition and the next one, so two
+    sets of similar length share one. sets: doc_id, n, spots."""
+    each = sets.select("doc_id", "n", F.explode("spots").alias("spot"))
+    known = each.groupBy("spot").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = each.join(known, "spot").withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy("c", "spot")))
+    counted = ranked.withColumn("own", (F.col("n") - F.count("*").over(W.partitionBy("doc_id"))).cast("int")).withColumn("pos", (F.col("own") + F.col("r")).cast("int"))
+    kept = counted.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1)
+    part = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("long")
+    return kept.select(F.explode(F.array(part, part - 1)).alias("p"), "spot", "doc_id", "n", "pos", "own").select(F.concat_ws(":", "spot", F.col("p").cast("string")).alias("gram"), "doc_id", "n", "pos", "own")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets whose Jaccard similarity reaches the percentage; lengths rule most others out uncompared."""
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("spots").alias("sa")), "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("spots").alias("sb")), "b")
+    both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).withColumn("k", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("k") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b")
+
+
+def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_signatures, component_id of every row: the smallest doc_id that is reached by links between documents whose
+    signatures have a Jaccard similarity of percent / 100 or more. A text without a signature is linked with nothing; rows
+    without an id take the class of their text's set, null if no row of the class has an id."""
+    rows = staged(doc_texts(docs).select("doc_id", spot_set(F.col("text")).alias("spots")), "spots")
+    own = rows.where(F.size("spots") > 0).groupBy("spots").agg(F.min("doc_id").alias("least"))
+    own = staged(own.select(F.monotonically_increasing_id().alias("doc_id"), F.size("spots").alias("n"), "spots", "least"), "sets")
+    comps = jaccard_join.link_classes(own.select("doc_id", "n", "spots"), percent, spot_lists, alike)
+    members = own.join(comps, "doc_id")
+    ids = members.groupBy("comp").agg(F.min("least").alias("component_id"))
+    known = members.join(ids, "comp").select("spots", F.col("component_id").alias("c"))
+    return rows.join(known, "spots", "left").select("doc_id", F.size("spots").cast("long").alias("n_signatures"), F.when(F.size("spots") == 0, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
+
+
 _COMMON = "[" + ", ".join(f"'{a}'" for a in sorted(set(ANCHORS))) + "]"
 
 
@@ -146,3 +190,13 @@ o AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC NULLS LAST,
 e AS (SELECT doc_id, t, after, left(t, length(t) - length(t) // 3) || left(after, length(t) // 3) AS edited FROM o),
 s AS (SELECT doc_id, length(t) AS n, edited, {_spots_sql("t")} AS a, {_spots_sql("edited")} AS b, {_spots_sql("after")} AS c FROM e)
 SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, ',') AS fingerprint, array_to_string(b, ',') AS edited_fingerprint, {_near_sql("a", "b")} AS near_edited, {_near_sql("a", "c")} AS near_next, len(a) AS n_signatures FROM s"""
+
+#: Whole: links over all pairs that share a signature, and smallest reachable ids.
+CLASSES_ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_spots_sql("coalesce(text, '')")} AS a FROM documents),
+s AS (SELECT doc_id, unnest(a) AS g FROM d),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT common.a, common.b FROM common JOIN d p ON p.doc_id = common.a JOIN d q ON q.doc_id = common.b WHERE 100 * k >= {PERCENT} * (len(p.a) + len(q.a) - k)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+walk AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT edge.b, walk.c FROM walk JOIN edge ON edge.a = walk.doc_id WHERE walk.c < edge.b)
+SELECT d.doc_id, len(d.a) AS n_signatures, m.c AS component_id FROM d JOIN (SELECT doc_id, min(c) AS c FROM walk GROUP BY doc_id) m USING (doc_id)"""
