@@ -92,3 +92,42 @@ def test_time_is_linear_in_a_long_text(spark):
     for word in ("the ", "1 ", "cat the ", "<"):
         seconds(1000, word)
         assert seconds(400_000, word) < 6 * seconds(100_000, word) + 2
+
+
+def brute_classes(rows, percent):
+    sets = [(i, frozenset(brute_spots(t or ""))) for i, t in rows]
+    reach = {k: k for k in range(len(sets))}
+
+    def top(k):
+        while reach[k] != k:
+            k = reach[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
+                reach[top(a)] = top(b)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        if i is not None:
+            least[top(k)] = min(i, least.get(top(k), i))
+    return sorted(((i, len(s), least.get(top(k)) if s else i) for k, (i, s) in enumerate(sets)), key=str)
+
+
+def test_classes_equal_brute_force_in_hot_groups(spark):
+    import random
+
+    rng = random.Random(9)
+    words = ["the", "of", "and", "to", *[f"w{k}ord" for k in range(60)]]
+    base = [rng.choice(words) for _ in range(120)]
+    rows = [(900 - k, " ".join(base[: 117 + k % 4] + [f"end{k}", f"tail{k}"])) for k in range(70)]  # near copies of one text
+    rows += [(1000 + k, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for k in range(60)]
+    rows += [(2000 + k, "the common line of all " + " ".join(f"own{k}x{j} of" for j in range(k % 5))) for k in range(40)]
+    rows += [(None, " ".join(base)), (None, "the lone one walks"), (7, None), (8, ""), (9, "..."), (10, "x"), (10, "x"), (11, "x")]
+    df = spark.createDataFrame(rows, DOCS)
+    for percent in (80, 60):
+        assert sorted((tuple(r) for r in spots.classes(df, percent).collect()), key=str) == brute_classes(rows, percent)
+    assert spots.classes(spark.createDataFrame([], DOCS)).count() == 0
+    plan = spots.classes(df.limit(5))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
