@@ -29,8 +29,6 @@ except ImportError:  # without it all keywords go by joins
 
 #: Run classes and the keywords that live in them.
 CLASSES = ((r"[a-z0-9_-]+", r"^[a-z0-9_-]+$"), (r"[a-z0-9_.-]+", r"\."), ("[一-鿿]+", "[一-鿿]"))
-#: Distinct keywords of a batch up to which they are broadcast (some 50 bytes each).
-BROADCAST_KEYWORDS = 100_000
 #: (question, keyword) rows up to which an automaton of the keywords goes to every task (some 100 bytes each), and the
 #: questions of one matrix product.
 PASS_ROWS, PASS_QUERIES = 200_000, 512
@@ -65,13 +63,16 @@ def source_counts(chunks: DataFrame, keywords: DataFrame) -> DataFrame:
 def _short_terms(chunks: DataFrame, keywords: DataFrame) -> DataFrame:
     """chunk_id, kw, points of path, name, parent and language, over the distinct short strings."""
     strings = chunks.select("file_path", "name", "parent", "language").distinct()
-    kws = keywords.select("kw").distinct()
-    few = kws.count() <= BROADCAST_KEYWORDS
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     has = lambda c, points: F.when(low(c).contains(F.col("kw")), points).otherwise(0.0)
     score = sum(has(c, points) for c, points in POINTS.items())
-    # theta join on short strings: keywords are broadcast up to a checked size, else joined in a shuffled nested loop
-    met = strings.join(F.broadcast(kws) if few else kws, score > 0).select("*", score.alias("points"))
+    # keywords meet the strings that hold their first two or three characters, by an equi-join
+    text = F.concat_ws("\n", *[low(c) for c in POINTS])
+    places = F.sequence(F.lit(1), F.greatest(F.char_length("t"), F.lit(1)))
+    cut = lambda n: F.transform(places, lambda i: F.col("t").substr(i, F.lit(n)))
+    pieces = F.array_distinct(F.concat(cut(2), cut(3)))
+    kws = keywords.select("kw").distinct().withColumn("g", F.substring("kw", 1, 3))
+    met = strings.withColumn("t", text).withColumn("g", F.explode(pieces)).join(kws, "g").withColumn("points", score).where("points > 0").drop("t", "g")
     same = [chunks[c].eqNullSafe(met[c]) for c in ("file_path", "name", "parent", "language")]
     return chunks.join(met, same[0] & same[1] & same[2] & same[3]).select(chunks["chunk_id"], "kw", "points")
 
