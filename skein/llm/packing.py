@@ -9,7 +9,8 @@ grouping has no more bins than any must have. Bins that stay poorly filled give
 fewer groups, so that the groups' borders cost little.
 
 Defined results: a null or empty text is the end id alone; rows with the same doc_id are separate items, and their
-pieces keep separate offsets; a null doc_id is packed like others; an empty table gives an empty one.
+pieces keep separate offsets; a null doc_id is packed like others; a text of any length is cut, never shortened; an empty
+table gives an empty one; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ on true and on false ones, from the votes alone but for anchors: candidates whos
 A logistic classifier of spans is then trained on the candidates' features with the posteriors as soft labels, and its
 positive candidates are added to the base spans.
 
+The local part of an address that is spelt out is looked for up to 64 characters, which is as long as one may be (RFC 5321).
+
 Defined results: a null or empty text has no spans; a null doc_id stays null; repeated rows give a row each; an empty
 table gives an empty one; other columns are not looked at, so their names cannot clash. Texts are searched whole, in time
 linear in their length. Spans are code points, end exclusive; spans of two kinds may overlap, and stand by kind, then start.

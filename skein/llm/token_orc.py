@@ -6,7 +6,8 @@ file's number and the count of ids before it in that file, so a document's place
 per file.
 
 Defined results: a null or empty text is the end id alone; a null doc_id sorts first; rows with one doc_id stand in
-any order, one after the other; an empty table gives no rows; other columns are not written.
+any order, one after the other, in as many files as their texts' hashes are dealt to; texts of any length are encoded whole;
+an empty table gives no rows; other columns are not written.
 """
 
 from __future__ import annotations
