@@ -1,20 +1,28 @@
-"""Operator 8: benchmark decontamination by SimHash of short windows.
+"""Operator 8: benchmark decontamination by SimHash windows and a block index.
 
-Items and texts are words of letters and digits. Windows of WIDTH words slide over every item, its end included, and
-over every text, one at each word; a window's fingerprint is the 64-bit SimHash of its words, kept as running sums of
-byte counters. A passage that shares a shingle with an item holds that window intact, at distance 0, so the gate asks
-for equal fingerprints (RADIUS 0) and needs no luck: an item is indexed by its rarest shingles of together more than
-what a passage of the wanted similarity may lack, and every such passage has at least one of them, whatever was
-cut, changed, put in or moved, and however short the text. Four blocks of 16 bits sort out windows that are no
-item's. Every (text, item) that meets is then verified exactly: of all windows of the item's size, the one with the
-largest share of the item's weighted five-word shingles.
+Items and texts are words of letters and digits; a window's fingerprint is the 64-bit SimHash of its words, kept as
+running sums of byte counters. Two kinds of windows are fingerprinted, and both are looked up alike: a text's window meets
+an item's if the fingerprints differ in at most RADIUS bits. RADIUS + 1 blocks of 16 bits are indexed, of which two such
+fingerprints have one in common, so the block index loses none; the bits of those that meet in a block are counted.
+
+* Long windows have the item's size, rounded down on a ladder (`long_size`), and stand at both ends of the item, of items
+  above LONGEST words one after another. A text gives one at every STRIDE words; items give STRIDE neighbours, so
+  one of them meets a copy wherever it begins. A changed word moves a few bits only.
+* Short windows of WIDTH words are taken at every word. A fingerprint of few words moves much with each of them, but a
+  window left intact has distance 0: an item gives those of its rarest shingles of together more than what a passage of
+  the wanted similarity may lack, and every such passage has at least one of them, whatever was cut, changed, put in or
+  moved, and however short the text. So no passage that verification accepts is lost.
+
+Every (text, item) that meets is then verified exactly: of all windows of the item's size, the one with the largest share
+of the item's weighted five-word shingles.
 
 Weights come from all items, however they are dealt to rounds.
 
 Defined results: a null or empty text, an item without words, an empty table on either side: no rows. Texts of any length are
 searched whole, in chunks of words. Repeated rows
 give a row each; an item that stands in a text several times gives its first best place; a null id stays null; other
-columns are not looked at. An item of fewer than WIDTH words is one shingle of its own length.
+columns are not looked at. An item of fewer than WIDTH words is one shingle of its own length; one of fewer than WIDTH +
+STRIDE - 1 has short windows only.
 """
 
 from __future__ import annotations
@@ -33,7 +41,12 @@ from skein.llm.common import arrow_map, doc_texts, small_batches, staged
 from skein.llm.exchange import hashes
 
 WIDTH, SIMILARITY = 5, 0.8
-RADIUS, BLOCKS = 0, 4
+#: Bits in which fingerprints that meet may differ; two such have one of RADIUS + 1 blocks in common.
+RADIUS, BLOCKS = 3, 4
+#: Words between the long windows of a text, most words of a window (byte counters hold 255), pairs counted at once.
+STRIDE, LONGEST, PAIRS = 4, 250, 1 << 20
+#: Windows that are fingerprinted together (64 bytes each).
+WINDOWS = 65536
 #: Items up to which they are sent to every task; more are taken in rounds of so many.
 ROUND_ITEMS = 2_000
 #: Words of texts that are handled together.
@@ -55,10 +68,11 @@ def running(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+def fingerprints(sums: np.ndarray, starts: np.ndarray | slice, size: int) -> np.ndarray:
     """SimHash of the windows [start, start + size): a bit is set if more than half of the words have it."""
-    counts = (sums[starts + size] - sums[starts]).view(np.uint8).reshape(len(starts), 64)
-    return np.packbits(counts > size // 2, axis=1, bitorder="little").view("<u8")[:, 0]
+    after = slice(starts.start + size, starts.stop + size, starts.step) if isinstance(starts, slice) else starts + size
+    counts = (sums[after] - sums[starts]).view(np.uint8)
+    return np.packbits(counts > size // 2, bitorder="little").view("<u8")
 
 
 def shingle_keys(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
@@ -70,12 +84,28 @@ def shingle_keys(h: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return out
 
 
+def long_size(words: int) -> int:
+    """Words of an item's long windows: the last step of a ladder that leaves room for STRIDE of them; 0 if none does."""
+    size = 0
+    while (more := max(WIDTH, size + 1, size * 5 // 4)) <= min(LONGEST, words - STRIDE + 1):
+        size = more
+    return size
+
+
+def long_starts(words: int, size: int) -> np.ndarray:
+    """Where an item's long windows begin: STRIDE neighbours at its front, one after another through it, and at its end."""
+    first = np.array([*range(0, words - size + 1, size), max(0, words - size - STRIDE + 1)])
+    starts = np.unique(first[:, None] + np.arange(STRIDE))
+    return starts[starts <= words - size]
+
+
 class Index:
-    """Items' fingerprints by window size (WIDTH, or an item's fewer words) with block tables, and what verification needs."""
+    """Items' fingerprints by window size with block tables, long windows (classes) and short ones (of WIDTH words, or an
+    item's fewer), and what verification needs."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, known: tuple[int, dict[int, int]] | None = None):
         """known: how many items there are in all, and how many of them each shingle stands in; else counted over `items`."""
-        self.ids, self.hashes, self.classes, self.least = [], [], {}, similarity
+        self.ids, self.hashes, self.least = [], [], similarity
         for i, text in items:
             h = hashes(words_of(text or ""))
             if len(h):
@@ -86,7 +116,8 @@ class Index:
         self.counts = [Counter(own.tolist()) for own in keys]
         self.weights = [Counter({k: n * math.log(1 + total / df[k]) for k, n in own.items()}) for own in self.counts]
         self.offsets: list[dict[int, list[int]]] = []
-        by: dict[int, list[tuple[int, int]]] = {}
+        long: dict[int, list[tuple[int, int]]] = {}
+        short: dict[int, list[tuple[int, int]]] = {}
         for j, (h, own) in enumerate(zip(self.hashes, keys, strict=True)):
             at: dict[int, list[int]] = {}
             for o, k in enumerate(own.tolist()):
@@ -100,37 +131,65 @@ class Index:
                     break
                 lacking += weights[k]
                 first.append(at[k][0])
-            size = min(WIDTH, len(h))
-            prints = fingerprints(running(h), np.array(first), size)
-            by.setdefault(size, []).extend((f, j) for f in prints.tolist())
-        for size, found in by.items():
-            found = sorted(set(found))
-            prints = np.array([x[0] for x in found], np.uint64)
-            tables = np.zeros((BLOCKS, 65536), bool)
-            for b in range(BLOCKS):
-                tables[b, (prints >> np.uint64(16 * b) & np.uint64(0xFFFF)).astype(np.int64)] = True
-            distinct, begin = np.unique(prints, return_index=True)
-            self.classes[size] = (prints, np.array([x[1] for x in found]), distinct, tables, np.append(begin, len(prints)), size)
+            sums, size = running(h), min(WIDTH, len(h))
+            short.setdefault(size, []).extend((f, j) for f in fingerprints(sums, np.array(first), size).tolist())
+            if size := long_size(len(h)):
+                long.setdefault(size, []).extend((f, j) for f in fingerprints(sums, long_starts(len(h), size), size).tolist())
+        self.classes, self.short = ({size: self._blocks(found) for size, found in by.items()} for by in (long, short))
+
+    @staticmethod
+    def _blocks(found: list[tuple[int, int]]) -> tuple:
+        """Distinct fingerprints, their items and where each one's begin among these; of every block which values
+        there are, the fingerprints' values in order, and whose they are."""
+        found = sorted(set(found))
+        prints, begin = np.unique(np.array([x[0] for x in found], np.uint64), return_index=True)
+        parts = prints.view("<u2").reshape(-1, BLOCKS)
+        tables = np.zeros((BLOCKS, 65536), bool)
+        for b in range(BLOCKS):
+            tables[b, parts[:, b]] = True
+        order = [np.argsort(parts[:, b], kind="stable") for b in range(BLOCKS)]
+        return prints, np.array([x[1] for x in found]), np.append(begin, len(found)), tables, [parts[o, b] for b, o in enumerate(order)], order
+
+    @staticmethod
+    def near(known: tuple, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in found, place in the known fingerprints) of the pairs at most RADIUS bits apart; some come repeatedly."""
+        prints, _, _, tables, values, order = known
+        parts = found.view("<u2").reshape(-1, BLOCKS)
+        for b in range(BLOCKS):
+            hit = np.flatnonzero(tables[b][parts[:, b]])
+            if not len(hit):
+                continue
+            lo, hi = (np.searchsorted(values[b], parts[hit, b], side) for side in ("left", "right"))
+            ends = np.cumsum(hi - lo)
+            cuts = np.searchsorted(ends, np.arange(PAIRS, ends[-1], PAIRS))
+            for own in np.split(np.arange(len(hit)), cuts) if len(cuts) else [slice(None)]:
+                n = hi[own] - lo[own]
+                which = order[b][np.arange(n.sum()) + np.repeat(lo[own] - np.cumsum(n) + n, n)]
+                at = np.repeat(hit[own], n)
+                good = np.flatnonzero(np.bitwise_count(found[at] ^ prints[which]) <= RADIUS)
+                if len(good):
+                    yield at[good], which[good]
+
+    def met(self, classes: dict[int, tuple], step: int, sums: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) with windows that meet, of a text's windows at every `step` words of the running sums."""
+        out: set[tuple[int, int]] = set()
+        for size, known in classes.items():
+            _, item, begin, *_ = known
+            windows = len(sums) - size
+            for at in range(0, windows, WINDOWS * step):
+                found = fingerprints(sums, slice(at, min(at + WINDOWS * step, windows), step), size)
+                for place, which in self.near(known, found):
+                    start = at + place * step
+                    text = np.searchsorted(bounds, start, "right") - 1
+                    inside = start + size <= bounds[text + 1]  # no window over the border of two texts
+                    for t, x in set(zip(text[inside].tolist(), which[inside].tolist(), strict=True)):
+                        out.update((t, j) for j in item[begin[x] : begin[x + 1]].tolist())
+        return out
 
     def candidates(self, h: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) that have a window in common. bounds: where each text begins in the words h, and the end."""
-        sums, out = running(h), set()
-        for size, (_, item, distinct, tables, begin, _) in self.classes.items():
-            for at in range(0, len(h) - size + 1, 65536):
-                starts = np.arange(at, min(at + 65536, len(h) - size + 1))
-                found = fingerprints(sums, starts, size)
-                parts = found.view("<u2").reshape(-1, BLOCKS)
-                hit = np.flatnonzero(tables[0][parts[:, 0]])
-                for b in range(1, BLOCKS):
-                    hit = hit[tables[b][parts[hit, b]]]
-                k = np.minimum(np.searchsorted(distinct, found[hit]), len(distinct) - 1)
-                same = distinct[k] == found[hit]
-                hit, k = hit[same], k[same]
-                text = np.searchsorted(bounds, starts[hit], "right") - 1
-                inside = starts[hit] + size <= bounds[text + 1]  # no window over the border of two texts
-                for t, x in set(zip(text[inside].tolist(), k[inside].tolist(), strict=True)):
-                    out.update((t, j) for j in item[begin[x] : begin[x + 1]].tolist())
-        return out
+        """(text, item) that have windows that meet. bounds: where each text begins in the words h, and the end."""
+        sums = running(h)
+        return self.met(self.classes, STRIDE, sums, bounds) | self.met(self.short, 1, sums, bounds)
 
     def best_place(self, item: int, h: np.ndarray, places: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[float, int] | None:
         """(similarity, start) of the best window of the item's size in a text, if it reaches the similarity.

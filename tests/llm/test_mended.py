@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -111,3 +112,32 @@ def test_weights_do_not_depend_on_rounds(spark, monkeypatch):
 )
 def test_titles_and_expressions_of_licenses(text, labels):
     assert license_scan.scan(license_scan.words_of(text), {})[2] == labels
+
+
+def test_long_windows_meet_within_the_radius():
+    """The block index gives the pairs that counting the bits of all pairs gives, of windows of the items' size."""
+    rng = np.random.default_rng(5)
+    items = [[f"i{k}x{x}" for x in range(n)] for k, n in enumerate((9, 30, 59, 100, 240, 600))]
+    texts = []
+    for item in items:
+        pad = [f"p{x}" for x in rng.integers(0, 99, int(rng.integers(1, 9)))]
+        changed = [list(item) for _ in range(6)]
+        for c in changed:
+            c[int(rng.integers(len(item)))] = "other"
+        texts += [[*pad, *x, *pad] for x in (item, *changed)]
+    index = decontaminate.Index([(k, " ".join(x)) for k, x in enumerate(items)])
+    assert sorted(index.classes) == [6, 27, 51, 97, 235]  # 600 words: several windows of 235
+    h = decontaminate.hashes([w for t in texts for w in t])
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    sums, want, apart = decontaminate.running(h), set(), 0
+    for size, (prints, item, begin, *_) in index.classes.items():
+        for t, (a, z) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            starts = np.array([s for s in range(0, z - size + 1, decontaminate.STRIDE) if s >= a])
+            for f in decontaminate.fingerprints(sums, starts, size).tolist() if len(starts) else ():
+                for x, p in enumerate(prints.tolist()):
+                    if (d := (f ^ p).bit_count()) <= decontaminate.RADIUS:
+                        want.update((t, j) for j in item[begin[x] : begin[x + 1]].tolist())
+                        apart += d > 0
+    got = index.met(index.classes, decontaminate.STRIDE, sums, bounds)
+    assert got == want and apart > 10 and {(7 * k, k) for k in range(len(items))} <= got  # every whole copy, wherever it begins
+    assert got | index.met(index.short, 1, sums, bounds) == index.candidates(h, bounds)
