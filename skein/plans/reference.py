@@ -466,9 +466,10 @@ SELECT query_id, chunk_id, score, stage, channels, CAST(rr AS INT) AS rank FROM
 
 
 def _label_channel(spark, d, k=20):
-    """Vectors of the query's label by id: hits of an equi-join, of which each query keeps k."""
+    """Vectors of the query's label by id, k of each query. A label's first k are its queries' first, so only those are joined."""
     v, q = _vectors(spark, d)
-    same = q.select("query_id", F.col("ql").alias("label")).join(v.select("chunk_id", "label"), "label")
+    first = lexical.ranked(v.select("label", "chunk_id").where("label IS NOT NULL"), k, [F.col("chunk_id")], by="label").drop("rank")
+    same = q.select("query_id", F.col("ql").alias("label")).join(first, "label")
     return lexical.ranked(same.select("query_id", "chunk_id"), k, [F.col("chunk_id")])
 
 
