@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+
+
+def slices(batches: Iterator[pa.RecordBatch], columns: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a matrix of a slice's rows x columns has at most so many cells."""
+    step = max(1, cells // max(1, columns))
+    for b in batches:
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def first_of_each(query: np.ndarray, value: np.ndarray, ident: np.ndarray, k: int) -> np.ndarray:

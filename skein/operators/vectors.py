@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
-from skein.operators.topk import TopK
+from skein.operators.topk import TopK, slices
 
-#: Queries of one matrix product, and bytes of query vectors that go to every task at once.
-BLOCK_QUERIES, ROUND_BYTES = 1024, 64 << 20
+#: Queries of one matrix product, its cells (doubles; a batch is taken in as many slices as that takes), and bytes of query
+#: vectors that go to every task at once.
+BLOCK_QUERIES, CELLS, ROUND_BYTES = 1024, 1 << 20, 64 << 20
 ROUND = 6
 
 
@@ -62,7 +63,7 @@ def distances(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, unit_q = sent.value
             blocks = [(at, TopK(len(unit_q[at : at + BLOCK_QUERIES]), k)) for at in range(0, len(unit_q), BLOCK_QUERIES)]
-            for batch in batches:
+            for batch in slices(batches, min(BLOCK_QUERIES, len(unit_q)), CELLS):
                 good, x = _matrix(batch.column("embedding"), unit_q.shape[1])
                 own = batch.column("chunk_id").to_numpy(zero_copy_only=False)[good]
                 for at, best in blocks if len(own) else ():
