@@ -128,8 +128,9 @@ def embed(text: Column, profile: str = "hashing-tf", query: bool = False) -> Col
     return run(full)
 
 
-#: Times that vectors are put beside what other writers have added meanwhile.
-TRIES = 5
+#: Times that vectors are put beside what other writers have added meanwhile; hashes of texts up to which they go to every
+#: task (some 100 bytes each).
+TRIES, SENT = 5, 100_000
 SHARED, VECTORS_BY_CONTENT = "embeddings", "bucket int, profile string, text_hash string, embedding array<float>"
 
 
@@ -154,7 +155,13 @@ class SharedEmbeddings:
         change = self.store.change(SHARED)
         known = change.read("vectors", VECTORS_BY_CONTENT).where(F.col("profile") == profile).select("text_hash")
         texts = chunks.select(self._hash(text).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-        missing = texts.join(known, "text_hash", "left_anti").groupBy("text_hash").agg(F.any_value("t").alias("t"))
+        if "vectors" in change.tables:  # hashes alone tell what is missing; only texts that are go through a shuffle
+            wanted = change.stage(texts.select("text_hash").distinct().join(known, "text_hash", "left_anti"), "missing")
+            n = wanted.count()
+            if not n:
+                return 0
+            texts = texts.join(F.broadcast(wanted) if n <= SENT else wanted, "text_hash", "left_semi")
+        missing = texts.groupBy("text_hash").agg(F.any_value("t").alias("t"))
         bucket = F.pmod(F.xxhash64("text_hash"), F.lit(self.buckets)).cast("int")
         made = missing.select(bucket.alias("bucket"), F.lit(profile).alias("profile"), "text_hash", embed(F.col("t"), profile).cast("array<float>").alias("embedding"))
         fresh = change.stage(made, "new")  # the model runs once, whatever is done with its vectors

@@ -2,8 +2,10 @@
 
 import pyarrow as pa
 
-from skein.operators import topk
+from skein.operators import embed, topk
 from skein.plans import reference
+from skein.sources import store
+from skein.sources.store import Store
 
 SF = "/root/testdata/sf0.1"
 
@@ -23,3 +25,30 @@ def test_slices_bound_a_matrix():
     got = list(topk.slices(iter(batches), 1024, 1 << 20))
     assert [x for b in got for x in b.column("x").to_pylist()] == [x for b in batches for x in b.column("x").to_pylist()]
     assert max(b.num_rows for b in got) * 1024 <= 1 << 20
+
+
+def test_known_texts_are_not_dealt_out_again(spark, tmp_path):
+    kept = embed.SharedEmbeddings(Store(spark, str(tmp_path)), 4)
+    rows = lambda words: spark.createDataFrame([(w, w) for w in words], "chunk_id string, source string")
+    assert kept.add(rows(["a", "b", "b", ""]), "letters") == 3
+    assert kept.store.change(embed.SHARED).tables and kept.add(rows(["b", "a", ""]), "letters") == 0
+    states = len(kept.store._names(f"{tmp_path}/{embed.SHARED}/new"))
+    assert states == 1  # nothing was staged for the second table
+    for sent in (embed.SENT, 0):  # few missing hashes go to every task, many meet the texts by a join
+        embed.SENT, was = sent, embed.SENT
+        try:
+            assert kept.add(rows(["a", "c", "c", f"d{sent}"]), "letters") == (2 if sent else 1)
+        finally:
+            embed.SENT = was
+    assert kept.store.read(embed.SHARED, "vectors").count() == 6
+
+
+def test_rows_without_repeated_ids_are_written_without_a_window(spark, monkeypatch, tmp_path):
+    rows = lambda ids: spark.createDataFrame([(i, f"f{i[0]}", n, f"s{n}") for n, i in enumerate(ids)], "chunk_id string, file_path string, ordinal int, source string")
+    called, first = [], store.keep_first
+    monkeypatch.setattr(store, "keep_first", lambda *a: called.append(a) or first(*a))
+    kept = Store(spark, str(tmp_path), 4)
+    kept.replace_files("c", rows(["a1", "b1"]).select("file_path"), rows(["a1", "b1", "b2"]))
+    assert not called and kept.read("c").count() == 3
+    kept.replace_files("c", rows(["a1"]).select("file_path"), rows(["a1", "a1", "a2"]))
+    assert len(called) == 1 and sorted((r["chunk_id"], r["ordinal"]) for r in kept.read("c").collect()) == [("a1", 0), ("a2", 2), ("b1", 1), ("b2", 2)]
