@@ -86,7 +86,8 @@ def index_table(files: DataFrame, store: Store, name: str, profile: str = "hashi
     hashes = found.groupBy("rel_path").agg(F.max("file_hash").alias("file_hash"))
 
     def changed(paths: DataFrame) -> DataFrame:
-        own = found.join(paths, "rel_path").join(hashes, ["rel_path", "file_hash"]).dropDuplicates(["rel_path"])
+        # a path has one hash here, so the rows that the join has dealt out are not dealt again to drop repeated ones
+        own = found.join(paths.join(hashes, "rel_path"), ["rel_path", "file_hash"]).dropDuplicates(["rel_path", "file_hash"])
         return chunk_files(own)
 
     return _update(store, name, hashes, changed, profile, name, source, keep_postings)

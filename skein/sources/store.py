@@ -48,6 +48,11 @@ def keep_first(chunks: DataFrame, key: str = "chunk_id", order: str = "ordinal")
     return chunks.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")
 
 
+def repeats(chunks: DataFrame, key: str = "chunk_id") -> bool:
+    """Whether a key stands more than once; no other column is shuffled."""
+    return not chunks.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def upserted(existing: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """New rows replace those of the same key; within the new ones the first stays."""
     fresh = keep_first(new, key)
@@ -144,7 +149,7 @@ class Change:
         """The rows of the changed files (file_path) are replaced by the new ones, all of them of changed files; of equal
         chunk_ids the first stays. A table without buckets is written whole. The numbers of the buckets it rewrote."""
         now = self.tables.get(table)
-        fresh = keep_first(new)
+        fresh = keep_first(new) if repeats(new) else new  # whole rows are dealt by chunk_id only where some would go
         if now is None or now["buckets"] <= 0:
             old = self.read(table)
             self.write(fresh if old is None else without_files(old, changed).unionByName(fresh), table)
