@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_type
 
 from skein.functions.text import keywords_lexical, occurrences
-from skein.operators.topk import TopK
+from skein.operators.topk import TopK, slices
 
 try:
     import ahocorasick
@@ -32,8 +32,8 @@ CLASSES = ((r"[a-z0-9_-]+", r"^[a-z0-9_-]+$"), (r"[a-z0-9_.-]+", r"\."), ("[一-
 #: (question, keyword) rows up to which an automaton of the keywords goes to every task (some 100 bytes each), and the
 #: questions of one matrix product.
 PASS_ROWS, PASS_QUERIES = 200_000, 512
-#: Cells of the matrix of chunks x keywords that a task holds (doubles): a batch is scored in as many slices as that takes.
-CELLS = 2_000_000
+#: Cells of the matrix of chunks x keywords, or questions, that a task holds (doubles): a batch is scored in as many slices as that takes.
+CELLS = 500_000
 #: Points of a keyword in the short strings of a chunk, and of each occurrence in its source, of which so many count.
 POINTS, OCCURRENCE, MOST = {"file_path": 5.0, "name": 4.0, "parent": 2.0, "language": 0.5}, 0.5, 5
 
@@ -143,8 +143,7 @@ def _in_one_pass(chunks: DataFrame, queries: DataFrame, rows: list, k: int | Non
         def told(query: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(ids[query].tolist(), query_type), pa.array(chunk, chunk_type), pa.array(score)], ["query_id", "chunk_id", "score"])
 
-        step = max(1, CELLS // max(1, len(asked.words)))
-        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
+        for batch in slices(batches, max(len(asked.words), min(PASS_QUERIES, len(ids))), CELLS):
             points = asked.points(batch, automaton)
             chunk = batch.column("chunk_id").to_numpy(zero_copy_only=False)
             for at, use, weights, best in parts:

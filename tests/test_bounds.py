@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from skein.operators import embed, topk
+from skein.operators import embed, lexical, topk
 from skein.plans import reference
 from skein.sources import store
 from skein.sources.store import Store
@@ -52,3 +52,15 @@ def test_rows_without_repeated_ids_are_written_without_a_window(spark, monkeypat
     assert not called and kept.read("c").count() == 3
     kept.replace_files("c", rows(["a1"]).select("file_path"), rows(["a1", "a1", "a2"]))
     assert len(called) == 1 and sorted((r["chunk_id"], r["ordinal"]) for r in kept.read("c").collect()) == [("a1", 0), ("a2", 2), ("b1", 1), ("b2", 2)]
+
+
+def test_a_lexical_matrix_is_bounded_whatever_the_batch(spark):
+    assert 8 * lexical.CELLS <= 4 << 20  # bytes of a task's matrix of chunks x keywords
+    chunks = spark.createDataFrame([(i, f"f{i}", f"f{i}", None, "en", f"alpha beta{i % 3}") for i in range(50)], "chunk_id long, file_path string, name string, parent string, language string, source string")
+    asked = spark.createDataFrame([("q", "beta1 alpha"), ("r", "beta2")], "query_id string, question string")
+    whole = sorted(tuple(r) for r in lexical.lexical_scores(chunks, asked).collect())
+    lexical.CELLS, was = 7, lexical.CELLS
+    try:
+        assert whole and sorted(tuple(r) for r in lexical.lexical_scores(chunks, asked).collect()) == whole
+    finally:
+        lexical.CELLS = was
