@@ -5,8 +5,8 @@ sequences of their own, the other pieces are items of a bin-packing problem. Ite
 For each group several islands evolve populations of groupings: crossover injects the partner's well-filled bins
 whole, drops bins that then hold an item twice, lets displaced items change places with shorter ones of fuller bins, and
 best-fits the rest. After each epoch the islands' best groupings migrate along a ring. An island rests as soon as a
-grouping has no more bins than any must have. Bins that stay poorly filled give their items back, and these are packed again in
-fewer groups, so that the groups' borders cost little.
+grouping has no more bins than any must have; that grouping goes to all islands, so the whole group rests. Bins that stay
+poorly filled give their items back, and these are packed again in fewer groups, so that the groups' borders cost little.
 
 Defined results: a null or empty text is the end id alone; rows with the same doc_id are separate items, and their
 pieces keep separate offsets; a null doc_id is packed like others; a text of any length is cut, never shortened; an empty
@@ -19,6 +19,7 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -57,7 +58,7 @@ def best_fit(bins: Bins, items: list[int], capacity: int = CAPACITY) -> Bins:
 
 def fitness(bins: Bins, capacity: int = CAPACITY) -> tuple[int, float]:
     """Fewer bins first, then fuller ones (squares reward uneven filling)."""
-    return (-len(bins), sum((sum(b) / capacity) ** 2 for b in bins))
+    return (-len(bins), sum([(x / capacity) ** 2 for x in map(sum, bins)]))
 
 
 def least_bins(bins: Bins, capacity: int = CAPACITY) -> int:
@@ -91,16 +92,21 @@ def crossover(a: Bins, b: Bins, rng: np.random.Generator, capacity: int = CAPACI
     """A child: the partner's well-filled bins whole, a's bins whose items are still free, the rest put in again."""
     full = sorted(b, key=sum, reverse=True)[: max(1, len(b) // 2)]
     take = [x for x, keep in zip(full, rng.random(len(full)) < 0.6, strict=True) if keep and sum(x) >= WELL_FILLED * capacity or sum(x) == capacity]
-    free = Counter(x for g in a for x in g)
+    free = Counter(chain.from_iterable(a))
     for g in take:
-        free.subtract(g)
+        for x in g:
+            free[x] -= 1
     child, displaced = [list(g) for g in take], []
-    order = sorted(range(len(a)), key=lambda i: -sum(a[i]))
+    order = sorted(range(len(a)), key=list(map(sum, a)).__getitem__, reverse=True)
     for i in order:
-        need = Counter(a[i])
-        if all(free[x] >= n for x, n in need.items()):
+        for at, x in enumerate(a[i]):
+            if not free[x]:  # an item is gone: those before it are given back
+                for y in a[i][:at]:
+                    free[y] += 1
+                break
+            free[x] -= 1
+        else:
             child.append(list(a[i]))
-            free.subtract(need)
     for x, n in free.items():
         displaced += [x] * n
     return _refill(child, displaced, rng, capacity)
@@ -122,17 +128,18 @@ def first(items: list[int], rng: np.random.Generator, capacity: int = CAPACITY)
 def evolve(population: list[Bins], seed: int, capacity: int = CAPACITY) -> list[Bins]:
     """One epoch of one island; the best grouping stands first. A grouping that no other can beat ends it."""
     rng = np.random.default_rng(seed)
-    rank = lambda x: fitness(x, capacity)
     least = least_bins(population[0], capacity)
-    population = sorted(population, key=rank, reverse=True)
+    ranked = lambda found: sorted(found, key=lambda x: x[0], reverse=True)
+    known = lambda x: (fitness(x, capacity), x)
+    best = ranked(map(known, population))
     for _ in range(CROSSOVERS):
-        if len(population[0]) <= least:
+        if len(best[0][1]) <= least:
             break
-        mate = population[int(rng.integers(1, len(population)))] if len(population) > 1 else population[0]
-        one, two = (population[0], mate) if rng.random() < 0.5 else (mate, population[0])
+        mate = best[int(rng.integers(1, len(best)))][1] if len(best) > 1 else best[0][1]
+        one, two = (best[0][1], mate) if rng.random() < 0.5 else (mate, best[0][1])
         child = crossover(one, two, rng, capacity)
-        population = sorted([*population, child, mutate(child, rng, capacity)], key=rank, reverse=True)[:POPULATION]
-    return population
+        best = ranked([*best, known(child), known(mutate(child, rng, capacity))])[:POPULATION]
+    return [x for _, x in best]
 
 
 def start_of(items: list[int], island: int, rng: np.random.Generator, capacity: int = CAPACITY) -> list[Bins]:
@@ -160,17 +167,27 @@ def _parse(raw: bytes) -> Bins:
     return out[:-1]
 
 
-def _epoch(islands: DataFrame, epoch: int) -> DataFrame:
+def _epoch(islands: DataFrame, epoch: int, last: bool) -> DataFrame:
+    """Every island after an epoch: its groupings and, but for the last epoch, its best one for the next island of the
+    ring, or for all islands if no grouping can have fewer bins. Both leave in one pass, so no epoch is run twice."""
+
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            made = []
+            made: dict[str, list] = {f.name: [] for f in ISLAND}
             for grp, island, lengths, bins in zip(b["grp"], b["island"], b["lengths"], b["bins"], strict=True):
                 items = np.frombuffer(lengths, "<u2").tolist()
                 seed = (grp * 1009 + island * 31 + epoch) % 2**63
                 rng = np.random.default_rng(seed)
-                population = [_parse(x) for x in bins] if bins else start_of(items, island, rng)
-                made.append([_dump(x) for x in evolve(population, seed + 1)])
-            yield b | {"bins": made}
+                began = [_parse(x) for x in bins] if bins else start_of(items, island, rng)
+                population, least = evolve(began, seed + 1), least_bins(began[0])
+                rests = len(population[0]) <= least
+                found = [_dump(x) for x in population[: 1 if rests else None]]
+                rested = bins and min(map(len, began)) <= least  # the others know
+                told = [] if last or rested else [(island + k) % ISLANDS for k in range(1, ISLANDS if rests else 2)]
+                for to, which in [(island, found), *[(k, found[:1]) for k in told]]:
+                    for name, v in zip(made, (grp, to, lengths, which), strict=True):
+                        made[name].append(v)
+            yield made
 
     return arrow_map(islands, rows, ISLAND)
 
@@ -181,15 +198,21 @@ def _pack_groups(items: DataFrame, group_items: int, salt: int) -> tuple[DataFra
 
     def start(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            raw = [np.array(sorted(x), "<u2").tobytes() for x in b["all"]]
-            yield {"grp": [g for g in b["grp"] for _ in range(ISLANDS)], "island": list(range(ISLANDS)) * len(raw), "lengths": [r for r in raw for _ in range(ISLANDS)], "bins": [[] for _ in raw for _ in range(ISLANDS)]}
+            made: dict[str, list] = {f.name: [] for f in ISLAND}
+            for grp, lengths in zip(b["grp"], b["all"], strict=True):
+                items = sorted(lengths)
+                plain = best_fit([], items)
+                rests = len(plain) <= least_bins(plain)  # one island is enough where nothing is left to find
+                for island in range(1 if rests else ISLANDS):
+                    for name, v in zip(made, (grp, island, np.array(items, "<u2").tobytes(), [_dump(plain)] if rests else []), strict=True):
+                        made[name].append(v)
+            yield made
 
     islands = arrow_map(grouped, start, ISLAND).repartition(F.col("grp"), F.col("island"))
     for epoch in range(EPOCHS):
-        islands = _epoch(islands, epoch + 100 * salt)
-        if epoch + 1 < EPOCHS:  # elites go to the next island of the ring; each keeps its own best, too
-            best = islands.select("grp", (F.pmod(F.col("island") + 1, F.lit(ISLANDS))).cast("int").alias("island"), F.col("lengths"), F.slice("bins", 1, 1).alias("bins"))
-            islands = islands.unionByName(best).groupBy("grp", "island").agg(F.first("lengths").alias("lengths"), F.flatten(F.collect_list("bins")).alias("bins"))
+        islands = _epoch(islands, epoch + 100 * salt, epoch + 1 == EPOCHS)
+        if epoch + 1 < EPOCHS:
+            islands = islands.groupBy("grp", "island").agg(F.first("lengths").alias("lengths"), F.flatten(F.collect_list("bins")).alias("bins"))
     best = islands.select("grp", F.col("bins")[0].alias("best")).groupBy("grp").agg(F.collect_list("best").alias("best"))
     schema = T.StructType([T.StructField("grp", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("offset", T.IntegerType()), T.StructField("filled", T.IntegerType())])
 

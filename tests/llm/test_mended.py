@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from skein.llm import decontaminate, jaccard_join, license_scan, style_tree, toxicity
+from skein.llm import decontaminate, jaccard_join, license_scan, packing, style_tree, toxicity
 
 
 def main_text(html):
@@ -141,3 +141,19 @@ def test_long_windows_meet_within_the_radius():
     got = index.met(index.classes, decontaminate.STRIDE, sums, bounds)
     assert got == want and apart > 10 and {(7 * k, k) for k in range(len(items))} <= got  # every whole copy, wherever it begins
     assert got | index.met(index.short, 1, sums, bounds) == index.candidates(h, bounds)
+
+
+def test_packing_runs_every_epoch_once(spark):
+    items = spark.createDataFrame([(i, 400 + i % 700, 0) for i in range(300)], "item_id long, length int, grp long")
+    plan = packing._pack_groups(items, packing.GROUP_ITEMS, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 + packing.EPOCHS
+
+
+def test_a_grouping_that_none_can_beat_goes_to_all_islands(spark):
+    lengths = np.array([1024] * 40, "<u2").tobytes()
+    best = packing._dump([[1024, 1024]] * 20)
+    began = spark.createDataFrame([(7, 0, lengths, [])], packing.ISLAND)
+    got = {r["island"]: [bytes(x) for x in r["bins"]] for r in packing._epoch(began, 0, False).collect()}
+    assert got == {k: [best] for k in range(packing.ISLANDS)}
+    again = packing._epoch(spark.createDataFrame([(7, 1, lengths, [best])], packing.ISLAND), 1, False).collect()
+    assert [(r["island"], len(r["bins"])) for r in again] == [(1, 1)]
