@@ -33,8 +33,8 @@ CHAIN, DIGITS = 2, 8
 OWN_LENGTH = 7
 #: Neighbours, on average, of a group; bits of the hash that group rows without an id.
 GROUP_ROWS, LOST_BITS = 512, 9
-#: Similarity of near-duplicates.
-PERCENT = 80
+#: Similarity of near-duplicates; more than there are length partitions for any percentage below 100.
+PERCENT, PARTS = 80, 4096
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
     "a an and are as at be but by for from had has have he her his if in into is it its not of on or she so that the their them then there these they this to was we were what when which who will with would you "
@@ -71,6 +71,11 @@ def spot_set(text: Column) -> Column:
     return _bound(_bound(words, marked), chains)
 
 
+def as_ints(signatures: Column) -> Column:
+    """The signatures as 32-bit integers, one for each hexadecimal form: a quarter of the strings' memory."""
+    return F.transform(signatures, lambda x: (F.conv(x, 16, 10).cast("long") - (1 << 31)).cast("int"))
+
+
 def fingerprint(signatures: Column) -> Column:
     return F.array_join(signatures, ",")
 
@@ -137,14 +142,14 @@ def spot_lists(sets: DataFrame, percent: int) -> DataFrame:
     lists of the length partitions in which the set can meet a similar one; own: its signatures that no other set has.
 
     Partition bounds grow by the factor that a similar set may be longer. A list holds a partition and the next one, so two
-    sets of similar length share one. sets: doc_id, n, spots."""
+    sets of similar length share one. sets: doc_id, n, spots (as integers)."""
     each = sets.select("doc_id", "n", F.explode("spots").alias("spot"))
     known = each.groupBy("spot").agg(F.count("*").alias("c")).where("c > 1")
     ranked = each.join(known, "spot").withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy("c", "spot")))
     counted = ranked.withColumn("own", (F.col("n") - F.count("*").over(W.partitionBy("doc_id"))).cast("int")).withColumn("pos", (F.col("own") + F.col("r")).cast("int"))
     kept = counted.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1)
     part = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("long")
-    return kept.select(F.explode(F.array(part, part - 1)).alias("p"), "spot", "doc_id", "n", "pos", "own").select(F.concat_ws(":", "spot", F.col("p").cast("string")).alias("gram"), "doc_id", "n", "pos", "own")
+    return kept.select(F.explode(F.array(part, part - 1)).alias("p"), "spot", "doc_id", "n", "pos", "own").select((F.col("spot").cast("long") * PARTS + F.col("p") + 1).alias("gram"), "doc_id", "n", "pos", "own")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -159,14 +164,17 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_signatures, component_id of every row: the smallest doc_id that is reached by links between documents whose
     signatures have a Jaccard similarity of percent / 100 or more. A text without a signature is linked with nothing; rows
     without an id take the class of their text's set, null if no row of the class has an id."""
-    rows = staged(doc_texts(docs).select("doc_id", spot_set(F.col("text")).alias("spots")), "spots")
-    own = rows.where(F.size("spots") > 0).groupBy("spots").agg(F.min("doc_id").alias("least"))
-    own = staged(own.select(F.monotonically_increasing_id().alias("doc_id"), F.size("spots").alias("n"), "spots", "least"), "sets")
+    found = doc_texts(docs).select("doc_id", as_ints(spot_set(F.col("text"))).alias("spots"))
+    key = ["n", "id1", "id2"]  # the set's size and 128 bits of it: rows meet their set by these, not by whole sets
+    keyed = lambda df: df.withColumns({"n": F.size("spots"), "id1": F.xxhash64("spots"), "id2": F.xxhash64(F.lit(1), "spots")})
+    rows = staged(keyed(found), "spots")
+    own = rows.where("n > 0").groupBy("spots").agg(F.min("doc_id").alias("least"))
+    own = staged(keyed(own.select(F.monotonically_increasing_id().alias("doc_id"), "spots", "least")), "sets")
     comps = jaccard_join.link_classes(own.select("doc_id", "n", "spots"), percent, spot_lists, alike)
-    members = own.join(comps, "doc_id")
+    members = own.select("doc_id", "least", *key).join(comps, "doc_id")
     ids = members.groupBy("comp").agg(F.min("least").alias("component_id"))
-    known = members.join(ids, "comp").select("spots", F.col("component_id").alias("c"))
-    return rows.join(known, "spots", "left").select("doc_id", F.size("spots").cast("long").alias("n_signatures"), F.when(F.size("spots") == 0, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
+    known = members.join(ids, "comp").select(*key, F.col("component_id").alias("c"))
+    return rows.select("doc_id", *key).join(known, key, "left").select("doc_id", F.col("n").cast("long").alias("n_signatures"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
 
 
 _COMMON = "[" + ", ".join(f"'{a}'" for a in sorted(set(ANCHORS))) + "]"

@@ -131,3 +131,16 @@ def test_classes_equal_brute_force_in_hot_groups(spark):
     assert spots.classes(spark.createDataFrame([], DOCS)).count() == 0
     plan = spots.classes(df.limit(5))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_classes_move_no_whole_sets_to_find_rows(spark, monkeypatch):
+    """Sets are of 32-bit integers, equal exactly where the signatures are; rows meet their set by its hashes."""
+    wrote, staged = {}, spots.staged
+    monkeypatch.setattr(spots, "staged", lambda df, name: wrote.setdefault(name, staged(df, name)))
+    df = spark.createDataFrame([(k, f"the cat{k % 3} sat on the mat{k % 2}") for k in range(12)], DOCS)
+    out = spots.classes(df)
+    assert wrote["sets"].schema["spots"].dataType.elementType.simpleString() == "int"
+    assert "spots:array" not in out._jdf.queryExecution().executedPlan().toString()
+    hexes = ["00000000", "7fffffff", "80000000", "ffffffff", "0000000a"]
+    ints = spark.range(1).select(spots.as_ints(F.array(*[F.lit(x) for x in hexes])).alias("x")).first()["x"]
+    assert ints == [int(x, 16) - 2**31 for x in hexes]
