@@ -53,3 +53,30 @@ def test_late_stages_on_edges(spark):
     ids = [r["doc_id"] for r in rows.collect()]
     assert {r["doc_id"] for r in packed} == set(ids) and sum(r["start"] == 0 for r in packed) == len(ids)
     assert all(1 <= r["length"] <= 2048 and r["offset"] + r["length"] <= 2048 for r in packed)
+
+
+def test_decontamination_goes_by_windows_of_the_items_size(spark, tmp_path, monkeypatch):
+    """By long windows alone the stage drops whole copies, and changed ones of which no fingerprint is equal to one of the item's."""
+
+    class WholeWindows(decontaminate.Index):
+        """Only the windows of the items' size, as the method has them, without the short ones beside them."""
+
+        def __init__(self, *known):
+            super().__init__(*known)
+            self.classes = {size: found for size, found in self.classes.items() if size > decontaminate.WIDTH}
+            self.short = {}
+
+    items = [(k, " ".join(f"i{k}x{x}" for x in range(200))) for k in range(8)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    changed = lambda t, at: " ".join([*t.split()[:at], "other", *t.split()[at + 1 :]])
+    rows = [(k, "p " * (k % 5) + t) for k, t in items] + [(100 + k, changed(t, 100)) for k, t in items] + [(200, "nothing of any item " * 60)]
+    monkeypatch.setattr(decontaminate, "Index", WholeWindows)
+    stage = dict(corpus_pipeline.STAGES)["benchmark decontamination"]
+    kept = {r["doc_id"] for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path)).collect()}
+    assert 200 in kept and not kept & set(range(8))
+    index = WholeWindows(items)
+    prints = {int(f) for known in index.classes.values() for f in known[0]}
+    sums = [decontaminate.running(decontaminate.hashes(changed(t, 100).split())) for _, t in items]
+    own = lambda s: {int(f) for size in index.classes for f in decontaminate.fingerprints(s, slice(0, len(s) - size), size)}
+    apart = {100 + k for k, s in enumerate(sums) if not own(s) & prints}
+    assert apart - kept
