@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import arrow_map, ascii_lower, doc_texts, plain_words, small_batches, staged
+from skein.llm.common import FILE_BLOCKS, arrow_map, ascii_lower, doc_texts, packed_batches, plain_words, staged
 from skein.llm.exchange import blocks, fragment_of, fragments, hashes
 
 TOP, ENDINGS = 80, 32
@@ -182,8 +182,7 @@ def trigram_counts(store: DataFrame, classes: Classes) -> np.ndarray:
                 docs, nulls, lens, places, words, endings = _open(b, i)
                 seq, far, near = _sequence(classes.of(words, endings), lens, places)
                 use = np.repeat(_training(docs, nulls), lens.astype(np.int64) + 1)
-                cell, n = np.unique(((far * side + near) * CLASSES + seq)[use], return_counts=True)
-                total[cell] += n
+                total += np.bincount(((far * side + near) * CLASSES + seq)[use], minlength=len(total))
         at = np.flatnonzero(total)
         yield {"cell": at, "n": total[at]}
 
@@ -301,22 +300,19 @@ def fitted(store: DataFrame, replies: DataFrame, model) -> DataFrame:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         own: OwnWords = model.value
         join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
-        every, lens = join("words", "<u8"), join("lens", "<u4")
-        words, at, back = np.unique(every, return_index=True, return_inverse=True)
+        words, at, back = np.unique(join("words", "<u8"), return_index=True, return_inverse=True)
         counts, endings = join("counts", "<i8")[at], join("endings", "u1")[at].astype(np.int64)
-        row, near, n = np.repeat(back, lens), join("near", "u1"), join("n", "<u4")
-        order = np.argsort(row, kind="stable")
-        row, near, n = row[order], near[order], n[order]
+        cuts = np.cumsum([len(x) // 8 for x in pdf["words"]])[:-1]
+        seen = np.zeros((len(words), side))  # follows the fragment's words, however many blocks tell of them
+        for own_rows, lens, near, n in zip(np.split(back, cuts), pdf["lens"], pdf["near"], pdf["n"], strict=True):
+            seen[np.repeat(own_rows, np.frombuffer(lens, "<u4")), np.frombuffer(near, "u1")] += np.frombuffer(n, "<u4")  # a cell stands once in a block
         vectors, biases = np.empty((len(words), OWN_DIMENSION), np.float16), np.empty(len(words), np.float32)
         sums = np.zeros((ENDINGS, side))
         for lo in range(0, len(words), OWN_BATCH):
             hi = min(lo + OWN_BATCH, len(words))
-            a, z = np.searchsorted(row, [lo, hi])
-            seen = np.bincount((row[a:z] - lo) * side + near[a:z], n[a:z], (hi - lo) * side).reshape(-1, side)
-            vectors[lo:hi], biases[lo:hi] = own.fit(seen, endings[lo:hi], counts[lo:hi])
+            vectors[lo:hi], biases[lo:hi] = own.fit(seen[lo:hi], endings[lo:hi], counts[lo:hi])
             odds = np.exp(vectors[lo:hi].astype(float) @ own.near.T + biases[lo:hi, None]) - own.share(endings[lo:hi], counts[lo:hi])[:, None]
             np.add.at(sums, endings[lo:hi], odds)
-        cuts = np.cumsum([len(x) // 8 for x in pdf["words"]])[:-1]
         out = pd.DataFrame({"block": pdf["block"].astype("Int64"), "frag": pdf["frag"], "vectors": [vectors[i].tobytes() for i in np.split(back, cuts)], "biases": [biases[i].tobytes() for i in np.split(back, cuts)]})
         total = pd.DataFrame({"block": pd.array([pd.NA], "Int64"), "frag": [pdf["frag"].iloc[0]], "sums": [sums.tobytes()]})
         return pd.concat([out, total]).reindex(columns=FITTED.names).astype({"frag": "int32"})
@@ -357,9 +353,9 @@ def _is_word(lens: np.ndarray, n: int) -> np.ndarray:
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
-    small_batches(spark)
+    packed_batches(spark)
     texts = doc_texts(docs)
-    store = staged(packed(texts), "blocks")
+    store = staged(packed(texts), "blocks", FILE_BLOCKS)
     replies = staged(counted(store), "counts")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     n_docs = texts.select("doc_id").where(F.col("doc_id").isNotNull() & ~held).count()

@@ -16,6 +16,10 @@ from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch: with texts of a few kB this keeps a Python worker far below 100 MB.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch of packed blocks, of which a row has some MB (a batch has one row at least).
+PACKED_BYTES = 8 << 20
+#: Blocks of a file.
+FILE_BLOCKS = 8
 
 
 def workdir(spark: SparkSession) -> str:
@@ -34,10 +38,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{workdir(spark)}/skein/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Written once to the shared folder and read again: later steps do not depend on executors that may be lost."""
+def staged(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+    """Written once to the shared folder and read again: later steps do not depend on executors that may be lost.
+
+    file_rows: rows of a file at most (0: any), for rows of some MB: the reader holds thousands of a file's rows at once."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", file_rows).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,6 +53,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def packed_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches, too: else a batch of blocks is as large as the split of the file they are read
+    from, which grows with the input. Stays set like `small_batches`, and changes no result."""
+    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PACKED_BYTES))
+
+
 _CACHES: dict[str, dict] = {}
 
 
