@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "[\\x20\\x09-\\x0D]+"
+#: What stands between signs, by a class below U+0100, which Java tests by a bit map; a line that a rule removes has a run of
+#: signs, one of the strings MARKS or a phrase in it.
+NO_SIGNS, SIGNS, MARKS = "[^#*$%&|<>!»·:/]+", "[#*$%&<>]{2}|!!|[|»·]|::|//", ("›", "•", "…", "...", "www.")
 MIN_WORDS, MAX_REPEAT, REPEAT_WINDOW = 50, 0.5, 3
 #: A document is rejected when more than this share of its word characters was in removed lines.
 MAX_LOST = 0.5
@@ -34,7 +37,7 @@ BOILERPLATE = (
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def with_repeated_words(df: DataFrame, words: str, name: str, width: int = REPEAT_WINDOW) -> DataFrame:
@@ -42,35 +45,47 @@ def with_repeated_words(df: DataFrame, words: str, name: str, width: int = REPEA
 
     Sorts (hash, place) pairs and compares neighbours, so it is n log n also for very repetitive texts. Each step
     is a column of its own: what a lambda refers to is then read from the row, not computed for every element.
+    sort_array compares the pairs itself, where array_sort would call a lambda for each comparison.
     """
     n = F.size(words)
     hashes = F.when(n > width, F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in range(width)])))
     df = df.withColumn("_h", hashes)
     repeats = F.size(F.array_distinct("_h")) < F.size("_h")
-    df = df.withColumn("_p", F.when(repeats, F.array_sort(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    df = df.withColumn("_p", F.when(repeats, F.sort_array(F.transform("_h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     same = lambda s, i: F.coalesce(F.get("_p", i - 1)["h"] == s["h"], F.lit(False)) | F.coalesce(F.get("_p", i + 1)["h"] == s["h"], F.lit(False))
     df = df.withColumn("_d", F.filter("_p", same))
     covered = F.size(F.array_distinct(F.flatten(F.transform("_d", lambda s: F.array(*[s["i"] + k for k in range(width)])))))
     return df.withColumn(name, F.when(F.col("_d").isNull(), 0).otherwise(covered).cast("long")).drop("_h", "_p", "_d")
 
 
-def line_fails(line: Column, words: Column) -> Column:
-    """True if a rule removes the line. Lines without a word fail no rule: they carry no text."""
+def may_fail(text: Column, low: Column, signs: Column) -> Column:
+    """False only if no rule can remove a line of the text: each rule needs signs, a mark or a phrase somewhere in it.
+
+    signs: the text with a space for each NO_SIGNS, short in most texts. None has a newline, so what a line has the text
+    has. A phrase as a regular expression is searched by Boyer and Moore's method; contains() would look at every byte.
+    """
+    found = signs.rlike(SIGNS)
+    for mark in MARKS:
+        found = found | text.contains(mark)
+    for phrase in BOILERPLATE:
+        found = found | low.rlike(phrase)
+    return found
+
+
+def line_fails(line: Column, low: Column, words: Column) -> Column:
+    """True if a rule removes the line (low: in lower case). Lines without a word fail no rule: they carry no text."""
     n = F.size(words)
     count = lambda pattern: F.size(F.filter(words, lambda w: w.rlike(pattern)))
     junk, shout, links = count("[#*$%&<>]{2,}"), count("!!+$"), count("^(https?://|www[.])")
     pipes = F.size(F.filter(words, lambda w: w.isin(*SEPARATORS)))
-    low = F.lower(line)
-    boiler = F.lit(False)
+    furniture = low.rlike(TEASER)
     for phrase in BOILERPLATE:
-        boiler = boiler | low.contains(phrase)
-    boiler = boiler & (n <= SHORT_LINE)
-    teaser = low.rlike(TEASER) & (n <= SHORT_LINE)
+        furniture = furniture | low.contains(phrase)
     bad_junk = line.rlike("[#*$%&<>]{2,}") & (junk >= SYMBOL_SHARE * n)
     bad_shout = line.contains("!!") & (shout > 1) & (shout >= SHOUT_SHARE * n)
     bad_pipes = line.rlike("[|»›·•]|::") & (pipes > 1) & (pipes >= PIPE_SHARE * n)
     bad_links = line.rlike("https?://|www[.]") & (links >= LINK_SHARE * n)
-    return bad_junk | bad_shout | bad_pipes | bad_links | boiler | teaser
+    return bad_junk | bad_shout | bad_pipes | bad_links | ((n <= SHORT_LINE) & furniture)
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -80,21 +95,25 @@ def quality(docs: DataFrame) -> DataFrame:
     base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), text.alias("_t"))
     base = base.withColumn("_w", words_of(F.col("_t"))).withColumn("_l", F.split("_t", "\n"))
     base = with_repeated_words(base, "_w", "n_repeat_words")
-    base = base.withColumn("_s", F.transform("_l", lambda x: F.struct(x.alias("t"), words_of(x).alias("w"))))
-    base = base.withColumn("_marked", F.transform("_s", lambda x: F.struct(x["t"].alias("t"), line_fails(x["t"], x["w"]).alias("bad"))))
-    base = base.withColumn("_wl", F.filter("_l", lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    chars = lambda c: F.length(F.regexp_replace(c, SPACE, ""))
-    lost = F.aggregate(F.filter("_marked", lambda x: x["bad"]), F.lit(0), lambda a, x: a + chars(x["t"]))
+    base = base.withColumn("_g", F.regexp_replace("_t", NO_SIGNS, " ")).withColumn("_low", F.lower("_t"))
+    split = F.transform("_l", lambda x: F.struct(x.alias("t"), F.lower(x).alias("low"), words_of(x).alias("w")))
+    base = base.withColumn("_s", F.when(may_fail(F.col("_t"), F.col("_low"), F.col("_g")), split)).drop("_low")
+    marked = F.transform("_s", lambda x: F.struct(x["t"].alias("t"), line_fails(x["t"], x["low"], x["w"]).alias("bad"), F.length(F.array_join(x["w"], "")).alias("c")))
+    base = base.withColumn("_marked", marked)
+    worded = lambda lines: F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+    base = base.withColumn("_u", F.array_distinct("_l"))
+    dup = F.when(F.size("_u") == F.size("_l"), 0).otherwise(F.size(worded("_l")) - F.size(worded("_u")))
+    lost = F.aggregate(F.filter("_marked", lambda x: x["bad"]), F.lit(0), lambda a, x: a + x["c"])
     out = base.select(
-        "_row", "_marked", "n_repeat_words",
+        "_row", "_t", "_marked", "n_repeat_words",
         F.size("_w").cast("long").alias("n_words"),
-        chars(F.col("_t")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_t", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("_wl") - F.size(F.array_distinct("_wl"))).cast("long").alias("n_dup_lines"),
-        lost.cast("long").alias("lost_chars"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("_g", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        dup.cast("long").alias("n_dup_lines"),
+        F.coalesce(lost, F.lit(0)).cast("long").alias("lost_chars"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MAX_REPEAT) * F.col("n_words"))
-    clean = F.array_join(F.transform(F.filter("_marked", lambda x: ~x["bad"]), lambda x: x["t"]), "\n")
+    clean = F.coalesce(F.array_join(F.transform(F.filter("_marked", lambda x: ~x["bad"]), lambda x: x["t"]), "\n"), "_t")
     return out.select("_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", failed.alias("base_failed"), (~failed & (F.col("lost_chars") <= MAX_LOST * F.col("word_chars"))).alias("kept"), clean.alias("clean_text"))
 
 

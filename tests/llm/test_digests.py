@@ -7,6 +7,7 @@ from hashlib import sha256
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skein.llm import license_scan, packing, pii, quality_rules, style_tree, token_orc, tokens
@@ -227,6 +228,23 @@ def test_quality_rules_values(spark):
     assert clean["clean_text"] == text and clean["_row"]["doc_id"] == 2
 
 
+def test_quality_rules_judge_lines_only_where_a_rule_can_fail(spark):
+    """op6_quality_rules: texts without signs, marks and phrases have no line split, lowered or searched; all others do."""
+    plain = "\n".join(" ".join(f"word{i}-{k}, ($5) it's 50% (a/b)?" for i in range(20)) + "." for k in range(4))
+    bad = ["$$", "a #* b", "x!! y!!", "a | b |", "a » b »", "a › b ›", "a · b ·", "a • b •", ":: a ::", "http://a", "https://a b", "www.a", "so [...]", "so […]", "so ...Read more", "so … see more", "S\u212aip To content"]
+    bad += [p.upper() for p in quality_rules.BOILERPLATE]
+    rows = [(-1, plain), (-2, ""), (-3, "a b c d " * 30), *((i, f"{plain}\n{x}\n{plain}") for i, x in enumerate(bad))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = F.col("text")
+    may = docs.select("doc_id", quality_rules.may_fail(text, F.lower(text), F.regexp_replace(text, quality_rules.NO_SIGNS, " ")).alias("may"))
+    assert {r["doc_id"]: r["may"] for r in may.collect()} == {i: i >= 0 for i, _ in rows}
+    found = quality_rules.quality(docs)
+    got = {r["_row"]["doc_id"]: r for r in found.collect()}
+    assert [got[i]["lost_chars"] for i in range(len(bad))] == [len("".join(x.split())) for x in bad]
+    assert all(got[i]["clean_text"] == (f"{plain}\n{plain}" if i >= 0 else t) for i, t in rows)
+    assert "array_sort(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_packing_is_whole_and_close_to_the_bound(docs, texts):
     tok = Tokenizer.from_file(PATH)
     rows = packing.packed(docs, PATH).collect()
